@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from . import (
+    secret_linking,
     sentencepiece_codec,
+    simhash_vptree,
 )
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op6_simhash_near_dedup": simhash_vptree.op6_simhash_near_dedup,
+    "op10_secret_linking": secret_linking.op10_secret_linking,
 }
 
 ORACLE_SQL: dict[str, str] = {}
