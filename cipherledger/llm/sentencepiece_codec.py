@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import clear_name, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -300,6 +301,7 @@ def _codec(model, scores: str) -> Codec:
 
 def _loaded(spark: SparkSession, model: str, scores: str):
     """A broadcast of the vocabulary: bounded by the model file, some tens of thousands of pieces."""
+    ship(spark)
     return spark.sparkContext.broadcast((tuple(read_pieces(model)), scores))
 
 

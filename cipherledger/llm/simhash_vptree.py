@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import clear_name, components, cut, table
 
 RADIUS = 3
@@ -61,6 +62,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
     """``docs``' text column replaced by ``fp`` (the fingerprint as a signed long). Needs no column named fp."""
+    ship(docs.sparkSession)
     names = [c for c in docs.columns if c != text]
     rows = docs.select(*names, F.col(text).cast("string").alias(text))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["fp bigint"])
@@ -184,6 +186,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, fp: str = "fp", shard: int
     """Edges ``a, b`` (signed longs) whose connected components are those of all pairs of the distinct non-null
     fingerprints in ``distinct`` at ``radius`` bits or fewer."""
     spark = distinct.sparkSession
+    ship(spark)
     fps = distinct.select(F.col(fp).alias("fp"))
     n = fps.count()
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
