@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from . import (
+    kn_toxicity,
+    language_id,
+    pivot_topk,
     secret_linking,
     sentencepiece_codec,
     simhash_vptree,
+    source_mixing,
 )
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
+    "op2_pivot_topk": pivot_topk.op2_pivot_topk,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": kn_toxicity.op4_toxicity,
     "op6_simhash_near_dedup": simhash_vptree.op6_simhash_near_dedup,
+    "op7_source_mixing": source_mixing.op7_source_mixing,
     "op10_secret_linking": secret_linking.op10_secret_linking,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_pivot_topk": pivot_topk.ORACLE,
+}
