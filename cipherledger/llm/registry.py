@@ -5,11 +5,14 @@ from __future__ import annotations
 from . import (
     kn_toxicity,
     language_id,
+    license_scan,
     pivot_topk,
     secret_linking,
     sentencepiece_codec,
     simhash_vptree,
     source_mixing,
+    spotsigs,
+    tiered_shards,
 )
 
 QUERIES = {
@@ -17,8 +20,11 @@ QUERIES = {
     "op2_pivot_topk": pivot_topk.op2_pivot_topk,
     "op3_language_id": language_id.op3_language_id,
     "op4_toxicity": kn_toxicity.op4_toxicity,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_simhash_near_dedup": simhash_vptree.op6_simhash_near_dedup,
     "op7_source_mixing": source_mixing.op7_source_mixing,
+    "op8_tiered_shards": tiered_shards.op8_tiered_shards,
+    "op9_spotsigs": spotsigs.op9_spotsigs,
     "op10_secret_linking": secret_linking.op10_secret_linking,
 }
 

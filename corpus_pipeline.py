@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cipherledger.llm import sentencepiece_codec
+from cipherledger.llm import kn_toxicity, secret_linking, sentencepiece_codec, simhash_vptree, source_mixing
 from cipherledger.llm.common import fresh_dir, table
 
 STAGES = [
+    ("toxicity", kn_toxicity.stage),
+    ("near_dedup", simhash_vptree.stage),
+    ("secrets", secret_linking.stage),
+    ("mixing", source_mixing.stage),
     ("sentencepiece", sentencepiece_codec.tokenized),
 ]
 
