@@ -50,12 +50,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     (Kiveris et al., "Connected Components in MapReduce and Beyond"), each a grouped minimum and a join, until the
     edges stop changing; every edge list is checkpointed, and only two numbers a round reach the driver."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    state = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = state(e)
     for _ in range(rounds):
+        if not before[0]:
+            break
         # large star: every neighbour above u links to the smallest of u and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small star: every neighbour below u, and u itself, links to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
@@ -65,7 +68,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = state(e)
         if now == before:
             break
         before = now

@@ -12,8 +12,8 @@ side if d - radius <= m and the far side if d + radius > m (triangle inequality)
 Inside a shard a second, finer tree prunes the same way, down to leaves that are compared bit by bit. Shards larger
 than ``BLOCK`` rows are dealt as a grid of data blocks and query chunks, so no task holds more than one of each.
 
-A leaf with more hits than rows emits a star for each of its connected parts instead of all pairs: the components are
-the same and the edges stay linear in the rows. Equal fingerprints are one node. No pair is lost, none is sampled.
+A shard's task emits a star for each of its connected parts instead of all pairs (so does a leaf with more hits than
+rows): the components are the same and the edges stay linear in the rows. Equal fingerprints are one node. No pair is lost, none is sampled.
 
 Null doc_ids take part; a component whose ids are all null has a null component_id. Repeated rows share a component.
 """
@@ -69,8 +69,10 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(len(names)).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fps.view(np.int64))], [*names, "fp"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                fps = np.array([fingerprint(t, words) for t in part.column(len(names)).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(fps.view(np.int64))], [*names, "fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -182,6 +184,25 @@ def near_pairs(d: np.ndarray, q: np.ndarray, radius: int) -> tuple[np.ndarray, n
     return a, b
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges ``a, b`` with each connected part turned into a star: one edge a node, to the part's smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in set(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    top = np.array([root(x) for x in range(len(up))], np.int64)
+    own = top != np.arange(len(up))
+    return nodes[own], nodes[top[own]]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, fp: str = "fp", shard: int = SHARD, block: int = BLOCK, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Edges ``a, b`` (signed longs) whose connected components are those of all pairs of the distinct non-null
     fingerprints in ``distinct`` at ``radius`` bits or fewer."""
@@ -218,10 +239,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, fp: str = "fp", shard: int
     def meet(t: pa.Table) -> pa.Table:
         role, f = t.column("role").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
         a, b = near_pairs(f[role == 0], f[role == 1], radius)
-        a, b = a.view(np.int64), b.view(np.int64)
-        if len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            a, b = pairs[0], pairs[1]
+        a, b = stars(a.view(np.int64), b.view(np.int64))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return dealt.groupBy("shard", "x", "y").applyInArrow(meet, "a bigint, b bigint")
