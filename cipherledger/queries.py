@@ -332,3 +332,118 @@ def sarif_rules(spark, sf_dir):
 @query(f"WITH {ASSETS}, t2 AS (SELECT CASE threat WHEN 'shor_broken' THEN 'BROKEN_Q' WHEN 'legacy_broken' THEN 'WEAK' WHEN 'pqc' THEN 'PQC' ELSE 'SAFE' END AS tier, n_occ, act_now FROM assets), n AS (SELECT tier, CAST(sum(n_occ) AS BIGINT) AS n, CAST(sum(CASE WHEN act_now THEN n_occ ELSE 0 END) AS BIGINT) AS n_urgent FROM t2 GROUP BY tier) SELECT *, round(100.0 * n / CAST(sum(n) OVER () AS DOUBLE), 1) AS pct FROM n")
 def dashboard_tiers(spark, sf_dir):
     return emit.tiers(_assets(spark, sf_dir))
+
+
+# --- names, versions, packages ------------------------------------------------------------------------------------------------------
+
+SUITES = ["TLS_AES_256_GCM_SHA384", "TLS_CHACHA20_POLY1305_SHA256", "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256", "ECDHE-ECDSA-AES256-GCM-SHA384", "DHE-RSA-AES256-SHA", "TLS_RSA_WITH_3DES_EDE_CBC_SHA", "TLS_RSA_WITH_RC4_128_MD5", "ADH-AES128-SHA256", "TLS_RSA_WITH_NULL_SHA", "AES128-SHA"]
+#: What each suite is, written down by hand: kex, auth, bulk, bits, mode, mac, aead, forward_secrecy, anonymous.
+SUITE_FACTS = [
+    ("ECDHE", "certificate", "AES", 256, "GCM", "SHA-384", True, True, False),
+    ("ECDHE", "certificate", "ChaCha20", 256, "Poly1305", "SHA-256", True, True, False),
+    ("ECDHE", "RSA", "AES", 128, "GCM", "SHA-256", True, True, False),
+    ("ECDHE", "ECDSA", "AES", 256, "GCM", "SHA-384", True, True, False),
+    ("DHE", "RSA", "AES", 256, "CBC", "SHA-1", False, True, False),
+    ("RSA", "RSA", "3DES", 168, "CBC", "SHA-1", False, False, False),
+    ("RSA", "RSA", "RC4", 128, None, "MD5", False, False, False),
+    ("DH", "none", "AES", 128, "CBC", "SHA-256", False, False, True),
+    ("RSA", "RSA", "NULL", 0, None, "SHA-1", False, False, False),
+    ("RSA", "RSA", "AES", 128, "CBC", "SHA-1", False, False, False),
+]
+_SUITE_COLUMNS = ["kex", "auth", "bulk", "bits", "mode", "mac", "aead", "forward_secrecy", "anonymous"]
+_sql = lambda v: "NULL" if v is None else _q(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+
+
+@query("WITH f(suite, " + ", ".join(_SUITE_COLUMNS) + ") AS (VALUES " + ", ".join(f"({_q(s)}, " + ", ".join(map(_sql, r)) + ")" for s, r in zip(SUITES, SUITE_FACTS)) + ") SELECT s_suppkey, f.* FROM supplier, f")
+def tls_suites(spark, sf_dir):
+    s = corpus.table(spark, sf_dir, "supplier").select("s_suppkey").withColumn("suite", F.explode(F.array(*map(F.lit, SUITES))))
+    return s.select("s_suppkey", "suite", *(c.alias(n) for n, c in N.suite(F.col("suite")).items()))
+
+
+_NAMES = [
+    ("openssl", "aes-256-gcm", "AES", 256, "GCM"), ("openssl", "des-ede3-cbc", "3DES", 168, "CBC"), ("openssl", "chacha20-poly1305", "ChaCha20", 256, "POLY1305"), ("openssl", "rc4", "RC4", None, None), ("openssl", "camellia-128-cbc", "Camellia", 128, "CBC"),
+    ("java", "AES/GCM/NoPadding", "AES", None, "GCM"), ("java", "AES", "AES", None, "ECB"), ("java", "DESede/CBC/PKCS5Padding", "3DES", None, "CBC"), ("java", "RSA/ECB/PKCS1Padding", "RSA", None, None), ("java", "AES_256/CBC/PKCS5Padding", "AES", 256, "CBC"),
+]
+
+
+@query("WITH f(form, spelling, family, key_size, mode) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _NAMES) + ") SELECT form, spelling, family, CAST(key_size AS INTEGER) AS key_size, mode FROM f")
+def cipher_names(spark, sf_dir):
+    d = spark.createDataFrame([r[:2] for r in _NAMES], "form string, spelling string")
+    o, j = N.openssl_cipher(F.col("spelling")), N.java_transformation(F.col("spelling"))
+    pick = lambda c: F.when(F.col("form") == "java", j[c]).otherwise(o[c]).alias(c)
+    return d.select("form", "spelling", pick("family"), pick("key_size"), pick("mode"))
+
+
+_WORDS = [("jwt", "RS256", "RSA", "SHA-256"), ("jwt", "ES256K", "ECDSA", "SHA-256"), ("jwt", "none", "none", None), ("jwt", "EdDSA", "Ed25519", None), ("tls", "PROTOCOL_TLSv1_2", "TLSv1.2", None), ("tls", "SSLv3_method", "SSLv3", None), ("tls", "TLS", "TLS (unpinned)", None), ("hash", "SHA-512", "SHA-2", "512"), ("hash", "HmacSHA1", "SHA-1", "160"), ("hash", "sha256WithRSAEncryption", "SHA-2", "256"), ("hash", "SHA3-384", "SHA-3", "384"), ("hash", "shake256", "SHAKE", None)]
+
+
+@query("WITH f(form, spelling, family, detail) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _WORDS) + ") SELECT form, spelling, family, detail FROM f")
+def algorithm_names(spark, sf_dir):
+    d = spark.createDataFrame([r[:2] for r in _WORDS], "form string, spelling string")
+    s, f = F.col("spelling"), F.col("form")
+    w, h = N.jwt(s), N.hash_name(s)
+    return d.select("form", "spelling", F.when(f == "jwt", w["family"]).when(f == "tls", N.tls_version(s)).otherwise(h["family"]).alias("family"), F.when(f == "jwt", w["hash"]).when(f == "hash", h["digest_size"].cast("string")).alias("detail"))
+
+
+_PKG = "k(ecosystem, package, family, hint, floor) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in T.PACKAGES) + ")"
+_PICK = ["cryptography", "pycryptodome", "rsa", "leftpad", "paramiko", "bcrypt", "pyjwt"]
+
+
+@query(f"WITH {_PKG}, d AS (SELECT p_partkey, CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {_q(p)}" for i, p in enumerate(_PICK)) + " END AS package, concat(p_size, '.', p_partkey % 10) AS version, p_size, p_partkey % 10 AS minor FROM part) SELECT p_partkey, d.package, version, k.family, k.hint, CASE WHEN floor IS NOT NULL THEN (p_size, minor, 0) < (CAST(split_part(floor, '.', 1) AS INTEGER), CAST(split_part(floor, '.', 2) AS INTEGER), CAST(coalesce(nullif(split_part(floor, '.', 3), ''), '0') AS INTEGER)) END AS outdated FROM d JOIN k ON k.ecosystem = 'pypi' AND k.package = d.package")
+def dependency_packages(spark, sf_dir):
+    from .operators.detect import run
+
+    p = corpus.table(spark, sf_dir, "part").selectExpr("p_partkey", f"element_at(array({', '.join(map(_q, _PICK))}), cast(p_partkey % 7 as int) + 1) AS package", "concat(p_size, '.', p_partkey % 10) AS version", "'pypi' AS ecosystem")
+    return run.libraries(p).select("p_partkey", "package", "version", "family", "hint", "outdated")
+
+
+# --- detectors on a small corpus of code; rows only ------------------------------------------------------------------------------------
+
+CORPUS = {
+    "app/keys.py": "import hashlib as h\nfrom cryptography.hazmat.primitives.asymmetric import rsa, ec\nBITS = 1024\nk = rsa.generate_private_key(public_exponent=65537, key_size=BITS)\ne = ec.generate_private_key(ec.SECP256R1())\nh.md5(b'x')\nh.sha256(b'y')\n# hashlib.sha1(b'no')\nraise ValueError('use DES')\n",
+    "payments/pay.js": "const c = require('crypto');\nc.createHash('sha1');\nc.createCipheriv('aes-256-gcm', k, iv);\nc.generateKeyPairSync('rsa', { modulusLength: 2048 });\n// c.createHash('md5')\nthrow new Error('md5 is bad');\n",
+    "src/auth/A.java": 'class A { void f() throws Exception { Cipher.getInstance("AES"); MessageDigest.getInstance("MD5"); Signature.getInstance("SHA256withRSA"); } }\n',
+    "svc/main.go": 'package main\nimport ("crypto/md5"; "crypto/rsa"; "crypto/des")\nfunc f() { rsa.GenerateKey(r, 2048); md5.New() }\n',
+    "lib/x.c": '#include <openssl/evp.h>\nvoid f() { EVP_aes_256_gcm(); EVP_md5(); RSA_generate_key_ex(r, 1024, e, 0); printf("RC4"); /* SHA1() */ }\n',
+    "requirements.txt": "cryptography==41.0.1\nrequests\npycrypto==2.6\n",
+    "config/id.pub": "ssh-ed25519 AAAAC3NzaC1lZDI1NTE5AAAAIAABAgMEBQYHCAkKCwwNDg8QERITFBUWFxgZGhscHR4f me\n",
+    "node_modules/p/v.js": "require('crypto').createHash('md5');\n",
+}
+
+
+def _scan(spark):
+    from .plans import scan
+
+    rows = [(p, t.encode(), len(t.encode())) for p, t in CORPUS.items()]
+    return scan.of_files(spark, spark.createDataFrame(rows, "path string, content binary, length long"))
+
+
+@query()
+def detect_corpus(spark, sf_dir):
+    return _scan(spark).findings
+
+
+@query()
+def scan_corpus(spark, sf_dir):
+    return _scan(spark).assets.drop("occurrences")
+
+
+@query()
+def patch_corpus(spark, sf_dir):
+    from .plans import scan
+
+    return scan.patches(_scan(spark))
+
+
+# --- streaming --------------------------------------------------------------------------------------------------------------------------------
+
+
+@query("WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
+def stream_event_windows(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    from .streaming import watch
+
+    home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledger-stream-')}/stream-{uuid.uuid4().hex}"
+    return watch.event_windows(spark, f"{sf_dir}/events.parquet", f"{home}/out", f"{home}/state")

@@ -77,7 +77,8 @@ def sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     for name, xs in EXTENSIONS.items():
         lang = lang.when(ext.isin(xs), name)
     own = files.withColumn("lang", lang.otherwise(None)).where("lang is not null")
-    text = F.when(F.is_valid_utf8(F.decode("content", F.lit("ISO-8859-1"))) & F.try_validate_utf8(F.col("content").cast("string")).isNotNull(), F.col("content").cast("string")).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    latin = F.decode("content", "ISO-8859-1")
+    text = F.when(F.try_validate_utf8(F.col("content").cast("string")).isNotNull(), F.col("content").cast("string")).otherwise(latin)
     read = own.withColumn("text", F.when(F.col("length") <= SOURCE_BYTES, text))
     longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x)))
     why = F.when(F.col("length") > SOURCE_BYTES, "too large").when(F.substring("text", 1, 4096).contains("\0"), "binary").when(longest > LINE_CHARS, "minified")
