@@ -1,6 +1,6 @@
 """Command line: scan, report, ci and history.
 
-    python -m cipherledger.cli scan PATH [--json F] [--cbom F] [--sarif F] [--report F] [--db DIR]
+    python -m cipherledger.cli scan PATH [--policy F] [--json F] [--cbom F] [--sarif F] [--report F] [--db DIR]
     python -m cipherledger.cli ci PATH [--fail-on SEVERITY]
     python -m cipherledger.cli history DIR
 """
@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 
 from .operators import emit, gate, history, risk
 from .plans import scan as plan
+from .plans.policy_file import Policy
 
 
 def _session() -> SparkSession:
@@ -30,6 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         s = sub.add_parser(name)
         s.add_argument("path")
         s.add_argument("--exclude", action="append", default=[])
+        s.add_argument("--policy")
         s.add_argument("--now", type=int, default=datetime.now(timezone.utc).year)
         for out in ("json", "cbom", "sarif", "report", "db"):
             s.add_argument(f"--{out}")
@@ -45,7 +47,8 @@ def main(argv: list[str] | None = None) -> int:
         if len(two) == 2:
             history.posture(past, *two).show(truncate=False)
         return 0
-    done = plan.of_tree(spark, a.path, a.exclude, now=a.now)
+    rules = Policy.load(a.policy)
+    done = plan.of_tree(spark, a.path, a.exclude, now=a.now, rules=rules)
     assets = done.assets.cache()
     errors = [f"{r.source}: {r.message}" for r in done.errors.limit(50).collect()]
     for c in risk.severity_counts(assets).orderBy("severity_rank", ascending=False).collect():
@@ -66,10 +69,11 @@ def main(argv: list[str] | None = None) -> int:
         history.save(assets, a.db, stamp, a.path, stamp)
     if a.command != "ci":
         return 0
-    flags = gate.flagged(assets, None if a.fail_on == "off" else a.fail_on)
-    blocking = flags.where("blocking").count()
-    print(json.dumps({"fail_on": a.fail_on, "blocking": blocking}))
-    return int(blocking > 0)
+    flags = gate.flagged(assets, None if a.fail_on == "off" else a.fail_on, rules.floor, rules.mosca_blocks, rules.ignore)
+    today = datetime.now(timezone.utc).strftime("%Y-%m-%d")
+    v = gate.verdict(gate.waived(flags, rules.waiver_rows(spark), today), rules.budgets).first().asDict()
+    print(json.dumps({"fail_on": a.fail_on, **v, "errors": len(errors)}))
+    return int(v["exit_code"] > 0 or (rules.errors_block and bool(errors)))
 
 
 if __name__ == "__main__":

@@ -27,15 +27,15 @@ def lookup(c: Column, table: dict, default) -> Column:
     return out.otherwise(default)
 
 
-def placed(paths: DataFrame, path: str = "file", classes=None, criticality=None) -> DataFrame:
+def placed(paths: DataFrame, path: str = "file", classes=None, criticality=None, years=None, default: int = 10) -> DataFrame:
     """``paths`` with ``data_class, x_years, weight``."""
     p = F.col(path)
     c = last_match(p, classes or T.CLASS_RULES, "default")
-    return paths.withColumn("data_class", c).withColumn("x_years", lookup(F.col("data_class"), T.CLASS_YEARS, 10).cast("int")).withColumn("weight", last_match(p, criticality or T.CRITICALITY_RULES, 0.3).cast("double"))
+    return paths.withColumn("data_class", c).withColumn("x_years", lookup(F.col("data_class"), years or T.CLASS_YEARS, default).cast("int")).withColumn("weight", last_match(p, criticality or T.CRITICALITY_RULES, 0.3).cast("double"))
 
 
-def migration_years(family: Column) -> Column:
-    return lookup(F.upper(family), {k.upper(): v for k, v in T.FAMILY_YEARS.items()}, T.DEFAULT_YEARS).cast("int")
+def migration_years(family: Column, table: dict | None = None, default: int = T.DEFAULT_YEARS) -> Column:
+    return lookup(F.upper(family), {k.upper(): v for k, v in (table or T.FAMILY_YEARS).items()}, default).cast("int")
 
 
 def worst(places: DataFrame, by: list[str]) -> DataFrame:

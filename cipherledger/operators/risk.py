@@ -12,10 +12,10 @@ from . import policy as P
 NOW = 2026
 
 
-def scored(assets: DataFrame, now: int = NOW, z: int = T.QUANTUM_YEAR) -> DataFrame:
+def scored(assets: DataFrame, now: int = NOW, z: int = T.QUANTUM_YEAR, years: dict | None = None, default: int = T.DEFAULT_YEARS) -> DataFrame:
     """``assets (family, threat, x_years, weight, ...)`` with years, verdict, score and severity."""
     broken = F.col("threat").isin("shor_broken", "legacy_broken")
-    a = assets.withColumn("y_years", P.migration_years(F.col("family"))).withColumn("z_year", F.lit(z))
+    a = assets.withColumn("y_years", P.migration_years(F.col("family"), years, default)).withColumn("z_year", F.lit(z))
     a = a.withColumn("shortfall", M.shortfall(F.col("x_years"), F.col("y_years"), F.col("z_year"), now)).withColumn("act_now", broken & M.act_now(F.col("shortfall")))
     a = a.withColumn("deadline_year", F.when(broken, M.deadline(F.col("x_years"), F.col("y_years"), F.col("z_year"))))
     a = a.withColumn("criticality", M.label(F.col("weight"))).withColumn("severity", M.severity(F.col("threat"), F.col("act_now")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..operators import classify, merge, policy, recommend, risk
+from .policy_file import Policy
 
 KEYS = ["family", "name", "kind", "key_size", "curve", "mode", "padding"]
 
@@ -30,13 +31,14 @@ def places(found: DataFrame) -> DataFrame:
     return merge.occurrences(own, KEYS).withColumn("asset_key", key)
 
 
-def assets(found: DataFrame, now: int = risk.NOW, z: int = T.QUANTUM_YEAR) -> DataFrame:
+def assets(found: DataFrame, now: int = risk.NOW, z: int | None = None, rules: Policy | None = None) -> DataFrame:
     """Distinct assets with occurrences, verdict, worst place, Mosca years, score, severity and advice. The findings are
     shuffled once, by identity and place; everything after the first aggregate is small."""
-    at = policy.placed(places(found))
+    rules = rules or Policy()
+    at = policy.placed(places(found), classes=rules.class_rules, criticality=rules.criticality_rules, years=rules.classes, default=rules.default_x)
     by = [*KEYS, "asset_key"]
     o = F.sort_array(F.collect_list(F.struct("file", "line", "detector", "confidence"))).alias("occurrences")
     w = F.min(F.struct((-F.col("x_years")).alias("nx"), (-F.col("weight")).alias("nw"), "file", "line", "data_class", "x_years", "weight")).alias("w")
     g = at.groupBy(*by).agg(o, w, F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(merge.confidence_rank(F.col("confidence"))).alias("best_confidence"))
     flat = g.select(*by, "occurrences", "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
-    return recommend.advised(risk.scored(classify.classified(merge.without_noise(flat)), now, z))
+    return recommend.advised(risk.scored(classify.classified(merge.without_noise(flat)), now, z or rules.quantum_year, rules.y_by_family, rules.default_y))

@@ -44,3 +44,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_policy_file(spark):
+    from cipherledger.plans.policy_file import Policy
+
+    p = Policy.loads("""
+mosca: {Z_quantum_threat_year: 2030}
+migration: {Y_by_family: {RSA: 7}, default_Y_years: x}
+data_classes: {secretish: {X_protection_lifetime: 50}}
+data_class_paths: {"**/app/**": secretish, "**/odd/**": nowhere}
+business_criticality: {"**/app/**": 3}
+ignore: ["**/svc/**"]
+gate: {fail_on: none, max_high: 2, waivers: [{family: MD5, reason: r, expires: 2027-01-01}]}
+""")
+    assert p.quantum_year == 2030 and p.y_by_family["RSA"] == 7 and p.default_y == 3 and p.fail_on is None
+    assert p.budgets == {"high": 2} and p.waivers[0][1] == "MD5" and len(p.problems) == 2
+    assert dict(p.criticality_rules)["**/app/**"] == 1.0 and p.class_rules[-1] == ("**/odd/**", "default")
+    rows = [(k, t.encode(), len(t.encode())) for k, t in queries.CORPUS.items() if k.endswith(".py")]
+    s = scan.of_files(spark, spark.createDataFrame(rows, "path string, content binary, length long"), now=2026, rules=p)
+    rsa = s.assets.where("family = 'RSA'").first()
+    assert (rsa.data_class, rsa.x_years, rsa.y_years, rsa.z_year, rsa.criticality) == ("secretish", 50, 7, 2030, "critical")
+    assert Policy().rule_counts()["classes"] > 40
