@@ -447,3 +447,35 @@ def stream_event_windows(spark, sf_dir):
 
     home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledger-stream-')}/stream-{uuid.uuid4().hex}"
     return watch.event_windows(spark, f"{sf_dir}/events.parquet", f"{home}/out", f"{home}/state")
+
+
+# --- recorded endpoints -------------------------------------------------------------------------------------------------------------------------
+
+_SEEN = [("https://A.example.com/x", "TLSv1.3", "TLS_AES_256_GCM_SHA384", "X25519MLKEM768"), ("b.example.com:8443", "TLSv1.2", "ECDHE-RSA-AES128-SHA", None), ("[2001:db8::1]:993", "TLSv1.0", "TLS_RSA_WITH_3DES_EDE_CBC_SHA", None)]
+_TOLD = [
+    ("tls://a.example.com:443", "TLS1.3", None, None), ("tls://a.example.com:443", "ML-KEM", None, None), ("tls://a.example.com:443", "AES", 256, "GCM"), ("tls://a.example.com:443", "SHA-2", 384, None),
+    ("tls://b.example.com:8443", "TLS1.2", None, None), ("tls://b.example.com:8443", "ECDH", None, None), ("tls://b.example.com:8443", "AES", 128, "CBC"), ("tls://b.example.com:8443", "SHA-1", None, None),
+    ("tls://2001:db8::1:993", "TLS1.0", None, None), ("tls://2001:db8::1:993", "RSA", None, None), ("tls://2001:db8::1:993", "3DES", 168, "CBC"), ("tls://2001:db8::1:993", "SHA-1", None, None),
+]
+
+
+@query("WITH f(file, family, key_size, mode) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _TOLD) + ") SELECT file, family, CAST(key_size AS INTEGER) AS key_size, mode FROM f")
+def tls_observations(spark, sf_dir):
+    from .operators import observed
+
+    return observed.findings(spark.createDataFrame(_SEEN, "endpoint string, version string, suite string, `group` string")).select("file", "family", "key_size", "mode")
+
+
+@query(f"WITH {ASSETS} SELECT uri, CASE WHEN uri LIKE '%.py' THEN 'python' END AS language FROM (SELECT DISTINCT p.file AS uri FROM placed p JOIN assets a ON a.family = p.family AND a.key_size IS NOT DISTINCT FROM p.key_size AND a.mode IS NOT DISTINCT FROM p.mode)")
+def sarif_artifacts(spark, sf_dir):
+    return emit.sarif_artifacts(_assets(spark, sf_dir))
+
+
+@query(f"WITH {FOUND} SELECT file, line, lead_family, n_before FROM (SELECT file, line, scan_id, family AS lead_family, row_number() OVER (PARTITION BY file ORDER BY line, scan_id, family, confidence) AS n_before FROM (SELECT DISTINCT file, line, scan_id, family, confidence FROM found) x) WHERE n_before <= 6")
+def report_first_places(spark, sf_dir):
+    """The first six places of a file, as the report lists them."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("file").orderBy("line", "scan_id", "family", "confidence")
+    d = corpus.findings(spark, sf_dir).select("file", "line", "scan_id", "family", "confidence").distinct()
+    return d.withColumn("n_before", F.row_number().over(w).cast("long")).where("n_before <= 6").select("file", "line", F.col("family").alias("lead_family"), "n_before")
