@@ -14,7 +14,6 @@ Null text, and text without a letter: ``und`` with score 0. With nothing to lear
 from __future__ import annotations
 
 import functools
-import math
 import pickle
 import re
 from collections import Counter, defaultdict

@@ -20,7 +20,6 @@ Null doc_ids take part; a component whose ids are all null has a null component_
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
