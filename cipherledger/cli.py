@@ -16,6 +16,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .operators import emit, gate, history, risk
+from .plans import inventory
 from .plans import scan as plan
 from .plans.policy_file import Policy
 
@@ -56,9 +57,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.json:
         Path(a.json).write_text("[" + ",\n".join(assets.drop("weight").toJSON().toLocalIterator()) + "]\n")
     if a.cbom:
-        Path(a.cbom).write_text(emit.cbom(assets, a.path))
+        Path(a.cbom).write_text(emit.cbom(inventory.with_occurrences(assets, done.places), a.path))
     if a.sarif:
-        Path(a.sarif).write_text(emit.sarif(assets))
+        Path(a.sarif).write_text(emit.sarif(assets, done.places))
     text = emit.report(assets, a.path, errors)
     if a.report:
         Path(a.report).write_text(text)

@@ -40,10 +40,10 @@ def cbom(assets: DataFrame, target: str, version: str = "0.1.0") -> str:
     return json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "metadata": {"tools": [{"name": "cipherledger", "version": version}], "component": {"type": "application", "name": target}}, "components": [json.loads(r.component) for r in rows]}, indent=2)
 
 
-def sarif_results(assets: DataFrame) -> DataFrame:
+def sarif_results(assets: DataFrame, places: DataFrame) -> DataFrame:
     """One row an occurrence: rule, level, place and a fingerprint that survives moved lines of other findings."""
-    o = assets.select("asset_key", "family", "name", "severity", F.explode("occurrences").alias("o"))
-    return o.select(F.concat(F.lit("crypto/"), X.html_slug(F.col("family"), "unknown")).alias("rule"), _pick(F.col("severity"), LEVELS, "note", lambda v: v[0]).alias("level"), F.col("o.file").alias("uri"), F.greatest("o.line", F.lit(1)).alias("start_line"), X.stable_id(F.col("asset_key"), F.col("o.file"), F.col("o.line")).alias("fingerprint"))
+    o = places.select("asset_key", "file", "line").join(assets.select("asset_key", "family", "severity"), "asset_key")
+    return o.select(F.concat(F.lit("crypto/"), X.html_slug(F.col("family"), "unknown")).alias("rule"), _pick(F.col("severity"), LEVELS, "note", lambda v: v[0]).alias("level"), F.col("file").alias("uri"), F.greatest("line", F.lit(1)).alias("start_line"), X.stable_id(F.col("asset_key"), F.col("file"), F.col("line")).alias("fingerprint"))
 
 
 def sarif_rules(assets: DataFrame) -> DataFrame:
@@ -53,16 +53,16 @@ def sarif_rules(assets: DataFrame) -> DataFrame:
     return g.select("family", F.concat(F.lit("crypto/"), X.html_slug(F.col("family"), "unknown")).alias("rule"), _pick(F.col("w.severity"), LEVELS, "note", lambda v: v[0]).alias("level"), _pick(F.col("w.severity"), LEVELS, "3.0", lambda v: v[1]).alias("security_severity"), "n_assets", "n_results")
 
 
-def sarif_artifacts(assets: DataFrame) -> DataFrame:
-    f = assets.select(F.explode("occurrences").alias("o")).select(F.col("o.file").alias("uri")).distinct()
+def sarif_artifacts(assets: DataFrame, places: DataFrame) -> DataFrame:
+    f = places.join(assets.select("asset_key"), "asset_key", "left_semi").select(F.col("file").alias("uri")).distinct()
     return f.withColumn("language", _pick(F.lower(F.regexp_extract("uri", r"\.([A-Za-z]+)$", 1)), LANGUAGES, None))
 
 
-def sarif(assets: DataFrame) -> str:
+def sarif(assets: DataFrame, places: DataFrame) -> str:
     """The SARIF 2.1.0 log."""
     rules = [{"id": r.rule, "properties": {"security-severity": r.security_severity}, "defaultConfiguration": {"level": r.level}} for r in sarif_rules(assets).orderBy("rule").collect()]
     at = {r["id"]: i for i, r in enumerate(rules)}
-    results = [{"ruleId": r.rule, "ruleIndex": at[r.rule], "level": r.level, "message": {"text": r.rule}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri}, "region": {"startLine": r.start_line}}}], "partialFingerprints": {"asset/v1": r.fingerprint}} for r in sarif_results(assets).orderBy("rule", "uri", "start_line").toLocalIterator()]
+    results = [{"ruleId": r.rule, "ruleIndex": at[r.rule], "level": r.level, "message": {"text": r.rule}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": r.uri}, "region": {"startLine": r.start_line}}}], "partialFingerprints": {"asset/v1": r.fingerprint}} for r in sarif_results(assets, places).orderBy("rule", "uri", "start_line").toLocalIterator()]
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": "cipherledger", "rules": rules}}, "results": results}]}, indent=2)
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import risk_math as M
-from ..functions import text as X
 from . import policy as P
 
 
 def flagged(assets: DataFrame, fail_on: str | None = "critical", floor: str = "none", mosca_blocks: bool = False, ignore: list[str] = ()) -> DataFrame:
     """``assets (severity, act_now, file, ...)`` with ``ignored, below, blocking``. A threshold of None never blocks; ``none``
     blocks on every asset."""
-    rank = M.rank(F.col("severity"))
+    rank = F.col("severity_rank")
     at = {"critical": 4, "high": 3, "medium": 2, "low": 1, "none": 0}
     late = F.col("act_now") & F.lit(mosca_blocks)
     ign = P.ignored(F.col("file"), list(ignore)) if ignore else F.lit(False)
@@ -60,4 +58,4 @@ def verdict(assets: DataFrame, budgets: dict[str, int] = {}) -> DataFrame:
 
 
 def offenders(assets: DataFrame, n: int = 10) -> DataFrame:
-    return assets.where("blocking").orderBy(F.desc(M.rank(F.col("severity"))), F.desc("score"), "name", "asset_key").limit(n)
+    return assets.where("blocking").orderBy(F.desc("severity_rank"), F.desc("score"), "name", "asset_key").limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -31,9 +31,8 @@ def occurrences(found: DataFrame, by: list[str]) -> DataFrame:
 
 
 def assets(places: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct assets with their ordered occurrences and counts."""
-    o = F.sort_array(F.collect_list(F.struct("file", "line", "detector", "confidence")))
-    return places.groupBy(*by).agg(o.alias("occurrences"), F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(confidence_rank(F.col("confidence"))).alias("best_confidence"))
+    """Distinct assets with their counts."""
+    return places.groupBy(*by).agg(F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(confidence_rank(F.col("confidence"))).alias("best_confidence"))
 
 
 def without_noise(found: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def wildcard_merged(found: DataFrame) -> DataFrame:
 
 
 def first_filled(found: DataFrame, by: list[str], fields: list[str], richness: Column, order: Column) -> DataFrame:
-    """One row a group: the richest row's fields, holes filled from the others in order of richness."""
-    rows = F.sort_array(F.collect_list(F.struct((-richness).alias("r"), order.alias("o"), *fields)))
-    g = found.groupBy(*by).agg(rows.alias("rows"))
-    return g.select(*by, *(F.get(F.filter("rows", lambda x: x[f].isNotNull()), F.lit(0))[f].alias(f) for f in fields), F.size("rows").alias("n_merged"))
+    """One row a group: each field of the richest row that has it, ties by ``order``. A grouped minimum a field, so a group of
+    any size needs one value of each."""
+    best = lambda f: F.min_by(f, F.struct(F.col(f).isNull().alias("n"), (-richness).alias("r"), order.alias("o"))).alias(f)
+    return found.groupBy(*by).agg(*map(best, fields), F.count("*").alias("n_merged"))

@@ -32,13 +32,19 @@ def places(found: DataFrame) -> DataFrame:
 
 
 def assets(found: DataFrame, now: int = risk.NOW, z: int | None = None, rules: Policy | None = None) -> DataFrame:
-    """Distinct assets with occurrences, verdict, worst place, Mosca years, score, severity and advice. The findings are
-    shuffled once, by identity and place; everything after the first aggregate is small."""
+    """Distinct assets with counts, verdict, worst place, Mosca years, score, severity and advice. The findings are shuffled
+    once, by identity and place; an asset's state is a few numbers and its worst place, however often it occurs. Its
+    places stay a table of their own (``places``), joined by ``asset_key``."""
     rules = rules or Policy()
     at = policy.placed(places(found), classes=rules.class_rules, criticality=rules.criticality_rules, years=rules.classes, default=rules.default_x)
     by = [*KEYS, "asset_key"]
-    o = F.sort_array(F.collect_list(F.struct("file", "line", "detector", "confidence"))).alias("occurrences")
     w = F.min(F.struct((-F.col("x_years")).alias("nx"), (-F.col("weight")).alias("nw"), "file", "line", "data_class", "x_years", "weight")).alias("w")
-    g = at.groupBy(*by).agg(o, w, F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(merge.confidence_rank(F.col("confidence"))).alias("best_confidence"))
-    flat = g.select(*by, "occurrences", "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
+    g = at.groupBy(*by).agg(w, F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(merge.confidence_rank(F.col("confidence"))).alias("best_confidence"))
+    flat = g.select(*by, "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
     return recommend.advised(risk.scored(classify.classified(merge.without_noise(flat)), now, z or rules.quantum_year, rules.y_by_family, rules.default_y))
+
+
+def with_occurrences(assets: DataFrame, places: DataFrame) -> DataFrame:
+    """``assets`` with their places as an ordered array, for documents that list them (a bill of materials)."""
+    o = F.sort_array(F.collect_list(F.struct("file", "line", "detector", "confidence"))).alias("occurrences")
+    return assets.join(places.groupBy("asset_key").agg(o), "asset_key")

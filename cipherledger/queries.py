@@ -9,7 +9,7 @@ from . import tables as T
 from .functions import names as N
 from .functions import risk_math as M
 from .functions import text as X
-from .operators import classify, emit, flat, gate, history, merge, policy, recommend, risk
+from .operators import classify, emit, flat, gate, history, merge, policy, risk
 from .plans import inventory
 from .sources import corpus
 
@@ -87,6 +87,10 @@ def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.assets(corpus.findings(spark, sf_dir))
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.places(corpus.findings(spark, sf_dir))
+
+
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.judged(flat.findings(corpus.lines(corpus.text_files(spark, sf_dir))))
 
@@ -124,7 +128,7 @@ def merge_occurrences(spark, sf_dir):
 
 @query(f"WITH {PLACES} SELECT family, key_size, mode, count(*) AS n_occ, count(DISTINCT file) AS n_files, max(c) AS best_confidence FROM placed GROUP BY ALL")
 def merge_assets(spark, sf_dir):
-    return merge.assets(inventory.places(corpus.findings(spark, sf_dir)), ["family", "key_size", "mode"]).drop("occurrences")
+    return merge.assets(inventory.places(corpus.findings(spark, sf_dir)), ["family", "key_size", "mode"])
 
 
 @query(f"WITH {FOUND}, g AS (SELECT family, detector, line, max(CASE confidence WHEN 'high' THEN 3 WHEN 'low' THEN 1 ELSE 2 END) AS best_confidence FROM found WHERE detector = 'F' AND line > 5 GROUP BY ALL) SELECT * FROM g WHERE best_confidence <> 1 OR family NOT IN (SELECT family FROM g WHERE best_confidence = 3)")
@@ -316,12 +320,12 @@ def history_posture(spark, sf_dir):
 
 @query()
 def cbom_components(spark, sf_dir):
-    return emit.cbom_components(_assets(spark, sf_dir))
+    return emit.cbom_components(inventory.with_occurrences(_assets(spark, sf_dir), _places(spark, sf_dir)))
 
 
 @query(f"WITH {ASSETS}, r AS (SELECT p.family, p.key_size, p.mode, p.file, p.line FROM placed p) SELECT concat('crypto/', trim(regexp_replace(lower(a.family), '[^a-z0-9]+', '-', 'g'), '-')) AS rule, CASE a.severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END AS level, r.file AS uri, greatest(r.line, 1) AS start_line, left(sha256(concat(a.asset_key, chr(9247), r.file, chr(9247), r.line)), 16) AS fingerprint FROM assets a JOIN r ON a.family = r.family AND a.key_size IS NOT DISTINCT FROM r.key_size AND a.mode IS NOT DISTINCT FROM r.mode")
 def sarif_results(spark, sf_dir):
-    return emit.sarif_results(_assets(spark, sf_dir))
+    return emit.sarif_results(_assets(spark, sf_dir), _places(spark, sf_dir))
 
 
 @query(f"WITH {ASSETS}, wr AS (SELECT family, severity, count(*) OVER (PARTITION BY family) AS n_assets, CAST(sum(n_occ) OVER (PARTITION BY family) AS BIGINT) AS n_results, row_number() OVER (PARTITION BY family ORDER BY severity_rank DESC, score DESC) AS k FROM assets) SELECT family, concat('crypto/', trim(regexp_replace(lower(family), '[^a-z0-9]+', '-', 'g'), '-')) AS rule, CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'none' END AS level, CASE severity WHEN 'critical' THEN '9.5' WHEN 'high' THEN '8.0' WHEN 'medium' THEN '5.5' WHEN 'low' THEN '3.0' ELSE '0.0' END AS security_severity, n_assets, n_results FROM wr WHERE k = 1")
@@ -425,7 +429,7 @@ def detect_corpus(spark, sf_dir):
 
 @query()
 def scan_corpus(spark, sf_dir):
-    return _scan(spark).assets.drop("occurrences")
+    return _scan(spark).assets
 
 
 @query()
@@ -468,7 +472,7 @@ def tls_observations(spark, sf_dir):
 
 @query(f"WITH {ASSETS} SELECT uri, CASE WHEN uri LIKE '%.py' THEN 'python' END AS language FROM (SELECT DISTINCT p.file AS uri FROM placed p JOIN assets a ON a.family = p.family AND a.key_size IS NOT DISTINCT FROM p.key_size AND a.mode IS NOT DISTINCT FROM p.mode)")
 def sarif_artifacts(spark, sf_dir):
-    return emit.sarif_artifacts(_assets(spark, sf_dir))
+    return emit.sarif_artifacts(_assets(spark, sf_dir), _places(spark, sf_dir))
 
 
 @query(f"WITH {FOUND} SELECT file, line, lead_family, n_before FROM (SELECT file, line, scan_id, family AS lead_family, row_number() OVER (PARTITION BY file ORDER BY line, scan_id, family, confidence) AS n_before FROM (SELECT DISTINCT file, line, scan_id, family, confidence FROM found) x) WHERE n_before <= 6")

@@ -4,7 +4,7 @@ import json
 
 from cipherledger import queries
 from cipherledger.operators import emit, gate, history
-from cipherledger.plans import scan
+from cipherledger.plans import inventory, scan
 
 
 def test_tree(spark, tmp_path):
@@ -17,13 +17,13 @@ def test_tree(spark, tmp_path):
     assets = s.assets.cache()
     rows = assets.collect()
     assert len(rows) >= 5 and all(r.n_occ > 0 for r in rows)
-    assert not any("node_modules" in o.file for r in rows for o in r.occurrences)
+    assert s.places.where("file like '%node_modules%'").count() == 0
     assert any("bad.py" in r.source for r in s.errors.collect())
     assert len({r.asset_key for r in rows}) == len(rows)
     assert all(0 <= r.score <= 100 for r in rows)
-    cbom = json.loads(emit.cbom(assets, "tree"))
+    cbom = json.loads(emit.cbom(inventory.with_occurrences(assets, s.places), "tree"))
     assert cbom["bomFormat"] == "CycloneDX" and any("cryptoProperties" in c for c in cbom["components"])
-    sarif = json.loads(emit.sarif(assets))
+    sarif = json.loads(emit.sarif(assets, s.places))
     assert sarif["version"] == "2.1.0" and all(r["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for r in sarif["runs"][0]["results"])
     assert len(emit.report(assets, "tree", ["one"])) > 100
     assert gate.flagged(assets, "none").where("blocking").count() == len(rows)
