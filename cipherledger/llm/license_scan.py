@@ -7,8 +7,9 @@ the unknown class, from ``UNKNOWN`` and at most ``SAMPLE`` ordinary paragraphs o
 temperature fitted on held-out variants calibrates the probabilities. A prediction of a family holds if its probability
 reaches ``CERTAIN`` and comparison with the family's templates confirms it: a template's n-grams, weighed by how few
 families share them, are covered to ``CONFIRM`` or more. Otherwise a paragraph that leans away from ordinary prose is
-``unknown``: it speaks of rights or a licence, but of none that is known. A paragraph without any weighted n-gram has the
-score of the bias alone, which is ordinary, so no paragraph is skipped.
+``unknown``: it speaks of rights or a licence, but of none that is known. Paragraphs whose
+n-grams can't outweigh the bias towards ordinary prose, whatever their combination, are known to be ordinary by one set
+lookup a word (``Scanner._strong``); no other paragraph is skipped.
 
 Null and empty texts have no paragraphs. Work is linear in the text and rows are independent: no shuffle.
 """
@@ -91,7 +92,7 @@ def _variants(rng, prose: list[list[str]], many: int) -> tuple[list[str], list[i
 class Scanner:
     def __init__(self, names: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, heat: float):
         self.names, self.weights, self.bias, self.heat = names, weights, bias, heat
-        self.single = {g for g in weights if " " not in g} | {w for g in weights for w in g.split(" ")}
+        self.strong = self._strong()
         share: dict[str, int] = {}
         sets = {n: [set(grams(t)) for t in ts] for n, ts in TEMPLATES.items()}
         for ts in sets.values():
@@ -99,16 +100,29 @@ class Scanner:
                 share[g] = share.get(g, 0) + 1
         self.templates = {n: [{g: 1 / share[g] for g in t} for t in ts] for n, ts in sets.items()}
 
+    def _strong(self) -> set[str]:
+        """Words of which every paragraph that isn't ordinary has one: the n-grams left out can't outweigh the bias towards
+        ordinary prose even together, as each counts once a paragraph."""
+        o = self.names.index("ordinary")
+        rest = np.arange(len(self.names)) != o
+        gain = {g: max(0.0, float((w[rest] - w[o]).max())) for g, w in self.weights.items()}
+        left = float(self.bias[o] - self.bias[rest].max())
+        out: set[str] = set()
+        for g in sorted(gain, key=lambda g: (gain[g], g)):
+            left -= gain[g]
+            if left <= 0 and out.isdisjoint(g.split(" ")):
+                out.add(max(g.split(" "), key=len))
+        return out
+
     def classify(self, paragraph: str) -> tuple[str, float] | None:
         """``(family or unknown, probability)``, or None for ordinary prose."""
         w = WORD.findall(paragraph.lower())
-        if self.single.isdisjoint(w):
+        if self.strong.isdisjoint(w):
             return None
         known, z = self.weights, self.bias.copy()
         found = {*w, *map(" ".join, zip(w, w[1:]))}
-        for g in found:
-            if g in known:
-                z += known[g]
+        for g in sorted(found & known.keys()):
+            z += known[g]
         z = z / self.heat
         p = np.exp(z - z.max())
         p /= p.sum()
