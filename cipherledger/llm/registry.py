@@ -30,4 +30,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_pivot_topk": pivot_topk.ORACLE,
+    "op10_secret_linking": secret_linking.ORACLE,
 }

@@ -167,3 +167,34 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are cut out of the texts; every document stays."""
     return redacted(docs)
+
+
+def _oracle() -> str:
+    """The same scan for DuckDB: offsets from the pieces between matches, linking by correlated intervals."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    patterns = [ASSIGN, ACCESS, HEX, WEAK, f"(?i:{IDENT})", f"(?i:{ENDPOINT})"]
+    kinds = ", ".join(f"({i}, {q(k)}, {q(r)})" for i, (k, r) in enumerate(zip(KINDS, patterns)))
+    near = f"o.s < w.e + {SCOPE + 1} AND w.s < o.e + {SCOPE + 1}"
+    parts = ", ".join(
+        f"m{i} AS (SELECT doc_id, {i} AS ord, string_split_regex(t, {q(r)}) AS g, regexp_extract_all(t, {q(r)}) AS h, regexp_extract_all(t, {q(r)}, {2 if i == 0 else 0}) AS v FROM d)" for i, r in enumerate(patterns)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds(ord, kind, rx) AS (VALUES {kinds}),
+{parts}, m AS ({" UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(len(patterns)))}),
+u AS (SELECT doc_id, ord, g, h, v, unnest(range(1, len(h) + 1)) AS i FROM m WHERE len(h) > 0),
+x AS (SELECT doc_id, ord, v[i] AS v, length(h[i]) AS n, coalesce(list_sum([length(y) for y in g[1:i]]), 0) + coalesce(list_sum([length(y) for y in h[1:i - 1]]), 0) AS s FROM u),
+p AS (SELECT doc_id, ord, CAST(s AS BIGINT) AS s, CAST(s + n AS BIGINT) AS e FROM x WHERE CASE ord WHEN 0 THEN length(v) >= 6 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') ELSE true END),
+weak AS (SELECT * FROM p w WHERE ord = 3
+  AND NOT EXISTS (SELECT 1 FROM p o WHERE o.doc_id = w.doc_id AND o.ord < 3 AND o.s < w.e AND w.s < o.e)
+  AND EXISTS (SELECT 1 FROM p o WHERE o.doc_id = w.doc_id AND o.ord IN (1, 4, 5) AND {near})),
+strong AS (SELECT * FROM p WHERE ord IN (0, 2) UNION ALL SELECT * FROM weak),
+added AS (SELECT * FROM weak UNION ALL SELECT * FROM p w WHERE ord > 3 AND EXISTS (SELECT 1 FROM strong o WHERE o.doc_id = w.doc_id AND {near})),
+every AS (SELECT doc_id, ord, s, e FROM p WHERE ord < 3 UNION ALL SELECT doc_id, ord, s, e FROM added),
+listed AS (SELECT doc_id, string_agg(CASE WHEN every.ord < 3 THEN concat(kind, ':', s, ':', e) END, ',' ORDER BY s, every.ord) AS base, string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, every.ord) AS spans,
+  count(*) FILTER (every.ord = 0) AS n_assign, count(*) FILTER (every.ord = 1) AS n_access, count(*) FILTER (every.ord = 2) AS n_hex, count(*) FILTER (every.ord > 2) AS n_linked FROM every JOIN kinds ON kinds.ord = every.ord GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN listed ON listed.doc_id = d.doc_id
+"""
+
+
+ORACLE = _oracle()

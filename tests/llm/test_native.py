@@ -46,6 +46,16 @@ def test_secrets(spark, odd, empty):
     assert N.secrets(odd).count() == odd.count() and N.secrets(empty).count() == 0
 
 
+def test_secrets_in_sql(spark, tmp_path):
+    import duckdb
+
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert sorted(c.execute(N.ORACLE).fetchall()) == sorted(tuple(r) for r in N.secrets(spark.read.parquet(path)).collect())
+
+
 def test_redaction(spark, odd, empty):
     d = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in N.redacted(d).collect()}
