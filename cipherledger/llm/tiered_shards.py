@@ -29,6 +29,7 @@ from .common import clear_name, fresh_dir, table
 TARGET = 128 << 20
 FANOUT = 4
 ARRIVALS = 4
+BROADCAST = 10_000  # shards of a manifest that a read may broadcast, some 100 bytes each
 
 
 class Store:
@@ -151,6 +152,8 @@ class Store:
         rows = self.spark.read.parquet(*[s["path"] for s in m["shards"]])
         own = {c: clear_name(rows, c) for c in ("shard", "tier", "shard_bytes", "shard_rows", "version")}
         known = self.spark.createDataFrame([(s["path"].rsplit("/", 1)[-1], s["tier"], s["bytes"], s["rows"], m["version"]) for s in m["shards"]], f"`{own['shard']}` string, `{own['tier']}` int, `{own['shard_bytes']}` long, `{own['shard_rows']}` long, `{own['version']}` int")
+        if len(m["shards"]) <= BROADCAST:
+            known = F.broadcast(known)
         return rows.withColumn(own["shard"], F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(known, own["shard"]).select(*rows.columns, *own.values())
 
 
