@@ -52,7 +52,8 @@ class Model:
                     gram[n][s[i : i + n]] += v
         self.words = self._logs(word)
         self.grams = [self._logs(g) for g in gram]
-        self.seen: dict = {}
+        self.rows: dict[str, int] = {}
+        self.table: np.ndarray | None = None
 
     @staticmethod
     def _logs(d: dict) -> dict:
@@ -73,31 +74,38 @@ class Model:
         return a + b, n + m
 
     def word(self, w: str) -> np.ndarray:
-        got = self.seen.get(w)
+        got = self.words.get(w)
         if got is None:
-            got = self.words.get(w)
-            if got is None:
-                s = f"^{w[:40]}$"
-                n = min(MAX_N, len(s))
-                total, parts = np.zeros(len(self.langs)), 0
-                for i in range(len(s) - n + 1):
-                    x, k = self._gram(s[i : i + n])
-                    total, parts = total + x, parts + k
-                got = total / max(1, parts)
-            got = got - got.max()
-            if len(self.seen) > CACHE:
-                self.seen.clear()
-            self.seen[w] = got
-        return got
+            s = f"^{w[:40]}$"
+            n = min(MAX_N, len(s))
+            total, parts = np.zeros(len(self.langs)), 0
+            for i in range(len(s) - n + 1):
+                x, k = self._gram(s[i : i + n])
+                total, parts = total + x, parts + k
+            got = total / max(1, parts)
+        return got - got.max()
+
+    def _row(self, w: str) -> int:
+        """The row of a word's scores in ``table``, computed at first sight."""
+        n = self.rows[w] = len(self.rows)
+        self.table[n] = self.word(w)
+        return n
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = Counter(WORD.findall(text.lower())) if text else {}
         if not found or not self.langs:
             return UND, 0.0
-        n, total = 0, np.zeros(len(self.langs))
-        for w, k in found.items():
-            total += k * self.word(w)
-            n += k
+        if self.table is None:
+            self.table = np.zeros((CACHE, len(self.langs)))
+        n, total, items = sum(found.values()), np.zeros(len(self.langs)), list(found)
+        counts = np.fromiter(found.values(), float, len(found))
+        for at in range(0, len(items), CACHE):  # one step but for texts with more different words than the table holds
+            part = items[at : at + CACHE]
+            if len(self.rows) + len(part) > CACHE:
+                self.rows.clear()
+            get = self.rows.get
+            index = [self._row(w) if (r := get(w)) is None else r for w in part]
+            total += counts[at : at + CACHE] @ self.table[index]
         mean = total / n * min(n, SHARP)
         p = np.exp(mean - mean.max())
         best = int(p.argmax())
