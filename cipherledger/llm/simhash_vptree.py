@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from . import set_join
 from .common import clear_name, components, cut, table
 
 RADIUS = 3
+JACCARD = 0.8
 SAMPLE = 16_384
 SHARD = 16_384
 MAX_SHARDS = 1024
@@ -76,6 +78,41 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes of one whole text (those that ``fingerprint`` takes), sorted, as signed longs."""
+    import xxhash
+
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.int64)
+    k = min(words, len(w))
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(w[i : i + k]), 42) for i in range(len(w) - k + 1)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, text: str = "text", words: int = 5, sigs: bool = True) -> DataFrame:
+    """``docs``' text column replaced by ``fp``, a hash of the text's shingle set, and with ``sigs`` the set itself."""
+    ship(docs.sparkSession)
+    names = [c for c in docs.columns if c != text]
+    rows = docs.select(*names, F.col(text).cast("string").alias(text))
+    new = ["fp", "sigs"] if sigs else ["fp"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["fp bigint", "sigs array<bigint>"][: len(new)])
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [shingle_set(t, words) for t in part.column(len(names)).to_pylist()]
+                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+                got = [pa.array(fps), pa.array(sets, pa.list_(pa.int64()))][: len(new)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *got], [*names, *new])
+
+    return rows.mapInArrow(run, schema)
+
+
 def _median_split(d: np.ndarray) -> int:
     """The distance m that puts the halves ``d <= m`` and ``d > m`` closest to each other in size."""
     counts = np.cumsum(np.bincount(d, minlength=65))
@@ -266,12 +303,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the smallest doc_id (a null one only if all are
-    null), the smallest text hash among equal ids, any one of equal rows. All columns stay as they are."""
+    null), the smallest text hash among equal ids, any one of equal rows. All columns stay as they are. Groups are those
+    of fingerprints within ``radius`` bits or, if ``jaccard`` is given, of shingle sets of that likeness or more."""
     pick = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    prints = cut(fingerprints(pick, words=words))
-    label = grouped(prints, radius)
+    if jaccard is None:
+        prints = cut(fingerprints(pick, words=words))
+        label = grouped(prints, radius)
+    else:
+        prints = cut(shingle_sets(pick, words=words, sigs=False))
+        sets = cut(shingle_sets(pick.select("text"), words=words).dropDuplicates(["fp"]).withColumnRenamed("fp", "sid"))
+        label = set_join.classes(sets, jaccard).withColumnRenamed("sid", "fp")
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("best"))
     keep = best.join(label, "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
     keep = cut(keep)
@@ -287,5 +330,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays (five-word shingles)."""
-    return deduplicated(docs, words=5)
+    """Pipeline stage: one document of each near-duplicate group stays: five-word shingle sets of a Jaccard
+    coefficient of ``JACCARD`` or more. Such pairs differ by up to some 16 bits of fingerprint, which no tree over 64 bits
+    prunes, so the sets themselves are joined (``set_join``), exactly."""
+    return deduplicated(docs, words=5, jaccard=JACCARD)
