@@ -10,9 +10,10 @@ A whole text is scored by length-normalised weights: their mean over all its wor
 windows of ``WINDOWS`` words and over its most telling words (see ``features``). A logistic fit on out-of-fold weights of the training rows (two folds) turns these into a
 probability. Texts without words get the score of zero evidence.
 
-Training uses the labelled rows given to ``fit``, at most ``MAX_TOXIC`` toxic and ``MAX_ORDINARY`` ordinary texts, those
-with the smallest hash of doc_id: a documented bound on the labelled sample, which bounds the model that is broadcast.
-A spelling counts once a text. Null labels are no labels; a doc_id with several labels is toxic if one of them is 1.
+The n-gram counts are those of all labelled rows, summed on the executors, so the models grow with the input's different
+n-grams. Only the logistic fit takes a sample, at most ``MAX_TOXIC`` toxic and ``MAX_ORDINARY`` ordinary texts, those with
+the smallest hash of doc_id; its intercept is corrected to the class shares of all labelled rows, so the threshold means
+the same at every size. A spelling counts once a text. Null labels are no labels; a doc_id with several labels is toxic if one of them is 1.
 Without a text of each class every score is 0.
 """
 
@@ -48,20 +49,25 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def grams(w: str, order: int = ORDER) -> list[str]:
+    """The n-grams of a word between its marks."""
+    s = "^" * (order - 1) + w[:40] + "$"
+    return [s[i : i + order] for i in range(len(s) - order + 1)]
+
+
 class Model:
     """``counts[c][n]`` maps a context of n characters to its Counter of next characters in class c; ``shared[n]`` maps
     it to the pooled continuation counts of the contexts one character longer."""
 
-    def __init__(self, spellings: tuple[Counter, Counter], order: int = ORDER):
+    def __init__(self, counts: tuple[Counter, Counter], order: int = ORDER):
+        """``counts[c]``: the n-grams of ``order`` characters of class c, as ``grams`` spells them."""
         self.order = order
         self.top: tuple[dict, dict] = ({}, {})
         grams: Counter = Counter()
-        for c, source in enumerate(spellings):
+        for c, source in enumerate(counts):
             got: dict = defaultdict(Counter)
-            for w, n in source.items():
-                s = "^" * (order - 1) + w[:40] + "$"
-                for i in range(order - 1, len(s)):
-                    got[s[i - order + 1 : i]][s[i]] += n
+            for g, n in source.items():
+                got[g[:-1]][g[-1]] += n
             self.top[c].update({h: (dict(x), sum(x.values()), len(x)) for h, x in got.items()})
             for h, x in got.items():
                 for a in x:
@@ -103,10 +109,8 @@ class Model:
         return math.log(p / q)
 
     def weight(self, w: str) -> float:
-        n, ratios, out = self.order, self.ratios, 0.0
-        s = "^" * (n - 1) + w[:40] + "$"
-        for i in range(len(s) - n + 1):
-            g = s[i : i + n]
+        ratios, out = self.ratios, 0.0
+        for g in grams(w, self.order):
             x = ratios.get(g)
             if x is None:
                 if len(ratios) > CACHE:
@@ -178,27 +182,46 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return w
 
 
-def fit(rows: DataFrame, order: int = ORDER) -> Scorer:
-    """A scorer from labelled ``rows(text, toxic, key)``, already bounded. Spellings are counted on the executors, once a
-    text; class, fold and spelling are summed by Spark, and only these sums and the fit's features meet the driver."""
+def fit(rows: DataFrame, sample: DataFrame, order: int = ORDER) -> Scorer:
+    """A scorer from labelled ``rows(text, toxic, key)`` and the bounded ``sample`` of them for the logistic fit. Each
+    spelling counts once a text; its n-grams are summed by class and fold on the executors, and only these sums and the
+    features of the sample meet the driver."""
     ship(rows.sparkSession)
-    rows = cut(rows.select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(2)).cast("int").alias("fold")))
+    folded = lambda x: x.select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(2)).cast("int").alias("fold"))
+    rows, sample = folded(rows), cut(folded(sample))
 
     def spelt(batches):
+        def sums():
+            out: Counter = Counter(texts)
+            for (w, y, f), n in got.items():
+                for g in grams(w, order):
+                    out[g, y, f] += n
+            keys = list(out)
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(list(out.values()), pa.int64())], ["g", "toxic", "fold", "n"])
+
         got: Counter = Counter()
+        texts: Counter = Counter()
         for b in batches:
             for t, y, f in zip(*(c.to_pylist() for c in b.columns)):
+                texts["", y, f] += 1
                 for w in set(words(t)):
-                    got[w[:40], y, f] += 1
-        keys = list(got)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(list(got.values()), pa.int64())], ["w", "toxic", "fold", "n"])
-
-    sums = rows.mapInArrow(spelt, "w string, toxic int, fold int, n long").groupBy("w", "toxic", "fold").agg(F.sum("n").alias("n"))
-    spellings: dict = {(c, f): Counter() for c in (0, 1) for f in (0, 1)}
+                    got[w, y, f] += 1
+                if len(got) > CACHE:
+                    yield sums()
+                    got.clear()
+                    texts.clear()
+        yield sums()
+
+    sums = rows.mapInArrow(spelt, "g string, toxic int, fold int, n long").groupBy("g", "toxic", "fold").agg(F.sum("n").alias("n"))
+    counts: dict = {(c, f): Counter() for c in (0, 1) for f in (0, 1)}
+    texts = [0, 0]
     for b in sums.toArrow().to_batches():
-        for w, c, f, n in zip(*(x.to_pylist() for x in b.columns)):
-            spellings[c, f][w] += n
-    of = lambda c, folds: sum((spellings[c, f] for f in folds), Counter())
+        for g, c, f, n in zip(*(x.to_pylist() for x in b.columns)):
+            if g:
+                counts[c, f][g] += n
+            else:
+                texts[c] += n
+    of = lambda c, folds: sum((counts[c, f] for f in folds), Counter())
     if not of(0, (0, 1)) or not of(1, (0, 1)):
         return Scorer(None, None)
     sc = rows.sparkSession.sparkContext
@@ -212,10 +235,13 @@ def fit(rows: DataFrame, order: int = ORDER) -> Scorer:
                 got = [(float(y), *scorer.features(t)) for t, y in zip(*(c.to_pylist() for c in b.columns))]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64()))], ["x"])
 
-        seen += [r.x for r in rows.where(F.col("fold") == f).select("text", "toxic").mapInArrow(felt, "x array<double>").collect()]
+        seen += [r.x for r in sample.where(F.col("fold") == f).select("text", "toxic").mapInArrow(felt, "x array<double>").collect()]
         half.unpersist()
     seen = np.array(seen)
     w = logistic(_scaled(seen[:, 1:]), seen[:, 0])
+    toxic = float(seen[:, 0].sum())
+    if 0 < toxic < len(seen):  # from the sample's class shares to those of all rows
+        w[0] += math.log(texts[1] / texts[0]) - math.log(toxic / (len(seen) - toxic))
     return Scorer(Model((of(0, (0, 1)), of(1, (0, 1))), order), w)
 
 
@@ -225,14 +251,15 @@ def _scorer(data: bytes) -> Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, text: str = "text", max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Scorer:
-    """Fits on the labelled documents for which ``use``, a condition on ``key``, holds."""
+    """Fits on the labelled documents for which ``use``, a condition on ``key``, holds; the bounds are the logistic fit's."""
     y = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(use)
+    y = cut(y)
     bounded = [
         y.where(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(n) for c, n in ((1, max_toxic), (0, max_ordinary))
     ]
     picked = F.broadcast(bounded[0].union(bounded[1]))  # at most max_toxic + max_ordinary ids
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).join(picked, "key")
-    return fit(rows)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    return fit(rows.join(y, "key"), rows.join(picked, "key"))
 
 
 def scored(docs: DataFrame, scorer: Scorer, text: str = "text", score: str = "score") -> DataFrame:
