@@ -21,7 +21,7 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import clear_name, fresh_dir, table
@@ -32,6 +32,16 @@ ARRIVALS = 4
 BROADCAST = 10_000  # shards of a manifest that a read may broadcast, some 100 bytes each
 
 
+def _place(path: str) -> str:
+    """A path without its scheme, which differs between Hadoop's and Spark's spellings."""
+    return path.split(":", 1)[-1].lstrip("/")
+
+
+def _own_file():
+    """``_place`` of the file of a row: Spark gives it percent-encoded (a plus sign stays as it is)."""
+    return F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[^:]*:/*", "")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET, fanout: int = FANOUT):
         self.spark, self.path, self.target, self.fanout = spark, path.rstrip("/"), target, fanout
@@ -88,17 +98,21 @@ class Store:
                 sizes[f.getPath().toString()] = f.getLen()
         if not sizes:
             return []
-        name = lambda p: p.split(":", 1)[-1].lstrip("/")  # noqa: E731  schemes print differently
-        counts = {name(r[0]): r[1] for r in self.spark.read.parquet(*sizes).groupBy(F.col("_metadata.file_path")).count().collect()}
-        own = [{"path": p, "bytes": n, "rows": counts.get(name(p), 0), "tier": self.tier(n)} for p, n in sizes.items()]
+        counts = {r[0]: r[1] for r in self.spark.read.parquet(*sizes).groupBy(_own_file()).count().collect()}
+        own = [{"path": p, "bytes": n, "rows": counts.get(_place(p), 0), "tier": self.tier(n)} for p, n in sizes.items()]
         return [s for s in own if s["rows"]]
 
     def append(self, rows: DataFrame, arrival: str | None = None) -> dict:
-        """Writes ``rows`` as new shards and commits them; with ``arrival``, a column, each of its values apart."""
+        """Writes ``rows`` as new shards and commits them; with ``arrival``, a column, each of its values apart. Nothing is
+        committed unless the new shards hold as many rows as were written."""
         base, folder = self.manifest(), f"{self.path}/data-{uuid.uuid4().hex}"
-        out = rows.write.option("compression", "zstd")
+        written = Observation()
+        out = rows.observe(written, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
         (out.partitionBy(arrival) if arrival else out).parquet(folder)
-        return self.commit(base, base["shards"] + self._described(folder))
+        new = self._described(folder)
+        if (n := sum(s["rows"] for s in new)) != written.get["n"]:
+            raise RuntimeError(f"{written.get['n']} rows were written and {n} found; nothing was committed")
+        return self.commit(base, base["shards"] + new)
 
     def plan(self, manifest: dict) -> list[list[dict]]:
         """Groups of similarly sized shards that are due for a merge, smallest tier first."""
@@ -144,17 +158,19 @@ class Store:
             self.fs.delete(self._path(f"{self.path}/manifest-{v:08d}.json"), False)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """All rows of a version with ``shard`` (its file's name), ``tier``, ``shard_bytes``, ``shard_rows`` and ``version``
+        """All rows of a version with ``shard`` (its file's path in the store), ``tier``, ``shard_bytes``, ``shard_rows`` and ``version``
         (names are lengthened where the rows have such columns); None for a version without shards."""
         m = self.manifest(version)
         if not m["shards"]:
             return None
         rows = self.spark.read.parquet(*[s["path"] for s in m["shards"]])
         own = {c: clear_name(rows, c) for c in ("shard", "tier", "shard_bytes", "shard_rows", "version")}
-        known = self.spark.createDataFrame([(s["path"].rsplit("/", 1)[-1], s["tier"], s["bytes"], s["rows"], m["version"]) for s in m["shards"]], f"`{own['shard']}` string, `{own['tier']}` int, `{own['shard_bytes']}` long, `{own['shard_rows']}` long, `{own['version']}` int")
+        home = len(_place(self.fs.makeQualified(self._path(self.path)).toString())) + 1
+        at = clear_name(rows, "shard_place")
+        known = self.spark.createDataFrame([(_place(s["path"]), _place(s["path"])[home:], s["tier"], s["bytes"], s["rows"], m["version"]) for s in m["shards"]], f"`{at}` string, `{own['shard']}` string, `{own['tier']}` int, `{own['shard_bytes']}` long, `{own['shard_rows']}` long, `{own['version']}` int")
         if len(m["shards"]) <= BROADCAST:
             known = F.broadcast(known)
-        return rows.withColumn(own["shard"], F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(known, own["shard"]).select(*rows.columns, *own.values())
+        return rows.withColumn(at, _own_file()).join(known, at).select(*rows.columns, *own.values())
 
 
 def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
