@@ -313,8 +313,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         label = grouped(prints, radius)
     else:
         prints = cut(shingle_sets(pick, words=words, sigs=False))
-        sets = cut(shingle_sets(pick.select("text"), words=words).dropDuplicates(["fp"]).withColumnRenamed("fp", "sid"))
-        label = set_join.classes(sets, jaccard).withColumnRenamed("sid", "fp")
+        sets = shingle_sets(pick.select("text"), words=words).withColumnRenamed("fp", "sid")
+        edges = set_join.links(sets, jaccard)
+        comps = components(edges)
+        label = prints.select("fp").distinct().join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label"))
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("best"))
     keep = best.join(label, "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
     keep = cut(keep)
