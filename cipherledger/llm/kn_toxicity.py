@@ -42,6 +42,7 @@ STRONG = 2.5
 THRESHOLD = 0.7
 DISCOUNT = 0.75
 CACHE = 150_000
+LONG = 40
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,7 +52,7 @@ def words(text: str | None) -> list[str]:
 
 def grams(w: str, order: int = ORDER) -> list[str]:
     """The n-grams of a word between its marks."""
-    s = "^" * (order - 1) + w[:40] + "$"
+    s = "^" * (order - 1) + w + "$"
     return [s[i : i + order] for i in range(len(s) - order + 1)]
 
 
@@ -151,7 +152,9 @@ class Scorer:
         for w in found:
             x = seen.get(w)
             if x is None:
-                x = seen[w] = weight(w)
+                x = weight(w)
+                if len(w) <= LONG:  # longer ones are scored whole, not remembered
+                    seen[w] = x
             out.append(x)
         return np.array(out)
 

@@ -31,6 +31,7 @@ MAX_N = 5
 ALPHA = 0.5
 SHARP = 50
 CACHE = 300_000
+LONG = 40
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 
@@ -46,7 +47,7 @@ class Model:
                 v[at[x]] = n
             if texts[w] > 1:
                 word[w] = v
-            s = f"^{w[:40]}$"
+            s = f"^{w}$"
             for n in range(1, MAX_N + 1):
                 for i in range(len(s) - n + 1):
                     gram[n][s[i : i + n]] += v
@@ -76,7 +77,7 @@ class Model:
     def word(self, w: str) -> np.ndarray:
         got = self.words.get(w)
         if got is None:
-            s = f"^{w[:40]}$"
+            s = f"^{w}$"
             n = min(MAX_N, len(s))
             total, parts = np.zeros(len(self.langs)), 0
             for i in range(len(s) - n + 1):
@@ -97,8 +98,10 @@ class Model:
             return UND, 0.0
         if self.table is None:
             self.table = np.zeros((CACHE, len(self.langs)))
-        n, total, items = sum(found.values()), np.zeros(len(self.langs)), list(found)
-        counts = np.fromiter(found.values(), float, len(found))
+        n, total = sum(found.values()), np.zeros(len(self.langs))
+        for w in [w for w in found if len(w) > LONG]:  # scored whole, not remembered
+            total += found.pop(w) * self.word(w)
+        items, counts = list(found), np.fromiter(found.values(), float, len(found))
         for at in range(0, len(items), CACHE):  # one step but for texts with more different words than the table holds
             part = items[at : at + CACHE]
             if len(self.rows) + len(part) > CACHE:
@@ -124,8 +127,8 @@ def train(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
         for b in batches:
             for x, t in zip(*(c.to_pylist() for c in b.columns)):
                 for w, k in Counter(WORD.findall(t.lower()) if t else ()).items():
-                    n[w[:40], x, "n"] += k
-                    n[w[:40], x, "t"] += 1
+                    n[w, x, "n"] += k
+                    n[w, x, "t"] += 1
         ks = list(n)
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in ks], pa.string()) for i in range(3)] + [pa.array(list(n.values()), pa.int64())], ["w", "lang", "what", "n"])
 
