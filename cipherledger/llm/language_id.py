@@ -6,160 +6,216 @@ parts one character shorter, and so on down to single characters. Log frequencie
 text takes the language with the highest mean score over its words (runs of letters, lower-cased); ``score`` is that
 language's share of the probability under these means, sharpened by ``SHARP`` words at most.
 
-Counts are learnt from at most ``MAX_TEXTS`` whole labelled texts (those with the smallest hash of doc_id), a documented
-bound; words seen in one text only are left to the n-grams. Languages are those of the sample's non-null labels.
-Null text, and text without a letter: ``und`` with score 0. With nothing to learn from, every text is ``und``.
+Counts are learnt from at most ``MAX_TEXTS`` whole labelled rows of each language (those with the smallest hashes of
+doc_id, then of text), a documented bound, so every language with a labelled text is in the model at every size; words
+seen in one text only are left to the n-grams. The model is packed: sorted 64-bit keys of words and n-grams and a matrix
+of 32-bit log frequencies; a worker holds it for the time of a task.
+
+Odd input: null text, and text without a letter, is ``und`` with score 0; with nothing to learn from (empty tables, no
+label) every text is. Very long texts and runs of letters are read whole. Equal scores go to the language that comes
+first in alphabetical order. Repeated rows get equal answers and are learnt from once. Null doc_ids and null labels
+teach nothing. New columns whose names the rows have in any case get longer names.
 """
 
 from __future__ import annotations
 
-import functools
-import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import cut, table
+from .common import clear_name, cut, table
+from .packed import code_points, find, in_parts, keys_of
 
-MAX_TEXTS = 8_000
+MAX_TEXTS = 2_000
 MAX_N = 5
 ALPHA = 0.5
 SHARP = 50
-CACHE = 300_000
+CACHE = 150_000
+COUNTED = 100_000
 LONG = 40
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 
 
+def _places(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of all words between their marks, where each begins, and its length with the marks."""
+    size = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    return code_points("".join([f"^{w}$" for w in found])), np.cumsum(size) - size, size
+
+
+def _starts(first: np.ndarray, size: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the n-grams of the words begin, and the number of the word of each."""
+    many = np.maximum(size - n + 1, 0)
+    word = np.repeat(np.arange(len(size)), many)
+    return np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[word], word
+
+
+def _word_keys(found: list[str]) -> np.ndarray:
+    """Keys of whole words: the sum of the keys of their places, each with its letter's."""
+    cp, first, size = _places(found)
+    at = np.arange(len(cp)) - np.repeat(first, size)
+    with np.errstate(over="ignore"):
+        x = (cp.astype(np.uint64) + np.uint64(0x1F1F1F)) * (np.uint64(2) * at.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        return np.add.reduceat(x, first)
+
+
 class Model:
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]], texts: dict[str, int]):
         """``counts[word][lang]`` and in how many texts a word was seen."""
         self.langs, at = langs, {x: i for i, x in enumerate(langs)}
-        word, gram = defaultdict(lambda: np.zeros(len(langs))), [defaultdict(lambda: np.zeros(len(langs))) for _ in range(MAX_N + 1)]
-        for w, by in counts.items():
-            v = np.zeros(len(langs))
-            for x, n in by.items():
-                v[at[x]] = n
-            if texts[w] > 1:
-                word[w] = v
-            s = f"^{w}$"
-            for n in range(1, MAX_N + 1):
-                for i in range(len(s) - n + 1):
-                    gram[n][s[i : i + n]] += v
-        self.words = self._logs(word)
-        self.grams = [self._logs(g) for g in gram]
-        self.rows: dict[str, int] = {}
-        self.table: np.ndarray | None = None
+        found = list(counts)
+        n = np.zeros((len(found), len(langs)))
+        for i, w in enumerate(found):
+            for x, k in counts[w].items():
+                n[i, at[x]] = k
+        often = np.fromiter((texts[w] > 1 for w in found), bool, len(found))
+        none = np.zeros(0, np.uint64), np.zeros((0, len(langs)), np.float32)
+        self.words = self._logs(_word_keys([w for w, o in zip(found, often) if o]), n[often]) if often.any() else none
+        self.grams = [none] * (MAX_N + 1)
+        if found:
+            cp, first, size = _places(found)
+            for k in range(1, MAX_N + 1):
+                start, word = _starts(first, size, k)
+                if len(start):
+                    self.grams[k] = self._logs(keys_of(cp, k)[start], n[word])
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.table = {}, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "rows": {}, "table": None}
 
     @staticmethod
-    def _logs(d: dict) -> dict:
-        if not d:
-            return {}
-        x = np.array(list(d.values())) + ALPHA
-        x = np.log(x / x.sum(0))
-        return dict(zip(d, x))
-
-    def _gram(self, g: str) -> tuple[np.ndarray | float, int]:
-        got = self.grams[len(g)].get(g)
-        if got is not None:
-            return got, 1
-        if len(g) == 1:
-            return 0.0, 0
-        a, n = self._gram(g[:-1])
-        b, m = self._gram(g[1:])
-        return a + b, n + m
-
-    def word(self, w: str) -> np.ndarray:
-        got = self.words.get(w)
-        if got is None:
-            s = f"^{w}$"
-            n = min(MAX_N, len(s))
-            total, parts = np.zeros(len(self.langs)), 0
-            for i in range(len(s) - n + 1):
-                x, k = self._gram(s[i : i + n])
-                total, parts = total + x, parts + k
-            got = total / max(1, parts)
-        return got - got.max()
-
-    def _row(self, w: str) -> int:
-        """The row of a word's scores in ``table``, computed at first sight."""
-        n = self.rows[w] = len(self.rows)
-        self.table[n] = self.word(w)
-        return n
+    def _logs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and their smoothed log frequencies in each language."""
+        some, back = np.unique(keys, return_inverse=True)
+        x = np.stack([np.bincount(back, counts[:, j], len(some)) for j in range(counts.shape[1])], 1) + ALPHA
+        return some, np.log(x / x.sum(0)).astype(np.float32)
+
+    def word_scores(self, found: list[str]) -> np.ndarray:
+        """The scores of each word in every language, less the best one: by the word, else by its n-grams."""
+        out, known = find(*self.words, _word_keys(found))
+        todo = np.flatnonzero(~known)
+        if len(todo):
+            cp, first, size = _places([found[i] for i in todo])
+            total, parts = np.zeros((len(todo), len(self.langs))), np.zeros(len(todo))
+            owner = np.repeat(np.arange(len(todo)), size)
+            times = np.zeros((MAX_N + 1, len(cp) + 1))
+            for n in {MAX_N, *range(3, MAX_N)}:  # words with marks have three characters or more
+                own = size >= MAX_N if n == MAX_N else size == n
+                times[n, _starts(first[own], size[own], n)[0]] = 1
+            for n in range(MAX_N, 0, -1):
+                at = np.flatnonzero(times[n])
+                if not len(at):
+                    continue
+                score, hit = find(*self.grams[n], keys_of(cp, n)[at])
+                k, w = times[n, at], owner[at]
+                parts += np.bincount(w[hit], k[hit], len(todo))
+                for j in range(len(self.langs)):
+                    total[:, j] += np.bincount(w[hit], k[hit] * score[hit, j], len(todo))
+                lost = at[~hit]
+                if n > 1:  # an unknown n-gram counts as its two parts
+                    times[n - 1, lost] += times[n, lost]
+                    times[n - 1, lost + 1] += times[n, lost]
+            out[todo] = total / np.maximum(parts, 1)[:, None]
+        return out - out.max(1, keepdims=True)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = Counter(WORD.findall(text.lower())) if text else {}
-        if not found or not self.langs:
-            return UND, 0.0
-        if self.table is None:
-            self.table = np.zeros((CACHE, len(self.langs)))
-        n, total = sum(found.values()), np.zeros(len(self.langs))
-        for w in [w for w in found if len(w) > LONG]:  # scored whole, not remembered
-            total += found.pop(w) * self.word(w)
-        items, counts = list(found), np.fromiter(found.values(), float, len(found))
-        for at in range(0, len(items), CACHE):  # one step but for texts with more different words than the table holds
-            part = items[at : at + CACHE]
-            if len(self.rows) + len(part) > CACHE:
-                self.rows.clear()
-            get = self.rows.get
-            index = [self._row(w) if (r := get(w)) is None else r for w in part]
-            total += counts[at : at + CACHE] @ self.table[index]
-        mean = total / n * min(n, SHARP)
-        p = np.exp(mean - mean.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+        return next(self.predict_all([text]))
+
+    def predict_all(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of each text. The new words of a part of the texts are scored in one go."""
+        for part in in_parts(texts):
+            split = [Counter(WORD.findall(t.lower())) if t and self.langs else None for t in part]
+            every = list(set().union(*(c for c in split if c)))
+            if self.table is None or len(self.rows) + len(every) > CACHE:
+                self.rows, self.table = {}, np.zeros((CACHE, len(self.langs)), np.float32)
+            get, rows = self.rows.get, self.rows
+            have = np.fromiter((get(w, -1) for w in every), np.int64, len(every))
+            scores = np.zeros((len(every), len(self.langs)))
+            scores[have >= 0] = self.table[have[have >= 0]]
+            new = np.flatnonzero(have < 0)
+            if len(new):
+                fresh = [every[i] for i in new]
+                scores[new] = self.word_scores(fresh).astype(np.float32)
+                for i, w in zip(new.tolist(), fresh):
+                    if len(w) <= LONG and len(rows) < CACHE:  # longer ones are scored whole, not remembered
+                        self.table[len(rows)] = scores[i]
+                        rows[w] = len(rows)
+            at = {w: i for i, w in enumerate(every)}
+            for c in split:
+                if not c:
+                    yield UND, 0.0
+                    continue
+                times = np.fromiter(c.values(), float, len(c))
+                n = times.sum()
+                mean = times @ scores[[at[w] for w in c]] / n * min(n, SHARP)
+                p = np.exp(mean - mean.max())
+                best = int(p.argmax())
+                yield self.langs[best], float(p[best] / p.sum())
 
 
 def train(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_texts: int = MAX_TEXTS) -> Model:
     """Counts the words of the bounded sample on the executors, once for each language, and builds the model from them."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(lang).cast("string").alias("lang")).where("lang is not null and key is not null").where(use)
-    keys = F.broadcast(rows.orderBy(F.xxhash64("key"), "key").limit(max_texts).distinct())  # at most max_texts ids
-    picked = cut(docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).join(keys, ["key", "lang"]).select("lang", "text"))
+    t = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(t).alias("th"), t.alias("text")).where("lang is not null and key is not null").where(use)
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "th")
+    marks = rows.select("key", "lang", "th").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_texts).drop("r")
+    marks = F.broadcast(cut(marks))  # at most max_texts rows a language
+    picked = cut(rows.join(marks, ["key", "lang", "th"]).dropDuplicates(["key", "lang", "th"]).select("lang", "text"))
 
     def count(batches):
-        n: Counter = Counter()
+        def sums():
+            ks = list(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in ks], pa.string()) for i in range(2)] + [pa.array([n[k] for k in ks], pa.int64()), pa.array([seen[k] for k in ks], pa.int64())], ["w", "lang", "n", "t"])
+            n.clear()
+            seen.clear()
+
+        n, seen = Counter(), Counter()
         for b in batches:
             for x, t in zip(*(c.to_pylist() for c in b.columns)):
                 for w, k in Counter(WORD.findall(t.lower()) if t else ()).items():
-                    n[w, x, "n"] += k
-                    n[w, x, "t"] += 1
-        ks = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in ks], pa.string()) for i in range(3)] + [pa.array(list(n.values()), pa.int64())], ["w", "lang", "what", "n"])
-
-    sums = picked.mapInArrow(count, "w string, lang string, what string, n long").groupBy("w", "lang").pivot("what", ["n", "t"]).agg(F.sum("n"))
-    counts, texts = defaultdict(dict), Counter()
+                    n[w, x] += k
+                    seen[w, x] += 1
+                if len(n) > COUNTED:
+                    yield from sums()
+        yield from sums()
+
+    sums = picked.mapInArrow(count, "w string, lang string, n long, t long").groupBy("w", "lang").agg(F.sum("n"), F.sum("t"))
+    counts, texts = {}, Counter()
     for b in sums.toArrow().to_batches():
         for w, x, n, t in zip(*(c.to_pylist() for c in b.columns)):
-            counts[w][x] = n
+            counts.setdefault(w, {})[x] = n
             texts[w] += t
     return Model(sorted({x for by in counts.values() for x in by}), counts, texts)
 
 
-@functools.lru_cache(2)
-def _model(data: bytes) -> Model:
-    return pickle.loads(data)
-
-
 def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` of the whole text. A narrow step: no shuffle."""
     ship(docs.sparkSession)
-    data = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts):
-        import pandas as pd
-
-        m = _model(data.value)
-        return pd.DataFrame([m.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score"])
-
-    got = run(F.col(text).cast("string"))
-    return docs.withColumn("_langid", got).select(*docs.columns, "_langid.lang_pred", "_langid.score")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = known.value
+        for texts in batches:
+            yield pd.DataFrame(list(m.predict_all([t if isinstance(t, str) else None for t in texts])), columns=["lang_pred", "score"])
+        m.clear()
+
+    got = clear_name(docs, "langid")
+    out = docs.withColumn(got, run(F.col(text).cast("string")))
+    return out.select(*docs.columns, *(F.col(f"{got}.{c}").alias(clear_name(docs, c)) for c in ("lang_pred", "score")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
