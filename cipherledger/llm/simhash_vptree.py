@@ -15,7 +15,10 @@ than ``BLOCK`` rows are dealt as a grid of data blocks and query chunks, so no t
 A shard's task emits a star for each of its connected parts instead of all pairs (so does a leaf with more hits than
 rows): the components are the same and the edges stay linear in the rows. Equal fingerprints are one node. No pair is lost, none is sampled.
 
-Null doc_ids take part; a component whose ids are all null has a null component_id. Repeated rows share a component.
+Odd input: null doc_ids take part; a component whose ids are all null has a null component_id. Null and empty texts have
+fingerprint zero. Texts of any length are read whole, their hashes counted 32,768 at a time. Repeated rows share a
+component. Only ``doc_id`` and ``text`` are read, so other columns can't clash; ``deduplicated`` returns all of them as they
+are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,22 +46,7 @@ TILE = 2_000_000
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The unsigned 64-bit fingerprint of one whole text."""
-    import xxhash
-
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return 0
-    joined, k = b" ".join(w), min(words, len(w))
-    size = np.fromiter(map(len, w), np.int64, len(w))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    digest = xxhash.xxh64_digest
-    count, n, step = np.zeros(64, np.int64), len(w) - k + 1, 32_768
-    for at in range(0, n, step):
-        to = min(n, at + step)
-        got = b"".join([digest(joined[a:b], 42) for a, b in zip(start[at:to].tolist(), end[at + k - 1 : to + k - 1].tolist())])
-        count += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
@@ -78,39 +66,104 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
     return rows.mapInArrow(run, schema)
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The different shingle hashes of one whole text (those that ``fingerprint`` takes), sorted, as signed longs."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The unsigned hashes of all shingles of one whole text, repeats included: those that ``fingerprint`` counts."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(0, np.int64)
-    k = min(words, len(w))
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(w[i : i + k]), 42) for i in range(len(w) - k + 1)}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+        return np.zeros(0, np.uint64)
+    k, digest = min(words, len(w)), xxhash.xxh64_digest
+    joined = b" ".join(w)
+    end = np.cumsum([len(x) + 1 for x in w]) - 1
+    start = end - [len(x) for x in w]
+    return np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in zip(start[: len(w) - k + 1].tolist(), end[k - 1 :].tolist())]), ">u8").astype(np.uint64)
+
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: the bits that are set in over half of them."""
+    count, step = np.zeros(64, np.int64), 32_768
+    for at in range(0, len(hashes), step):
+        part = hashes[at : at + step].astype(">u8")
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * count > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
-def shingle_sets(docs: DataFrame, text: str = "text", words: int = 5, sigs: bool = True) -> DataFrame:
-    """``docs``' text column replaced by ``fp``, a hash of the text's shingle set, and with ``sigs`` the set itself."""
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes of one whole text, sorted, as signed longs."""
+    return np.sort(np.unique(shingle_hashes(text, words)).view(np.int64))
+
+
+def _set_id(s: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
+    """``sid, sigs``: the shingle set of each text and a hash of it."""
     ship(docs.sparkSession)
-    names = [c for c in docs.columns if c != text]
-    rows = docs.select(*names, F.col(text).cast("string").alias(text))
-    new = ["fp", "sigs"] if sigs else ["fp"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["fp bigint", "sigs array<bigint>"][: len(new)])
 
     def run(batches):
-        import xxhash
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                sets = [shingle_set(t, words) for t in b.column(0).slice(at, 64).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "sigs"])
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sid bigint, sigs array<bigint>")
+
 
+def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
+    """For each of ``rows(doc_id, th, text)`` its ``doc_id, th``, fingerprint ``fp`` and the hash ``sid`` of its shingle set; and
+    rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for each part of the table."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        counts = np.zeros(set_join.BUCKETS, np.int64)
+        names = ["doc_id", "th", "fp", "sid", "bucket", "n"]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_set(t, words) for t in part.column(len(names)).to_pylist()]
-                fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-                got = [pa.array(fps), pa.array(sets, pa.list_(pa.int64()))][: len(new)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *got], [*names, *new])
+                fps, sids = [], []
+                for t in part.column(2).to_pylist():
+                    h = shingle_hashes(t, words)
+                    s = np.sort(np.unique(h).view(np.int64))
+                    fps.append(majority(h))
+                    sids.append(_set_id(s))
+                    counts += np.bincount(np.mod(s, set_join.BUCKETS), minlength=set_join.BUCKETS) if len(s) > 20_000 else 0
+                    if len(s) <= 20_000:
+                        np.add.at(counts, np.mod(s, set_join.BUCKETS), 1)
+                none = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), *none], names)
+        held = np.flatnonzero(counts)
+        none = [pa.nulls(len(held), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*none, pa.array(held.astype(np.int32)), pa.array(counts[held])], names)
+
+    return rows.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint, sid bigint, bucket int, n bigint")
+
+
+def set_keys(docs: DataFrame, often: bytes, t: float, words: int = 5) -> DataFrame:
+    """``set_join.prefixes`` of the texts' shingle sets: ``sid, n, pos, sig``, rarest first by the bytes ``often``."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(np.frombuffer(often, np.uint8))  # one byte a bucket
 
-    return rows.mapInArrow(run, schema)
+    def run(batches):
+        rank = known.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                sids, sizes, firsts = [], [], []
+                for text in b.column(0).slice(at, 256).to_pylist():
+                    s = shingle_set(text, words)
+                    if n := len(s):
+                        least = n - math.ceil(t * n - set_join.EDGE) + 1
+                        order = np.lexsort((s, rank[np.mod(s, set_join.BUCKETS)]))
+                        sids.append(_set_id(s))
+                        sizes.append(n)
+                        firsts.append(s[order[:least]])
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["sid", "n", "first"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sid bigint, n int, first array<bigint>")
+    return rows.dropDuplicates(["sid"]).select("sid", "n", F.posexplode("first").alias("pos", "sig"))
 
 
 def _median_split(d: np.ndarray) -> int:
@@ -303,6 +356,27 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int, jaccard: float, keys: DataFrame) -> DataFrame:
+    """Edges ``a, b`` between the shingle sets of ``prints(sid, fp, th)`` whose components are those of all pairs of a Jaccard
+    coefficient of ``jaccard`` or more. The trees give the pairs within ``radius`` bits; whole sets confirm them. Pairs
+    further apart, which share so little of 64 bits that no tree prunes them, are left to the set join, which takes the
+    classes found so far as known."""
+
+    def whole(ids: DataFrame) -> DataFrame:
+        th = cut(set_join.chosen(prints, ids, "sid").groupBy("sid").agg(F.min("th").alias("th")).select("th").distinct())
+        return shingle_sets(set_join.chosen(rows, th, "th").select("text"), words=words).dropDuplicates(["sid"])
+
+    of = cut(prints.groupBy("fp", "sid").agg(F.lit(1)).select("fp", "sid"))
+    least = cut(of.groupBy("fp").agg(F.min("sid").alias("first")))
+    same = of.join(least, "fp").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    near = links(least.select("fp"), radius)
+    for c in "ab":
+        near = near.join(least.select(F.col("fp").alias(c), F.col("first").alias(f"s{c}")), c)
+    pairs = same.union(near.select("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    known = cut(set_join.confirmed(pairs, whole, jaccard))
+    return set_join.links(None, jaccard, whole, known, keys)
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
     """One row of each near-duplicate group of ``docs``: that with the smallest doc_id (a null one only if all are
     null), the smallest text hash among equal ids, any one of equal rows. All columns stay as they are. Groups are those
@@ -312,10 +386,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         prints = cut(fingerprints(pick, words=words))
         label = grouped(prints, radius)
     else:
-        prints = cut(shingle_sets(pick, words=words, sigs=False))
-        sets = shingle_sets(pick.select("text"), words=words).withColumnRenamed("fp", "sid")
-        edges = set_join.links(sets, jaccard)
+        both = cut(set_prints(pick, words))
+        often = set_join.frequencies(both.where("bucket is not null").groupBy("bucket").agg(F.sum("n")))
+        prints = both.where("bucket is null").select("doc_id", "th", "fp", "sid")
+        edges = confirmed_links(prints, pick, words, radius, jaccard, set_keys(pick, often, jaccard, words))
         comps = components(edges)
+        prints = prints.select("doc_id", "th", F.col("sid").alias("fp"))
         label = prints.select("fp").distinct().join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label"))
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "th")).alias("best"))
     keep = best.join(label, "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
@@ -332,7 +408,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate group stays: five-word shingle sets of a Jaccard
-    coefficient of ``JACCARD`` or more. Such pairs differ by up to some 16 bits of fingerprint, which no tree over 64 bits
-    prunes, so the sets themselves are joined (``set_join``), exactly."""
+    """Pipeline stage: one document of each near-duplicate group stays: five-word shingle sets of a Jaccard coefficient of
+    ``JACCARD`` or more, exactly. Fingerprints of five-word shingles are linked in the vantage-point trees at ``RADIUS`` bits
+    and confirmed by their sets. Pairs at the least likeness differ by up to some 16 bits, which no tree over 64 bits
+    prunes, so an exact set join (``set_join``) completes the classes that the trees give."""
     return deduplicated(docs, words=5, jaccard=JACCARD)
