@@ -8,13 +8,14 @@ nearest to it that together hold enough vectors, which gives a bound: the k-th s
 other annulus [a, b] of pivot p that the triangle inequality can't exclude, max(a - d(q,p), d(q,p) - b) <= the distance
 of that score, and stops there. The result is exact.
 
-Equal vectors are stored once with their k+1 smallest ids, and equal queries are searched once for k+1 rows; a query's
-own row is dropped after that, so copies cost nothing and lose nothing. Annuli larger than ``BLOCK`` vectors, or wanted by
-more than ``CHUNK`` queries, are dealt as a grid of blocks, so a task's matrices stay bounded.
-
-Null vectors and vectors with null or non-finite components take no part; nor do null ids. Components become
-floor(scale * x). Shorter vectors count as padded with zeros. An id that occurs several times gives a row for each
-different vector; as a candidate it is excluded from its own id's queries.
+Rows are what is searched: a query's own row is no candidate of it, all others are, also those with the same id or the
+same vector. Equal vectors are stored once with the ids of their first k+1 rows, and equal queries are searched once for
+k+1 rows; a query's own row is dropped after that, so copies cost nothing and lose nothing. Annuli larger than ``BLOCK``
+vectors, or wanted by more than ``CHUNK`` queries, are dealt as a grid of blocks, so a task's matrices stay bounded.
+
+Odd input: null vectors and vectors with null or non-finite components take no part; nor do null ids. Components become
+floor(scale * x). Shorter vectors count as padded with zeros. Repeated query rows get an answer each; ties go to smaller
+ids. Only the two columns named are read, so others can't clash. Empty tables, of queries or of candidates, give no rows.
 """
 
 from __future__ import annotations
@@ -119,14 +120,15 @@ def _best(score: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int | None = None, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """``query_id, rank, id, score``: for each row of ``queries(id, vec)`` the k rows of ``candidates(id, vec)`` with another
-    id and the highest integer inner products, ties to smaller ids. Both as ``quantised`` gives them."""
+    """``query_id, rank, id, score``: for each row of ``queries(id, vec)`` the k rows of ``candidates(id, vec)`` with the highest
+    integer inner products, ties to smaller ids; one row that equals the query's, its own, is left out. Both as
+    ``quantised`` gives them."""
     spark, want = candidates.sparkSession, k + 1
     ship(spark)
     w = Window.partitionBy("vec").orderBy("id")
-    stored = candidates.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= want).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    stored = candidates.withColumn("r", F.row_number().over(w)).where(F.col("r") <= want).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     stored = cut(stored)
-    asked = cut(queries.distinct())
+    asked = cut(queries.groupBy("id", "vec").agg(F.count("*").alias("times")))
     wanted = asked.select("vec").distinct()
 
     def stats(batches):
@@ -175,7 +177,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int | N
             else:
                 take = home
             i, j = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([pa.array(known[j]), b.column(0).take(pa.array(i))], ["cell", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(known[j]), b.column(0).take(pa.array(i)), pa.array(np.nan_to_num(kth, nan=-np.inf)[i])], ["cell", "vec", "kth"])
 
     blocks = {c: math.ceil(cells[c][0] / block) for c in known}
     split = F.create_map(*[F.lit(v) for c, n in blocks.items() if n > 1 for v in (c, n)]) if any(n > 1 for n in blocks.values()) else None
@@ -189,8 +191,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int | N
         ids = [ids[i] for i in order]
         xv = xs.column("vec").to_pylist()
         x = _matrix([xv[i] for i in order], dim)
-        qv = qs.column("vec").to_pylist()
-        out_q, out_i, out_s = [], [], []
+        qv, least = qs.column("vec").to_pylist(), qs.column("kth").to_pylist()
+        vecs = [xv[i] for i in order]
+        out_q, out_i, out_s, out_o = [], [], [], []
         if ids and qv:
             if not exact:
                 x = np.array([np.pad(np.frombuffer(xv[i], "<i8"), (0, dim - len(xv[i]) // 8)) for i in order])
@@ -199,25 +202,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int | N
                 m = _matrix(part_q, dim) if exact else np.array([np.pad(np.frombuffer(v, "<i8"), (0, dim - len(v) // 8)) for v in part_q])
                 score = m @ x.T
                 best = _best(score, None, want)
-                for v, row, cols in zip(part_q, score, best):
-                    rows = sorted((-int(row[c]), i) for c in cols for i in ids[c])[:want]
+                for v, row, cols, bound in zip(part_q, score, best, least[at : at + 512]):
+                    rows = sorted((-int(row[c]), i, vecs[c] == v) for c in cols if row[c] >= bound for i in ids[c])[:want]
                     out_q += [v] * len(rows)
-                    out_i += [i for _, i in rows]
-                    out_s += [-n for n, _ in rows]
-        return pa.table({"vec": pa.array(out_q, pa.binary()), "id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.int64())})
+                    out_i += [i for _, i, _ in rows]
+                    out_s += [-n for n, _, _ in rows]
+                    out_o += [o for _, _, o in rows]
+        return pa.table({"vec": pa.array(out_q, pa.binary()), "id": pa.array(out_i, pa.int64()), "score": pa.array(out_s, pa.int64()), "same": pa.array(out_o, pa.bool_())})
 
     def searched(asks: DataFrame) -> DataFrame:
-        """``vec, id, score``: the best of every annulus that ``asks(vec, kth)`` visits."""
-        to = cut(asks.mapInArrow(visits, "cell int, vec binary"))
+        """``vec, id, score, same`` (whether the row has the query's vector): the best of every annulus that ``asks(vec, kth)``
+        visits, none below ``kth``."""
+        to = cut(asks.mapInArrow(visits, "cell int, vec binary, kth double"))
         many = {r.cell: math.ceil(r["count"] / chunk) for r in to.groupBy("cell").count().collect() if r["count"] > chunk}
         chunks = F.create_map(*[F.lit(v) for x in many.items() for v in x]) if many else None
         n_chunks = (lambda c: F.coalesce(chunks[c], F.lit(1))) if many else lambda c: F.lit(1)
         h = lambda n: F.pmod(F.xxhash64("vec"), n.cast("long")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         c = F.col("cell")
-        left = keyed.join(F.broadcast(to.select("cell").distinct()), "cell", "left_semi").select("cell", h(n_blocks(c)).alias("b"), every(n_chunks(c)).alias("c"), F.lit(0).alias("part"), "vec", "ids")
-        right = to.select("cell", every(n_blocks(c)).alias("b"), h(n_chunks(c)).alias("c"), F.lit(1).alias("part"), "vec", F.lit(None).cast("array<bigint>").alias("ids"))
-        return left.union(right).groupBy("cell", "b", "c").applyInArrow(search, "vec binary, id bigint, score bigint")
+        left = keyed.join(F.broadcast(to.select("cell").distinct()), "cell", "left_semi").select("cell", h(n_blocks(c)).alias("b"), every(n_chunks(c)).alias("c"), F.lit(0).alias("part"), "vec", "ids", F.lit(None).cast("double").alias("kth"))
+        right = to.select("cell", every(n_blocks(c)).alias("b"), h(n_chunks(c)).alias("c"), F.lit(1).alias("part"), "vec", F.lit(None).cast("array<bigint>").alias("ids"), "kth")
+        return left.union(right).groupBy("cell", "b", "c").applyInArrow(search, "vec binary, id bigint, score bigint, same boolean")
 
     def kept(found: DataFrame) -> DataFrame:
         own = Window.partitionBy("vec").orderBy(F.desc("score"), "id")
@@ -227,11 +232,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int | N
     bound = first.where(F.col("r") == want).select("vec", F.col("score").cast("double").alias("kth"))
     rest = searched(wanted.join(bound, "vec", "left").select("vec", F.coalesce("kth", F.lit(float("-inf"))).alias("kth")))
     best = kept(first.drop("r").union(rest)).drop("r")
-    # one row of a query vector: its k+1 best rows, met by every id that asks for it
-    packed = best.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("best"))
+    # one row of a query vector: its k+1 best rows, met by every row that asks for it
+    packed = best.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "same"))).alias("best"))
     rows = asked.withColumnRenamed("id", "query_id").join(packed, "vec")
-    others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
-    return rows.select("query_id", F.posexplode(others).alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
+    own = F.array_position(F.transform("best", lambda b: b["same"] & (b["id"] == F.col("query_id"))), True)
+    others = F.slice(F.filter(F.transform("best", lambda b, i: F.when(i + 1 != own, b)), lambda b: b.isNotNull()), 1, k)
+    each = rows.select("query_id", others.alias("others"), F.explode(F.sequence(F.lit(1).cast("bigint"), "times")))
+    return each.select("query_id", F.posexplode("others").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.id").alias("id"), (-F.col("b.s")).alias("score"))
 
 
 def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,15 +249,15 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x for x in embedding if x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.n, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.n <> c.n
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
