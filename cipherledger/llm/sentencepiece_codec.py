@@ -251,8 +251,16 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         """Token ids of many texts. A word is looked up whole first; what is new is cut and segmented in one go."""
-        words, parts = self.words, self.seen
+        collects = gc.isenabled()
         gc.disable()  # millions of small tuples, none in a cycle: the collector would only walk them again and again
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
+        words, parts = self.words, self.seen
         if len(words) > CACHE or len(parts) > CACHE:
             words.clear()
             parts.clear()
