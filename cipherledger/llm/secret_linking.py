@@ -13,7 +13,8 @@ characters of one text and only asks whether a partner exists (semi joins), so i
 key is larger than one scope of one text.
 
 Null text is an empty text, which has no spans. Rows with the same doc_id and text have the same spans; null doc_ids
-are kept. Spans have their start before their end; ties go by the kinds in the order above.
+are kept. Very long texts are scanned whole. Columns other than doc_id and text are not read, so none can clash, and
+``redacted`` returns all of them as they are. An empty table gives no rows. Spans have their start before their end; ties go by the kinds in the order above.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 WEAK = "[A-Za-z0-9+/_-]{20,}={0,2}"
 IDENT = r"""(?:client_?id|access_?key_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}"""
-ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s"'<>]{0,400}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?"""
+ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s"'<>]*|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?"""
 CHUNK = 64
 _EMPTY = "cast(array() as array<struct<start:int,ord:int,end:int>>)"
 
