@@ -6,19 +6,24 @@ write tasks, without a shuffle. ``compact`` puts the shards in tiers by size (ea
 a tier that holds ``FANOUT`` shards or more below the target is read and written again as target-sized files. The merge
 coalesces the scan, so it moves nothing between executors and a task holds one file. Shards of the target size stay.
 
-A commit writes the new manifest beside the old ones and renames it to the next version without overwriting: one of two
-writers wins, the other gets an error and leaves no trace in any version. Readers take the newest manifest, so they see
-all rows of a version or none. ``vacuum`` deletes files that the newest manifests no longer name. Lost executors only
-repeat write tasks, whose files Spark commits once.
+A commit writes the new manifest beside the old ones and renames it to the next version without overwriting, so one of
+two writers wins. The other one rebases: it takes the winner's manifest, adds its own shards and tries again; a merge whose
+shards the winner has replaced is dropped and planned anew. The rename is atomic where the file system's is (HDFS); on
+local folders and object stores without one, use one writer. Readers take the newest manifest, so they see all rows of a
+version or none. ``vacuum`` deletes data that no kept manifest names once it is older than ``grace`` seconds, within which
+a writer must commit what it has written, and left-over temporary manifests of that age. Lost executors only repeat write
+tasks, whose files Spark commits once.
 
 Manifests hold one line of figures a shard, so their size follows the number of files, not the rows. Null values, empty
-texts and repeated rows are stored as they are; an empty arrival adds no shard; columns may have any names.
+and very long texts and repeated rows are stored as they are; an empty arrival, as of an empty table, adds no shard;
+columns may have any names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -29,6 +34,8 @@ from .common import clear_name, fresh_dir, table
 TARGET = 128 << 20
 FANOUT = 4
 ARRIVALS = 4
+GRACE = 24 * 3600
+TRIES = 20
 BROADCAST = 10_000  # shards of a manifest that a read may broadcast, some 100 bytes each
 
 
@@ -68,6 +75,8 @@ class Store:
 
     def commit(self, base: dict, shards: list[dict]) -> dict:
         """Makes ``shards`` the version after ``base``; fails if another writer has made it."""
+        if max(self.versions(), default=0) > base["version"]:
+            raise RuntimeError(f"version {base['version'] + 1} was committed by another writer")
         new = {"version": base["version"] + 1, "shards": sorted(shards, key=lambda s: s["path"])}
         temp, final = f"{self.path}/.{uuid.uuid4().hex}.tmp", f"{self.path}/manifest-{new['version']:08d}.json"
         out = self.fs.create(self._path(temp), False)
@@ -83,6 +92,19 @@ class Store:
             raise RuntimeError(f"version {new['version']} was committed by another writer") from e
         return new
 
+    def publish(self, new: list[dict], gone: set[str] = frozenset()) -> dict | None:
+        """Commits ``new`` shards in place of those ``gone`` on the newest version; None if another writer has replaced these."""
+        for _ in range(TRIES):
+            base = self.manifest()
+            paths = {s["path"] for s in base["shards"]}
+            if not gone <= paths:
+                return None
+            try:
+                return self.commit(base, [s for s in base["shards"] if s["path"] not in gone] + new)
+            except RuntimeError:
+                time.sleep(0.05)
+        raise RuntimeError(f"other writers won {TRIES} times")
+
     def tier(self, size: int) -> int:
         """0 for shards below target / fanout^3; the tier of target-sized files is 4."""
         least = self.target / self.fanout**3
@@ -105,14 +127,14 @@ class Store:
     def append(self, rows: DataFrame, arrival: str | None = None) -> dict:
         """Writes ``rows`` as new shards and commits them; with ``arrival``, a column, each of its values apart. Nothing is
         committed unless the new shards hold as many rows as were written."""
-        base, folder = self.manifest(), f"{self.path}/data-{uuid.uuid4().hex}"
+        folder = f"{self.path}/data-{uuid.uuid4().hex}"
         written = Observation()
         out = rows.observe(written, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
         (out.partitionBy(arrival) if arrival else out).parquet(folder)
         new = self._described(folder)
         if (n := sum(s["rows"] for s in new)) != written.get["n"]:
             raise RuntimeError(f"{written.get['n']} rows were written and {n} found; nothing was committed")
-        return self.commit(base, base["shards"] + new)
+        return self.publish(new)
 
     def plan(self, manifest: dict) -> list[list[dict]]:
         """Groups of similarly sized shards that are due for a merge, smallest tier first."""
@@ -123,7 +145,7 @@ class Store:
         return [g for _, g in sorted(tiers.items()) if len(g) >= self.fanout]
 
     def compact(self) -> dict:
-        """Merges due tiers until none is due; each merge is one commit."""
+        """Merges due tiers until none is due; each merge is one commit. What another writer has merged meanwhile is left."""
         now = self.manifest()
         while groups := self.plan(now):
             group = groups[0]
@@ -135,11 +157,13 @@ class Store:
             new = self._described(folder)
             if sum(s["rows"] for s in new) != sum(s["rows"] for s in group):
                 raise RuntimeError("a merge changed the number of rows; nothing was committed")
-            now = self.commit(now, [s for s in now["shards"] if s["path"] not in gone] + new)
+            now = self.publish(new, gone) or self.manifest()
         return now
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes older manifests than the newest ``keep``, and data that none of these names."""
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> None:
+        """Deletes older manifests than the newest ``keep``, and data and temporary manifests that none of these names and
+        that are older than ``grace`` seconds. 0 is safe only without other writers."""
+        before = time.time() * 1000 - 1000 * grace
         known = self.versions()
         named = {s["path"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
         for s in self.fs.listStatus(self._path(self.path)):
@@ -147,15 +171,19 @@ class Store:
             if p.getName().startswith("data-"):
                 files, live = self.fs.listFiles(p, True), False
                 while files.hasNext():
-                    f = files.next().getPath()
-                    if f.toString() in named:
+                    f = files.next()
+                    if f.getPath().toString() in named or f.getModificationTime() > before:
                         live = True
-                    elif f.getName().startswith("part-"):
-                        self.fs.delete(f, False)
-                if not live:
+                    elif f.getPath().getName().startswith("part-"):
+                        self.fs.delete(f.getPath(), False)
+                if not live and s.getModificationTime() <= before:
                     self.fs.delete(p, True)
+            elif p.getName().endswith(".tmp") and s.getModificationTime() <= before:
+                self.fs.delete(p, False)
         for v in known[:-keep]:
-            self.fs.delete(self._path(f"{self.path}/manifest-{v:08d}.json"), False)
+            p = self._path(f"{self.path}/manifest-{v:08d}.json")
+            if self.fs.getFileStatus(p).getModificationTime() <= before:  # younger ones still stop writers that began on them
+                self.fs.delete(p, False)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version with ``shard`` (its file's path in the store), ``tier``, ``shard_bytes``, ``shard_rows`` and ``version``
@@ -175,15 +203,16 @@ class Store:
 
 def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document read back from the compacted store: its shard and the hash of its text. The table arrives in
-    ``ARRIVALS`` batches, by a hash of doc_id."""
+    ``ARRIVALS`` batches one after the other, by a hash of doc_id; each is appended and due tiers are merged."""
     docs = table(spark, sf_dir, "documents")
-    a = clear_name(docs, "arrival")
     store = Store(spark, fresh_dir(spark, "shards"))
-    store.append(docs.withColumn(a, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int")), a)
-    store.compact()
-    store.vacuum()
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact()
+    store.vacuum(grace=0)  # this query's own folder
     rows = store.read()
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     if rows is None:
         return docs.select("doc_id", sha, *(F.lit(None).cast(t).alias(c) for c, t in (("shard", "string"), ("tier", "int"), ("shard_bytes", "bigint"), ("shard_rows", "bigint"), ("version", "int"))))
-    return rows.select("doc_id", sha, "shard", "tier", "shard_bytes", "shard_rows", "version")
+    own = ("shard", "tier", "shard_bytes", "shard_rows", "version")
+    return rows.select("doc_id", sha, *(F.col(f"`{c}`").alias(n) for c, n in zip(rows.columns[-len(own) :], own)))  # the store's columns come last

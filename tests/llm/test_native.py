@@ -118,12 +118,43 @@ def test_shards(spark, odd, empty):
     with pytest.raises(RuntimeError):
         s.commit(before, [])
     assert s.read(before["version"]).count() == 3000
-    s.vacuum()
+    s.vacuum(grace=0)
     assert s.versions() == [m["version"]] and s.read().select("id").distinct().count() == 3000
     assert s.read().columns == ["id", "tier", "shard", "tier_", "shard_bytes", "shard_rows", "version"]
     o = T.Store(spark, fresh_dir(spark, "store"))
     o.append(odd)
-    assert o.read().select(odd.columns).exceptAll(odd).count() == 0
+    assert o.read().select(odd.columns).exceptAll(odd).count() == 0 and odd.exceptAll(o.read().select(odd.columns)).count() == 0
+
+
+def test_two_writers(spark):
+    path = fresh_dir(spark, "store")
+    a, b = T.Store(spark, path, fanout=2), T.Store(spark, path, fanout=2)
+    stale = a.manifest()
+    a.append(spark.range(10).coalesce(1))
+    b.append(spark.range(10, 20).coalesce(1))
+    folder = f"{path}/data-unfinished"
+    spark.range(20, 30).coalesce(1).write.parquet(folder)  # written by a third writer, not yet committed
+    merged = [s["path"] for s in a.manifest()["shards"]]
+    m = b.compact()
+    assert len(m["shards"]) == 1 and m["shards"][0]["rows"] == 20
+    a.vacuum()
+    assert a.publish([], set(merged)) is None
+    assert a.publish(a._described(folder))["version"] == m["version"] + 1
+    with pytest.raises(RuntimeError):
+        a.commit(stale, [])
+    assert sorted(r.id for r in b.read().collect()) == list(range(30))
+
+
+def test_whole_table_comes_back(spark, tmp_path, odd):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = T.op8_tiered_shards(spark, str(tmp_path)).collect()
+    want = [(r.doc_id, None if r.text is None else hashlib.sha256(r.text.encode()).hexdigest()) for r in odd.collect()]
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r.doc_id, r.text_sha256) for r in got), key=key) == sorted(want, key=key)
+    by = {}
+    for r in got:
+        by.setdefault((r.shard, r.shard_rows), []).append(r)
+    assert all(len(rows) == n for (_, n), rows in by.items())
 
 
 def test_raking():
@@ -144,6 +175,11 @@ def test_raking():
 def test_mixing(spark, odd, empty):
     rows = [(i, f"word{i % 7} und text " * (3 + i % 5), "en" if i % 4 else "de", f"s{i % 3}") for i in range(120)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    goals = {"lang": {"en": 3, "de": 1, "xx": 5}, "source": {"s0": 2, "s1": 1, "s2": -1}}
+    for given, steps in ((None, 2), (goals, 3)):  # targets needn't sum to 1
+        narrow = {r.doc_id: r for r in M.mixed(d, given, steps=steps).collect()}
+        wide = {r.doc_id: r for r in M.mixed(d, given, steps=steps, max_cells=0).collect()}
+        assert all(abs(narrow[i].weight - wide[i].weight) < 1e-6 and abs(narrow[i].chance - wide[i].chance) < 1e-6 for i in narrow)
     narrow = {r.doc_id: r for r in M.mixed(d, steps=2).collect()}
     wide = {r.doc_id: r for r in M.mixed(d, steps=2, max_cells=0).collect()}
     assert all(abs(narrow[i].weight - wide[i].weight) < 1e-6 and abs(narrow[i].chance - wide[i].chance) < 1e-6 for i in narrow)
