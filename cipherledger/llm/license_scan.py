@@ -1,23 +1,28 @@
 """Operator 5. License scans by a trained paragraph classifier.
 
-Every paragraph (line) of a whole text is scored by a multinomial logistic regression over word unigrams and bigrams with
-an L1 penalty, so common words get no weight; its classes are the licence families of ``TEMPLATES`` and ``unknown``. It is
-trained on the driver from variants of the templates (words dropped, neighbouring prose added, parts of a notice) and, for
-the unknown class, from ``UNKNOWN`` and at most ``SAMPLE`` ordinary paragraphs of the corpus, a documented bound. A
-temperature fitted on held-out variants calibrates the probabilities. A prediction of a family holds if its probability
-reaches ``CERTAIN`` and comparison with the family's templates confirms it: a template's n-grams, weighed by how few
-families share them, are covered to ``CONFIRM`` or more. Otherwise a paragraph that leans away from ordinary prose is
-``unknown``: it speaks of rights or a licence, but of none that is known. Paragraphs whose
-n-grams can't outweigh the bias towards ordinary prose, whatever their combination, are known to be ordinary by one set
-lookup a word (``Scanner._strong``); no other paragraph is skipped.
-
-Null and empty texts have no paragraphs. Work is linear in the text and rows are independent: no shuffle.
+A paragraph is a run of lines without a blank one. It is scored by a multinomial logistic regression over word unigrams and
+bigrams with an L1 penalty, so common words get no weight; its classes are the licence families of ``TEMPLATES``,
+``unknown`` and ordinary prose. A paragraph of several lines is scored line by line and as a whole: a family that only the
+whole shows, as of a notice wrapped over lines, is reported for the paragraph, others for their lines.
+
+Training, on the driver: variants of the templates (words dropped, neighbouring prose added, parts of a notice),
+``UNKNOWN`` and ``ORDINARY`` sentences, and at most ``SAMPLE`` different paragraphs of at most ``SAMPLE`` different texts of
+the corpus without licence words, a documented bound (those with the smallest hashes). The temperature that calibrates the
+probabilities is fitted on families that were left out of training, one third at a time: their variants count as unknown
+there. A prediction of a family holds if its probability reaches ``CERTAIN`` and comparison with the family's templates
+confirms it: a template's n-grams, weighed by how few families share them, are covered to ``CONFIRM`` or more. Otherwise
+what isn't ordinary is ``unknown``: it speaks of rights or a licence, but of none that is known; its probability is that of
+not being ordinary prose. Lines whose n-grams can't outweigh the bias towards ordinary prose, whatever their combination,
+are known to be ordinary by one set lookup a word (``Scanner._strong``); no other is skipped.
+
+Odd input: null and empty texts have no paragraphs. Very long texts and paragraphs are read whole; work is linear in the
+text. Of equally certain paragraphs the first one names the row's family. Repeated rows get equal answers and teach once.
+Only doc_id and text are read, so other columns can't clash. An empty table gives no rows, and a model of the templates
+alone. Rows are independent: no shuffle but of the sample.
 """
 
 from __future__ import annotations
 
-import functools
-import pickle
 import re
 
 import numpy as np
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import table
+from .common import cut, table
 
 SAMPLE = 3_000
 CERTAIN = 0.7
@@ -44,7 +49,11 @@ TEMPLATES = {
     "BSD": ["Licensed under the BSD 3-Clause License", "distributed under the BSD license", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "licensed under the Mozilla Public License 2.0"],
     "ISC": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "CC0": ["dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "This is free and unencumbered software released into the public domain"],
+    "CC0": ["dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense", "Released to the public domain by the Unlicense"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Licensed under the Boost Software License"],
+    "EPL": ["made available under the terms of the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License, version 2.0"],
+    "Zlib": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -54,10 +63,16 @@ TEMPLATES = {
 UNKNOWN = [
     "Licensed under the terms of the agreement between the parties", "See the license file for the terms", "This work is licensed under the Example Public License, version 7.",
     "Released under the Acme License.", "Licensed under the terms that follow", "used under license", "Copyright by the authors",
+    "Distributed under the Foobar Community License, Version 9", "SPDX-License-Identifier: LicenseRef-Internal", "Use is subject to the license terms of the vendor",
+    "This file is available under the Example Source License", "Licensed to the customer under a separate agreement", "See LICENSE for details of the copyright",
 ]
 ORDINARY = [
     "He has a driver's license and a public version of the file", "The software was released last week", "All the rights of the people are general and free",
     "The version of the work that you have is a copy of the original", "A general public meeting is free of charge for any person", "she reserved a table under the name of the foundation",
+    "a software developer licensed to drive the bus under the new terms", "the pilot lost the license and the permission to fly", "licensed doctors and nurses work in the public hospital",
+    "the source of the river is in the public park", "no warranty comes with the used car", "the copyright office is open to the public on Monday", "the rights of the workers were granted by the new law",
+    "the conditions of the form are met by the school", "the gnu is a general kind of antelope", "the foundation gives free meals to any person in the street", "he distributed copies of the book without charge",
+    "the apache helicopter flew over the creative commons of the town", "the boost to the software industry was large", "the eclipse was visible to the public in the north", "a version of the song was released under a new name",
 ]
 
 
@@ -132,7 +147,7 @@ class Scanner:
             return None
         if name != "unknown" and p[best] >= CERTAIN and self.confirmed(name, found) >= CONFIRM:
             return name, float(p[best])
-        return "unknown", float(p[self.names.index("unknown")])
+        return "unknown", float(1 - p[self.names.index("ordinary")])
 
     def confirmed(self, name: str, found: set[str]) -> float:
         """The greatest weighed share of one of the family's templates that the n-grams cover; of long templates, of as
@@ -145,47 +160,71 @@ class Scanner:
         return best
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """``(start, end, family, probability)`` of the paragraphs that aren't ordinary, in code points."""
-        out, at = [], 0
-        for p in (text or "").split("\n"):
-            got = self.classify(p) if p else None
-            if got:
-                out.append((at, at + len(p), *got))
-            at += len(p) + 1
-        return out
+        """``(start, end, family, probability)`` of what isn't ordinary, in code points: lines, or whole paragraphs."""
+        out: list = []
+        lines: list = []
+        at = 0
+        for line in (text or "").split("\n"):
+            if line.strip():
+                lines.append((at, line))
+            elif lines:
+                out += self._paragraph(lines)
+                lines = []
+            at += len(line) + 1
+        return out + self._paragraph(lines) if lines else out
+
+    def _paragraph(self, lines: list[tuple[int, str]]) -> list[tuple[int, int, str, float]]:
+        found = [(a, a + len(p), *got) for a, p in lines if (got := self.classify(p))]
+        if len(lines) > 1 and (whole := self.classify("\n".join(p for _, p in lines))):
+            if whole[0] != "unknown" and whole[0] not in {f[2] for f in found}:
+                return [(lines[0][0], lines[-1][0] + len(lines[-1][1]), *whole)]
+        return found
+
+
+def _sampled(docs: DataFrame, text: str, sample: int) -> list[str]:
+    """At most ``sample`` different ordinary paragraphs of at most ``sample`` different texts. Hashes are chosen first, texts
+    and paragraphs joined to them after, so a task meets ``sample`` rows of one hash from each other one at most."""
+    mention = r"(?i)licen[sc]|copyright|\brights\b|permission|warrant|spdx|public domain"
+    rows = docs.select(F.col(text).cast("string").alias("t")).where("length(t) > 0").withColumn("h", F.xxhash64("t"))
+    some = F.broadcast(cut(rows.select("h").distinct().orderBy("h").limit(sample)))
+    texts = cut(rows.join(some, "h", "left_semi").dropDuplicates(["h"]))
+    parts = texts.select(F.explode(F.split("t", r"\n\s*\n|\n")).alias("p")).where(~F.col("p").rlike(mention) & (F.length("p") > 0)).withColumn("h", F.xxhash64("p"))
+    picked = F.broadcast(cut(parts.select("h").distinct().orderBy(F.xxhash64("h"), "h").limit(sample)))
+    return [r.p for r in sorted(parts.join(picked, "h", "left_semi").dropDuplicates(["h"]).collect(), key=lambda r: r.h)]
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, many: int = 24, seed: int = 11) -> Scanner:
     """Fits the classifier; only the bounded sample of paragraphs and the templates meet the driver."""
-    mention = r"(?i)licen[sc]|copyright|\brights\b|permission|warrant|spdx|public domain"
-    lines = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t")).where("length(t) > 0").orderBy("h").limit(sample)
-    got = [r[0] for r in lines.select("h", F.explode(F.split("t", "\n")).alias("p")).where(~F.col("p").rlike(mention) & (F.length("p") > 0)).orderBy(F.xxhash64("p"), "p").limit(sample).select(F.substring("p", 1, 600)).collect()]
     rng = np.random.default_rng(seed)
-    texts, classes, names = _variants(rng, [p.split() for p in got], many)
+    texts, classes, names = _variants(rng, [p.split() for p in _sampled(docs, text, sample)], many)
     y = np.array(classes)
-    held = rng.random(len(y)) < 0.25
-    seen: dict[str, int] = {}
     sets = [set(grams(t)) for t in texts]
-    for s, h in zip(sets, held):
-        for g in s:
-            if not h:
-                seen[g] = seen.get(g, 0) + 1
-    base = {g for ts in (*TEMPLATES.values(), UNKNOWN, ORDINARY) for t in ts for g in grams(t)}
-    vocab = {g: i for i, g in enumerate(sorted(g for g in seen if g in base))}
+    vocab = {g: i for i, g in enumerate(sorted({g for ts in (*TEMPLATES.values(), UNKNOWN, ORDINARY) for t in ts for g in grams(t)}))}
     x = np.zeros((len(texts), len(vocab)), np.float32)
     for i, s in enumerate(sets):
-        for g in s:
-            if g in vocab:
-                x[i, vocab[g]] = 1
-    w, b = _fit(x[~held], y[~held], len(names))
-    z, t = x[held] @ w + b, y[held]
+        for g in s & vocab.keys():
+            x[i, vocab[g]] = 1
+    unknown, thirds = names.index("unknown"), np.arange(len(names)) % 3
+    third = np.where(y < len(TEMPLATES), thirds[y], rng.integers(0, 3, len(y)))
+    scores, truth = [], []
+    for k in range(3):  # families that the model hasn't seen are unknown to it
+        held = third == k
+        w, b = _fit(x[~held], y[~held], len(names), steps=150)
+        gone = [j for j in range(len(TEMPLATES)) if thirds[j] == k]
+        z = x[held] @ w + b
+        z[:, gone] = -30
+        scores.append(z)
+        truth.append(np.where(y[held] < len(TEMPLATES), unknown, y[held]))
+    z, t = np.concatenate(scores), np.concatenate(truth)
+    z = z - z.max(1, keepdims=True)
     heats = np.exp(np.linspace(-1.5, 1.5, 31))
-    loss = [float(np.mean(np.log(np.exp((z - z.max(1, keepdims=True)) / h).sum(1)) - ((z - z.max(1, keepdims=True)) / h)[np.arange(len(t)), t])) for h in heats]
+    loss = [float(np.mean(np.log(np.exp(z / h).sum(1)) - (z / h)[np.arange(len(t)), t])) for h in heats]
+    w, b = _fit(x, y, len(names))
     weights = {g: w[i].astype(float) for g, i in vocab.items() if np.abs(w[i]).max() > 1e-3}
     return Scanner(names, weights, b.astype(float), float(heats[int(np.argmin(loss))]))
 
 
-def _fit(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, steps: int = 400, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+def _fit(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, steps: int = 300, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """L1-penalised multinomial logistic regression by accelerated proximal gradient steps, classes weighed alike."""
     n = len(y)
     share = np.bincount(y, minlength=k).astype(float)
@@ -207,19 +246,14 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, steps: int = 40
     return w, b
 
 
-@functools.lru_cache(2)
-def _scanner(data: bytes) -> Scanner:
-    return pickle.loads(data)
-
-
 def scanned(docs: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, family`` (that of the most certain paragraph, ``unknown`` if none is known, null for none at all),
     ``probability, n_paragraphs`` and ``paragraphs`` (start:end:family of each, comma-joined) for every row."""
     ship(docs.sparkSession)
-    data = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scanner))
+    known = docs.sparkSession.sparkContext.broadcast(scanner)  # the templates' n-grams
 
     def run(batches):
-        s = _scanner(data.value)
+        s = known.value
         for b in batches:
             found = [s.scan(t) for t in b.column(1).to_pylist()]
             top = [max(f, key=lambda x: (x[2] != "unknown", x[3], -x[0]), default=None) for f in found]
