@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 
 
+ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 512
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Whole texts go to Python workers in small batches, unless the session says otherwise."""
     ship(spark)
+    if spark.conf.get(ARROW) == "10000":  # Spark's own value
+        spark.conf.set(ARROW, ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -41,8 +41,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import clear_name, cut, table
-from .packed import code_points, find, in_parts, keys_of
+from .common import clear_name, cut, stored, table
+from .packed import code_points, find, in_parts, keys_of, tidy
 
 ORDER = 6
 MAX_TOXIC = 3_000
@@ -54,6 +54,7 @@ THRESHOLD = 0.7
 DISCOUNT = 0.75
 CACHE = 150_000
 SPELT = 40_000
+BROADCAST = 2_000_000  # labelled ids, 12 bytes each
 LONG = 40
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -169,6 +170,7 @@ def spellings(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """``g, toxic, fold, n``: how many ``rows(text, toxic, fold)`` of a class and fold spell the n-gram g, once for each
     different word that does; the empty g counts the rows themselves."""
 
+    @tidy
     def spelt(batches):
         def sums():
             for (y, f), own in got.items():
@@ -269,6 +271,7 @@ def fit(rows: DataFrame, sample: DataFrame, order: int = ORDER) -> Scorer:
     for f in (0, 1):  # one fold's model after the other: a worker holds one at a time
         half = sc.broadcast(Scorer(_model(tables, f, order), None))
 
+        @tidy
         def felt(batches, half=half):
             scorer = half.value
             for b in batches:
@@ -289,7 +292,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, text: str = "text", m
     """Fits on the labelled documents for which ``use``, a condition on ``key``, holds; the bounds are the logistic fit's."""
     y = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("key")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(use)
     y = cut(y.where("toxic in (0, 1)"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th")).join(y, "key")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    if y.count() <= BROADCAST:
+        rows = rows.join(F.broadcast(y), "key")
+    else:  # one shuffle of the texts, whatever is made of them
+        rows = stored(rows.join(y, "key"), "labelled")
     marks = cut(rows.select("toxic", "key", "th").distinct())
     bounded = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key", "th").limit(n) for c, n in ((1, max_toxic), (0, max_ordinary))]
     picked = F.broadcast(cut(bounded[0].union(bounded[1]).select("key", "th")))  # at most max_toxic + max_ordinary rows
@@ -302,6 +309,7 @@ def scored(docs: DataFrame, scorer: Scorer, text: str = "text", score: str = "sc
     known = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = known.value
         for texts in batches:

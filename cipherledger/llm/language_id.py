@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import clear_name, cut, table
-from .packed import code_points, find, in_parts, keys_of
+from .packed import code_points, find, in_parts, keys_of, tidy
 
 MAX_TEXTS = 2_000
 MAX_N = 5
@@ -175,6 +175,7 @@ def train(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
     marks = F.broadcast(cut(marks))  # at most max_texts rows a language
     picked = cut(rows.join(marks, ["key", "lang", "th"]).dropDuplicates(["key", "lang", "th"]).select("lang", "text"))
 
+    @tidy
     def count(batches):
         def sums():
             ks = list(n)
@@ -207,6 +208,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = known.value
         for texts in batches:

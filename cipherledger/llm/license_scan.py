@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import cut, table
+from .packed import tidy
 
 SAMPLE = 3_000
 CERTAIN = 0.7
@@ -252,6 +253,7 @@ def scanned(docs: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str
     ship(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(scanner)  # the templates' n-grams
 
+    @tidy
     def run(batches):
         s = known.value
         for b in batches:

@@ -1,14 +1,42 @@
-"""Packed tables of character n-grams: 64-bit keys in sorted arrays, computed and looked up many at a time."""
+"""What Python workers share: packed tables of character n-grams (64-bit keys in sorted arrays, computed and looked up many
+at a time), and how they give memory back."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 PART = 1 << 20
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: Python workers are used again by the stages that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """The function of a task's batches, with ``release_memory`` at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def _odd(n: int) -> np.ndarray:
     """n odd multipliers (splitmix64)."""
     out, x = [], 0x5EED

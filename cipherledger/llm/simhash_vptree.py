@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import set_join
 from .common import clear_name, components, cut, table
+from .packed import tidy
 
 RADIUS = 3
 JACCARD = 0.8
@@ -56,6 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
     rows = docs.select(*names, F.col(text).cast("string").alias(text))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema] + ["fp bigint"])
 
+    @tidy
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -104,6 +106,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", words: int = 5) -> DataFra
     """``sid, sigs``: the shingle set of each text and a hash of it."""
     ship(docs.sparkSession)
 
+    @tidy
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
@@ -118,6 +121,7 @@ def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
     rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for each part of the table."""
     ship(rows.sparkSession)
 
+    @tidy
     def run(batches):
         counts = np.zeros(set_join.BUCKETS, np.int64)
         names = ["doc_id", "th", "fp", "sid", "bucket", "n"]
@@ -147,6 +151,7 @@ def set_keys(docs: DataFrame, often: bytes, t: float, words: int = 5) -> DataFra
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(np.frombuffer(often, np.uint8))  # one byte a bucket
 
+    @tidy
     def run(batches):
         rank = known.value
         for b in batches:
