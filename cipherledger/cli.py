@@ -70,9 +70,9 @@ def main(argv: list[str] | None = None) -> int:
         history.save(assets, a.db, stamp, a.path, stamp)
     if a.command != "ci":
         return 0
-    flags = gate.flagged(assets, None if a.fail_on == "off" else a.fail_on, rules.floor, rules.mosca_blocks, rules.ignore)
+    flags = gate.flagged(assets, None if a.fail_on == "off" else a.fail_on, rules.floor, rules.mosca_blocks, rules.ignore, done.places)
     today = datetime.now(timezone.utc).strftime("%Y-%m-%d")
-    v = gate.verdict(gate.waived(flags, rules.waiver_rows(spark), today), rules.budgets).first().asDict()
+    v = gate.verdict(gate.waived(flags, rules.waiver_rows(spark), today, done.places), rules.budgets).first().asDict()
     print(json.dumps({"fail_on": a.fail_on, **v, "errors": len(errors)}))
     return int(v["exit_code"] > 0 or (rules.errors_block and bool(errors)))
 

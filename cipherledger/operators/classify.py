@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,13 @@ from ..functions import text as X
 
 def resolved(found: DataFrame, family: str = "family") -> DataFrame:
     """``found`` with ``kb_family``: by alias of the slug, else of the slug without a trailing size, else by the longest alias
-    that begins it. Resolved once for each distinct family and joined back; the alias table is a few hundred rows."""
-    spark = found.sparkSession
-    kb = F.broadcast(T.aliases(spark))  # a fixed table
-    names = found.select(F.col(family).alias("f")).distinct().withColumn("slug", X.slug(F.col("f")))
-    hit = lambda df, c, out: df.join(kb.select(F.col("alias").alias(f"{out}_a"), F.col("kb_family").alias(out)), c == F.col(f"{out}_a"), "left").drop(f"{out}_a")
-    a = hit(names, F.col("slug"), "k1")
-    b = hit(a, F.regexp_replace("slug", "-?[0-9]{2,5}$", ""), "k2")
-    left = b.where("k1 is null and k2 is null").select("f", "slug").distinct()
-    prefix = left.join(kb, F.col("slug").startswith(F.concat("alias", F.lit("-"))) & (F.length("alias") >= 3)).groupBy("f").agg(F.max_by("kb_family", F.struct(F.length("alias"), "alias")).alias("k3"))
-    to = b.join(prefix, "f", "left").select("f", F.coalesce("k1", "k2", "k3").alias("kb_family"))
-    return found.join(to, F.col(family).eqNullSafe(F.col("f")), "left").drop("f")
+    that begins it and ends before a hyphen. The alias table is a few hundred rows, so it is one literal: no join."""
+    known = F.from_json(F.lit(json.dumps(dict(T.alias_rows()))), "map<string,string>")
+    s = X.slug(F.col(family))
+    parts = F.split(s, "-")
+    heads = F.transform(F.sequence(F.size(parts) - 1, F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "-"))
+    begun = F.get(F.filter(heads, lambda h: (F.length(h) >= 3) & known[h].isNotNull()), F.lit(0))
+    return found.withColumn("kb_family", F.coalesce(known[s], known[F.regexp_replace(s, "-?[0-9]{2,5}$", "")], known[begun]))
 
 
 def threat(family: Column, base: Column, size: Column, mode: Column, inner: Column | None = None) -> Column:
@@ -43,6 +41,8 @@ def threat(family: Column, base: Column, size: Column, mode: Column, inner: Colu
 
 
 def classified(found: DataFrame) -> DataFrame:
-    """``found (family, key_size, mode, ...)`` with ``kb_family, category, threat``."""
+    """``found (family, name, key_size, mode, ...)`` with ``kb_family, category, threat``. The hash inside a keyed one is read from
+    its name, as in HMAC-MD5 or HmacSHA1."""
+    inner = F.regexp_replace(F.lower("name"), "^hmac[-_ ]?", "") if "name" in found.columns else None
     r = resolved(found).join(F.broadcast(T.families(found.sparkSession)), "kb_family", "left")
-    return r.withColumn("threat", threat(F.col("kb_family"), F.col("base_threat"), F.col("key_size"), F.col("mode"))).drop("base_threat")
+    return r.withColumn("threat", threat(F.col("kb_family"), F.col("base_threat"), F.col("key_size"), F.col("mode"), inner)).drop("base_threat")

@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 from .. import tables as T
 
 
+#: What every rule's match contains, without the word bounds that make the rules slow: one cheap pass decides for most texts.
+HINT = "|".join(p[len(T.FLAT_START) : -len(T.FLAT_END)] for _, p, *_ in T.FLAT_RULES)
+
+
+def mentioning(files: DataFrame) -> DataFrame:
+    """The files whose text may hold a match, before they are split into lines."""
+    return files.where(F.lower("text").rlike(HINT))
+
+
 def findings(lines: DataFrame) -> DataFrame:
     """``path, line, rule, algorithm, tier, recommendation, confidence``: one row for each rule that a line matches. The
     rules are literals, so each line is read once and no join is planned."""
-    low = F.lower("text")
+    lines = lines.withColumn("low", F.lower("text")).where(F.col("low").rlike(HINT))
+    low = F.col("low")
     rules = F.array(*[F.when(low.rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(a).alias("algorithm"), F.lit(t).alias("tier"), F.lit(c).alias("recommendation"))) for r, p, a, t, c in T.FLAT_RULES])
     hit = lines.select("path", "line", "text", F.explode(F.array_compact(rules)).alias("r"))
     comment = F.col("text").rlike(r"^\s*(?:#|//|\*|/\*)")

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from . import policy as P
 
 
-def flagged(assets: DataFrame, fail_on: str | None = "critical", floor: str = "none", mosca_blocks: bool = False, ignore: list[str] = ()) -> DataFrame:
-    """``assets (severity, act_now, file, ...)`` with ``ignored, below, blocking``. A threshold of None never blocks; ``none``
-    blocks on every asset."""
+def flagged(assets: DataFrame, fail_on: str | None = "critical", floor: str = "none", mosca_blocks: bool = False, ignore: list[str] = (), places: DataFrame | None = None) -> DataFrame:
+    """``assets (asset_key, severity, act_now, ...)`` with ``ignored, below, blocking``. An asset is ignored only if each of its
+    ``places (asset_key, file)`` is. A threshold of None never blocks; ``none`` blocks on every asset."""
     rank = F.col("severity_rank")
     at = {"critical": 4, "high": 3, "medium": 2, "low": 1, "none": 0}
     late = F.col("act_now") & F.lit(mosca_blocks)
-    ign = P.ignored(F.col("file"), list(ignore)) if ignore else F.lit(False)
+    out = assets.withColumn("ignored", F.lit(False))
+    if ignore:
+        if places is None:
+            raise ValueError("ignored paths are judged by all places of an asset")
+        whole = places.groupBy("asset_key").agg(F.bool_and(P.ignored(F.col("file"), list(ignore))).alias("ignored"))
+        out = assets.join(whole, "asset_key", "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
+    ign = F.col("ignored")
     below = ~ign & (rank < at[floor]) & ~late
     block = ~ign & ~below & ((rank >= at[fail_on]) | late if fail_on else late)
-    return assets.withColumn("ignored", ign).withColumn("below", below).withColumn("blocking", block)
+    return out.withColumn("below", below).withColumn("blocking", block).select(*assets.columns, "ignored", "below", "blocking")
 
 
 def expired(expires, reason, today: str):
@@ -26,16 +32,35 @@ def expired(expires, reason, today: str):
     return F.coalesce(day < F.lit(today).cast("date"), F.lit(True)) | (F.trim(F.coalesce(reason, F.lit(""))) == "")
 
 
-def waived(assets: DataFrame, waivers: DataFrame, today: str) -> DataFrame:
+FIELDS = ("key", "name", "family", "severity_is", "file_regex")
+
+
+def waived(assets: DataFrame, waivers: DataFrame, today: str, places: DataFrame) -> DataFrame:
     """``assets`` with ``waiver_ord, waiver_expired``: the first active waiver that matches, else the first expired one. A
-    waiver (ord, family, severity, file_regex, reason, expires) matches where every field it has does; one without any
-    matches nothing. Waivers are a policy table and few."""
-    w = waivers.withColumn("dead", expired(F.col("expires"), F.col("reason"), today)).where("family is not null or severity_is is not null or file_regex is not null")
-    yes = lambda c, cond: F.col(c).isNull() | cond
-    fits = yes("w_family", F.lower("family") == F.lower("w_family")) & yes("severity_is", F.col("severity") == F.col("severity_is")) & yes("file_regex", F.rlike(F.col("file"), F.col("file_regex")))
-    w = w.withColumnRenamed("family", "w_family").select("ord", "w_family", "severity_is", "file_regex", "dead")
-    hits = assets.select("asset_key", "family", "severity", "file").join(F.broadcast(w), fits).groupBy("asset_key").agg(F.min(F.struct("dead", "ord")).alias("m"))
-    return assets.join(hits, "asset_key", "left").select(*assets.columns, F.col("m.ord").alias("waiver_ord"), F.col("m.dead").alias("waiver_expired"))
+    waiver (ord, family, severity_is, file_regex, reason, expires, and key and name if it has them) matches where every
+    field it has does, a file pattern only if all ``places (asset_key, file)`` of the asset fit; one without any field
+    matches nothing. Waivers are the rows of a policy file, so the driver knows them: each is one expression, and all
+    patterns are one grouped aggregation of the places."""
+    rows = [r.asDict() for r in waivers.withColumn("dead", expired(F.col("expires"), F.col("reason"), today)).collect()]
+    rows = [w for w in rows if any(w.get(f) is not None for f in FIELDS)]
+    out = assets
+    if patterns := sorted({w["file_regex"] for w in rows if w["file_regex"] is not None}):
+        fits = [F.bool_and(F.rlike(F.col("file"), F.lit(p))).alias(f"fits_{k}") for k, p in enumerate(patterns)]
+        out = assets.join(places.groupBy("asset_key").agg(*fits), "asset_key", "left")
+    hits = []
+    for w in rows:
+        yes = F.lit(True)
+        for field, have in (("key", F.col("asset_key")), ("name", F.col("name")), ("severity_is", F.col("severity"))):
+            if w.get(field) is not None:
+                yes &= F.coalesce(have == F.lit(w[field]), F.lit(False))
+        if w["family"] is not None:
+            yes &= F.coalesce(F.lower("family") == F.lit(w["family"].lower()), F.lit(False))
+        if w["file_regex"] is not None:
+            yes &= F.coalesce(F.col(f"fits_{patterns.index(w['file_regex'])}"), F.lit(False))
+        hits.append(F.when(yes, F.struct(F.lit(w["dead"]).alias("dead"), F.lit(w["ord"]).cast("int").alias("ord"))))
+    none = F.lit(None).cast("struct<dead:boolean,ord:int>")
+    m = F.array_min(F.array_compact(F.array(none, *hits)))
+    return out.select(*assets.columns, m["ord"].alias("waiver_ord"), m["dead"].alias("waiver_expired"))
 
 
 def verdict(assets: DataFrame, budgets: dict[str, int] = {}) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -36,10 +36,17 @@ def assets(places: DataFrame, by: list[str]) -> DataFrame:
 
 
 def without_noise(found: DataFrame) -> DataFrame:
-    """Drops assets that were only ever seen with low confidence where the family has one with high confidence."""
-    anchored = found.where("best_confidence = 3").select("family").distinct()
-    low = found.where("best_confidence = 1").join(anchored, "family", "left_anti")
-    return found.where("best_confidence <> 1").unionByName(low)
+    """Drops assets that were only ever seen with low confidence where the family has one with high confidence. A window over
+    the assets of a family, which are few after the grouped merge: the findings are read once."""
+    best = clear(found, "family_best")
+    held = found.withColumn(best, F.max("best_confidence").over(Window.partitionBy("family")))
+    return held.where((F.col("best_confidence") != 1) | (F.col(best) != 3)).drop(best)
+
+
+def clear(found: DataFrame, wanted: str) -> str:
+    while wanted in found.columns:
+        wanted += "_"
+    return wanted
 
 
 def inferred_size(family: Column, name: Column, size: Column) -> Column:

@@ -88,11 +88,11 @@ class Policy:
         for i, w in enumerate(gate.get("waivers") or [], 1):
             w = {"family": w} if isinstance(w, str) else dict(w)
             glob = w.get("file") or w.get("path")
-            p.waivers.append((i, w.get("family"), w.get("severity"), X.glob_regex(glob) if glob else None, w.get("reason"), None if w.get("expires") is None else str(w["expires"])))
+            p.waivers.append((i, w.get("family"), w.get("severity"), X.glob_regex(glob) if glob else None, w.get("reason"), None if w.get("expires") is None else str(w["expires"]), w.get("key"), w.get("name")))
         return p
 
     def waiver_rows(self, spark):
-        return spark.createDataFrame(self.waivers, "ord int, family string, severity_is string, file_regex string, reason string, expires string")
+        return spark.createDataFrame(self.waivers, "ord int, family string, severity_is string, file_regex string, reason string, expires string, key string, name string")
 
     def rule_counts(self) -> dict[str, int]:
         return {"classes": len(self.class_rules), "criticality": len(self.criticality_rules), "ignore": len(self.ignore), "waivers": len(self.waivers)}

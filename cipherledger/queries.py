@@ -92,7 +92,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat.judged(flat.findings(corpus.lines(corpus.text_files(spark, sf_dir))))
+    return flat.judged(flat.findings(corpus.lines(flat.mentioning(corpus.text_files(spark, sf_dir)))))
 
 
 # --- flat scanner ----------------------------------------------------------------------------------------------------
@@ -238,23 +238,26 @@ WAIVERS = [
     (3, None, None, "^payments/", "", "2027-01-01"),
     (4, None, None, None, "matches nothing", "2027-01-01"),
     (5, "SHA-1", None, None, "no date", None),
+    (6, "AES", None, "/", "every place of it has a folder", "2027-01-01"),
 ]
 TODAY = "2026-06-01"
 
 
 def _gated(spark, sf_dir):
     w = spark.createDataFrame(WAIVERS, "ord int, family string, severity_is string, file_regex string, reason string, expires string")
-    return gate.waived(gate.flagged(_assets(spark, sf_dir), "high", "low", True, IGNORE), w, TODAY)
+    at = _places(spark, sf_dir).select("asset_key", "file")
+    return gate.waived(gate.flagged(_assets(spark, sf_dir), "high", "low", True, IGNORE, at), w, TODAY, at)
 
 
 _IGN = " OR ".join(f"regexp_matches(file, {_q(X.glob_regex(p))})" for g in IGNORE for p in (g, g.rstrip("/") + "/**"))
 GATED = (
     ASSETS
-    + f", f AS (SELECT *, ({_IGN}) AS ignored FROM assets), f2 AS (SELECT *, NOT ignored AND severity_rank < 1 AND NOT act_now AS below FROM f), flagged AS (SELECT *, NOT ignored AND NOT below AND (severity_rank >= 3 OR act_now) AS blocking FROM f2)"
+    + ", spots AS (SELECT DISTINCT concat(family, '|', coalesce(CAST(key_size AS VARCHAR), 'None'), '|None|', coalesce(mode, 'None'), '|', family, '|algorithm') AS asset_key, file FROM places)"
+    + f", f AS (SELECT *, NOT EXISTS (SELECT 1 FROM spots WHERE spots.asset_key = assets.asset_key AND NOT ({_IGN.replace('(file,', '(spots.file,')})) AS ignored FROM assets), f2 AS (SELECT *, NOT ignored AND severity_rank < 1 AND NOT act_now AS below FROM f), flagged AS (SELECT *, NOT ignored AND NOT below AND (severity_rank >= 3 OR act_now) AS blocking FROM f2)"
     + ", waivers(ord, w_family, severity_is, file_regex, reason, expires) AS (VALUES "
     + ", ".join("(" + ", ".join("NULL" if v is None else _q(v) if isinstance(v, str) else str(v) for v in w) + ")" for w in WAIVERS)
     + f"), wd AS (SELECT *, coalesce(try_cast(expires AS DATE) < DATE '{TODAY}', true) OR trim(reason) = '' AS dead FROM waivers WHERE w_family IS NOT NULL OR severity_is IS NOT NULL OR file_regex IS NOT NULL)"
-    + ", hits AS (SELECT asset_key, ord, dead, row_number() OVER (PARTITION BY asset_key ORDER BY dead, ord) AS r FROM flagged, wd WHERE (w_family IS NULL OR lower(family) = lower(w_family)) AND (severity_is IS NULL OR severity = severity_is) AND (file_regex IS NULL OR regexp_matches(file, file_regex)))"
+    + ", hits AS (SELECT asset_key, ord, dead, row_number() OVER (PARTITION BY asset_key ORDER BY dead, ord) AS r FROM flagged, wd WHERE (w_family IS NULL OR lower(family) = lower(w_family)) AND (severity_is IS NULL OR severity = severity_is) AND (file_regex IS NULL OR (SELECT bool_and(regexp_matches(spots.file, file_regex)) FROM spots WHERE spots.asset_key = flagged.asset_key)))"
     + ", gated AS (SELECT flagged.*, h.ord AS waiver_ord, h.dead AS waiver_expired FROM flagged LEFT JOIN (SELECT * FROM hits WHERE r = 1) h USING (asset_key))"
 )
 
@@ -304,9 +307,9 @@ def history_latest(spark, sf_dir):
     return history.latest(corpus.findings(spark, sf_dir))
 
 
-@query(f"WITH {HISTORY}, a AS (SELECT * FROM hist WHERE scan_id = 1996 AND n_occ % 3 > 0), b AS (SELECT * FROM hist WHERE scan_id = 1997 AND n_occ % 4 > 0) SELECT coalesce(a.asset_key, b.asset_key) AS asset_key, CASE WHEN a.rank IS NULL THEN 'added' WHEN b.rank IS NULL THEN 'removed' WHEN a.n_occ <> b.n_occ OR a.rank <> b.rank THEN 'changed' ELSE 'unchanged' END AS status, CAST(a.rank AS INTEGER) AS rank_a, CAST(b.rank AS INTEGER) AS rank_b FROM a FULL OUTER JOIN b ON a.asset_key = b.asset_key")
+@query(f"WITH {HISTORY}, a AS (SELECT * FROM hist WHERE scan_id = 1996), b AS (SELECT * FROM hist WHERE scan_id = 1997) SELECT coalesce(a.asset_key, b.asset_key) AS asset_key, CASE WHEN a.rank IS NULL THEN 'added' WHEN b.rank IS NULL THEN 'removed' WHEN a.n_occ <> b.n_occ OR a.rank <> b.rank THEN 'changed' ELSE 'unchanged' END AS status, CAST(a.rank AS INTEGER) AS rank_a, CAST(b.rank AS INTEGER) AS rank_b FROM a FULL OUTER JOIN b ON a.asset_key = b.asset_key")
 def history_diff(spark, sf_dir):
-    h = _history(spark, sf_dir).where("(scan_id = 1996 and n_occ % 3 > 0) or (scan_id = 1997 and n_occ % 4 > 0)").drop("score")
+    h = _history(spark, sf_dir).drop("score")
     return history.diff(h, 1996, 1997).select("asset_key", "status", "rank_a", "rank_b")
 
 

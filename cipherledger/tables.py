@@ -126,7 +126,8 @@ CRITICALITY_RULES = [
 IGNORED_DIRS = "node_modules vendor third_party dist build out target .git .venv venv env __pycache__ .tox site-packages .mypy_cache .pytest_cache .idea .vscode coverage".split()
 
 # The flat scanner's rules (id, pattern on the lower-cased line, algorithm, tier).
-_W = "(?:^|[^a-z0-9_])(?:{})(?:$|[^a-z0-9_])"
+FLAT_START, FLAT_END = "(?:^|[^a-z0-9_])(?:", ")(?:$|[^a-z0-9_])"
+_W = FLAT_START + "{}" + FLAT_END
 FLAT_RULES = [
     ("rsa", _W.format("rsa"), "RSA", "BROKEN_Q", "ML-KEM-768 (encryption) / ML-DSA-65 (signatures), hybrid"),
     ("ecdsa", _W.format("ecdsa|signingkey|es256|secp256k1|p-256"), "ECDSA", "BROKEN_Q", "ML-DSA-65 (signatures)"),
@@ -136,7 +137,7 @@ FLAT_RULES = [
     ("sha1", _W.format("sha-?1"), "SHA-1", "WEAK", "SHA-256 / SHA-3"),
     ("des", _W.format("3?des|des3|pydes"), "DES/3DES", "WEAK", "AES-256-GCM"),
     ("rc4", _W.format("a?rc4"), "RC4", "WEAK", "AES-256-GCM"),
-    ("aes", _W.format("aes-?256"), "AES-256", "SAFE", "No change needed"),
+    ("aes", _W.format(r"aes-?256|aes\.new|algorithms\.aes"), "AES-256", "SAFE", "No change needed"),
     ("sha256", _W.format("sha-?(?:256|384|512|3)"), "SHA-256+", "SAFE", "No change needed"),
     ("mlkem", _W.format("ml[-_]?kem|kyber"), "ML-KEM", "PQC", "Already quantum-safe"),
     ("mldsa", _W.format("ml[-_]?dsa|dilithium"), "ML-DSA", "PQC", "Already quantum-safe"),
