@@ -23,6 +23,7 @@ are. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import set_join
-from .common import clear_name, components, cut, table
+from .common import clear_name, components, cut, stored, table
 from .packed import tidy
 
 RADIUS = 3
@@ -102,20 +103,6 @@ def _set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
-    """``sid, sigs``: the shingle set of each text and a hash of it."""
-    ship(docs.sparkSession)
-
-    @tidy
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                sets = [shingle_set(t, words) for t in b.column(0).slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["sid", "sigs"])
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sid bigint, sigs array<bigint>")
-
-
 def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
     """For each of ``rows(doc_id, th, text)`` its ``doc_id, th``, fingerprint ``fp`` and the hash ``sid`` of its shingle set; and
     rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for each part of the table."""
@@ -361,16 +348,45 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def confirmed_texts(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words: int, jaccard: float) -> DataFrame:
+    """The pairs of sids ``a, b`` whose shingle sets have a Jaccard coefficient of ``jaccard`` or more. One text of each sid is
+    moved to its pairs: texts are less than half of their sets' size, and compress."""
+    ship(pairs.sparkSession)
+    pairs = cut(pairs.select("a", "b").distinct())
+    ids = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
+    of = cut(set_join.chosen(prints, ids, "sid").groupBy("sid").agg(F.min("th").alias("th")))
+    texts = set_join.chosen(rows, of.select("th").distinct(), "th").select("th", "text").dropDuplicates(["th"])
+    held = stored(of.join(texts, "th").select("sid", "text"), "candidates")
+
+    @tidy
+    def run(batches):
+        seen: dict[int, np.ndarray] = {}
+
+        def found(sid: int, text: str) -> np.ndarray:
+            if sid not in seen:
+                if len(seen) >= 256:
+                    seen.clear()
+                seen[sid] = shingle_set(text, words)
+            return seen[sid]
+
+        for batch in batches:
+            near = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = found(a, x), found(b, y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= jaccard / (1 + jaccard) * (len(x) + len(y)) - set_join.EDGE)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int, jaccard: float, keys: DataFrame) -> DataFrame:
     """Edges ``a, b`` between the shingle sets of ``prints(sid, fp, th)`` whose components are those of all pairs of a Jaccard
     coefficient of ``jaccard`` or more. The trees give the pairs within ``radius`` bits; whole sets confirm them. Pairs
     further apart, which share so little of 64 bits that no tree prunes them, are left to the set join, which takes the
     classes found so far as known."""
-
-    def whole(ids: DataFrame) -> DataFrame:
-        th = cut(set_join.chosen(prints, ids, "sid").groupBy("sid").agg(F.min("th").alias("th")).select("th").distinct())
-        return shingle_sets(set_join.chosen(rows, th, "th").select("text"), words=words).dropDuplicates(["sid"])
-
+    confirm = functools.partial(confirmed_texts, prints=prints, rows=rows, words=words, jaccard=jaccard)
     of = cut(prints.groupBy("fp", "sid").agg(F.lit(1)).select("fp", "sid"))
     least = cut(of.groupBy("fp").agg(F.min("sid").alias("first")))
     same = of.join(least, "fp").where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b"))
@@ -378,8 +394,8 @@ def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int,
     for c in "ab":
         near = near.join(least.select(F.col("fp").alias(c), F.col("first").alias(f"s{c}")), c)
     pairs = same.union(near.select("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-    known = cut(set_join.confirmed(pairs, whole, jaccard))
-    return set_join.links(None, jaccard, whole, known, keys)
+    known = cut(confirm(pairs))
+    return set_join.links(None, jaccard, confirm, known, keys)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
