@@ -103,34 +103,45 @@ def _set_id(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64))
 
 
+def set_parities(s: np.ndarray) -> np.ndarray:
+    """Eight longs: for each of 512 places, whether an odd number of a set's different signatures ``s`` falls in it."""
+    places = 64 * len(set_join.PARITIES)
+    return np.packbits((np.bincount(np.mod(s, places), minlength=places) & 1).astype(np.uint8)).view(np.int64)
+
+
 def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
-    """For each of ``rows(doc_id, th, text)`` its ``doc_id, th``, fingerprint ``fp`` and the hash ``sid`` of its shingle set; and
-    rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for each part of the table."""
+    """For each of ``rows(doc_id, th, text)`` its ``doc_id, th``, fingerprint ``fp`` and of its shingle set the hash ``sid``, the size
+    ``n`` and the parities; and rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for
+    each part of the table."""
     ship(rows.sparkSession)
 
     @tidy
     def run(batches):
         counts = np.zeros(set_join.BUCKETS, np.int64)
-        names = ["doc_id", "th", "fp", "sid", "bucket", "n"]
+        names = ["doc_id", "th", "fp", "sid", "bucket", "n", *set_join.PARITIES]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                fps, sids = [], []
-                for t in part.column(2).to_pylist():
+                fps, sids, sizes, odd = [], [], [], np.zeros((part.num_rows, len(set_join.PARITIES)), np.int64)
+                for k, t in enumerate(part.column(2).to_pylist()):
                     h = shingle_hashes(t, words)
                     s = np.sort(np.unique(h).view(np.int64))
                     fps.append(majority(h))
                     sids.append(_set_id(s))
+                    sizes.append(len(s))
+                    odd[k] = set_parities(s)
                     counts += np.bincount(np.mod(s, set_join.BUCKETS), minlength=set_join.BUCKETS) if len(s) > 20_000 else 0
                     if len(s) <= 20_000:
                         np.add.at(counts, np.mod(s, set_join.BUCKETS), 1)
-                none = pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), *none], names)
+                own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.nulls(part.num_rows, pa.int32()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, *(pa.array(c) for c in odd.T)], names)
         held = np.flatnonzero(counts)
         none = [pa.nulls(len(held), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array(held.astype(np.int32)), pa.array(counts[held])], names)
+        more = [pa.nulls(len(held), pa.int64())] * len(set_join.PARITIES)
+        yield pa.RecordBatch.from_arrays([*none, pa.array(held.astype(np.int32)), pa.array(counts[held]), *more], names)
 
-    return rows.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, th bigint, fp bigint, sid bigint, bucket int, n bigint")
+    schema = "doc_id bigint, th bigint, fp bigint, sid bigint, bucket int, n bigint, " + ", ".join(f"{p} bigint" for p in set_join.PARITIES)
+    return rows.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def set_keys(docs: DataFrame, often: bytes, t: float, words: int = 5) -> DataFrame:
@@ -382,7 +393,7 @@ def confirmed_texts(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words:
 
 
 def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int, jaccard: float, keys: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between the shingle sets of ``prints(sid, fp, th)`` whose components are those of all pairs of a Jaccard
+    """Edges ``a, b`` between the shingle sets of ``prints(sid, fp, th, n, *PARITIES)`` whose components are those of all pairs of a Jaccard
     coefficient of ``jaccard`` or more. The trees give the pairs within ``radius`` bits; whole sets confirm them. Pairs
     further apart, which share so little of 64 bits that no tree prunes them, are left to the set join, which takes the
     classes found so far as known."""
@@ -395,7 +406,8 @@ def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int,
         near = near.join(least.select(F.col("fp").alias(c), F.col("first").alias(f"s{c}")), c)
     pairs = same.union(near.select("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     known = cut(confirm(pairs))
-    return set_join.links(None, jaccard, confirm, known, keys)
+    parities = cut(prints.select("sid", "n", *set_join.PARITIES).dropDuplicates(["sid"]))
+    return set_join.links(None, jaccard, confirm, known, keys, parities)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
@@ -409,7 +421,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     else:
         both = cut(set_prints(pick, words))
         often = set_join.frequencies(both.where("bucket is not null").groupBy("bucket").agg(F.sum("n")))
-        prints = both.where("bucket is null").select("doc_id", "th", "fp", "sid")
+        prints = both.where("bucket is null").drop("bucket")
         edges = confirmed_links(prints, pick, words, radius, jaccard, set_keys(pick, often, jaccard, words))
         comps = components(edges)
         prints = prints.select("doc_id", "th", F.col("sid").alias("fp"))

@@ -54,3 +54,20 @@ def test_stage_catches_edited_copies(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in S.stage(spark, docs, "").collect()}
     assert kept == {*range(0, 40, 2), 40, 41}
+
+
+def test_parities_drop_no_pair_that_is_alike():
+    import numpy as np
+
+    from cipherledger.llm.simhash_vptree import set_parities
+
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 400, 3000):
+        base = np.unique(rng.integers(-(2**62), 2**62, n))
+        for edits in {0, 1, n // 20, n // 9, n // 8}:
+            other = np.unique(np.concatenate([base[edits:], rng.integers(-(2**62), 2**62, edits)]))
+            both = len(np.intersect1d(base, other))
+            apart = int(np.bitwise_count((set_parities(base) ^ set_parities(other)).view(np.uint64)).sum())
+            assert apart <= len(base) + len(other) - 2 * both
+            if both / (len(base) + len(other) - both) >= 0.8:
+                assert apart <= (len(base) + len(other)) * 0.2 / 1.8 + 1e-9
