@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ MAX_SHARDS = 1024
 BLOCK = 65_536
 LEAF = 256
 TILE = 2_000_000
+SPANS = 64  # of the buckets whose counts a task packs
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -111,14 +113,14 @@ def set_parities(s: np.ndarray) -> np.ndarray:
 
 def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
     """For each of ``rows(doc_id, th, text)`` its ``doc_id, th``, fingerprint ``fp`` and of its shingle set the hash ``sid``, the size
-    ``n`` and the parities; and rows with a ``bucket`` and how many shingles ``n`` of different sets fall in it, summed for
-    each part of the table."""
+    ``n`` and the parities; and for each part of the table at most ``SPANS`` rows with a ``span`` of buckets and, packed as
+    ``counts``, how many shingles of its sets fall in each of them."""
     ship(rows.sparkSession)
 
     @tidy
     def run(batches):
         counts = np.zeros(set_join.BUCKETS, np.int64)
-        names = ["doc_id", "th", "fp", "sid", "bucket", "n", *set_join.PARITIES]
+        names = ["doc_id", "th", "fp", "sid", "n", *set_join.PARITIES, "span", "counts"]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -133,17 +135,38 @@ def set_prints(rows: DataFrame, words: int = 5) -> DataFrame:
                     counts += np.bincount(np.mod(s, set_join.BUCKETS), minlength=set_join.BUCKETS) if len(s) > 20_000 else 0
                     if len(s) <= 20_000:
                         np.add.at(counts, np.mod(s, set_join.BUCKETS), 1)
-                own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.nulls(part.num_rows, pa.int32()), pa.array(sizes, pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, *(pa.array(c) for c in odd.T)], names)
-        held = np.flatnonzero(counts)
-        none = [pa.nulls(len(held), pa.int64())] * 4
-        more = [pa.nulls(len(held), pa.int64())] * len(set_join.PARITIES)
-        yield pa.RecordBatch.from_arrays([*none, pa.array(held.astype(np.int32)), pa.array(counts[held]), *more], names)
-
-    schema = "doc_id bigint, th bigint, fp bigint, sid bigint, bucket int, n bigint, " + ", ".join(f"{p} bigint" for p in set_join.PARITIES)
+                own = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())]
+                none = [pa.nulls(part.num_rows, pa.int32()), pa.nulls(part.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *own, *(pa.array(c) for c in odd.T), *none], names)
+        held = [(k, zlib.compress(own.tobytes(), 1)) for k, own in enumerate(counts.reshape(SPANS, -1)) if own.any()]
+        none = [pa.nulls(len(held), pa.int64())] * (5 + len(set_join.PARITIES))
+        yield pa.RecordBatch.from_arrays([*none, pa.array([k for k, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names)
+
+    schema = ", ".join(f"{c} bigint" for c in ("doc_id", "th", "fp", "sid", "n", *set_join.PARITIES)) + ", span int, counts binary"
     return rows.select("doc_id", "th", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def bucket_frequencies(prints: DataFrame) -> bytes:
+    """``set_join.frequencies`` of the packed counts in ``prints``, a result of ``set_prints``. A task adds up its spans as they
+    arrive, so it holds their sums only; one byte a bucket reaches the driver."""
+
+    @tidy
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        steps = lambda n: np.minimum(255, 10 * np.log2(1.0 + n)).astype(np.uint8).tobytes()
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = np.frombuffer(zlib.decompress(x), np.int64)
+                sums[k] = sums[k] + own if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([steps(x) for x in sums.values()], pa.binary())], ["span", "often"])
+
+    size = set_join.BUCKETS // SPANS
+    out = bytearray(set_join.BUCKETS)
+    for r in prints.where("span is not null").select("span", "counts").repartition("span").mapInArrow(run, "span int, often binary").collect():
+        out[r.span * size : (r.span + 1) * size] = r.often
+    return bytes(out)
+
+
 def set_keys(docs: DataFrame, often: bytes, t: float, words: int = 5) -> DataFrame:
     """``set_join.prefixes`` of the texts' shingle sets: ``sid, n, pos, sig``, rarest first by the bytes ``often``."""
     spark = docs.sparkSession
@@ -420,8 +443,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         label = grouped(prints, radius)
     else:
         both = cut(set_prints(pick, words))
-        often = set_join.frequencies(both.where("bucket is not null").groupBy("bucket").agg(F.sum("n")))
-        prints = both.where("bucket is null").drop("bucket")
+        often = bucket_frequencies(both)
+        prints = both.where("span is null").drop("span", "counts")
         edges = confirmed_links(prints, pick, words, radius, jaccard, set_keys(pick, often, jaccard, words))
         comps = components(edges)
         prints = prints.select("doc_id", "th", F.col("sid").alias("fp"))
