@@ -453,11 +453,14 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     keep = best.join(label, "fp").groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
     keep = cut(keep)
     own = {c: clear_name(docs, c) for c in ("k_id", "k_th")}
-    keep = keep.select(*(F.col(a).alias(b) for a, b in own.items()))
-    same = docs[doc_id].cast("bigint").eqNullSafe(keep[own["k_id"]]) & (F.xxhash64(docs[text]) == keep[own["k_th"]])
-    out = docs.join(keep, same, "left_semi")
+    k = keep.select(F.col("k_id").alias("a"), F.col("k_th").alias("b"))
+    rest = prints.join(k, F.col("doc_id").eqNullSafe(k["a"]) & (F.col("th") == k["b"]), "left_anti").select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
+    # The smaller of both lists meets the texts: texts are only moved where what goes is too much to broadcast.
+    few = rest.limit(set_join.BROADCAST + 1).count() <= set_join.BROADCAST
+    listed = (F.broadcast(rest.distinct()) if few else keep).select(*(F.col(a).alias(b) for a, b in own.items()))
+    same = docs[doc_id].cast("bigint").eqNullSafe(listed[own["k_id"]]) & (F.xxhash64(docs[text]) == listed[own["k_th"]])
+    out = docs.join(listed, same, "left_anti" if few else "left_semi")
     rows = prints.groupBy("doc_id", "th").count().where("count > 1")
-    k = keep.select(F.col(own["k_id"]).alias("a"), F.col(own["k_th"]).alias("b"))
     if rows.join(k, rows["doc_id"].eqNullSafe(k["a"]) & (rows["th"] == k["b"]), "left_semi").limit(1).count():
         out = out.dropDuplicates([doc_id, text])  # rows with the same id and text
     return out
