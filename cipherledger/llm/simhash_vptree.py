@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from . import set_join
-from .common import clear_name, components, cut, stored, table
+from .common import clear_name, components, cut, table
 from .packed import tidy
 
 RADIUS = 3
@@ -389,8 +389,8 @@ def confirmed_texts(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words:
     pairs = cut(pairs.select("a", "b").distinct())
     ids = cut(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct())
     of = cut(set_join.chosen(prints, ids, "sid").groupBy("sid").agg(F.min("th").alias("th")))
-    texts = set_join.chosen(rows, of.select("th").distinct(), "th").select("th", "text").dropDuplicates(["th"])
-    held = stored(of.join(texts, "th").select("sid", "text"), "candidates")
+    few = of.count() <= set_join.BROADCAST
+    texts = rows.select("th", "text").join(F.broadcast(of) if few else of, "th").groupBy("sid").agg(F.first("text").alias("text"))
 
     @tidy
     def run(batches):
@@ -411,7 +411,8 @@ def confirmed_texts(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words:
                 near.append(both >= jaccard / (1 + jaccard) * (len(x) + len(y)) - set_join.EDGE)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    # both sides read one exchange of the texts by sid
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
