@@ -58,7 +58,7 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-HEAVY = 10_000
+HEAVY = 100_000  # edges of a node that one task may take: 1.6 MB
 
 
 def _by_node(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
