@@ -12,6 +12,7 @@ from . import (
     simhash_vptree,
     source_mixing,
     spotsigs,
+    substring_dedup,
     tiered_shards,
 )
 
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_tiered_shards": tiered_shards.op8_tiered_shards,
     "op9_spotsigs": spotsigs.op9_spotsigs,
     "op10_secret_linking": secret_linking.op10_secret_linking,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
 }
 
 ORACLE_SQL = {
     "op2_pivot_topk": pivot_topk.ORACLE,
     "op10_secret_linking": secret_linking.ORACLE,
+    "op12_substring_dedup": substring_dedup.ORACLE,
 }
