@@ -23,7 +23,6 @@ no other column can clash. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,34 +65,186 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class _Part:
-    """The places of one part: ``spelled(depth, at)`` is the phrase of at most ``depth`` words at each of these places."""
+    """Up to ``PLACES`` places of one language; the word at each and those behind it in its piece."""
 
     def __init__(self, words: pa.Array, left: np.ndarray, start: int, longest: int):
         self.n = min(PLACES, len(words) - start)
         d = words.slice(start, self.n + longest - 1).dictionary_encode()
-        codes = d.indices.to_numpy().astype(np.int64) + 1
-        self.words = d.dictionary
+        self.words = pa.concat_arrays([pa.array([""]), d.dictionary])
+        ahead = np.r_[d.indices.to_numpy().astype(np.int64) + 1, np.zeros(longest, np.int64)]
         left = left[start : start + self.n]
-        pad = np.r_[codes, np.zeros(longest, np.int64)]
-        self.codes = [np.where(left > k, pad[k : k + self.n], 0) for k in range(longest)]
-
-    def counted(self, depth: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """One place of each different phrase of ``depth`` words or fewer, where its piece ends, and their counts."""
-        bits = max(1, int(len(self.words) + 1).bit_length())
-        rows = np.arange(self.n) if at is None else at
-        key = np.zeros(len(rows), np.int64)
-        for first in range(0, depth, 63 // bits):  # as many words as fit 63 bits, then their ranks
-            if first:
+        self.codes = [np.where(left > k, ahead[k : k + self.n], 0) for k in range(longest)]
+
+    def counted(self, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each different phrase of ``depth`` words (fewer at a piece's end) that starts ``at``, and their counts."""
+        size, key, bits = len(self.words).bit_length(), np.zeros(len(at), np.int64), 0
+        for k in range(depth):
+            if bits + size > 63:  # ranks take the place of the words so far
                 key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-                bits_key = int(key.max(initial=0) + 1).bit_length()
-                if bits_key + bits > 63:
-                    raise OverflowError("too many different words in one part")
-            for k in range(first, min(depth, first + 63 // bits)):
-                key = key << bits | self.codes[k][rows]
+                bits = len(at).bit_length()
+            key, bits = key << size | self.codes[k][at], bits + size
         _, one, count = np.unique(key, return_index=True, return_counts=True)
-        return rows[one], count
-
-    def spelled(self, depth: int, at: np.ndarray) -> list[pa.Array]:
-        """The words of the phrases, "" behind a piece's end."""
-        words = pa.concat_arrays([pa.array([""]), self.words])
-        return [words.take(pa.array(self.codes[k][at])) for k in range(depth)]
+        return at[one], count
+
+    def spelled(self, depth: int, at: np.ndarray) -> pa.Array:
+        """The words of the phrases with a space between two; behind a piece's end they are empty."""
+        return pc.binary_join_element_wise(*(self.words.take(pa.array(self.codes[k][at])) for k in range(depth)), " ")
+
+    def growing(self, depth: int, at: np.ndarray) -> np.ndarray:
+        return at[self.codes[depth - 1][at] > 0]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[str, _Part]]:
+    for t in _gathered(batches):
+        for lang in pc.unique(t["lang"]).to_pylist():
+            words, left = _words(t.filter(pc.equal(t["lang"], lang))["text"].combine_chunks())
+            for start in range(0, len(words), PLACES):
+                yield lang, _Part(words, left, start, longest)
+
+
+def _batch(lang: str, phrase: pa.Array, n: np.ndarray, depth: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, phrase, pa.array(n.astype(np.int64)), pa.array(depth.astype(np.int8))], ["lang", "phrase", "n", "depth"])
+
+
+def heavy(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """The phrases with at least 1 / (2 ``SHARE``) of a part's places (``depth`` words), and its places (depth 0)."""
+    for lang, part in _parts(batches, longest):
+        yield _batch(lang, pa.array([""]), np.array([part.n]), np.zeros(1))
+        at = np.arange(part.n)
+        for depth in range(1, longest + 1):
+            one, count = part.counted(depth, at := part.growing(depth, at))
+            some = count * 2 * SHARE >= part.n
+            yield _batch(lang, part.spelled(depth, one[some]), count[some], np.full(some.sum(), depth))
+            alive = np.isin(part.codes[0][at], part.codes[0][one[some]])
+            at = at[alive]
+
+
+def projected(batches: Iterator[pa.RecordBatch], longest: int, hot: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
+    """The places of each part by the words from there on. depth: how many words name the task that takes the row."""
+    for lang, part in _parts(batches, longest):
+        at, count = part.counted(longest, np.arange(part.n))
+        depth, grown = np.ones(len(at), np.int64), np.arange(len(at))
+        known = pa.array(hot.get(lang, []), pa.string())
+        for d in range(1, longest):
+            grown = grown[pc.is_in(part.spelled(d, at[grown]), value_set=known).to_numpy(zero_copy_only=False)] if len(known) else grown[:0]
+            depth[grown] = d + 1
+        yield _batch(lang, part.spelled(longest, at), count, depth)
+
+
+def grown(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The phrases with ``least`` occurrences or more, from projected rows in their order: ``lang, phrase, n``. Of prefixes
+    grown before they were dealt, all counts. The last row, with the counts of its prefixes so far, is what is held."""
+
+    def closed(t: pa.Table, counts: list[np.ndarray], last: bool):
+        lang, phrase, depth = t["lang"].combine_chunks(), t["phrase"].combine_chunks(), t["depth"].to_numpy()
+        flat = pc.split_pattern(phrase, " ").flatten()
+        new = pc.not_equal(lang.slice(1), lang.slice(0, len(lang) - 1)).to_numpy(zero_copy_only=False)
+        carried, prefix = [], []
+        for d in range(1, longest + 1):
+            word = flat.take(pa.array(np.arange(d - 1, len(flat), longest)))
+            new = new | pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            start = np.r_[0, np.flatnonzero(new) + 1]
+            total = np.add.reduceat(counts[d - 1], start)
+            carried.append(total[-1:])
+            prefix.append(word)
+            pick = ((total >= least) | (depth[start] > d)) & pc.not_equal(word.take(pa.array(start)), "").to_numpy(zero_copy_only=False)
+            pick[-1] &= last
+            at = pa.array(start[pick])
+            out.append(pa.RecordBatch.from_arrays([lang.take(at), pc.binary_join_element_wise(*(w.take(at) for w in prefix), " "), pa.array(total[pick])], ["lang", "phrase", "n"]))
+        return carried
+
+    held, carried = None, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        out: list[pa.RecordBatch] = []
+        t = pa.Table.from_batches([b])
+        n = t["n"].to_numpy()
+        counts = [n] * longest
+        if held is not None:
+            t = pa.concat_tables([held, t])
+            counts = [np.concatenate([c, n]) for c in carried]
+        carried = closed(t, counts, False)
+        held = t.slice(t.num_rows - 1)
+        yield from out
+    if held is not None:
+        out = []
+        closed(held, carried, True)
+        yield from out
+
+
+def patterns(rows: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``rows(lang, text)``: ``lang, phrase, f`` of all phrases of up to ``longest`` words with ``least`` occurrences or more,
+    and ``lang, n``, the places of each language."""
+    shape = "lang string, phrase string, n long, depth byte"
+    found = stored(rows.mapInArrow(tidy(lambda it: heavy(it, longest)), shape).groupBy("lang", "phrase", "depth").agg(F.sum("n").alias("n")), "phrase-heavy")
+    totals = found.where("depth = 0").select("lang", "n")
+    places = totals.agg(F.sum("n")).first()[0] or 0
+    hot: dict[str, list[str]] = {}
+    for r in found.where(f"depth > 0 and depth < {longest} and n * {2 * SHARE} >= {places}").select("lang", "phrase").collect():  # 2 SHARE rows a length
+        hot.setdefault(r.lang, []).append(r.phrase)
+    dealt = rows.mapInArrow(tidy(lambda it: projected(it, longest, hot)), shape)
+    tasks = dealt.repartition(F.expr("xxhash64(lang, substring_index(phrase, ' ', cast(depth as int)))"))
+    own = tasks.sortWithinPartitions("lang", "phrase").mapInArrow(tidy(lambda it: grown(it, longest, least)), "lang string, phrase string, n long")
+    return own.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), totals
+
+
+def _words_of(c: Column | str) -> Column:
+    return F.split(c, " ")
+
+
+def scored(found: DataFrame) -> DataFrame:
+    """``lang, phrase, a, l, r, score`` of the phrases of two words or more of ``found(lang, phrase, f)``, by their lowest cut."""
+    cand = found.select("lang", "phrase", F.col("f").alias("a"), _words_of("phrase").alias("w")).where("size(w) > 1")
+    cuts = cand.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
+    cuts = cuts.select("lang", "phrase", "a", "k", F.expr("array_join(slice(w, 1, k), ' ')").alias("first"), F.expr("array_join(slice(w, k + 1, size(w)), ' ')").alias("rest"))
+    for part, count in (("first", "l"), ("rest", "r")):
+        cuts = cuts.join(found.select("lang", F.col("phrase").alias(part), F.col("f").alias(count)), ["lang", part])
+    wide = lambda c: f"cast({c} as decimal(15,0))"
+    cuts = cuts.withColumn("score", F.expr(f"(1000000 * {wide('a')} * {wide('a')}) div ({wide('l')} * {wide('r')})"))
+    best = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    return best.select("lang", "phrase", "a", "b.l", "b.r", "b.score")
+
+
+def uncovered(cand: DataFrame, within: int) -> DataFrame:
+    """``cand(lang, phrase, a)`` without phrases inside a longer one that has ``within`` hundredths of their occurrences."""
+    longer = cand.select("lang", F.col("a").alias("f"), _words_of("phrase").alias("w")).where("size(w) > 2")
+    inner = F.expr("flatten(transform(sequence(2, size(w) - 1), n -> transform(sequence(1, size(w) - n + 1), i -> array_join(slice(w, i, n), ' '))))")
+    most = longer.select("lang", "f", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("f"))
+    return cand.join(most, ["lang", "phrase"], "left").where(f"f is null or 100 * f < {within} * a").drop("f")
+
+
+def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, top: int = TOP, within: int = WITHIN) -> DataFrame:
+    """``lang, rank, phrase, a, l, r, n, score``: the best phrases of each language."""
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    found, totals = patterns(rows, longest, least)
+    left = uncovered(scored(stored(found, "phrase-patterns")), within)
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
+    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of two or three words of every language of all whole documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS ph FROM w, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, ph, count(*) AS f FROM o GROUP BY ALL), n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, ph, f AS a, string_split(ph, ' ') AS w FROM f WHERE k > 1 AND f >= {LEAST}),
+parts AS (SELECT lang, k, ph, a, x, array_to_string(w[1:x], ' ') AS p1, array_to_string(w[x + 1:k], ' ') AS p2 FROM c, (VALUES (1), (2)) AS xs(x) WHERE x < k),
+cuts AS (SELECT parts.lang, parts.k, parts.ph, a, x, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM parts JOIN f AS l ON l.lang = parts.lang AND l.ph = p1 JOIN f AS r ON r.lang = parts.lang AND r.ph = p2),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, x) = 1),
+longer AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS ph, a FROM c WHERE k = 3),
+inside AS (SELECT lang, ph, max(a) AS most FROM longer GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN inside AS i ON i.lang = s.lang AND i.ph = s.ph AND s.k = 2 WHERE most IS NULL OR 100 * most < {WITHIN} * a),
+best AS (SELECT lang, ph AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank FROM kept)
+SELECT best.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN n ON n.lang = best.lang WHERE rank <= {TOP}
+"""

@@ -6,11 +6,13 @@ from . import (
     kn_toxicity,
     language_id,
     license_scan,
+    phrase_mining,
     pivot_topk,
     secret_linking,
     sentencepiece_codec,
     simhash_vptree,
     source_mixing,
+    spelling_variants,
     spotsigs,
     substring_dedup,
     tiered_shards,
@@ -27,11 +29,14 @@ QUERIES = {
     "op8_tiered_shards": tiered_shards.op8_tiered_shards,
     "op9_spotsigs": spotsigs.op9_spotsigs,
     "op10_secret_linking": secret_linking.op10_secret_linking,
+    "op11_phrase_mining": phrase_mining.op11_phrase_mining,
     "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
     "op2_pivot_topk": pivot_topk.ORACLE,
     "op10_secret_linking": secret_linking.ORACLE,
+    "op11_phrase_mining": phrase_mining.ORACLE,
     "op12_substring_dedup": substring_dedup.ORACLE,
 }
