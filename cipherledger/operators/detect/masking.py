@@ -27,33 +27,132 @@ def masked(text: str, lang: str) -> tuple[str, str]:
     return _MASKERS[lang].sub(code, text), _MASKERS[lang].sub(live, text)
 
 
-def calls(code: str, live: str, limit: int = 20_000):
-    """``(name, arguments, offset, receiver)`` of each call; arguments are the live texts between top-level commas."""
-    n = 0
-    for m in re.finditer(r"((?:new\s+)?[A-Za-z_$][\w$]*(?:\s*(?:\.|::|->)\s*[A-Za-z_$][\w$]*)*)\s*\(", code):
-        n += 1
-        if n > limit:
-            return
-        depth, i, start, args = 1, m.end(), m.end(), []
-        while i < len(code) and depth:
-            c = code[i]
-            if c in "([{":
-                depth += 1
-            elif c in ")]}":
-                depth -= 1
-            elif c == "," and depth == 1:
-                args.append(live[start:i].strip())
-                start = i + 1
-            i += 1
-        last = live[start : i - 1].strip()
-        yield re.sub(r"\s+", "", m[1].replace("new ", "new:")).replace("::", ".").replace("->", "."), args + ([last] if last else []), m.start()
-
-
-def literal(arg: str) -> str | None:
+_CHAIN = r"(?:new\s+)?[A-Za-z_$][\w$]*(?:\s*(?:\.|::|->)\s*[A-Za-z_$][\w$]*)*"
+_PART = re.compile(rf"(?P<chain>{_CHAIN})|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<cut>,)|(?P<end>;|\n)|(?P<set>:=|(?<![=!<>+\-*/%&|^])=(?![=>]))")
+_PAIR = {")": "(", "]": "[", "}": "{"}
+_KEY = re.compile(r"""\s*(?:(["'])(?P<quoted>[^"'\n]*)\1|(?P<plain>[\w$]+))\s*:(?!:)\s*""")
+
+
+class Span:
+    """A bracket pair of a text: what it holds between its top-level commas, the name before it, and how it is used."""
+
+    __slots__ = ("kind", "name", "at", "start", "end", "cuts", "inner", "target", "receiver", "_live")
+
+    def __init__(self, kind, name, at, start, live):
+        self.kind, self.name, self.at, self.start, self._live = kind, name, at, start, live
+        self.end, self.cuts, self.inner, self.target, self.receiver = len(live), [], [], None, None
+
+    def bounds(self) -> list[tuple[int, int]]:
+        edges = [self.start, *(c + 1 for c in self.cuts)]
+        return list(zip(edges, [*self.cuts, self.end]))
+
+    @property
+    def args(self) -> list[str]:
+        """The texts between the commas, the last one only if there is something."""
+        got = [self._live[a:b].strip() for a, b in self.bounds()]
+        return got if got[-1] else got[:-1]
+
+    @property
+    def first(self) -> str | None:
+        """The string literal that is the first argument."""
+        a, b = self.bounds()[0]
+        return literal(self._live[a:b]) if b - a <= 400 else None
+
+    def within(self, i: int, kind: str = "{") -> Span | None:
+        """The first bracket of a kind that stands directly in the i-th argument."""
+        if i >= len(self.cuts) + 1:
+            return None
+        a, b = self.bounds()[i]
+        return next((x for x in self.inner if x.kind == kind and a <= x.start <= b), None)
+
+    def properties(self) -> dict[str, tuple[str, Span | None]]:
+        """Of an object: each key's value, as text and as the bracket that it is (or begins with)."""
+        out = {}
+        for i, (a, b) in enumerate(self.bounds()):
+            m = _KEY.match(self._live, a, b)
+            if m:
+                child = next((x for x in self.inner if m.end() <= x.start <= b), None)
+                out.setdefault(m["quoted"] if m["plain"] is None else m["plain"], (self._live[m.end() : b].strip(), child))
+        return out
+
+    def prop(self, *path: str) -> str | None:
+        """The text of a property, or of a property of a property."""
+        at: Span | None = self
+        text = None
+        for key in path:
+            if at is None or key not in (have := at.properties()):
+                return None
+            text, at = have[key]
+        return text
+
+
+def spans(code: str, live: str) -> list[Span]:
+    """All brackets of a text in the order of their starts, from one pass with a stack; its work is linear in the text."""
+    out: list[Span] = []
+    stack: list[Span] = []
+    chain = closed = None  # the last name, the last bracket closed
+    first = last = None  # names of the statement: before its first comma, and the last
+    target = eq = None
+    for m in _PART.finditer(code):
+        kind, text = m.lastgroup, m[0]
+        if kind == "chain":
+            receiver = closed if closed and code[closed.end + 1 : m.start()].strip() in (".", "?.", "->", "::") else None
+            chain, last = (m.start(), m.end(), text, receiver), text
+        elif kind == "open":
+            named = chain if chain and not code[chain[1] : m.start()].strip() else None
+            name = re.sub(r"\s+", "", re.sub(r"^new\s+", "new:", named[2])).replace("::", ".").replace("->", ".") if named else None
+            span = Span(text, name, named[0] if named else m.start(), m.end(), live)
+            span.receiver = named[3] if named else None
+            if target and re.fullmatch(r"\s*(?:await\s+|&\s*|\(\s*[\w.<>]+\s*\)\s*)?", code[eq : span.at]):
+                span.target = target
+            elif span.receiver is not None:
+                span.target = span.receiver.target  # a chain of calls
+            if stack:
+                stack[-1].inner.append(span)
+            stack.append(span)
+            out.append(span)
+            chain = closed = None
+            if text == "{":
+                first = last = target = None
+        elif kind == "close":
+            while stack and stack[-1].kind != _PAIR[text]:
+                stack.pop().end = m.start()  # unbalanced text
+            if stack:
+                closed = stack.pop()
+                closed.end = m.start()
+            chain = None
+            if text == "}":
+                first = last = target = None
+        elif kind == "cut":
+            if stack:
+                stack[-1].cuts.append(m.start())
+            first = first or last
+        elif kind == "set":
+            target, eq = (first or last), m.end()
+            first = last = None
+        else:
+            if text == ";" or not (target and not code[eq : m.start()].strip()):
+                target = None
+            first = last = None
+            chain = None if text == ";" else chain
+    return out
+
+
+def calls(code: str, live: str, limit: int = 20_000) -> list[Span]:
+    """The brackets that are calls, with ``name``, ``args``, ``at``, ``target`` (the variable that takes the result) and
+    ``receiver`` (the call whose result it is called on)."""
+    return [x for x in spans(code, live) if x.kind == "(" and x.name][:limit]
+
+
+def literal(arg: str | None) -> str | None:
+    if arg is None:
+        return None
     m = re.fullmatch(r"""\s*(["'`])(.*?)\1\s*""", arg, re.S)
     return m[2] if m else None
 
 
-def integer(arg: str) -> int | None:
+def integer(arg: str | None) -> int | None:
+    if arg is None:
+        return None
     m = re.search(r"(?<![\w.])(0[xX][0-9a-fA-F]+|\d[\d_]*)(?![\w.])", arg)
     return int(m[1].replace("_", ""), 0) if m and not re.fullmatch(r"0\d+", m[1]) else None

@@ -67,6 +67,12 @@ def jwt(alg: str) -> dict | None:
     return {"family": "Ed25519", "key_size": None, "curve": "ed25519"} if a == "EDDSA" else None
 
 
+def canonical(f: dict) -> str:
+    """The display name: family, then size, curve and mode where they are known (RSA-1024, AES-256-GCM)."""
+    parts = [f["family"], f.get("key_size"), f.get("curve") if f["family"] not in ("Ed25519", "Ed448", "X25519", "X448") else None, f.get("mode")]
+    return "-".join(str(x) for x in parts if x)
+
+
 def tls(name: str) -> str | None:
     n = re.sub(r"[^a-z0-9]", "", name.lower())
     for p, v in (("tlsv?13", "TLS1.3"), ("tlsv?12", "TLS1.2"), ("tlsv?11", "TLS1.1"), ("sslv?3|ssl30", "SSLv3"), ("sslv?2(?!3)", "SSLv2"), ("tlsv?1(?:0)?$", "TLS1.0")):

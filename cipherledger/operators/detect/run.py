@@ -11,13 +11,14 @@ from ...functions import text as X
 from ...runtime import ship
 from . import material, source
 
-FIELDS = ["file", "line", "evidence", "detector", "confidence", "kind", "family", "name", "key_size", "curve", "mode", "padding", "not_after", "error"]
-SCHEMA = "file string, line int, evidence string, detector string, confidence string, kind string, family string, name string, key_size int, curve string, mode string, padding string, not_after string, error string"
-_TYPES = pa.schema([(n, pa.int32() if n in ("line", "key_size") else pa.string()) for n in FIELDS])
+FIELDS = ["file", "line", "evidence", "detector", "confidence", "kind", "family", "name", "key_size", "curve", "mode", "padding", "not_after", "extra", "error"]
+SCHEMA = "file string, line int, evidence string, detector string, confidence string, kind string, family string, name string, key_size int, curve string, mode string, padding string, not_after string, extra map<string,string>, error string"
+_ARROW = {"line": pa.int32(), "key_size": pa.int32(), "extra": pa.map_(pa.string(), pa.string())}
+_TYPES = pa.schema([(n, _ARROW.get(n, pa.string())) for n in FIELDS])
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{n: r.get(n) for n in FIELDS} for r in rows], _TYPES)
+    return pa.RecordBatch.from_pylist([{n: list((r.get(n) or {}).items()) or None if n == "extra" else r.get(n) for n in FIELDS} for r in rows], _TYPES)
 
 
 def sources(files: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ import ast
 import re
 
 from . import names as N
-from .masking import calls, integer, literal, masked
+from .masking import Span, integer, literal, masked, spans
 
 
 def _finding(line, evidence, detector, f, confidence="high", kind="algorithm"):
-    return {"line": line, "evidence": re.sub(r"\s+", " ", evidence).strip()[:180], "detector": detector, "confidence": confidence, "kind": kind, "family": f["family"], "name": f.get("name") or f["family"], "key_size": f.get("key_size"), "curve": f.get("curve"), "mode": f.get("mode"), "padding": f.get("padding")}
+    extra = {k: str(v) for k, v in (f.get("extra") or {}).items() if v is not None}
+    plain = {k: f.get(k) for k in ("family", "key_size", "curve", "mode", "padding")}
+    return plain | {"line": line, "evidence": re.sub(r"\s+", " ", evidence).strip()[:180], "detector": detector, "confidence": f.get("confidence", confidence), "kind": kind, "name": f.get("name") or N.canonical(f), "extra": extra or None}
 
 
 # --- Python -----------------------------------------------------------------------------------------------------------
@@ -25,14 +27,17 @@ _PY_KDF = {"PBKDF2HMAC": "PBKDF2", "pbkdf2_hmac": "PBKDF2", "PBKDF2": "PBKDF2",
 class _Python(ast.NodeVisitor):
     def __init__(self, text: str):
         self.lines, self.alias, self.const, self.out, self.used = text.split("\n"), {}, {}, [], set()
+        self.refs, self.taken, self.imported = [], set(), set()
 
     def visit_Import(self, node):
         for a in node.names:
             self.alias[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+            self.imported.add(a.asname or a.name.split(".")[0])
 
     def visit_ImportFrom(self, node):
         for a in node.names:
             self.alias[a.asname or a.name] = f"{node.module or ''}.{a.name}"
+            self.imported.add(a.asname or a.name)
 
     def visit_Assign(self, node):
         if len(node.targets) == 1 and isinstance(node.targets[0], ast.Name) and isinstance(node.value, ast.Constant):
@@ -62,18 +67,26 @@ class _Python(ast.NodeVisitor):
                 return k.value
         return node.args[i] if i is not None and i < len(node.args) else None
 
+    def take(self, node):
+        """What a call's finding already tells is no finding of its own."""
+        while node is not None:
+            self.taken.add(id(node))
+            node = node.func if isinstance(node, ast.Call) else node.value if isinstance(node, ast.Attribute) else None
+
     def add(self, node, f, **how):
         self.out.append(_finding(node.lineno, self.lines[node.lineno - 1], "python", f, **how))
 
     def hash_of(self, node):
         if node is None:
             return None
+        self.take(node)
         d = self.dotted(node.func if isinstance(node, ast.Call) else node)
         return N.digest(d.rsplit(".", 1)[-1]) if d else N.digest(node.value) if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
     def visit_Call(self, node):
         name = self.dotted(node.func)
         root, last = name.split(".")[0], name.rsplit(".", 1)[-1]
+        self.take(node.func)
         if root in _PY_CRYPTO:
             self.crypto(node, name, last)
         elif p := (N.pqc(name) if name else None):
@@ -85,7 +98,7 @@ class _Python(ast.NodeVisitor):
         if name.startswith("hashlib."):
             f = N.digest(str(self.value(self.arg(node, 0, "name")) or "")) if last == "new" else N.digest(last)
             if last in _PY_KDF:
-                f = {"family": _PY_KDF[last]}
+                f = self.kdf(node, last)
             if f:
                 self.add(node, f)
         elif name.startswith("hmac."):
@@ -97,6 +110,7 @@ class _Python(ast.NodeVisitor):
             self.add(node, {"family": "DH" if ".dh." in name else "DSA", "key_size": size})
         elif re.search(r"\.ec\.generate_private_key$|\.ECC\.generate$", name):
             c = self.arg(node, 0, "curve")
+            self.take(c)
             d = self.dotted(c.func if isinstance(c, ast.Call) else c) if c is not None else ""
             self.add(node, {"family": "ECDSA", "curve": N.curve(d.rsplit(".", 1)[-1] or str(self.value(c) or ""))})
         elif last in ("ECDSA", "ECDH") and ".ec." in name:
@@ -107,6 +121,8 @@ class _Python(ast.NodeVisitor):
             self.add(node, {"family": "Ed25519" if name.startswith("nacl") else "ECDSA"})
         elif last == "Cipher" and ".ciphers." in name:
             a, m = self.arg(node, 0, "algorithm"), self.arg(node, 1, "mode")
+            self.take(a)
+            self.take(m)
             if isinstance(a, ast.Call):
                 self.used.add(id(a))
                 alg, mode = self.dotted(a.func).rsplit(".", 1)[-1], self.dotted(m.func).rsplit(".", 1)[-1] if isinstance(m, ast.Call) else None
@@ -119,6 +135,7 @@ class _Python(ast.NodeVisitor):
             self.add(node, {"family": _PY_CIPHERS[last]})
         elif last == "new" and (c := name.split(".")[-2]) in _PY_CIPHERS and name.startswith(("Crypto.", "Cryptodome.")):
             m = self.arg(node, 1, "mode")
+            self.take(m)
             mode = re.sub("^MODE_", "", self.dotted(m).rsplit(".", 1)[-1]) if m is not None else None
             self.add(node, {"family": _PY_CIPHERS[c], "mode": mode or None})
         elif ".hashes." in name or ".Hash." in name:
@@ -126,18 +143,19 @@ class _Python(ast.NodeVisitor):
             if h:
                 self.add(node, h)
         elif last in _PY_KDF:
-            self.add(node, {"family": _PY_KDF[last]})
+            self.add(node, self.kdf(node, last))
         elif last in ("PKCS1v15", "OAEP", "PSS") and "padding" in name:
             self.add(node, {"family": "RSA", "name": f"RSA-{last}", "padding": last})
         elif name.startswith(("jwt.", "jose.")) and last in ("encode", "decode"):
             a = self.arg(node, 2, "algorithm", "algorithms")
             for v in a.elts if isinstance(a, (ast.List, ast.Tuple)) else [a]:
-                j = N.jwt(str(self.value(v) or "")) if v is not None else None
-                if j:
+                said = str(self.value(v) or "") if v is not None else ""
+                if j := N.jwt(said) or (JWT_NONE if said.lower() == "none" else None):
                     self.add(node, j)
         elif name.startswith("ssl.") and last in ("SSLContext", "wrap_socket", "create_default_context"):
             v = self.arg(node, 0 if last == "SSLContext" else None, "ssl_version")
             t = N.tls(self.dotted(v)) if v is not None else None
+            self.take(v)
             self.add(node, {"family": t or "TLS"}, kind="protocol")
         elif last == "set_ciphers" and isinstance(s := self.value(self.arg(node, 0)), str):
             for part in s.split(":"):
@@ -146,134 +164,316 @@ class _Python(ast.NodeVisitor):
         elif name.startswith("oqs.") and isinstance(s := self.value(self.arg(node, 0)), str) and (p := N.pqc(s)):
             self.add(node, p)
 
+    def kdf(self, node, last):
+        n = self.value(self.arg(node, 3 if last == "pbkdf2_hmac" else 1 if last == "PBKDF2" else None, "iterations", "count"))
+        if _PY_KDF[last] == "PBKDF2":
+            self.take(self.arg(node, 0, "algorithm", "hmac_hash_module", "hash_name"))
+        return {"family": _PY_KDF[last], "extra": {"iterations": n if isinstance(n, int) else None}}
+
     def visit_Attribute(self, node):
-        name = self.dotted(node)
-        if name.startswith("ssl.TLSVersion.") and (t := N.tls(name.rsplit(".", 1)[-1])):
-            self.add(node, {"family": t}, kind="protocol")
-        self.generic_visit(node)
+        self.refs.append(node)  # the whole chain; its parts are no references of their own
+        inner = node
+        while isinstance(inner, ast.Attribute):
+            inner = inner.value
+        if not isinstance(inner, ast.Name):
+            self.visit(inner)
+
+    def visit_Name(self, node):
+        if isinstance(node.ctx, ast.Load) and node.id in self.imported:
+            self.refs.append(node)
+
+    def references(self):
+        """Names of algorithms that are passed, assigned or returned rather than called; those a call took are left out."""
+        for node in self.refs:
+            if id(node) not in self.taken and (f := self.reference(self.dotted(node))):
+                kind = "protocol" if f["family"].startswith(("TLS", "SSL")) else "algorithm"
+                self.add(node, f, confidence=f.get("confidence", "medium"), kind=kind)
+
+    def reference(self, name: str) -> dict | None:
+        parts = name.split(".")
+        last, owner, known = parts[-1], parts[-2] if len(parts) > 1 else "", parts[0] in _PY_CRYPTO
+        if ("ssl" in parts or owner == "TLSVersion") and (t := N.tls(last)):
+            return {"family": t, "confidence": "high"}
+        if p := next((p for x in parts if re.fullmatch(_PY_PQC, x, re.I) and (p := N.pqc(x))), None):
+            return p | {"confidence": "high" if known else "medium"}
+        if not known:
+            return None
+        if owner in _PY_KEYS or last in _PY_KEYS or last.replace("Public", "Private") in _PY_KEYS:
+            return {"family": _PY_KEYS.get(owner) or _PY_KEYS[last.replace("Public", "Private")]}
+        if owner in ("hashlib", "hashes", "Hash"):
+            return N.digest(last)
+        if owner == "ec" and (c := N.curve(last)):
+            return {"family": "ECDSA", "curve": c}
+        if owner == "algorithms" and last in _PY_CIPHERS:
+            return {"family": _PY_CIPHERS[last]}
+        return None
+
+
+JWT_NONE = {"family": "JWT", "name": "JWT-none", "extra": {"alg": "none"}}
+_PY_PQC = r"(ml_?kem|kyber|ml_?dsa|dilithium|slh_?dsa|sphincs|falcon|fn_?dsa|frodokem|hqc|mceliece|bike)[_\d]*\w*"
 
 
 def python(text: str) -> list[dict]:
     v = _Python(text)
     v.visit(ast.parse(text))
-    return v.out
+    v.references()
+    return sorted(v.out, key=lambda f: f["line"])
 
 
 # --- C family -----------------------------------------------------------------------------------------------------------
 
 
-def _js(name, args):
-    last, first = name.rsplit(".", 1)[-1], literal(args[0]) if args else None
+# Names of the WebCrypto and Node key types.
+_WEB = {"RSA-OAEP": "RSA", "RSA-PSS": "RSA", "RSASSA-PKCS1-V1_5": "RSA", "ECDSA": "ECDSA", "ECDH": "ECDH", "HMAC": "HMAC", "PBKDF2": "PBKDF2", "HKDF": "HKDF", "ED25519": "Ed25519", "X25519": "X25519"}
+_NODE_KEYS = {"rsa": "RSA", "rsa-pss": "RSA", "dsa": "DSA", "dh": "DH", "ec": "EC", "ed25519": "Ed25519", "ed448": "Ed448", "x25519": "X25519", "x448": "X448"}
+_JS_TLS = ("createServer", "createSecureContext", "connect", "request", "get", "Agent", "createSecurePair")
+
+
+def _suites(listed: str, split: str = ":") -> list[dict]:
+    out = []
+    for part in listed.split(split):
+        part = part.strip().lstrip("!+-")
+        if part and (c := N.cipher(part.split("-")[-1] if part.startswith("RC4") else re.sub(r"^(?:TLS_|ECDHE-|DHE-|RSA-|ECDSA-)*", "", part))):
+            out.append(c | {"confidence": "medium"})
+    return out
+
+
+def _web(c: Span) -> list[dict]:
+    """A WebCrypto call: the algorithm is a string or an object with a name and its parameters."""
+    o = c.within(0)
+    alg = (literal(o.prop("name")) if o else c.first) or ""
+    if d := N.digest(alg):
+        return [d]
+    size = integer(o.prop("modulusLength") or o.prop("length")) if o else None
+    if m := re.fullmatch(r"AES-(\w+)", alg, re.I):
+        return [{"family": "AES", "mode": m[1].upper(), "key_size": size}]
+    fam = _WEB.get(alg.upper())
+    if not fam:
+        return []
+    inner = N.digest(literal(o.prop("hash")) or literal(o.prop("hash", "name")) or "") if o else None
+    curve = N.curve(literal(o.prop("namedCurve"))) if o else None
+    more = {"iterations": integer(o.prop("iterations")) if o else None, "hash": inner and (inner.get("name") or inner["family"])}
+    f = {"family": fam, "curve": curve, "padding": {"RSA-OAEP": "OAEP", "RSA-PSS": "PSS", "RSASSA-PKCS1-V1_5": "PKCS1v15"}.get(alg.upper()), "extra": more}
+    return [f | {"key_size": size if fam in ("RSA", "HMAC") else None}]
+
+
+def _tls_options(o: Span) -> list[dict]:
+    """Versions and cipher lists of an options object."""
+    out = []
+    for key in ("minVersion", "maxVersion", "secureProtocol"):
+        v = literal(o.prop(key))
+        if v and (t := N.tls(v.replace("_method", ""))):
+            out.append({"family": t, "kind": "protocol", "extra": {"option": key}})
+    return out + _suites(literal(o.prop("ciphers")) or "")
+
+
+def _js(c: Span):
+    name, first = c.name, c.first
+    last = name.rsplit(".", 1)[-1].removeprefix("new:")
     if last in ("createHash", "createHmac") and first and (d := N.digest(first)):
         return [d if last == "createHash" else {"family": "HMAC", "name": f"HMAC-{d['family']}", "key_size": d["key_size"]}]
-    if last in ("createCipheriv", "createDecipheriv", "createCipher", "createDecipher") and first and (c := N.cipher(first)):
-        return [c]
+    if last in ("createCipheriv", "createDecipheriv", "createCipher", "createDecipher") and first and (f := N.cipher(first)):
+        return [f]
+    if last in ("pbkdf2", "pbkdf2Sync"):
+        args = c.args
+        d = N.digest(literal(args[4]) or "") if len(args) > 4 else None
+        return [{"family": "PBKDF2", "extra": {"iterations": integer(args[2]) if len(args) > 2 else None, "hash": d and (d.get("name") or d["family"])}}]
+    if last in ("scrypt", "scryptSync", "hkdf", "hkdfSync") and ("." in name or last.endswith("Sync")):
+        return [{"family": "scrypt" if last.startswith("scrypt") else "HKDF"}]
     if last in ("generateKeyPair", "generateKeyPairSync") and first:
-        t, opts = first.lower(), " ".join(args[1:])
-        size = int(m[1]) if (m := re.search(r"modulusLength\s*:\s*(\d+)", opts)) else None
-        crv = N.curve(m[1]) if (m := re.search(r"namedCurve\s*:\s*['\"]([\w-]+)", opts)) else None
-        fam = {"rsa": "RSA", "rsa-pss": "RSA", "dsa": "DSA", "dh": "DH", "ec": "EC", "ed25519": "Ed25519", "ed448": "Ed448", "x25519": "X25519", "x448": "X448"}.get(t)
-        return [{"family": fam, "key_size": size, "curve": crv}] if fam else []
+        fam, o = _NODE_KEYS.get(first.lower()), c.within(1)
+        size, curve = (integer(o.prop("modulusLength")), N.curve(literal(o.prop("namedCurve")))) if o else (None, None)
+        return [{"family": fam, "key_size": size, "curve": curve}] if fam else []
+    if last == "NodeRSA" and name.startswith("new:"):
+        o, args = c.within(0), c.args
+        return [{"family": "RSA", "key_size": integer(o.prop("b")) if o else next((v for a in args[:1] if (v := integer(a))), None)}]
     if last in ("createDiffieHellman", "getDiffieHellman"):
-        return [{"family": "DH", "key_size": integer(args[0]) if args else None}]
+        return [{"family": "DH", "key_size": integer(c.args[0]) if last == "createDiffieHellman" and c.args else None}]
     if last == "createECDH":
         return [{"family": "ECDH", "curve": N.curve(first)}]
     if last in ("createSign", "createVerify") and first:
         d = N.digest(re.sub(r"^RSA-", "", first))
         return [{"family": "RSA", "name": first}] + ([d] if d else []) if first.startswith("RSA") else [d] if d else []
-    if ".subtle." in name and args:
-        m = re.search(r"name\s*:\s*['\"]([\w-]+)", args[0])
-        alg = m[1] if m else literal(args[0] if last == "digest" else args[0]) or ""
-        if d := N.digest(alg):
-            return [d]
-        if c := re.fullmatch(r"AES-(\w+)", alg, re.I):
-            size = re.search(r"length\s*:\s*(\d+)", args[0])
-            return [{"family": "AES", "mode": c[1].upper(), "key_size": int(size[1]) if size else None}]
-        fam = {"RSA-OAEP": "RSA", "RSA-PSS": "RSA", "RSASSA-PKCS1-v1_5": "RSA", "ECDSA": "ECDSA", "ECDH": "ECDH", "HMAC": "HMAC", "PBKDF2": "PBKDF2", "HKDF": "HKDF"}.get(alg)
-        size = re.search(r"modulusLength\s*:\s*(\d+)", args[0])
-        return [{"family": fam, "key_size": int(size[1]) if size else None}] if fam else []
+    if ".subtle." in name:
+        return _web(c)
     if last in ("sign", "verify") and name.split(".")[0].lower() in ("jwt", "jsonwebtoken", "jose"):
-        return [j for a in re.findall(r"['\"]((?:[HRPE]S\d{3}K?|EdDSA))['\"]", " ".join(args)) if (j := N.jwt(a))]
+        said = re.findall(r"""['"]((?:[HRPE]S\d{3}K?|EdDSA|none))['"]""", " ".join(c.args))
+        return [JWT_NONE if a == "none" else N.jwt(a) for a in said]
     if name.startswith("CryptoJS.") and (f := N.digest(last) or N.cipher(name.split(".")[1])):
         return [f]
+    if last in _JS_TLS and (o := next((x for x in c.inner if x.kind == "{"), None)):
+        return _tls_options(o)
     return [p] if (p := N.pqc(name)) else []
 
 
-_JAVA_FACTORIES = {"Cipher": N.cipher, "MessageDigest": N.digest}
-
-
-def _java(name, args):
-    parts = name.split(".")
-    first = literal(args[0]) if args else None
-    if len(parts) >= 2 and parts[-1] == "getInstance" and first:
-        owner = parts[-2]
-        if owner == "Cipher":
-            c = N.cipher(first)
-            return [c | ({"mode": "ECB"} if c["family"] in ("AES", "DES", "3DES") and not c.get("mode") else {})] if c else []
-        if owner == "MessageDigest":
-            return [d] if (d := N.digest(first)) else []
-        if owner == "Mac":
-            d = N.digest(re.sub("^Hmac", "", first))
-            return [{"family": "HMAC", "name": first, "key_size": d and d["key_size"]}]
-        if owner == "Signature":
-            m = re.fullmatch(r"(\w+?)with(\w+?)(?:/\w+)?", first, re.I)
-            out = [d] if m and (d := N.digest(m[1])) else []
-            fam = {"RSA": "RSA", "ECDSA": "ECDSA", "DSA": "DSA"}.get((m[2] if m else first).upper())
-            return out + [{"family": fam or first}]
-        if owner in ("KeyPairGenerator", "KeyFactory", "KeyAgreement"):
-            fam = {"RSA": "RSA", "EC": "EC", "DSA": "DSA", "DH": "DH", "DIFFIEHELLMAN": "DH", "ED25519": "Ed25519", "X25519": "X25519", "ECDH": "ECDH"}.get(first.upper())
-            return [{"family": fam}] if fam else [p] if (p := N.pqc(first)) else []
-        if owner in ("KeyGenerator", "SecretKeyFactory"):
-            return [{"family": "PBKDF2"}] if first.startswith("PBKDF2") else [c] if (c := N.cipher(first)) else []
-        if owner == "SSLContext":
-            return [{"family": N.tls(first) or "TLS"}]
-    if name.startswith("new:ECGenParameterSpec") and first:
-        return [{"family": "EC", "curve": N.curve(first)}]
-    if name.startswith("new:SecretKeySpec") and len(args) > 1 and (c := N.cipher(literal(args[-1]) or "")):
-        return [c]
-    return []
-
-
-def _go(name, args):
-    pkg, _, fn = name.rpartition(".")
-    pkg = pkg.rsplit(".", 1)[-1]
+_JAVA_PAIRS = {"RSA": "RSA", "RSASSA-PSS": "RSA", "EC": "EC", "ECDSA": "EC", "DSA": "DSA", "DH": "DH", "DIFFIEHELLMAN": "DH", "ED25519": "Ed25519", "ED448": "Ed448", "EDDSA": "Ed25519", "X25519": "X25519", "X448": "X448", "XDH": "X25519", "ECDH": "ECDH"}
+
+
+def _java_instance(owner: str, first: str) -> list[dict]:
+    """What ``owner.getInstance(first)`` names."""
+    if owner == "Cipher":
+        c = N.cipher(first)
+        return [c | ({"mode": "ECB"} if c["family"] in ("AES", "DES", "3DES") and not c.get("mode") else {})] if c else []
+    if owner == "MessageDigest":
+        return [d] if (d := N.digest(first)) else []
+    if owner == "Mac":
+        d = N.digest(re.sub("^Hmac", "", first))
+        return [{"family": "HMAC", "name": first, "key_size": d and d["key_size"]}]
+    if owner == "Signature":
+        m = re.fullmatch(r"(\w+?)with(\w+?)(?:/\w+)?", first, re.I)
+        out = [d] if m and (d := N.digest(m[1])) else []
+        fam = {"RSA": "RSA", "ECDSA": "ECDSA", "DSA": "DSA"}.get((m[2] if m else first).upper())
+        return out + [{"family": fam or first}]
+    if owner in ("KeyPairGenerator", "KeyFactory", "KeyAgreement"):
+        fam = _JAVA_PAIRS.get(first.upper())
+        return [{"family": fam}] if fam else [p] if (p := N.pqc(first)) else []
+    if owner in ("KeyGenerator", "SecretKeyFactory"):
+        return [{"family": "PBKDF2"}] if first.startswith("PBKDF2") else [c] if (c := N.cipher(first)) else []
+    return [{"family": N.tls(first) or "TLS", "kind": "protocol"}] if owner == "SSLContext" else []
+
+
+def _java_spec(text: str, curves: dict[str, str]) -> dict:
+    """Size and curve of one argument of a generator's init: a number, a parameter object or a variable that holds one."""
+    if m := re.search(r"RSAKeyGenParameterSpec\s*\(\s*([\d_]+)", text):
+        return {"key_size": integer(m[1])}
+    if m := re.search(r"""(?:ECGenParameterSpec|NamedParameterSpec)\s*\(\s*"([^"]+)\"""", text) or re.search(r"NamedParameterSpec\.(\w+)", text):
+        return {"curve": N.curve(m[1])}
+    if text in curves:
+        return {"curve": curves[text]}
+    n = integer(text) if re.fullmatch(r"\s*[\dxXa-fA-F_]+\s*", text) else None
+    return {"key_size": n} if n is not None and 16 <= n <= 65536 else {}
+
+
+def _java_file(found: list[Span]):
+    """Calls in their order; a generator's size and curve come from the init that follows it, on the variable that took
+    it or chained to it, so two generators may be interleaved and a variable used again."""
+    made: dict[str, dict] = {}  # variable: the generator it holds
+    chained: dict[int, dict] = {}
+    curves: dict[str, str] = {}  # variable: the curve of the parameters it holds
+    out, loose, bound = [], [], set()
+    for c in found:
+        parts = c.name.split(".")
+        if parts[-1] == "getInstance" and len(parts) > 1:
+            if c.first is None:
+                continue
+            for f in _java_instance(parts[-2], c.first):
+                f = dict(f)
+                out.append((c.at, f))
+                if parts[-2] in ("KeyPairGenerator", "KeyGenerator"):
+                    chained[id(c)] = f
+                    if c.target:
+                        made[c.target] = f
+        elif parts[-1] in ("initialize", "init"):
+            f = chained.get(id(c.receiver)) if c.receiver is not None else made.get(parts[-2]) if len(parts) > 1 else None
+            bound |= {id(x) for x in c.inner} if f else set()
+            for a in c.args if f else ():
+                told = _java_spec(a, curves)
+                f |= told
+                if told.get("curve"):
+                    loose = [x for x in loose if x[2] not in (a, told["curve"])]
+                    if f["family"] in ("X25519", "Ed25519") and told["curve"] in ("x448", "ed448"):
+                        f["family"] = told["curve"].title()
+        elif c.name == "new:ECGenParameterSpec" and id(c) not in bound and c.first and (k := N.curve(c.first)):
+            if c.target:
+                curves[c.target] = k
+            loose.append((c.at, {"family": "EC", "curve": k, "confidence": "medium"}, c.target or k))
+        elif c.name == "new:PBEKeySpec" and len(c.args) > 2:
+            out.append((c.at, {"family": "PBKDF2", "extra": {"iterations": integer(c.args[2])}}))
+        elif c.name == "new:SecretKeySpec" and len(c.args) > 1 and (k := N.cipher(literal(c.args[-1]) or "")):
+            out.append((c.at, k))
+        elif parts[-1] in ("setEnabledProtocols", "setProtocols"):
+            out += [(c.at, {"family": t, "kind": "protocol"}) for v in re.findall(r'"([^"]+)"', " ".join(c.args)) if (t := N.tls(v))]
+        elif parts[-1] in ("setEnabledCipherSuites", "setCipherSuites"):
+            out += [(c.at, f) for v in re.findall(r'"([^"]+)"', " ".join(c.args)) for f in _suites(re.sub(r"^TLS_(?:\w+_WITH_)?", "", v))]
+    return out + [(at, f) for at, f, _ in loose]
+
+
+# Constructors of block ciphers and modes in Go's standard library and x/crypto.
+_GO_BLOCKS = {"aes.NewCipher": ("AES", None), "des.NewCipher": ("DES", None), "des.NewTripleDESCipher": ("3DES", None), "blowfish.NewCipher": ("Blowfish", None), "cast5.NewCipher": ("CAST5", None)}
+_GO_MODES = {"NewGCM": "GCM", "NewGCMWithNonceSize": "GCM", "NewGCMWithTagSize": "GCM", "NewCBCEncrypter": "CBC", "NewCBCDecrypter": "CBC", "NewCTR": "CTR", "NewCFBEncrypter": "CFB", "NewCFBDecrypter": "CFB", "NewOFB": "OFB"}
+
+
+def _go_file(found: list[Span]):
+    """Calls and composites in their order. A block cipher's handle is known by the variable that took it last, and a mode
+    built on the handle is that cipher's mode: NewCipher with NewGCM is one finding. A handle that no mode takes, or that two
+    take, is one finding or two; a mode on an unknown handle goes to the last one without a variable."""
+    handles: dict[str, dict] = {}
+    sizes: dict[str, int] = {}
+    blocks: list[dict] = []
+    out = []
+    for c in found:
+        pkg, _, fn = c.name.rpartition(".")
+        pkg = pkg.rsplit(".", 1)[-1]
+        short = f"{pkg}.{fn}"
+        if c.kind == "{":
+            if short == "tls.Config":
+                out += _go_tls(c)
+        elif c.name == "make" and c.target and len(c.args) == 2 and (n := integer(c.args[1])):
+            sizes[c.target] = n
+        elif short in _GO_BLOCKS:
+            family, size = _GO_BLOCKS[short]
+            n = sizes.get(c.args[0]) if c.args else None
+            b = {"at": c.at, "family": family, "key_size": n * 8 if n in (16, 24, 32) and family == "AES" else size, "modes": []}
+            blocks.append(b)
+            handles[c.target or ""] = b
+        elif pkg == "cipher" and fn in _GO_MODES:
+            named = [handles[x] for a in c.args if (x := a.strip()) in handles]
+            b = named[0] if named else next((handles[""] for _ in [0] if "" in handles), None)
+            if b is None:
+                out.append((c.at, {"family": "Unknown", "name": f"UNKNOWN (cipher.{fn})", "mode": _GO_MODES[fn], "confidence": "low"}))
+            elif _GO_MODES[fn] not in b["modes"]:
+                b["modes"].append(_GO_MODES[fn])
+        else:
+            out += [(c.at, f) for f in _go(c, pkg, fn)]
+    for b in blocks:
+        out += [(b["at"], {"family": b["family"], "key_size": b["key_size"], "mode": m}) for m in b["modes"] or [None]]
+    return out
+
+
+def _go_tls(c: Span):
+    for key in ("MinVersion", "MaxVersion"):
+        if t := N.tls((c.prop(key) or "").rsplit(".", 1)[-1].replace("Version", "")):
+            yield c.at, {"family": t, "kind": "protocol", "extra": {"option": key}}
+    for suite in re.findall(r"tls\.(TLS_\w+)", c.prop("CipherSuites") or ""):
+        for f in _suites(re.sub(r"^TLS_(?:\w+_WITH_)?", "", suite)):
+            yield c.at, f
+
+
+def _go(c: Span, pkg: str, fn: str):
     if pkg in ("md5", "sha1", "sha256", "sha512", "sha3", "md4", "ripemd160", "blake2b", "blake2s"):
         m = re.search(r"(\d{3})", fn) if pkg in ("sha512", "sha3") else None
         return [d] if (d := N.digest(f"sha3{m[1]}" if pkg == "sha3" and m else f"sha{m[1]}" if m else pkg)) else []
-    if (pkg, fn) == ("rsa", "GenerateKey"):
-        return [{"family": "RSA", "key_size": integer(args[-1]) if args else None}]
+    if (pkg, fn) in (("rsa", "GenerateKey"), ("rsa", "GenerateMultiPrimeKey")):
+        return [{"family": "RSA", "key_size": integer(c.args[-1]) if c.args else None}]
     if (pkg, fn) == ("ecdsa", "GenerateKey"):
-        m = re.search(r"elliptic\.(P\d+)", " ".join(args))
+        m = re.search(r"elliptic\.(P\d+)", " ".join(c.args))
         return [{"family": "ECDSA", "curve": N.curve(m[1]) if m else None}]
     if pkg == "ed25519":
         return [{"family": "Ed25519"}]
-    if fn in ("NewCipher", "NewTripleDESCipher") and (c := N.cipher("3des" if "Triple" in fn else pkg)):
-        return [c]
-    if (pkg, fn) == ("cipher", "NewGCM"):
-        return [{"family": "AES", "mode": "GCM"}]
-    if pkg == "cipher" and (m := re.match(r"New(CBC|CTR|CFB|OFB)", fn)):
-        return [{"family": "AES", "mode": m[1]}]
+    if fn == "NewCipher" and (k := N.cipher(pkg)):
+        return [k]
     if (pkg, fn) == ("hmac", "New"):
         return [{"family": "HMAC"}]
     if pkg in ("chacha20poly1305", "chacha20"):
         return [{"family": "ChaCha20", "key_size": 256}]
     if pkg in ("pbkdf2", "scrypt", "argon2", "hkdf", "bcrypt"):
-        return [{"family": {"pbkdf2": "PBKDF2", "argon2": "Argon2", "hkdf": "HKDF"}.get(pkg, pkg)}]
-    return [p] if (p := N.pqc(name)) else []
+        n = integer(c.args[2]) if (pkg, fn) == ("pbkdf2", "Key") and len(c.args) > 2 else None
+        return [{"family": {"pbkdf2": "PBKDF2", "argon2": "Argon2", "hkdf": "HKDF"}.get(pkg, pkg), "extra": {"iterations": n}}]
+    return [p] if (p := N.pqc(c.name)) else []
 
 
-def _c(name, args):
-    last = name.rsplit(".", 1)[-1]
+def _c(c: Span):
+    last = c.name.rsplit(".", 1)[-1]
     if m := re.fullmatch(r"EVP_((?:md|sha|blake|ripemd)\w+)", last):
         return [d] if (d := N.digest(m[1].replace("_", ""))) else []
-    if (m := re.fullmatch(r"EVP_((?:aes|des|rc4|rc2|bf|chacha20|camellia|aria|cast5|idea)\w*)", last)) and (c := N.cipher(m[1])):
-        return [c]
+    if (m := re.fullmatch(r"EVP_((?:aes|des|rc4|rc2|bf|chacha20|camellia|aria|cast5|idea)\w*)", last)) and (k := N.cipher(m[1])):
+        return [k]
     if m := re.fullmatch(r"(MD[245]|SHA1|SHA224|SHA256|SHA384|SHA512)(?:_(?:Init|Update|Final))?", last):
         return [d] if (d := N.digest(m[1])) else []
     if last in ("RSA_generate_key_ex", "RSA_generate_key", "EVP_PKEY_CTX_set_rsa_keygen_bits"):
-        return [{"family": "RSA", "key_size": next((v for a in args if (v := integer(a)) and v >= 512 and v != 65537), None)}]
+        return [{"family": "RSA", "key_size": next((v for a in c.args if (v := integer(a)) and v >= 512 and v != 65537), None)}]
     if last == "EC_KEY_new_by_curve_name":
-        m = re.search(r"NID_(?:X9_62_)?(\w+)", args[0] if args else "")
+        m = re.search(r"NID_(?:X9_62_)?(\w+)", c.args[0] if c.args else "")
         return [{"family": "EC", "curve": N.curve(m[1]) if m else None}]
     if last in ("AES_encrypt", "AES_set_encrypt_key", "AES_cbc_encrypt", "AES_ecb_encrypt"):
         return [{"family": "AES", "mode": m[1].upper() if (m := re.search("_(cbc|ecb)_", last)) else None}]
@@ -282,13 +482,15 @@ def _c(name, args):
     if m := re.fullmatch(r"((?:TLS|SSL|DTLS)v?[\d_]*)_(?:client_|server_)?method", last):
         return [{"family": N.tls(m[1]) or "TLS"}]
     if last.startswith("OQS_"):
-        return [p] if (p := N.pqc(" ".join([last, *args]))) else []
+        return [p] if (p := N.pqc(" ".join([last, *c.args]))) else []
     if last in ("HMAC", "HMAC_Init_ex"):
         return [{"family": "HMAC"}]
     return [p] if (p := N.pqc(last)) else []
 
 
-_RULES = {"js": _js, "java": _java, "go": _go, "c": _c}
+_each = lambda rule: lambda found: [(c.at, f) for c in found for f in rule(c)]
+_FILES = {"js": _each(_js), "java": _java_file, "go": _go_file, "c": _each(_c)}
+CALLS = 20_000
 _IMPORTS = {
     "go": (r'"(crypto/(?:md5|sha1|des|rc4|rsa|ecdsa|ed25519|aes|sha256|sha512)|golang\.org/x/crypto/\w+)"', lambda p: N.digest(p.rsplit("/", 1)[-1]) or N.cipher(p.rsplit("/", 1)[-1])),
     "c": (r"#\s*include\s*[<\"]((?:openssl|oqs|mbedtls|sodium|wolfssl)[^>\"]*)[>\"]", lambda p: {"family": {"oqs": "liboqs", "mbedtls": "mbedTLS", "sodium": "libsodium", "wolfssl": "wolfSSL"}.get(p.split("/")[0].split(".")[0], "OpenSSL"), "kind": "library"}),
@@ -304,11 +506,11 @@ def c_family(text: str, lang: str) -> list[dict]:
     line = lambda at: bisect.bisect_right(starts, at)
     evidence = lambda at: text[starts[line(at) - 1] :].split("\n", 1)[0]
     out = []
-    for name, args, at in calls(code, live):
-        for f in _RULES[lang](name, args):
-            if f.get("family"):
-                kind = "protocol" if f["family"].startswith(("TLS", "SSL")) else "algorithm"
-                out.append(_finding(line(at), evidence(at), lang, f, kind=kind))
+    found = [x for x in spans(code, live) if x.name and (x.kind == "(" or (x.kind == "{" and lang == "go"))][:CALLS]
+    for at, f in sorted(_FILES[lang](found), key=lambda x: x[0]):
+        if f and f.get("family"):
+            kind = "protocol" if f["family"].startswith(("TLS", "SSL")) else "algorithm"
+            out.append(_finding(line(at), evidence(at), lang, f, kind=kind))
     seen = {f["family"] for f in out}
     if lang in _IMPORTS:
         pattern, told = _IMPORTS[lang]

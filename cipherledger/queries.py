@@ -486,3 +486,6 @@ def report_first_places(spark, sf_dir):
     w = Window.partitionBy("file").orderBy("line", "scan_id", "family", "confidence")
     d = corpus.findings(spark, sf_dir).select("file", "line", "scan_id", "family", "confidence").distinct()
     return d.withColumn("n_before", F.row_number().over(w).cast("long")).where("n_before <= 6").select("file", "line", F.col("family").alias("lead_family"), "n_before")
+
+
+from . import queries_code  # noqa: E402,F401  registers its queries
