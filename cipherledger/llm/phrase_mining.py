@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .packed import tidy
+from .packed import gathered, tidy
 
 LONGEST, LEAST, TOP, WITHIN = 3, 10, 2000, 50
 SHARE, SALTS = 1000, 64
@@ -132,38 +132,56 @@ def projected(batches: Iterator[pa.RecordBatch], longest: int, hot: dict[str, li
         yield _batch(lang, part.spelled(longest, at), count, depth)
 
 
+def _differ(a: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another than the one before."""
+    return pc.not_equal(a.slice(1), a.slice(0, len(a) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _cut_up(phrases: pa.Array, longest: int) -> pa.Array:
+    """The words of phrases that have ``longest`` words each (empty ones too), with the space behind each but the last: the
+    same bytes with more offsets, nothing is copied."""
+    _, offsets, data = phrases.buffers()
+    ends = np.frombuffer(offsets, np.int32)[phrases.offset : phrases.offset + len(phrases) + 1]
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data else np.zeros(0, np.uint8)
+    spaces = np.flatnonzero(raw[ends[0] :] == 32).astype(np.int32) + ends[0] + 1
+    every = np.empty((len(phrases), longest), np.int32)
+    every[:, 0] = ends[:-1]
+    every[:, 1:] = spaces.reshape(len(phrases), longest - 1)
+    return pa.StringArray.from_buffers(every.size, pa.py_buffer(np.r_[every.ravel(), ends[-1]].astype(np.int32)), data or pa.py_buffer(b""))
+
+
 def grown(batches: Iterator[pa.RecordBatch], longest: int, least: int) -> Iterator[pa.RecordBatch]:
     """The phrases with ``least`` occurrences or more, from projected rows in their order: ``lang, phrase, n``. Of prefixes
     grown before they were dealt, all counts. The last row, with the counts of its prefixes so far, is what is held."""
 
-    def closed(t: pa.Table, counts: list[np.ndarray], last: bool):
-        lang, phrase, depth = t["lang"].combine_chunks(), t["phrase"].combine_chunks(), t["depth"].to_numpy()
-        flat = pc.split_pattern(phrase, " ").flatten()
-        new = pc.not_equal(lang.slice(1), lang.slice(0, len(lang) - 1)).to_numpy(zero_copy_only=False)
+    def closed(t: pa.RecordBatch, counts: list[np.ndarray], last: bool):
+        lang, phrase, depth = t["lang"], t["phrase"], t["depth"].to_numpy()
+        words = _cut_up(phrase, longest)
+        new = _differ(lang)
         carried, prefix = [], []
         for d in range(1, longest + 1):
-            word = flat.take(pa.array(np.arange(d - 1, len(flat), longest)))
-            new = new | pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
+            word = words.take(pa.array(np.arange(d - 1, len(words), longest)))
+            new = new | _differ(word)
             start = np.r_[0, np.flatnonzero(new) + 1]
             total = np.add.reduceat(counts[d - 1], start)
             carried.append(total[-1:])
             prefix.append(word)
-            pick = ((total >= least) | (depth[start] > d)) & pc.not_equal(word.take(pa.array(start)), "").to_numpy(zero_copy_only=False)
-            pick[-1] &= last
-            at = pa.array(start[pick])
-            out.append(pa.RecordBatch.from_arrays([lang.take(at), pc.binary_join_element_wise(*(w.take(at) for w in prefix), " "), pa.array(total[pick])], ["lang", "phrase", "n"]))
+            some = (total >= least) | (depth[start] > d)
+            some[-1] &= last
+            start, total = start[some], total[some]
+            real = pc.not_equal(pc.utf8_rtrim(word.take(pa.array(start)), " "), "").to_numpy(zero_copy_only=False)
+            at = pa.array(start[real])
+            spelled = pc.utf8_rtrim(pc.binary_join_element_wise(*(w.take(at) for w in prefix), ""), " ")
+            out.append(pa.RecordBatch.from_arrays([lang.take(at), spelled, pa.array(total[real])], ["lang", "phrase", "n"]))
         return carried
 
     held, carried = None, None
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for t in gathered(batches):
         out: list[pa.RecordBatch] = []
-        t = pa.Table.from_batches([b])
         n = t["n"].to_numpy()
         counts = [n] * longest
         if held is not None:
-            t = pa.concat_tables([held, t])
+            t = pa.concat_batches([held, t])
             counts = [np.concatenate([c, n]) for c in carried]
         carried = closed(t, counts, False)
         held = t.slice(t.num_rows - 1)
