@@ -8,7 +8,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 from datetime import datetime, timezone
 from pathlib import Path
@@ -70,11 +69,13 @@ def main(argv: list[str] | None = None) -> int:
         history.save(assets, a.db, stamp, a.path, stamp)
     if a.command != "ci":
         return 0
-    flags = gate.flagged(assets, None if a.fail_on == "off" else a.fail_on, rules.floor, rules.mosca_blocks, rules.ignore, done.places)
+    fail_on = None if a.fail_on == "off" else a.fail_on
+    flags = gate.flagged(assets, fail_on, rules.floor, rules.mosca_blocks, rules.ignore, done.places)
     today = datetime.now(timezone.utc).strftime("%Y-%m-%d")
-    v = gate.verdict(gate.waived(flags, rules.waiver_rows(spark), today, done.places), rules.budgets).first().asDict()
-    print(json.dumps({"fail_on": a.fail_on, **v, "errors": len(errors)}))
-    return int(v["exit_code"] > 0 or (rules.errors_block and bool(errors)))
+    judged = gate.waived(flags, rules.waiver_rows(spark), today, done.places).cache()
+    v = gate.verdict(judged, rules.budgets, fail_on is not None, len(errors), rules.errors_block).first().asDict()
+    print(gate.summary(v, [r.asDict() for r in gate.offenders(judged).collect()], fail_on, errors[:5]))
+    return v["exit_code"]
 
 
 if __name__ == "__main__":

@@ -234,11 +234,12 @@ def recommend_assets(spark, sf_dir):
 IGNORE = ["docs", "**/tests/**"]
 WAIVERS = [
     (1, "MD5", None, None, "vendor fix pending", "2027-01-01"),
-    (2, "RSA", "critical", None, "old approval", "2024-01-01"),
+    (2, "RSA", "critical", None, "old approval", "2024-01-01"),  # the severity is no field
     (3, None, None, "^payments/", "", "2027-01-01"),
     (4, None, None, None, "matches nothing", "2027-01-01"),
     (5, "SHA-1", None, None, "no date", None),
     (6, "AES", None, "/", "every place of it has a folder", "2027-01-01"),
+    (7, None, "high", None, "a severity alone matches nothing", "2027-01-01"),
 ]
 TODAY = "2026-06-01"
 
@@ -256,8 +257,8 @@ GATED = (
     + f", f AS (SELECT *, NOT EXISTS (SELECT 1 FROM spots WHERE spots.asset_key = assets.asset_key AND NOT ({_IGN.replace('(file,', '(spots.file,')})) AS ignored FROM assets), f2 AS (SELECT *, NOT ignored AND severity_rank < 1 AND NOT act_now AS below FROM f), flagged AS (SELECT *, NOT ignored AND NOT below AND (severity_rank >= 3 OR act_now) AS blocking FROM f2)"
     + ", waivers(ord, w_family, severity_is, file_regex, reason, expires) AS (VALUES "
     + ", ".join("(" + ", ".join("NULL" if v is None else _q(v) if isinstance(v, str) else str(v) for v in w) + ")" for w in WAIVERS)
-    + f"), wd AS (SELECT *, coalesce(try_cast(expires AS DATE) < DATE '{TODAY}', true) OR trim(reason) = '' AS dead FROM waivers WHERE w_family IS NOT NULL OR severity_is IS NOT NULL OR file_regex IS NOT NULL)"
-    + ", hits AS (SELECT asset_key, ord, dead, row_number() OVER (PARTITION BY asset_key ORDER BY dead, ord) AS r FROM flagged, wd WHERE (w_family IS NULL OR lower(family) = lower(w_family)) AND (severity_is IS NULL OR severity = severity_is) AND (file_regex IS NULL OR (SELECT bool_and(regexp_matches(spots.file, file_regex)) FROM spots WHERE spots.asset_key = flagged.asset_key)))"
+    + f"), wd AS (SELECT *, coalesce(try_cast(expires AS DATE) < DATE '{TODAY}', true) OR trim(reason) = '' AS dead FROM waivers WHERE w_family IS NOT NULL OR file_regex IS NOT NULL)"
+    + ", hits AS (SELECT asset_key, ord, dead, row_number() OVER (PARTITION BY asset_key ORDER BY dead, ord) AS r FROM flagged, wd WHERE (w_family IS NULL OR lower(family) = lower(w_family)) AND (file_regex IS NULL OR (SELECT bool_and(regexp_matches(spots.file, file_regex)) FROM spots WHERE spots.asset_key = flagged.asset_key)))"
     + ", gated AS (SELECT flagged.*, h.ord AS waiver_ord, h.dead AS waiver_expired FROM flagged LEFT JOIN (SELECT * FROM hits WHERE r = 1) h USING (asset_key))"
 )
 
@@ -267,12 +268,12 @@ def gate_flags(spark, sf_dir):
     return _gated(spark, sf_dir).select("asset_key", "ignored", "below", "blocking", "waiver_ord", "waiver_expired")
 
 
-@query(f"WITH {GATED}, v AS (SELECT count(*) AS n_assets, count(*) FILTER (ignored) AS n_ignored, count(*) FILTER (below) AS n_below, count(*) FILTER (blocking AND coalesce(waiver_expired, true)) AS n_blocking, count(*) FILTER (blocking AND coalesce(NOT waiver_expired, false)) AS n_waived, count(*) FILTER (coalesce(waiver_expired, false)) AS n_expired, CAST((count(*) FILTER (NOT ignored AND severity = 'critical') > 3)::INTEGER + (count(*) FILTER (NOT ignored AND severity = 'low') > 50)::INTEGER AS BIGINT) AS n_over_budget FROM gated) SELECT *, CAST(n_blocking > 0 OR n_over_budget > 0 AS INTEGER) AS exit_code FROM v")
+@query(f"WITH {GATED}, v AS (SELECT count(*) AS n_assets, count(*) FILTER (ignored) AS n_ignored, count(*) FILTER (below) AS n_below, count(*) FILTER (blocking AND coalesce(waiver_expired, true)) AS n_blocking, count(*) FILTER (blocking AND coalesce(NOT waiver_expired, false)) AS n_waived, count(*) FILTER (blocking AND coalesce(waiver_expired, false)) AS n_expired, CAST((count(*) FILTER (NOT ignored AND NOT below AND severity = 'critical') > 3)::INTEGER + (count(*) FILTER (NOT ignored AND NOT below AND severity = 'low') > 50)::INTEGER AS BIGINT) AS n_over_budget FROM gated) SELECT *, CAST(n_blocking > 0 OR n_over_budget > 0 AS INTEGER) AS exit_code FROM v")
 def gate_verdict(spark, sf_dir):
     return gate.verdict(_gated(spark, sf_dir), {"critical": 3, "low": 50})
 
 
-@query(f"WITH {GATED} SELECT asset_key, severity, score FROM gated WHERE blocking ORDER BY severity_rank DESC, score DESC, family, asset_key LIMIT 10")
+@query(f"WITH {GATED} SELECT asset_key, severity, score FROM gated WHERE blocking AND coalesce(waiver_expired, true) ORDER BY severity_rank DESC, score DESC, family, asset_key LIMIT 10")
 def gate_offenders(spark, sf_dir):
     return gate.offenders(_gated(spark, sf_dir)).select("asset_key", "severity", "score")
 

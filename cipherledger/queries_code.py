@@ -84,3 +84,35 @@ def detect_js_objects(spark, sf_dir):
     """Parameters in object literals: the object's own properties, not those of objects inside or beside it."""
     f = _found(spark, sf_dir, "js")
     return f.select("file", "line", "family", "key_size", "mode", "padding", F.col("extra")["iterations"].alias("iterations"), F.col("extra")["hash"].alias("hash"))
+
+
+# --- verdicts that depend on more than the family ---------------------------------------------------------------------------
+
+_FACTS = {
+    "family": C.pick("o_orderkey", "JWT", "TLS1.3", "TLS1.1", "PBKDF2", "3DES", "ChaCha20", "RSA", "ML-KEM", "SHA-2", "TLS1.2", "Unheard"),
+    "alg": C.pick("o_custkey", "none", "RS256", "HS256", "ES384", "EdDSA", "own-alg", None),
+    "groups": C.pick("o_custkey", "X25519MLKEM768", "x25519", "x25519_kyber768", None),
+    "iterations": C.pick("o_custkey", 599999, 600000, 1000, None, 1000000),
+    "padding": C.pick("o_custkey", "PKCS1v15", "OAEP", None),
+    "mode": C.pick("o_custkey + 1", "ECB", None, "CTR"),
+    "key_size": C.pick("o_custkey", 112, 256, 384, 512),
+}
+
+
+@query(
+    "WITH f AS (SELECT o_orderkey, " + ", ".join(f"{e} AS {n}" for n, e in _FACTS.items()) + " FROM orders), "
+    "v AS (SELECT *, CASE family WHEN 'RSA' THEN 'shor_broken' WHEN '3DES' THEN 'legacy_broken' WHEN 'TLS1.1' THEN 'legacy_broken' WHEN 'ML-KEM' THEN 'pqc' WHEN 'ChaCha20' THEN 'quantum_safe' "
+    "WHEN 'SHA-2' THEN CASE WHEN key_size < 224 THEN 'legacy_broken' WHEN key_size < 384 THEN 'grover_weakened' ELSE 'quantum_safe' END "
+    "WHEN 'PBKDF2' THEN CASE WHEN iterations < 600000 THEN 'grover_weakened' ELSE 'quantum_safe' END "
+    "WHEN 'JWT' THEN CASE alg WHEN 'none' THEN 'legacy_broken' WHEN 'RS256' THEN 'shor_broken' WHEN 'ES384' THEN 'shor_broken' WHEN 'EdDSA' THEN 'shor_broken' WHEN 'HS256' THEN 'quantum_safe' ELSE 'unknown' END "
+    "WHEN 'TLS1.2' THEN CASE WHEN groups IN ('X25519MLKEM768', 'x25519_kyber768') THEN 'pqc' ELSE 'shor_broken' END WHEN 'TLS1.3' THEN CASE WHEN groups IN ('X25519MLKEM768', 'x25519_kyber768') THEN 'pqc' ELSE 'shor_broken' END ELSE 'unknown' END AS plain FROM f) "
+    "SELECT o_orderkey, family, CASE WHEN plain IN ('quantum_safe', 'grover_weakened', 'pqc') AND (coalesce(mode, '') = 'ECB' OR (coalesce(padding, '') = 'PKCS1v15' AND family <> 'RSA')) AND NOT (family = 'JWT' AND alg = 'RS256') THEN 'legacy_broken' ELSE plain END AS threat FROM v"
+)
+def kb_verdicts(spark, sf_dir):
+    """Tokens by the algorithm they name, handshakes by their groups, key derivation by its iterations, and what a broken mode
+    or padding does to a better verdict."""
+    from .operators import classify
+    from .sources import corpus
+
+    f = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", *(f"{e} AS {n}" for n, e in _FACTS.items())).withColumn("name", F.col("family"))
+    return classify.classified(f.withColumn("key_size", F.col("key_size").cast("int"))).select("o_orderkey", "family", "threat")
