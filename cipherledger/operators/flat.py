@@ -8,22 +8,27 @@ from pyspark.sql import functions as F
 from .. import tables as T
 
 
-#: What every rule's match contains, without the word bounds that make the rules slow: one cheap pass decides for most texts.
-HINT = "|".join(p[len(T.FLAT_START) : -len(T.FLAT_END)] for _, p, *_ in T.FLAT_RULES)
+#: All whole words and all parts of words, each as one pattern whose bounds take no characters.
+WORDS = "(?<![a-z0-9_])(?:" + "|".join(w for w, _ in T.FLAT_WORDS.values()) + ")(?![a-z0-9_])"
+PARTS = "|".join(p for _, p in T.FLAT_WORDS.values() if p)
+HINT = f"{WORDS}|{PARTS}"
 
 
 def mentioning(files: DataFrame) -> DataFrame:
-    """The files whose text may hold a match, before they are split into lines."""
+    """The files whose text holds a match, before they are split into lines."""
     return files.where(F.lower("text").rlike(HINT))
 
 
 def findings(lines: DataFrame) -> DataFrame:
-    """``path, line, rule, algorithm, tier, recommendation, confidence``: one row for each rule that a line matches. The
-    rules are literals, so each line is read once and no join is planned."""
+    """``path, line, rule, algorithm, tier, recommendation, confidence``: one row for each rule that a line matches. A line is
+    read by one pattern that decides for most, then by one for words and one for parts of words; the rules look at what these found, not
+    at the line. No join is planned."""
     lines = lines.withColumn("low", F.lower("text")).where(F.col("low").rlike(HINT))
-    low = F.col("low")
-    rules = F.array(*[F.when(low.rlike(p), F.struct(F.lit(r).alias("rule"), F.lit(a).alias("algorithm"), F.lit(t).alias("tier"), F.lit(c).alias("recommendation"))) for r, p, a, t, c in T.FLAT_RULES])
-    hit = lines.select("path", "line", "text", F.explode(F.array_compact(rules)).alias("r"))
+    found = lines.select("path", "line", "text", *(F.array_distinct(F.regexp_extract_all("low", F.lit(p), F.lit(0))).alias(n) for n, p in (("words", WORDS), ("parts", PARTS))))
+    some = lambda c, p: F.exists(c, lambda w: w.rlike(f"^(?:{p})$")) if p else F.lit(False)
+    told = {r: F.struct(F.lit(r).alias("rule"), F.lit(a).alias("algorithm"), F.lit(t).alias("tier"), F.lit(c).alias("recommendation")) for r, _, a, t, c in T.FLAT_RULES}
+    rules = F.array(*[F.when(some("words", w) | some("parts", p), told[r]) for r, (w, p) in T.FLAT_WORDS.items()])
+    hit = found.select("path", "line", "text", F.explode(F.array_compact(rules)).alias("r"))
     comment = F.col("text").rlike(r"^\s*(?:#|//|\*|/\*)")
     api = F.col("text").rlike(r"[.(\[]|import |require\(|new [A-Z]|=\s*\w")
     return hit.select("path", "line", "r.*", F.when(comment, "low").when(api, "high").otherwise("low").alias("confidence"))

@@ -116,3 +116,43 @@ def kb_verdicts(spark, sf_dir):
 
     f = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", *(f"{e} AS {n}" for n, e in _FACTS.items())).withColumn("name", F.col("family"))
     return classify.classified(f.withColumn("key_size", F.col("key_size").cast("int"))).select("o_orderkey", "family", "threat")
+
+
+# --- matches in comments and strings ------------------------------------------------------------------------------------------
+
+
+def _offsets(name: str, source: str, pattern: str, more: str = "") -> str:
+    """SQL: rows of ``source (path, t)`` by match: its start and end, from the pieces between the matches."""
+    from .queries import _q
+
+    return (
+        f"{name}0 AS (SELECT path, t, string_split_regex(t, {_q(pattern)}) AS g, regexp_extract_all(t, {_q(pattern)}) AS h FROM {source}), "
+        f"{name}1 AS (SELECT path, t, unnest(h) AS what, unnest([length(x) FOR x IN h]) AS n, unnest([length(x) FOR x IN g[1:len(h)]]) AS gap, unnest(range(1, len(h) + 1)) AS i FROM {name}0 WHERE len(h) > 0), "
+        f"{name} AS (SELECT path, t, what, CAST(sum(gap + n) OVER (PARTITION BY path ORDER BY i) - n AS INTEGER) AS s, CAST(sum(gap + n) OVER (PARTITION BY path ORDER BY i) AS INTEGER) AS e{more} FROM {name}1)"
+    )
+
+
+def _contexts() -> str:
+    from . import tables as T
+    from .operators import contexts as X
+    from .queries import FILES, _q
+
+    rules = [(r, rf"(?i)\b(?:{w})\b" + (f"|{p}" if p else ""), a, t) for r, _, a, t, *_ in T.FLAT_RULES for w, p in [T.FLAT_WORDS[r]]]
+    found = ", ".join(_offsets(f"rule{k}_", "src", p, f", {_q(r)} AS rule, {_q(a)} AS algorithm, {_q(t)} AS tier") for k, (r, p, a, t) in enumerate(rules))
+    every = " UNION ALL ".join(f"SELECT path, rule, algorithm, tier, s, e FROM rule{k}_" for k in range(len(rules)))
+    before = f"substr(t, greatest(1, s - {X.NEAR} + 1), least({X.NEAR}, s))"
+    return (
+        f"WITH {FILES}, src AS (SELECT path, text AS t FROM files), {found}, m AS ({every}), {_offsets('i', '(SELECT * FROM src WHERE path IN (SELECT path FROM m))', X.TOKEN)}, "
+        f"k AS (SELECT path, s, e, CASE WHEN regexp_matches(what, '^[/#]') THEN 'comment' ELSE 'string' END AS kind, regexp_matches({before}, {_q(X.HANDED)}) AND NOT regexp_matches({before}, {_q(X.TOLD)}) AS handed FROM i) "
+        "SELECT m.path, m.s AS start, m.e AS \"end\", rule, algorithm, tier, coalesce(kind, 'code') AS context, CASE kind WHEN 'comment' THEN 'low' WHEN 'string' THEN CASE WHEN handed THEN 'high' ELSE 'low' END ELSE 'high' END AS confidence "
+        "FROM m LEFT JOIN k ON k.path = m.path AND m.s >= k.s AND m.s < k.e"
+    )
+
+
+@query(_contexts())
+def flat_contexts(spark, sf_dir):
+    """The flat rules over all texts, each match judged by the comment or string that it lies in."""
+    from .operators import contexts
+    from .sources import corpus
+
+    return contexts.findings(corpus.text_files(spark, sf_dir))

@@ -125,24 +125,26 @@ CRITICALITY_RULES = [
 ]
 IGNORED_DIRS = "node_modules vendor third_party dist build out target .git .venv venv env __pycache__ .tox site-packages .mypy_cache .pytest_cache .idea .vscode coverage".split()
 
-# The flat scanner's rules (id, pattern on the lower-cased line, algorithm, tier).
-FLAT_START, FLAT_END = "(?:^|[^a-z0-9_])(?:", ")(?:$|[^a-z0-9_])"
-_W = FLAT_START + "{}" + FLAT_END
-FLAT_RULES = [
-    ("rsa", _W.format("rsa"), "RSA", "BROKEN_Q", "ML-KEM-768 (encryption) / ML-DSA-65 (signatures), hybrid"),
-    ("ecdsa", _W.format("ecdsa|signingkey|es256|secp256k1|p-256"), "ECDSA", "BROKEN_Q", "ML-DSA-65 (signatures)"),
-    ("ecdh", _W.format("ecdh|x25519|curve25519|derivebits"), "ECDH/X25519", "BROKEN_Q", "ML-KEM-768 (hybrid key exchange)"),
-    ("dh", _W.format("diffie[- ]?hellman|dhparameter[a-z]*"), "Diffie-Hellman", "BROKEN_Q", "ML-KEM-768 (hybrid)"),
-    ("md5", _W.format("md5"), "MD5", "WEAK", "SHA-256 / SHA-3"),
-    ("sha1", _W.format("sha-?1"), "SHA-1", "WEAK", "SHA-256 / SHA-3"),
-    ("des", _W.format("3?des|des3|pydes"), "DES/3DES", "WEAK", "AES-256-GCM"),
-    ("rc4", _W.format("a?rc4"), "RC4", "WEAK", "AES-256-GCM"),
-    ("aes", _W.format(r"aes-?256|aes\.new|algorithms\.aes"), "AES-256", "SAFE", "No change needed"),
-    ("sha256", _W.format("sha-?(?:256|384|512|3)"), "SHA-256+", "SAFE", "No change needed"),
-    ("mlkem", _W.format("ml[-_]?kem|kyber"), "ML-KEM", "PQC", "Already quantum-safe"),
-    ("mldsa", _W.format("ml[-_]?dsa|dilithium"), "ML-DSA", "PQC", "Already quantum-safe"),
-    ("slhdsa", _W.format("slh-?dsa|sphincs"), "SLH-DSA", "PQC", "Already quantum-safe"),
+# The flat scanner's rules, for lower-cased text: id, whole words, parts of words, algorithm, tier, advice.
+_FLAT = [
+    ("rsa", "rsa", "", "RSA", "BROKEN_Q", "ML-KEM-768 (encryption) / ML-DSA-65 (signatures), hybrid"),
+    ("ecdsa", "ecdsa|es256|secp256k1|p-256", "signingkey", "ECDSA", "BROKEN_Q", "ML-DSA-65 (signatures)"),
+    ("ecdh", "ecdh", "x25519|curve25519|derivebits|diffiehellman", "ECDH/X25519", "BROKEN_Q", "ML-KEM-768 (hybrid key exchange)"),
+    ("dh", "diffie[- ]?hellman|dhparameter[a-z0-9_]*", "", "Diffie-Hellman", "BROKEN_Q", "ML-KEM-768 (hybrid)"),
+    ("md5", "md5", "", "MD5", "WEAK", "SHA-256 / SHA-3"),
+    ("sha1", "sha-?1", "", "SHA-1", "WEAK", "SHA-256 / SHA-3"),
+    ("des", "3?des", "des3|pydes", "DES/3DES", "WEAK", "AES-256-GCM"),
+    ("rc4", "rc4", "arc4", "RC4", "WEAK", "AES-256-GCM"),
+    ("aes", "aes-?256", r"aes\.new|algorithms\.aes", "AES-256", "SAFE", "No change needed"),
+    ("sha256", "sha-?(?:256|384|512|3)", r"hashlib\.sha(?:256|384|512|3)", "SHA-256+", "SAFE", "No change needed"),
+    ("mlkem", "ml-kem|kyber", "ml_kem|mlkem", "ML-KEM", "PQC", "Already quantum-safe"),
+    ("mldsa", "ml-dsa|dilithium", "ml_dsa|mldsa", "ML-DSA", "PQC", "Already quantum-safe"),
+    ("slhdsa", "slh-?dsa", "sphincs", "SLH-DSA", "PQC", "Already quantum-safe"),
 ]
+#: By rule: its whole words and its parts of words.
+FLAT_WORDS = {r: (words, parts) for r, words, parts, *_ in _FLAT}
+#: (rule, pattern, algorithm, tier, advice).
+FLAT_RULES = [(r, f"(?:^|[^a-z0-9_])(?:{words})(?:$|[^a-z0-9_])" + (f"|{parts}" if parts else ""), *rest) for r, words, parts, *rest in _FLAT]
 TIERS = ["BROKEN_Q", "WEAK", "SAFE", "PQC"]
 
 # Advice by rule id (recommendation, standard).
