@@ -41,7 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = _session()
     if a.command == "history":
-        past = spark.read.parquet(a.path)
+        past = history.load(spark, a.path)
+        if past is None:
+            print("no scans")
+            return 0
         history.scans(past).orderBy("scan_id").show(truncate=False)
         two = [r[0] for r in history.latest(past).collect()]
         if len(two) == 2:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ... import tables as T
@@ -48,6 +48,24 @@ def material_files(files: DataFrame) -> DataFrame:
     return some.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def identifiers(files: DataFrame) -> DataFrame:
+    """``file, identifier, family, name, curve, at, n``: the object identifiers of algorithms and curves in the bytes of ``files (path,
+    content)`` that are neither text armour nor a certificate, with the first place and the number of each. One pass over the
+    bytes for all identifiers."""
+    ship(files.sparkSession)
+    bare = files.where(~F.contains("content", F.lit(b"-----BEGIN ")))
+    shape = "file string, identifier string, family string, name string, key_size int, curve string, at int, n int"
+
+    def run(batches):
+        names = [x.split(" ")[0] for x in shape.split(", ")]
+        types = pa.schema([(n, pa.int32() if n in ("key_size", "at", "n") else pa.string()) for n in names])
+        for b in batches:
+            rows = [f | {"file": p} for p, c in zip(*(x.to_pylist() for x in b.columns)) if c and not material.readable(c) for f in material.identifiers(c)]
+            yield pa.RecordBatch.from_pylist(rows, types)
+
+    return bare.select("path", "content").mapInArrow(run, shape)
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """``file, line, ecosystem, package, version`` of the manifests among ``files (path, text)``."""
     ship(files.sparkSession)
@@ -64,9 +82,22 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 def libraries(deps: DataFrame) -> DataFrame:
     """Dependencies that the package table knows, with ``family, hint`` and whether the version is below the floor: by exact
-    name, and for Go modules by the longest known prefix."""
+    name, and for Go modules by the longest known prefix. Others whose name has a word that tells a post-quantum scheme are
+    guessed as that (``guessed``), by the first such word in order."""
     known = F.broadcast(T.packages(deps.sparkSession))  # a fixed table
     exact = (F.col("d.ecosystem") == F.col("k.ecosystem")) & ((F.col("d.package") == F.col("k.package")) | ((F.col("k.ecosystem") == "go") & F.col("d.package").startswith(F.concat("k.package", F.lit("/")))))
-    hit = deps.alias("d").join(known.alias("k"), exact).select("d.*", F.struct(F.length("k.package").alias("n"), F.col("k.family").alias("family"), F.col("k.hint").alias("hint"), F.col("k.floor").alias("floor")).alias("k"))
+    hit = deps.alias("d").join(known.alias("k"), exact, "left").select("d.*", F.when(F.col("k.package").isNotNull(), F.struct(F.length("k.package").alias("n"), F.col("k.family").alias("family"), F.col("k.hint").alias("hint"), F.col("k.floor").alias("floor"))).alias("k"))
     best = hit.groupBy(*deps.columns).agg(F.max("k").alias("k"))
-    return best.select(*deps.columns, "k.family", "k.hint", X.version_below(F.col("version"), F.col("k.floor")).alias("outdated"))
+    word = pqc_word(F.col("package"))
+    family = F
+    for f, words in T.PQC_WORDS.items():
+        family = family.when(word.isin(words.split()), f)
+    guessed = F.col("k").isNull() & word.isNotNull()
+    out = best.where(F.col("k").isNotNull() | guessed)
+    return out.select(*deps.columns, F.coalesce("k.family", family.otherwise(None)).alias("family"), F.coalesce("k.hint", F.lit("pqc")).alias("hint"), X.version_below(F.col("version"), F.col("k.floor")).alias("outdated"), guessed.alias("guessed"))
+
+
+def pqc_word(package: Column) -> Column:
+    """The first word of a package's name, in order, that tells a post-quantum scheme, or null."""
+    words = F.array(*(F.lit(w) for ws in T.PQC_WORDS.values() for w in ws.split()))
+    return F.array_min(F.array_intersect(F.split(F.lower(package), "[^a-z0-9]+"), words))

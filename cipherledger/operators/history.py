@@ -6,13 +6,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk_math as M
+from ..sources.versions import Versioned
 
 TRACKED = ["threat", "severity", "score", "act_now", "n_occ", "rule_id"]
 
 
 def save(assets: DataFrame, path: str, scan_id: str, target: str, finished: str) -> None:
-    """Appends one scan as its own partition; assets keep their columns."""
-    assets.withColumn("scan_id", F.lit(scan_id)).withColumn("target", F.lit(target)).withColumn("finished", F.lit(finished)).write.mode("append").partitionBy("scan_id").parquet(path)
+    """Adds one scan, with the decoded row of each asset as ``data``; readers see the whole scan or nothing of it."""
+    stamped = assets.withColumn("scan_id", F.lit(scan_id)).withColumn("target", F.lit(target)).withColumn("finished", F.lit(finished))
+    Versioned(assets.sparkSession, path).add(stamped.withColumn("data", snapshot(assets)), str(scan_id), {"target": target, "finished": finished})
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The scans of the newest version, or of a given one; None where there are none."""
+    return Versioned(spark, path).read(version)
+
+
+def delete(spark: SparkSession, path: str, scan_id: str) -> bool:
+    """Removes a scan and its rows; whether it was there. Readers that began before keep their version until the next one."""
+    store = Versioned(spark, path)
+    there = str(scan_id) in store.parts()
+    if there:
+        store.change(lambda parts: {k: v for k, v in parts.items() if k != str(scan_id)})
+        store.vacuum(keep=2)
+    return there
+
+
+def snapshot(assets: DataFrame) -> Column:
+    """All columns of an asset as one JSON text."""
+    return F.to_json(F.struct(*(F.col(c) for c in assets.columns)))
+
+
+def decoded(rows: DataFrame, data: str, fields: str) -> DataFrame:
+    """``rows`` with ``fields`` (a schema) read from the JSON text ``data``: text that can't be read, or isn't there, is an empty object.
+    A missing ``asset_key`` is made from family, size, curve and mode."""
+    read = F.coalesce(F.from_json(data, fields, {"mode": "PERMISSIVE"}), F.from_json(F.lit("{}"), fields))
+    out = rows.withColumn("decoded", read)
+    names = [f.split(" ")[0] for f in fields.split(", ")]
+    part = lambda n: F.coalesce(F.col(f"decoded.{n}").cast("string"), F.lit("None")) if n in names else F.lit("None")
+    plain = [F.col(f"decoded.{n}").alias(n) for n in names if n != "asset_key"]
+    key = F.coalesce(F.col("decoded.asset_key") if "asset_key" in names else F.lit(None), F.concat_ws("|", *map(part, ("family", "key_size", "curve", "mode"))))
+    return out.select(*(c for c in rows.columns if c not in names), key.alias("asset_key"), *plain)
 
 
 def scans(history: DataFrame) -> DataFrame:
@@ -26,10 +60,6 @@ def latest(history: DataFrame, n: int = 2) -> DataFrame:
     return history.select("scan_id").distinct().orderBy(F.desc("scan_id")).limit(n).orderBy("scan_id")
 
 
-def delete(spark: SparkSession, history: DataFrame, scan_id: str) -> DataFrame:
-    return history.where(F.col("scan_id") != scan_id)
-
-
 def indexed(history: DataFrame, scan: Column) -> DataFrame:
     """One row an identity: the highest severity, then the highest score."""
     have = [c for c in TRACKED if c in history.columns]

@@ -89,6 +89,52 @@ def wildcard_merged(found: DataFrame) -> DataFrame:
     return found.select(*cols).groupBy("family", "kind").applyInPandas(_greedy, "family string, kind string, name string, key_size int, curve string, mode string, padding string, n_occ long, merged int, asset_id string")
 
 
+PARAMS = ["key_size", "curve", "mode", "padding"]
+
+
+def _clusters(rows):
+    import pandas as pd
+
+    rows = rows.astype(object).where(rows.notna(), None)
+    items = rows.to_dict("records")
+    items.sort(key=lambda r: (-sum(r[f] is not None for f in PARAMS), str(r["name"]), [str(r[f]) for f in PARAMS]))
+    out: list[tuple[dict, list[dict]]] = []
+    for r in items:
+        for a, members in out:
+            if all(r[f] is None or a[f] is None or r[f] == a[f] for f in PARAMS):
+                a.update({f: a[f] if a[f] is not None else r[f] for f in PARAMS})
+                members.append(r)
+                break
+        else:
+            out.append(({f: r[f] for f in PARAMS} | {"name": r["name"]}, [r]))
+    told = [r | {f"to_{f}": a[f] for f in [*PARAMS, "name"]} for a, members in out for r in members]
+    return pd.DataFrame(told)[["family", "kind", "name", *PARAMS, *(f"to_{f}" for f in [*PARAMS, "name"])]]
+
+
+def compatible(found: DataFrame) -> DataFrame:
+    """``found (family, kind, name, PARAMS, confidence, ...)`` with the name and parameters of the asset that each finding is of: one
+    with fewer parameters belongs to the first more specific one of its family and kind that doesn't contradict it, whose name stays.
+    What decides are the different parameter sets, not the findings: these are grouped first, so a group of the greedy
+    merge, whose order carries state, is the parameter sets of one family, however often each was seen. Sets only ever seen with low
+    confidence beside better ones are noise and take no part."""
+    ship(found.sparkSession)
+    by = ["family", "kind", "name", *PARAMS]
+    kinds = without_noise(found.groupBy(*by).agg(F.max(confidence_rank(F.col("confidence"))).alias("best_confidence"))).select(*by)
+    shape = "family string, kind string, name string, key_size int, curve string, mode string, padding string, to_key_size int, to_curve string, to_mode string, to_padding string, to_name string"
+    told = kinds.groupBy("family", "kind").applyInPandas(_clusters, shape).select(*(F.col(c).alias(f"of_{c}") for c in by), F.lit(True).alias("of_any"), *(f"to_{f}" for f in [*PARAMS, "name"]))
+    met = found.join(told, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by], "left")
+    new = {c: F.when(F.col("of_any"), F.col(f"to_{c}")).otherwise(F.col(c)).alias(c) for c in [*PARAMS, "name"]}
+    return met.select(*(new.get(c, F.col(c)) for c in found.columns))
+
+
+def extras(found: DataFrame, by: str = "asset_key", extra: str = "extra") -> DataFrame:
+    """``by, extra``: what the findings of an asset say besides its parameters, a map of each key's different values in order. One value or
+    several that contradict each other, in whatever order they were found."""
+    each = found.select(by, F.explode(extra).alias("k", "v")).where("v is not null")
+    values = each.groupBy(by, "k").agg(F.sort_array(F.collect_set("v")).alias("vs"))
+    return values.groupBy(by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "vs")))).alias("extra"))
+
+
 def first_filled(found: DataFrame, by: list[str], fields: list[str], richness: Column, order: Column) -> DataFrame:
     """One row a group: each field of the richest row that has it, ties by ``order``. A grouped minimum a field, so a group of
     any size needs one value of each."""

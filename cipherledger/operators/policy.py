@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,35 @@ def last_match(path: Column, rules: list[tuple[str, object]], default: object) -
     return out.otherwise(default)
 
 
+def _shell(glob: str) -> str:
+    """A whole-path regular expression of a shell pattern, whose ``*`` and ``?`` also take slashes."""
+    i, out = 0, ""
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        end = glob.find("]", i + 1) if c == "[" else -1
+        if c == "[" and end > 0:
+            inner = glob[i:end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", end + 1
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+    return f"(?s)^{out}$"
+
+
+def most_specific(path: Column, rules: list[tuple[str, object]], default: object) -> Column:
+    """The value of the longest glob that matches, of equals the one with fewer stars, then the first. A path also counts as
+    its bare name and with a slash before it, and ``**/`` also as ``*``. The driver sorts the rules, so they are one CASE."""
+    names = [path, F.ltrim(path, F.lit("./")), F.element_at(F.split(path, "/"), -1), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))]
+    out = F
+    for glob, value in sorted(rules, key=lambda r: (-len(r[0]), r[0].count("*"))):
+        forms = dict.fromkeys(_shell(g) for g in (glob, glob.replace("**/", "*").replace("/**", "/*")))
+        hit = F.lit(False)
+        for f in forms:
+            for n in names:
+                hit = hit | n.rlike(f)
+        out = out.when(hit, F.lit(value))
+    return out.otherwise(F.lit(default)) if out is not F else F.lit(default)
+
+
 def lookup(c: Column, table: dict, default) -> Column:
     out = F
     for k, v in table.items():

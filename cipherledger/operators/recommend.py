@@ -61,6 +61,33 @@ PINNED = r"(?i)checksum|fingerprint|etag|content-md5|legacy|compat"
 MAX_FILES = 25
 
 
+SHORTEST = 4  # characters of evidence that can find a line again
+
+
+def rewritable(family: Column, line: Column) -> Column:
+    """Whether a mechanical rewrite of the family fits a line."""
+    out = F.lit(False)
+    for _, families, pattern, _ in FIXES:
+        out = out | (family.isin(families) & line.rlike(pattern))
+    return out
+
+
+def located(sites: DataFrame, lines: DataFrame) -> DataFrame:
+    """``sites (file, line, evidence, family, ...)`` with ``at``: the line of ``lines (file, line, text)`` where a rewrite belongs. The
+    recorded line counts if a rewrite still fits it; else the file's only line that holds the evidence, if one fits that; otherwise, and
+    where several hold it, null. Both joins are by file; lines that no rewrite fits, which are most, only count as holders."""
+    keyed = sites.withColumn("site", F.monotonically_increasing_id())
+    l = lines.select(F.col("file").alias("l_file"), F.col("line").alias("l_line"), F.col("text").alias("l_text"))
+    said = F.trim(F.coalesce("evidence", F.lit("")))
+    here = (F.col("l_line") == F.col("line")) & rewritable(F.col("family"), F.col("l_text"))
+    holds = (F.length(said) >= SHORTEST) & F.contains("l_text", said)
+    met = keyed.select("site", "file", "line", "evidence", "family").join(l, (F.col("file") == F.col("l_file")) & (here | holds))
+    fits = rewritable(F.col("family"), F.col("l_text"))
+    g = met.groupBy("site").agg(F.max(F.when(here, F.col("l_line"))).alias("own"), F.count_if(holds).alias("n"), F.max(F.when(holds & fits, F.col("l_line"))).alias("other"))
+    at = F.coalesce("own", F.when(F.col("n") == 1, F.col("other")))
+    return keyed.join(g, "site", "left").select(*sites.columns, at.alias("at"))
+
+
 def patches(places: DataFrame, files: DataFrame) -> DataFrame:
     """``asset_key, file, patch``: unified diffs for ``places (asset_key, family, file, line)`` that a rewrite fits, of at most
     ``MAX_FILES`` files an asset. Each (asset, file) is one call: the text of one file."""

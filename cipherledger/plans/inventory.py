@@ -23,12 +23,34 @@ def completed(found: DataFrame) -> DataFrame:
     return out.withColumn("curve", F.lower("curve"))
 
 
+def identity():
+    return F.concat_ws("|", merge.key(F.col("family"), F.col("key_size"), F.col("curve"), F.col("mode")), "name", "kind")
+
+
+def own(found: DataFrame) -> DataFrame:
+    """Findings with every column of the identity, vendored files left out, missing digest sizes read from the names."""
+    mine = completed(found).where(~merge.vendored(F.col("file"), T.IGNORED_DIRS))
+    return mine.withColumn("key_size", merge.inferred_size(F.col("family"), F.col("name"), F.col("key_size")).cast("int"))
+
+
+def compatible(found: DataFrame) -> DataFrame:
+    """Findings under the asset that each is of: those with fewer parameters join the more specific ones they don't contradict."""
+    return merge.compatible(own(found))
+
+
 def places(found: DataFrame) -> DataFrame:
-    """One row an asset and place, vendored files left out, missing digest sizes read from the names."""
-    own = completed(found).where(~merge.vendored(F.col("file"), T.IGNORED_DIRS))
-    own = own.withColumn("key_size", merge.inferred_size(F.col("family"), F.col("name"), F.col("key_size")).cast("int"))
-    key = F.concat_ws("|", merge.key(F.col("family"), F.col("key_size"), F.col("curve"), F.col("mode")), "name", "kind")
-    return merge.occurrences(own, KEYS).withColumn("asset_key", key)
+    """One row an asset and place."""
+    return merge.occurrences(own(found), KEYS).withColumn("asset_key", identity())
+
+
+def facts(found: DataFrame) -> DataFrame:
+    """``asset_key, extra, alg, groups, iterations`` of findings with an ``extra`` map: every value that was seen, and what verdicts read:
+    the algorithm if there is but one, all groups, the least iterations."""
+    e = merge.extras(own(found).withColumn("asset_key", identity()))
+    x = F.col("extra")
+    one = lambda k: F.when(F.size(x[k]) == 1, F.get(x[k], F.lit(0)))
+    groups = F.concat_ws(" ", *(F.array_join(x[k], " ") for k in ("groups", "group", "kex", "ciphersuite")))
+    return e.select("asset_key", "extra", F.coalesce(one("alg"), one("algorithm")).alias("alg"), groups.alias("groups"), F.array_min(F.transform(x["iterations"], lambda v: F.try_to_number(v, F.lit("999999999")).cast("int"))).alias("iterations"))
 
 
 def assets(found: DataFrame, now: int = risk.NOW, z: int | None = None, rules: Policy | None = None) -> DataFrame:
@@ -40,7 +62,10 @@ def assets(found: DataFrame, now: int = risk.NOW, z: int | None = None, rules: P
     by = [*KEYS, "asset_key"]
     w = F.min(F.struct((-F.col("x_years")).alias("nx"), (-F.col("weight")).alias("nw"), "file", "line", "data_class", "x_years", "weight")).alias("w")
     g = at.groupBy(*by).agg(w, F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(merge.confidence_rank(F.col("confidence"))).alias("best_confidence"))
-    flat = g.select(*by, "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
+    if "extra" in found.columns:
+        g = g.join(facts(found), "asset_key", "left")
+    more = [c for c in ("extra", "alg", "groups", "iterations") if c in g.columns]
+    flat = g.select(*by, *more, "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
     return recommend.advised(risk.scored(classify.classified(merge.without_noise(flat)), now, z or rules.quantum_year, rules.y_by_family, rules.default_y))
 
 

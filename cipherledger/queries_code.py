@@ -156,3 +156,167 @@ def flat_contexts(spark, sf_dir):
     from .sources import corpus
 
     return contexts.findings(corpus.text_files(spark, sf_dir))
+
+
+# --- merging with what contradicts nothing, extras ---------------------------------------------------------------------------------
+
+
+def _merged_sql() -> str:
+    from .queries import FOUND
+
+    full = "SELECT DISTINCT family, key_size, mode FROM f"
+    return (
+        f"WITH {FOUND}, f AS (SELECT * FROM found WHERE file NOT LIKE 'node_modules/%'), c AS ({full}), n AS (SELECT *, CAST(key_size IS NOT NULL AS INTEGER) + CAST(mode IS NOT NULL AS INTEGER) AS known FROM c), "
+        "best AS (SELECT family, max(known) AS top FROM n GROUP BY family), whole AS (SELECT n.* FROM n JOIN best ON best.family = n.family AND known = top), "
+        "m AS (SELECT n.family, n.key_size, n.mode, w.key_size AS to_size, w.mode AS to_mode, row_number() OVER (PARTITION BY n.family, n.key_size, n.mode ORDER BY CASE WHEN w.key_size IS NOT DISTINCT FROM n.key_size AND w.mode IS NOT DISTINCT FROM n.mode THEN 0 ELSE 1 END, coalesce(CAST(w.key_size AS VARCHAR), 'None'), coalesce(w.mode, 'None')) AS r "
+        "FROM n JOIN whole w ON w.family = n.family AND (n.key_size IS NULL OR n.key_size = w.key_size) AND (n.mode IS NULL OR n.mode = w.mode)) "
+        "SELECT f.family, to_size AS key_size, to_mode AS mode, count(DISTINCT concat(file, ':', line)) AS n_occ, count(DISTINCT file) AS n_files FROM f JOIN m ON m.family = f.family AND m.key_size IS NOT DISTINCT FROM f.key_size AND m.mode IS NOT DISTINCT FROM f.mode AND r = 1 GROUP BY f.family, to_size, to_mode"
+    )
+
+
+@query(_merged_sql())
+def merge_compatible(spark, sf_dir):
+    """Assets after findings with fewer parameters joined the more specific ones, as the scan plan has them."""
+    from .operators import merge
+    from .plans import inventory
+    from .sources import corpus
+
+    found = inventory.compatible(corpus.findings(spark, sf_dir))
+    return merge.assets(inventory.places(found), ["family", "key_size", "mode"]).drop("best_confidence")
+
+
+_EXTRA = {"iterations": C.pick("o_custkey", "1000", "600000", None), "hash": C.pick("o_orderkey", "SHA-256", "SHA-1"), "group": C.pick("o_custkey", "x25519", None, None, "X25519MLKEM768")}
+
+
+@query(
+    "WITH f AS (SELECT " + C.pick("o_custkey", "PBKDF2", "TLS1.3", "HMAC") + " AS family, " + ", ".join(f'{e} AS "{k}"' for k, e in _EXTRA.items()) + " FROM orders), u AS (" + " UNION ALL ".join(f"SELECT DISTINCT family, '{k}' AS field, \"{k}\" AS v FROM f WHERE \"{k}\" IS NOT NULL" for k in _EXTRA) + ") "
+    "SELECT family, field, string_agg(v, ',' ORDER BY v) AS said, count(*) AS n FROM u GROUP BY family, field"
+)
+def merge_extras(spark, sf_dir):
+    """What findings say besides their parameters: one value, or all that contradict each other."""
+    from .operators import merge
+    from .sources import corpus
+
+    pairs = ", ".join(f"'{k}', {e}" for k, e in _EXTRA.items())
+    f = corpus.table(spark, sf_dir, "orders").selectExpr(C.pick("o_custkey", "PBKDF2", "TLS1.3", "HMAC") + " AS family", f"map({pairs}) AS extra")
+    e = merge.extras(f, "family").select("family", F.explode("extra").alias("field", "vs"))
+    return e.select("family", "field", F.array_join("vs", ",").alias("said"), F.size("vs").cast("long").alias("n"))
+
+
+# --- identifiers in bytes ---------------------------------------------------------------------------------------------------------
+
+
+def _identified():
+    from .operators.detect import material as M
+
+    names = list(M.SOUGHT)
+    hexed = [M.encoded(k).hex().upper() for k in names]
+    return M.SOUGHT, names, hexed
+
+
+_SOUGHT, _OIDS, _HEX = _identified()
+_BLOB = "concat('00FF', " + C.pick("c_custkey", "", "3082", "30") + ", " + C.pick("c_custkey", *_HEX) + ", '2B6570', " + C.pick("c_custkey", "", *_HEX) + ", " + C.pick("c_nationkey", "0500", *_HEX[:2]) + ")"
+_oid_values = ", ".join(f"({i}, '{k}', '{f}', '{n}')" for i, (k, (f, n, *_)) in enumerate(_SOUGHT.items()))
+
+
+@query(
+    f"WITH k(i, identifier, family, name) AS (VALUES {_oid_values}), u AS (SELECT c_custkey, c_custkey % {len(_OIDS)} AS i FROM customer UNION ALL SELECT c_custkey, c_custkey % {len(_OIDS) + 1} - 1 FROM customer UNION ALL SELECT c_custkey, c_nationkey % 3 - 1 FROM customer) "
+    "SELECT concat('blob/', c_custkey) AS file, identifier, family, name, CAST(count(*) AS INTEGER) AS n FROM u JOIN k ON k.i = u.i GROUP BY ALL"
+)
+def detect_identifiers(spark, sf_dir):
+    """Object identifiers in bytes that are neither armoured nor a certificate."""
+    from .sources import corpus
+
+    blobs = corpus.table(spark, sf_dir, "customer").selectExpr("concat('blob/', c_custkey) AS path", f"unhex({_BLOB}) AS content")
+    return run.identifiers(blobs).select("file", "identifier", "family", "name", "n")
+
+
+# --- guesses from package names -----------------------------------------------------------------------------------------------------
+
+_NAME = "concat(" + C.pick("p_size", "lib-", "@org/", "", "my_") + ", " + C.pick("p_partkey", "kyber", "leftpad", "Dilithium", "sphincs", "pqc", "oqs", "hqc", "skyber", "rainbow") + ", " + C.pick("p_partkey + p_size", "-js", ".xmss", "", "_falcon", "/ntru") + ")"
+
+
+@query(
+    f"WITH p AS (SELECT p_partkey, {_NAME} AS package FROM part), w AS (SELECT p_partkey, package, unnest(string_split_regex(lower(package), '[^a-z0-9]+')) AS word FROM p), "
+    "k AS (SELECT p_partkey, package, min(word) AS word FROM w WHERE word IN ('kyber','mlkem','dilithium','mldsa','falcon','sphincs','slhdsa','liboqs','oqs','pqcrypto','pqclean','ntru','saber','frodo','frodokem','mceliece','bike','hqc','xmss','picnic','rainbow','postquantum','pqc') GROUP BY ALL) "
+    "SELECT p_partkey, package, CASE WHEN word IN ('kyber','mlkem','frodo','frodokem','ntru','saber','mceliece','bike','hqc') THEN 'ML-KEM' WHEN word IN ('dilithium','mldsa','falcon','rainbow','picnic') THEN 'ML-DSA' WHEN word IN ('sphincs','slhdsa','xmss') THEN 'SLH-DSA' ELSE 'PQC' END AS family, true AS guessed FROM k"
+)
+def dependency_guesses(spark, sf_dir):
+    """Packages that no table knows and whose names tell a post-quantum scheme."""
+    from .sources import corpus
+
+    p = corpus.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_NAME} AS package", "'1.0' AS version", "'other' AS ecosystem")
+    return run.libraries(p).select("p_partkey", "package", "family", "guessed")
+
+
+# --- path rules by specificity --------------------------------------------------------------------------------------------------------
+
+_RULES = [("*", "anything"), ("src/*", "source"), ("src/auth/**", "login"), ("**/users/*", "people"), ("f1*", "first"), ("payments/f?.*", "short payments"), ("docs/[!a-e]*", "papers"), ("*.java", "java")]
+
+
+def _rules_sql() -> str:
+    from .queries import FOUND
+
+    # longest first: payments/f?.* (13), docs/[!a-e]* (12), src/auth/** (11), **/users/* (10), *.java (6), src/* (5), f1* (3), * (1)
+    return (
+        f"WITH {FOUND}, f AS (SELECT DISTINCT file, regexp_replace(file, '^.*/', '') AS base FROM found) SELECT file, CASE WHEN regexp_matches(file, '^payments/f.\\..*$') THEN 'short payments' WHEN regexp_matches(file, '^docs/[^a-e].*$') THEN 'papers' WHEN file LIKE 'src/auth/%' THEN 'login' "
+        "WHEN file LIKE '%/users/%' THEN 'people' WHEN file LIKE '%.java' THEN 'java' WHEN file LIKE 'src/%' THEN 'source' WHEN base LIKE 'f1%' THEN 'first' ELSE 'anything' END AS rule FROM f"
+    )
+
+
+@query(_rules_sql())
+def policy_specific_rules(spark, sf_dir):
+    """Path rules of which the most specific one wins."""
+    from .operators import policy
+    from .sources import corpus
+
+    f = corpus.findings(spark, sf_dir).select("file").distinct()
+    return f.select("file", policy.most_specific(F.col("file"), _RULES, "none").alias("rule"))
+
+
+# --- lines that moved -------------------------------------------------------------------------------------------------------------------
+
+_CALL = C.pick("o_orderkey", "hashlib.md5(", "hashlib.sha1(", "createHash('md5')", "md5.New()")
+#: The line that was found, after up to three lines that came in since; twice in some files, gone in others.
+_MOVED = C.text("import x", "{{repeat(concat('# new', chr(10)), CAST(o_custkey % 4 AS INTEGER))}}v{{o_orderkey}} = {{CASE WHEN o_orderkey % 11 = 0 THEN 'sha256(' ELSE " + _CALL + " END}}b)", "{{CASE WHEN o_orderkey % 7 = 0 THEN concat('w = v', o_orderkey, ' = ', " + _CALL + ", 'b)') ELSE 'end' END}}")
+_SITE = ["concat('src/', o_orderkey) AS file", "2 AS line", f"concat('v', o_orderkey, ' = ', {_CALL}, 'b)') AS evidence", "CASE WHEN o_orderkey % 4 = 1 THEN 'SHA-1' ELSE 'MD5' END AS family"]
+
+
+@query(
+    f"SELECT {', '.join(_SITE[:1])}, CAST(CASE WHEN o_orderkey % 11 = 0 THEN CASE WHEN o_orderkey % 7 = 0 THEN 3 + o_custkey % 4 END WHEN o_custkey % 4 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN NULL ELSE 2 + o_custkey % 4 END AS INTEGER) AS moved_to FROM orders"
+)
+def fix_moved_lines(spark, sf_dir):
+    """Where a rewrite belongs after lines came in before it: the recorded line, else the only one that holds the evidence."""
+    from .operators import recommend
+    from .sources import corpus
+
+    o = corpus.table(spark, sf_dir, "orders")
+    lines = corpus.lines(o.selectExpr("concat('src/', o_orderkey) AS path", f"{_MOVED} AS text")).withColumnRenamed("path", "file")
+    return recommend.located(o.selectExpr(*_SITE), lines).select("file", F.col("at").alias("moved_to"))
+
+
+# --- history after a deletion --------------------------------------------------------------------------------------------------------------
+
+
+def _kept_sql() -> str:
+    from .queries import HISTORY
+
+    return f"WITH {HISTORY} SELECT scan_id, asset_key, rank AS severity_rank, n_occ FROM hist WHERE scan_id <> 1996"
+
+
+@query(_kept_sql())
+def history_after_delete(spark, sf_dir):
+    """All scans saved one by one, one of them deleted, and the rest read back and decoded."""
+    import tempfile
+    import uuid
+
+    from .operators import history
+    from .queries import _history
+
+    home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledger-history-')}/scans-{uuid.uuid4().hex}"
+    every = _history(spark, sf_dir).select("scan_id", "asset_key", "severity_rank", "n_occ")
+    for (year,) in every.select("scan_id").distinct().orderBy("scan_id").collect():
+        history.save(every.where(F.col("scan_id") == year).drop("scan_id"), home, str(year), "lineitem", str(year))
+    history.delete(spark, home, "1996")
+    rows = history.load(spark, home).select(F.col("scan_id").cast("int").alias("scan_id"), "data")
+    return history.decoded(rows, "data", "asset_key string, severity_rank int, n_occ long").select("scan_id", "asset_key", "severity_rank", "n_occ")

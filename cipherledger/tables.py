@@ -181,6 +181,15 @@ PACKAGES = [
 ]
 
 
+# Words in package names that tell a post-quantum scheme, by its family.
+PQC_WORDS = {
+    "ML-KEM": "kyber mlkem frodo frodokem ntru saber mceliece bike hqc",
+    "ML-DSA": "dilithium mldsa falcon rainbow picnic",
+    "SLH-DSA": "sphincs slhdsa xmss",
+    "PQC": "liboqs oqs pqcrypto pqclean postquantum pqc",
+}
+
+
 def slug(name: str) -> str:
     """The driver-side twin of ``functions.text.slug``."""
     import re

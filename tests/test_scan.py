@@ -31,7 +31,7 @@ def test_tree(spark, tmp_path):
     out = str(tmp_path / "history")
     history.save(assets, out, "1", "t", "a")
     history.save(assets.where("family <> 'MD5'"), out, "2", "t", "b")
-    past = spark.read.parquet(out)
+    past = history.load(spark, out)
     d = {r.status for r in history.diff(past, 1, 1).collect()}
     assert d == {"unchanged"}
     assert {r.status for r in history.diff(past, 1, 2).collect()} == {"unchanged", "removed"}
