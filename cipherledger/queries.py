@@ -158,10 +158,24 @@ def kb_classify(spark, sf_dir):
     return _assets(spark, sf_dir).select("family", "key_size", "mode", "threat")
 
 
-@query("SELECT DISTINCT e AS spelling, f AS kb_family FROM (SELECT unnest(['Triple DES', 'org/lib/SHA_256', 'rsa2048', 'aes-128-cbc', 'X25519', 'kyber768', 'tls v9']) AS e, unnest(['3DES', 'SHA-2', 'RSA', 'AES', 'X25519', 'ML-KEM', NULL]) AS f) WHERE e <> ''")
+#: Spellings and the family that each means, written down by hand; a table's rows pick one each, with noise around it.
+SPELLED = [
+    ("Triple DES", "3DES"), ("org/lib/SHA_256", "SHA-2"), ("rsa2048", "RSA"), ("aes-128-cbc", "AES"), ("X25519", "X25519"), ("kyber768", "ML-KEM"), ("tls v9", None), ("RSA 4096", "RSA"), ("des-ede3", "3DES"), ("hmac sha256", "HMAC"),
+    ("Dilithium", "ML-DSA"), ("curve25519", "X25519"), ("TLSv1", "TLS1.0"), ("sha_1", "SHA-1"), ("ES256", "ECDSA"), ("rot13", None),
+]
+
+
+def _picked(key: str, values: list) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {'NULL' if v is None else _q(v) if isinstance(v, str) else v}" for i, v in enumerate(values)) + " END"
+
+
+_SPELLING = f"concat({_picked('o_custkey', ['', '  ', 'a/b/'])}, {_picked('o_orderkey', [x for x, _ in SPELLED])}, {_picked('o_custkey', ['', ' '])})"
+
+
+@query(f"SELECT o_orderkey, {_SPELLING} AS spelling, {_picked('o_orderkey', [f for _, f in SPELLED])} AS kb_family FROM orders")
 def kb_resolve(spark, sf_dir):
-    rows = [(x,) for x in ("Triple DES", "org/lib/SHA_256", "rsa2048", "aes-128-cbc", "X25519", "kyber768", "tls v9")]
-    return classify.resolved(spark.createDataFrame(rows, "spelling string"), "spelling").select("spelling", "kb_family")
+    o = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_SPELLING} AS spelling")
+    return classify.resolved(o, "spelling").select("o_orderkey", "spelling", "kb_family")
 
 
 @query(r"SELECT DISTINCT p_type, trim(regexp_replace(regexp_replace(list_extract(string_split(lower(trim(p_type)), '/'), -1), '[\s_.:]+', '-', 'g'), '-+', '-', 'g'), '-') AS slug, regexp_replace(upper(p_type), '[^A-Z0-9]', '', 'g') AS squashed, left(sha256(concat(p_type, chr(9247), p_brand)), 16) AS id FROM part")
@@ -374,23 +388,23 @@ _NAMES = [
 ]
 
 
-@query("WITH f(form, spelling, family, key_size, mode) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _NAMES) + ") SELECT form, spelling, family, CAST(key_size AS INTEGER) AS key_size, mode FROM f")
+@query("WITH f(k, form, spelling, family, key_size, mode) AS (VALUES " + ", ".join(f"({i}, " + ", ".join(map(_sql, r)) + ")" for i, r in enumerate(_NAMES)) + f") SELECT p_partkey, form, spelling, family, CAST(key_size AS INTEGER) AS key_size, mode FROM part JOIN f ON k = p_partkey % {len(_NAMES)}")
 def cipher_names(spark, sf_dir):
-    d = spark.createDataFrame([r[:2] for r in _NAMES], "form string, spelling string")
+    d = corpus.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_picked('p_partkey', [r[0] for r in _NAMES])} AS form", f"{_picked('p_partkey', [r[1] for r in _NAMES])} AS spelling")
     o, j = N.openssl_cipher(F.col("spelling")), N.java_transformation(F.col("spelling"))
     pick = lambda c: F.when(F.col("form") == "java", j[c]).otherwise(o[c]).alias(c)
-    return d.select("form", "spelling", pick("family"), pick("key_size"), pick("mode"))
+    return d.select("p_partkey", "form", "spelling", pick("family"), pick("key_size"), pick("mode"))
 
 
 _WORDS = [("jwt", "RS256", "RSA", "SHA-256"), ("jwt", "ES256K", "ECDSA", "SHA-256"), ("jwt", "none", "none", None), ("jwt", "EdDSA", "Ed25519", None), ("tls", "PROTOCOL_TLSv1_2", "TLSv1.2", None), ("tls", "SSLv3_method", "SSLv3", None), ("tls", "TLS", "TLS (unpinned)", None), ("hash", "SHA-512", "SHA-2", "512"), ("hash", "HmacSHA1", "SHA-1", "160"), ("hash", "sha256WithRSAEncryption", "SHA-2", "256"), ("hash", "SHA3-384", "SHA-3", "384"), ("hash", "shake256", "SHAKE", None)]
 
 
-@query("WITH f(form, spelling, family, detail) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _WORDS) + ") SELECT form, spelling, family, detail FROM f")
+@query("WITH f(k, form, spelling, family, detail) AS (VALUES " + ", ".join(f"({i}, " + ", ".join(map(_sql, r)) + ")" for i, r in enumerate(_WORDS)) + f") SELECT p_partkey, form, spelling, family, detail FROM part JOIN f ON k = p_partkey % {len(_WORDS)}")
 def algorithm_names(spark, sf_dir):
-    d = spark.createDataFrame([r[:2] for r in _WORDS], "form string, spelling string")
+    d = corpus.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_picked('p_partkey', [r[0] for r in _WORDS])} AS form", f"{_picked('p_partkey', [r[1] for r in _WORDS])} AS spelling")
     s, f = F.col("spelling"), F.col("form")
     w, h = N.jwt(s), N.hash_name(s)
-    return d.select("form", "spelling", F.when(f == "jwt", w["family"]).when(f == "tls", N.tls_version(s)).otherwise(h["family"]).alias("family"), F.when(f == "jwt", w["hash"]).when(f == "hash", h["digest_size"].cast("string")).alias("detail"))
+    return d.select("p_partkey", "form", "spelling", F.when(f == "jwt", w["family"]).when(f == "tls", N.tls_version(s)).otherwise(h["family"]).alias("family"), F.when(f == "jwt", w["hash"]).when(f == "hash", h["digest_size"].cast("string")).alias("detail"))
 
 
 _PKG = "k(ecosystem, package, family, hint, floor) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in T.PACKAGES) + ")"
@@ -405,7 +419,7 @@ def dependency_packages(spark, sf_dir):
     return run.libraries(p).select("p_partkey", "package", "version", "family", "hint", "outdated")
 
 
-# --- detectors on a small corpus of code; rows only ------------------------------------------------------------------------------------
+# --- detectors on code; rows only ------------------------------------------------------------------------------------
 
 CORPUS = {
     "app/keys.py": "import hashlib as h\nfrom cryptography.hazmat.primitives.asymmetric import rsa, ec\nBITS = 1024\nk = rsa.generate_private_key(public_exponent=65537, key_size=BITS)\ne = ec.generate_private_key(ec.SECP256R1())\nh.md5(b'x')\nh.sha256(b'y')\n# hashlib.sha1(b'no')\nraise ValueError('use DES')\n",
@@ -419,28 +433,31 @@ CORPUS = {
 }
 
 
-def _scan(spark):
+def _scan(spark, sf_dir):
+    """The plan over a tree with a folder for every supplier, each holding the files of ``CORPUS``."""
     from .plans import scan
 
-    rows = [(p, t.encode(), len(t.encode())) for p, t in CORPUS.items()]
-    return scan.of_files(spark, spark.createDataFrame(rows, "path string, content binary, length long"))
+    each = F.explode(F.map_from_arrays(F.array(*map(F.lit, CORPUS)), F.array(*map(F.lit, CORPUS.values()))))
+    files = corpus.table(spark, sf_dir, "supplier").select("s_suppkey", each.alias("name", "text"))
+    content = F.encode("text", "UTF-8")
+    return scan.of_files(spark, files.select(F.concat_ws("/", F.concat(F.lit("s"), "s_suppkey"), "name").alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("length")))
 
 
 @query()
 def detect_corpus(spark, sf_dir):
-    return _scan(spark).findings
+    return _scan(spark, sf_dir).findings
 
 
 @query()
 def scan_corpus(spark, sf_dir):
-    return _scan(spark).assets
+    return _scan(spark, sf_dir).assets
 
 
 @query()
 def patch_corpus(spark, sf_dir):
     from .plans import scan
 
-    return scan.patches(_scan(spark))
+    return scan.patches(_scan(spark, sf_dir))
 
 
 # --- streaming --------------------------------------------------------------------------------------------------------------------------------
@@ -448,12 +465,10 @@ def patch_corpus(spark, sf_dir):
 
 @query("WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
 def stream_event_windows(spark, sf_dir):
-    import tempfile
-    import uuid
-
+    from .runtime import shared_folder
     from .streaming import watch
 
-    home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledger-stream-')}/stream-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "stream")
     return watch.event_windows(spark, f"{sf_dir}/events.parquet", f"{home}/out", f"{home}/state")
 
 
@@ -467,11 +482,18 @@ _TOLD = [
 ]
 
 
-@query("WITH f(file, family, key_size, mode) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _TOLD) + ") SELECT file, family, CAST(key_size AS INTEGER) AS key_size, mode FROM f")
+_told = "WITH f(file, family, key_size, mode) AS (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in _TOLD) + ")"
+
+
+@query(f"{_told} SELECT replace(replace(file, '.example', concat('-', s_suppkey, '.example')), '2001:db8::', concat('2001:db8:', s_suppkey, '::')) AS file, family, CAST(key_size AS INTEGER) AS key_size, mode FROM supplier, f")
 def tls_observations(spark, sf_dir):
+    """Recorded handshakes of three endpoints of every supplier."""
     from .operators import observed
 
-    return observed.findings(spark.createDataFrame(_SEEN, "endpoint string, version string, suite string, `group` string")).select("file", "family", "key_size", "mode")
+    seen = F.explode(F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for v, n in zip(r, ("endpoint", "version", "suite", "group")))) for r in _SEEN)))
+    s = corpus.table(spark, sf_dir, "supplier").select("s_suppkey", seen.alias("x")).select("s_suppkey", "x.*")
+    own = F.replace(F.replace("endpoint", F.lit(".example"), F.concat(F.lit("-"), "s_suppkey", F.lit(".example"))), F.lit("2001:db8::"), F.concat(F.lit("2001:db8:"), "s_suppkey", F.lit("::")))
+    return observed.findings(s.select(own.alias("endpoint"), "version", "suite", "group")).select("file", "family", "key_size", "mode")
 
 
 @query(f"WITH {ASSETS} SELECT uri, CASE WHEN uri LIKE '%.py' THEN 'python' END AS language FROM (SELECT DISTINCT p.file AS uri FROM placed p JOIN assets a ON a.family = p.family AND a.key_size IS NOT DISTINCT FROM p.key_size AND a.mode IS NOT DISTINCT FROM p.mode)")

@@ -307,16 +307,44 @@ def _kept_sql() -> str:
 @query(_kept_sql())
 def history_after_delete(spark, sf_dir):
     """All scans saved one by one, one of them deleted, and the rest read back and decoded."""
-    import tempfile
-    import uuid
-
     from .operators import history
     from .queries import _history
+    from .runtime import shared_folder
 
-    home = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ledger-history-')}/scans-{uuid.uuid4().hex}"
+    home = shared_folder(spark, "scans")
     every = _history(spark, sf_dir).select("scan_id", "asset_key", "severity_rank", "n_occ")
     for (year,) in every.select("scan_id").distinct().orderBy("scan_id").collect():
         history.save(every.where(F.col("scan_id") == year).drop("scan_id"), home, str(year), "lineitem", str(year))
     history.delete(spark, home, "1996")
     rows = history.load(spark, home).select(F.col("scan_id").cast("int").alias("scan_id"), "data")
     return history.decoded(rows, "data", "asset_key string, severity_rank int, n_occ long").select("scan_id", "asset_key", "severity_rank", "n_occ")
+
+
+# --- the whole plan over all four languages ---------------------------------------------------------------------------------------------
+
+
+_SCANNED = " UNION ALL ".join(
+    f"SELECT concat(file, '.{ext}') AS file, line, family, {size} AS key_size FROM ({sql})"
+    for ext, sql, size in (("java", _JAVA, "key_size"), ("go", _GO, "key_size"), ("js", _JS, "key_size"), ("py", _PYTHON, "CASE WHEN line = 5 OR (line = 6 AND confidence = 'high') THEN " + C.pick("o", None, None, 512) + " WHEN line = 6 THEN " + C.pick("c", 256, None) + " END"))
+)
+
+
+def _scanned_sql() -> str:
+    python = _PYTHON.replace("AS file, x.*", "AS file, o_orderkey AS o, o_custkey AS c, x.*")
+    return f"WITH f AS ({_SCANNED.replace(_PYTHON, python)}) SELECT family, CAST(count(DISTINCT concat(file, ':', line, ':', coalesce(key_size, 0))) AS BIGINT) AS n_occ, count(DISTINCT file) AS n_files FROM f GROUP BY family"
+
+
+@query(_scanned_sql())
+def scan_code(spark, sf_dir):
+    """Detectors, compatible merge, verdicts and scores over a tree of four files for every order; by family, places and files."""
+    from .plans import scan
+
+    ext = {"java": "java", "go": "go", "python": "py", "js": "js"}
+    content = F.encode("text", "UTF-8")
+    tree = None
+    for lang, e in ext.items():
+        part = C.files(spark, sf_dir, lang).select(F.concat("path", F.lit(f".{e}")).alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("length"))
+        tree = part if tree is None else tree.unionByName(part)
+    done = scan.of_files(spark, tree)
+    files = done.places.groupBy("family").agg(F.countDistinct("file").alias("n_files"))
+    return done.assets.groupBy("family").agg(F.sum("n_occ").alias("n_occ")).join(files, "family")

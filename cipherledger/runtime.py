@@ -1,12 +1,13 @@
-"""Makes this package importable in Python workers, wherever the driver was started."""
+"""Makes this package importable in Python workers, wherever the driver was started; tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     sc.addPyFile(str(out))
     _shipped.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledger-shared-")
+    return f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is read more than once is computed once, and lost executors don't lose it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
