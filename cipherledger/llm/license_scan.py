@@ -5,8 +5,9 @@ bigrams with an L1 penalty, so common words get no weight; its classes are the l
 ``unknown`` and ordinary prose. A paragraph of several lines is scored line by line and as a whole: a family that only the
 whole shows, as of a notice wrapped over lines, is reported for the paragraph, others for their lines.
 
-Training, on the driver: variants of the templates (words dropped, neighbouring prose added, parts of a notice),
-``UNKNOWN`` and ``ORDINARY`` sentences, and at most ``SAMPLE`` different paragraphs of at most ``SAMPLE`` different texts of
+Training, on the driver: variants of the templates (words dropped, neighbouring prose added, parts of a notice); the
+families' names (``CALLED``) in the frames of notices in four languages; names that no family has in the same frames; everyday uses of the
+same words; ``UNKNOWN`` and ``ORDINARY`` sentences; and at most ``SAMPLE`` different paragraphs of at most ``SAMPLE`` different texts of
 the corpus without licence words, a documented bound (those with the smallest hashes). The temperature that calibrates the
 probabilities is fitted on families that were left out of training, one third at a time: their variants count as unknown
 there. A prediction of a family holds if its probability reaches ``CERTAIN`` and comparison with the family's templates
@@ -24,6 +25,7 @@ alone. Rows are independent: no shuffle but of the sample.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,11 @@ from .common import cut, table
 from .packed import tidy
 
 SAMPLE = 3_000
+VOCABULARY = 1_500  # n-grams of the training texts, besides those of the templates and names
 CERTAIN = 0.7
 CONFIRM = 0.5
 WORD = re.compile(r"[^\W_]+")
+CAPITALS = re.compile(r"\b[A-Z]{2}[A-Z0-9]*\b")
 
 #: Short notices of licence families as their authors publish them.
 TEMPLATES = {
@@ -51,8 +55,8 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0", "licensed under the Mozilla Public License 2.0"],
     "ISC": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "CC0": ["dedicated to the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
-    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense", "Released to the public domain by the Unlicense"],
-    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Licensed under the Boost Software License"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"],
     "EPL": ["made available under the terms of the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License, version 2.0"],
     "Zlib": ["Licensed under the zlib License", "SPDX-License-Identifier: Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
     "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -70,16 +74,84 @@ UNKNOWN = [
 ORDINARY = [
     "He has a driver's license and a public version of the file", "The software was released last week", "All the rights of the people are general and free",
     "The version of the work that you have is a copy of the original", "A general public meeting is free of charge for any person", "she reserved a table under the name of the foundation",
-    "a software developer licensed to drive the bus under the new terms", "the pilot lost the license and the permission to fly", "licensed doctors and nurses work in the public hospital",
+    "the pilot lost the license and the permission to fly", "licensed doctors and nurses work in the public hospital",
     "the source of the river is in the public park", "no warranty comes with the used car", "the copyright office is open to the public on Monday", "the rights of the workers were granted by the new law",
     "the conditions of the form are met by the school", "the gnu is a general kind of antelope", "the foundation gives free meals to any person in the street", "he distributed copies of the book without charge",
     "the apache helicopter flew over the creative commons of the town", "the boost to the software industry was large", "the eclipse was visible to the public in the north", "a version of the song was released under a new name",
 ]
 
 
+#: How the families are called in notices.
+CALLED = {
+    "MIT": ["MIT", "MIT License", "MIT/X11", "Expat license"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0", "Apache-2.0", "Apache License 2.0", "ASL 2.0", "Apache Software License, version 2"],
+    "GPL-3.0": ["GPLv3", "GPL-3.0", "GPL 3", "GPL v3", "GNU GPL version 3", "GNU General Public License v3.0", "General Public License version 3"],
+    "GPL-2.0": ["GPLv2", "GPL-2.0", "GPL 2", "GPL v2", "GNU GPL version 2", "GNU General Public License v2.0", "General Public License version 2"],
+    "LGPL": ["LGPL", "LGPLv2.1", "LGPLv3", "LGPL-3.0", "GNU LGPL version 2.1", "GNU Lesser General Public License", "Lesser GPL"],
+    "AGPL-3.0": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL version 3", "GNU Affero General Public License", "Affero GPL"],
+    "BSD": ["BSD", "BSD License", "3-clause BSD license", "2-clause BSD", "New BSD License", "Simplified BSD", "BSD-2-Clause"],
+    "MPL-2.0": ["MPL", "MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "ISC": ["ISC", "ISC License", "ISC licence"],
+    "CC0": ["CC0", "CC0 1.0", "CC0-1.0", "Creative Commons Zero", "CC0 1.0 Universal"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "BSL-1.0": ["Boost Software License 1.0", "BSL-1.0", "Boost License", "Boost Software License"],
+    "EPL": ["EPL", "EPL 2.0", "EPL-1.0", "Eclipse Public License", "Eclipse Public License v2.0"],
+    "Zlib": ["zlib", "zlib License", "zlib/libpng license"],
+    "CC-BY": ["CC BY 4.0", "CC-BY", "CC BY 3.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution license"],
+    "CC-BY-SA": ["CC BY-SA 4.0", "CC-BY-SA", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0", "Creative Commons ShareAlike"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC-BY-NC", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0", "Creative Commons NonCommercial"],
+}
+#: How notices begin and end in four languages; ``{}`` is the family's name.
+FRAMES = [
+    "Released under the {}", "Licensed under {}", "licensed under the terms of the {}", "License: {}", "Licence: {}", "license = {}", "This project is available under the {}", "The source code is distributed under {}", "{} licensed", "This library is covered by the {}",
+    "You may use it under the conditions of the {}", "Copyright the authors. {}", "published under {}", "see LICENSE ({})", "It may be redistributed under the {}, see the file COPYING", "@license {}", "subject to the {}", "(c) the contributors, {}", "SPDX-License-Identifier: {}",
+    "Lizenziert unter {}", "Lizenz: {}", "steht unter der {}", "Dieses Programm wird unter der {} veröffentlicht", "unter den Bedingungen der {}", "freigegeben unter {}", "unter der {}-Lizenz",
+    "Sous licence {}", "Licence : {}", "Ce logiciel est distribué sous la {}", "selon les termes de la {}", "diffusé sous {}", "sous la licence {}",
+    "Bajo licencia {}", "Licencia: {}", "Este programa se distribuye bajo la {}", "según los términos de la {}", "publicado con licencia {}", "con la licencia {}",
+]
+LATER = ["", "", "", ".", " or later", " or any later version", " only", "+", ".", " and others"]
+#: Words from which names of licences that nobody knows, and everyday uses of licence words, are made.
+_ODD = "Acme Northwind Contoso Foobar Sunrise Harbor Meridian Granite Willow Copper Zenith Polar European Artistic Academic Open Common Internal Vendor Sample Quill Fjord Python PHP Ruby Zope Educational Beerware Sleepycat".split()
+_KIND = ["Public License", "Community License", "License", "Source License", "Shared License", "License 3.1", "Software Agreement", "Licence 1.2", "End User License", "PL"]
+_WHO = "The driver|A nurse|The teacher|His uncle|The captain|A young doctor|The shop|Every hunter|The electrician|My neighbour|The airline|The city|A broker|The family|Some students".split("|")
+_DOES = "applied for a|renewed the|was given a|lost the|asked about a|paid for the|showed the|had no|needed a new|returned the".split("|")
+_WHAT = "driving license|fishing licence|trade license|marriage license|pilot licence|hunting license|taxi license|radio licence|music license|dog licence|license plate|licensed guide|copyright lawyer|building permission|public permission|warranty of the car".split("|")
+_WHEN = "last week|in the north of the town|under the new rules|before the trial|at the public office|for two years|with the help of a friend|in version two of the form|free of charge|by the terms of the contract".split("|")
+_THING = "apache|eclipse|boost|mozilla|python|gnu|free software|public domain|creative commons|foundation|artistic|general public|open source|source code|public".split("|")
+_SEEN = "was seen over the|made the news in the|is the topic of the|comes back every spring to the|was painted on the wall of the|helped the people of the|is older than the|met the".split("|")
+_WHERE = "town hall|library|school|market|harbour|museum|park|city council|evening paper|garden".split("|")
+
+
+def _made(rng, many: int) -> list[tuple[str, str]]:
+    """``(class, sentence)``: names of families in frames, names that no family has, and everyday uses of the same words."""
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    out = []
+    for family, names in CALLED.items():
+        for _ in range(many):
+            text = pick(FRAMES).format(pick(names)) + pick(LATER)
+            if rng.random() < 0.1:  # a second one beside it; the first names the line
+                text += f" / {pick(CALLED[pick(list(CALLED))])}"
+            out.append((family, text))
+    for _ in range(6 * many):
+        name = f"{pick(_ODD)} {pick(_ODD)} {pick(_KIND)}" if rng.random() < 0.3 else f"{pick(_ODD)} {pick(_KIND)}"
+        out.append(("unknown", pick(FRAMES).format(name) + pick(LATER)))
+        out.append(("unknown", pick(["placed in the public domain", "dedicated to the public domain by its authors", "usage terms: see the LICENSE file", "license to be decided", "copyright holders grant a license", "permission is granted to copy this page"])))
+    for _ in range(10 * many):
+        out.append(("ordinary", f"{pick(_WHO)} {pick(_DOES)} {pick(_WHAT)} {pick(_WHEN)}"))
+        out.append(("ordinary", f"the {pick(_THING)} {pick(_SEEN)} {pick(_WHERE)} {pick(_WHEN)}"))
+    return out
+
+
+def _capitals(paragraph: str, words: int) -> list[str]:
+    """Words of capitals, which are names unless the paragraph is written that way."""
+    found = CAPITALS.findall(paragraph)
+    return found if 2 * len(found) <= words + 1 else []
+
+
 def grams(paragraph: str) -> list[str]:
+    """Words and word pairs in small letters, and names in capitals as they are: MIT is a name, mit a German word."""
     w = WORD.findall(paragraph.lower())
-    return [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]
+    return [*w, *(f"{a} {b}" for a, b in zip(w, w[1:])), *_capitals(paragraph, len(w))]
 
 
 def _variants(rng, prose: list[list[str]], many: int) -> tuple[list[str], list[int], list[str]]:
@@ -99,6 +171,12 @@ def _variants(rng, prose: list[list[str]], many: int) -> tuple[list[str], list[i
                     w = a[: rng.integers(0, 12)] + w + b[: rng.integers(0, 12)]
                 texts.append(" ".join(w))
                 classes.append(y)
+    for name, text in _made(rng, 2 * many):
+        w = text.split()
+        if prose and rng.random() < 0.3:
+            w = prose[rng.integers(len(prose))][: rng.integers(0, 10)] + w + prose[rng.integers(len(prose))][: rng.integers(0, 10)]
+        texts.append(" ".join(w))
+        classes.append(names.index(name))
     for p in prose:
         texts.append(" ".join(p))
         classes.append(len(names) - 1)
@@ -107,10 +185,12 @@ def _variants(rng, prose: list[list[str]], many: int) -> tuple[list[str], list[i
 
 class Scanner:
     def __init__(self, names: list[str], weights: dict[str, np.ndarray], bias: np.ndarray, heat: float):
-        self.names, self.weights, self.bias, self.heat = names, weights, bias, heat
+        self.names, self.weights, self.bias, self.heat = names, weights, bias.copy(), heat
+        o = names.index("ordinary")
+        self.bias[o] = max(self.bias[o], np.delete(self.bias, o).max() + 0.5)  # a line that says nothing is prose
         self.strong = self._strong()
         share: dict[str, int] = {}
-        sets = {n: [set(grams(t)) for t in ts] for n, ts in TEMPLATES.items()}
+        sets = {n: [set(grams(t)) for t in (*ts, *CALLED.get(n, ()))] for n, ts in TEMPLATES.items()}
         for ts in sets.values():
             for g in set().union(*ts):
                 share[g] = share.get(g, 0) + 1
@@ -126,8 +206,8 @@ class Scanner:
         out: set[str] = set()
         for g in sorted(gain, key=lambda g: (gain[g], g)):
             left -= gain[g]
-            if left <= 0 and out.isdisjoint(g.split(" ")):
-                out.add(max(g.split(" "), key=len))
+            if left <= 0 and out.isdisjoint(g.lower().split(" ")):
+                out.add(max(g.split(" "), key=len).lower())
         return out
 
     def classify(self, paragraph: str) -> tuple[str, float] | None:
@@ -136,7 +216,7 @@ class Scanner:
         if self.strong.isdisjoint(w):
             return None
         known, z = self.weights, self.bias.copy()
-        found = {*w, *map(" ".join, zip(w, w[1:]))}
+        found = {*w, *map(" ".join, zip(w, w[1:])), *_capitals(paragraph, len(w))}
         for g in sorted(found & known.keys()):
             z += known[g]
         z = z / self.heat
@@ -200,7 +280,10 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, many: int =
     texts, classes, names = _variants(rng, [p.split() for p in _sampled(docs, text, sample)], many)
     y = np.array(classes)
     sets = [set(grams(t)) for t in texts]
-    vocab = {g: i for i, g in enumerate(sorted({g for ts in (*TEMPLATES.values(), UNKNOWN, ORDINARY) for t in ts for g in grams(t)}))}
+    seen = Counter(g for s in sets for g in s)
+    own = {g for ts in (*TEMPLATES.values(), *CALLED.values()) for t in ts for g in grams(t)}
+    often = [g for g, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:VOCABULARY]
+    vocab = {g: i for i, g in enumerate(sorted(own.union(often)))}
     x = np.zeros((len(texts), len(vocab)), np.float32)
     for i, s in enumerate(sets):
         for g in s & vocab.keys():
@@ -228,21 +311,23 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, many: int =
 def _fit(x: np.ndarray, y: np.ndarray, k: int, l1: float = 2e-4, steps: int = 300, rate: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
     """L1-penalised multinomial logistic regression by accelerated proximal gradient steps, classes weighed alike."""
     n = len(y)
-    share = np.bincount(y, minlength=k).astype(float)
+    share = np.bincount(y, minlength=k).astype(np.float32)
     each = (1 / np.maximum(share, 1))[y] * n / k
-    each /= each.mean()
-    one = np.eye(k)[y]
-    w, b, v, vb, t = np.zeros((x.shape[1], k)), np.zeros(k), np.zeros((x.shape[1], k)), np.zeros(k), 1.0
+    each = (each / each.mean()).astype(np.float32)
+    one = np.eye(k, dtype=np.float32)[y]
+    zero = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    w, b, v, vb, t = *zero, *zero, 1.0
     for _ in range(steps):
         z = x @ v + vb
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - one) * each[:, None] / n
-        new = v - rate * (x.T @ g)
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
-        nb = vb - rate * g.sum(0)
+        new = v - np.float32(rate) * (x.T @ g)
+        new = np.sign(new) * np.maximum(np.abs(new) - np.float32(rate * l1), 0)
+        nb = vb - np.float32(rate) * g.sum(0)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        v, vb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
+        on = np.float32((t - 1) / t2)
+        v, vb = new + on * (new - w), nb + on * (nb - b)
         w, b, t = new, nb, t2
     return w, b
 

@@ -27,11 +27,53 @@ def test_wrapped_notices(scanner):
         assert text[a:b] in notice
 
 
-def test_short_notices_and_everyday_words(scanner):
-    for text, family in {"Released to the public domain by the Unlicense": "Unlicense", "Licensed under the Boost Software License": "BSL-1.0"}.items():
-        assert scanner.classify(text)[0] == family
-    assert scanner.classify("a software developer licensed to drive the bus under the new terms") is None
-    assert scanner.classify(PROSE) is None
+#: Written once as a test and not used to choose frames, names or settings; the README has the result.
+HELD_OUT = {
+    "MIT": ["Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.", "Dual purpose tool, MIT.", "Der Quelltext ist unter der MIT-Lizenz frei verfügbar.", "Este paquete usa la licencia MIT"],
+    "Apache-2.0": ["All contributions are accepted under Apache 2 terms (Apache License 2.0).", "El código fuente está cubierto por la Apache License, Version 2.0", "Unless required by applicable law, software distributed under the Apache License is distributed on an AS IS basis"],
+    "GPL-3.0": ["You should have received a copy of the GNU General Public License version 3 along with this program.", "kopieren erlaubt gemäß GPLv3", "The firmware is free software, GPL-3.0-or-later", "logiciel libre, GNU GPL v3"],
+    "GPL-2.0": ["This driver is GPL v2 like the kernel itself", "The module may be used and distributed according to the terms of the GNU General Public License version 2"],
+    "LGPL": ["The runtime library is LGPL, so linking is fine", "GNU Lesser General Public License for more details"],
+    "AGPL-3.0": ["Hosted versions must follow the GNU Affero General Public License", "server code: AGPL-3.0"],
+    "BSD": ["governed by a BSD-style license", "Three-clause BSD applies to all files here", "libre sous licence BSD"],
+    "MPL-2.0": ["Files carry the Mozilla Public License header", "MPL 2.0 applies to modified files"],
+    "ISC": ["Copyright (c) Jane Roe. ISC License."],
+    "CC0": ["The data set is in CC0, no attribution is needed", "waived worldwide through CC0 1.0 Universal"],
+    "EPL": ["This plug-in is made available under the Eclipse Public License"],
+    "CC-BY": ["Figures are reusable under a Creative Commons Attribution 4.0 licence", "Text: CC BY 4.0, photographers as named"],
+    "CC-BY-SA": ["Wiki content is available under Creative Commons Attribution-ShareAlike 4.0", "contenido bajo CC BY-SA 4.0"],
+    "CC-BY-NC": ["Slides may be shared under CC BY-NC 4.0"],
+    "unknown": ["This module uses the Artistic License 2.0", "Published under the CeCILL licence", "See the enclosed license agreement before use", "Licensed under the Fantasy Font License"],
+    None: ["The restaurant waited months for its license to serve wine", "A licensed plumber fixed the pipe", "Mit dem Zug fährt er nach Hause", "The Apache people lived in the southwest", "We watched the lunar eclipse in public", "He teaches at MIT and lives nearby", "The band released a new version of the song", "La licencia de caza cuesta mucho", "Sie hat die Lizenz zum Fliegen verloren", "The court granted permission to appeal", "the isc of the house and the dog"],
+}
+
+
+def held_out(scanner):
+    """``(right among those given a family, all given one, right among those of a family, all of one, notices missed, false alarms)``."""
+    given = right = of_family = missed = alarms = 0
+    for want, texts in HELD_OUT.items():
+        for t in texts:
+            got = scanner.classify(t)
+            name = got[0] if got else None
+            known = name not in (None, "unknown")
+            given += known
+            right += known and name == want
+            of_family += want not in (None, "unknown")
+            missed += want is not None and name is None
+            alarms += want is None and name is not None
+    return right, given, of_family, missed, alarms
+
+
+def test_held_out_notices(scanner):
+    right, given, of_family, missed, alarms = held_out(scanner)
+    assert right / given >= 0.8 and right / of_family >= 0.6, (right, given, of_family, missed, alarms)
+    assert missed <= 8 and alarms <= 4, (missed, alarms)
+
+
+def test_odd_paragraphs(scanner):
+    assert scanner.classify(PROSE) is None and scanner.scan(None) == [] and scanner.scan("") == [] and scanner.scan("\n \n") == []
+    twice = scanner.scan("License: BSD\n\nLicense: BSD")
+    assert [x[2] for x in twice] == ["BSD", "BSD"] and twice[0][3] == twice[1][3]
 
 
 def test_scan_is_brute_force(scanner):
