@@ -33,6 +33,7 @@ from ..runtime import ship
 from .common import clear_name, cut, table
 from .packed import code_points, find, in_parts, keys_of, tidy
 
+SALTS = 256
 MAX_TEXTS = 2_000
 MAX_N = 5
 ALPHA = 0.5
@@ -170,8 +171,11 @@ def train(docs: DataFrame, use: Column, doc_id: str = "doc_id", text: str = "tex
     ship(docs.sparkSession)
     t = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("key"), F.col(lang).cast("string").alias("lang"), F.xxhash64(t).alias("th"), t.alias("text")).where("lang is not null and key is not null").where(use)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", "th")
-    marks = rows.select("key", "lang", "th").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_texts).drop("r")
+    order = [F.xxhash64("key"), "key", "th"]
+    top = lambda x, *by: x.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= max_texts).drop("r")
+    # the first of each part of a language, then the first of those: no task takes all rows of a language
+    salted = rows.select("key", "lang", "th").distinct().withColumn("salt", F.pmod(F.xxhash64("th", "key"), F.lit(SALTS)))
+    marks = top(top(salted, "lang", "salt").drop("salt"), "lang")
     marks = F.broadcast(cut(marks))  # at most max_texts rows a language
     picked = cut(rows.join(marks, ["key", "lang", "th"]).dropDuplicates(["key", "lang", "th"]).select("lang", "text"))
 
