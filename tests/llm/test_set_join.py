@@ -40,6 +40,16 @@ def test_classes(spark):
         assert len(set(got.values())) < len(got)
 
 
+def test_classes_beyond_the_broadcast_bounds(spark, monkeypatch):
+    monkeypatch.setattr(J, "GROUPS", 0)
+    monkeypatch.setattr(J, "HEAVY", 5)
+    rng = random.Random(6)
+    sets = {k: {-1, -2, *rng.sample(range(30), 8)} for k in range(60)}
+    sets = {k: v for k, v in sets.items() if v not in [sets[j] for j in range(k)]}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "sid long, sigs array<bigint>")
+    assert {r.sid: r.label for r in J.classes(df, 0.6).collect()} == brute(sets, 0.6)
+
+
 def test_stage_catches_edited_copies(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
