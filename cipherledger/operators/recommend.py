@@ -37,7 +37,9 @@ def rule(family: Column, threat: Column, size: Column, mode: Column, x_years: Co
 
 
 def advised(assets: DataFrame, usage: Column | None = None) -> DataFrame:
-    """``assets`` with ``rule_id, recommendation, standard`` and a rationale that names how much was seen and where first."""
+    """``assets`` with ``rule_id, recommendation, standard`` and a rationale that names how much was seen and where first. What an
+    asset is used for is its column ``usage`` if it has one."""
+    usage = F.col("usage") if usage is None and "usage" in assets.columns else usage
     r = assets.withColumn("rule_id", rule(F.col("kb_family"), F.col("threat"), F.col("key_size"), F.col("mode"), F.col("x_years"), usage))
     out = r.join(F.broadcast(T.advice(assets.sparkSession)), "rule_id", "left")  # a fixed table
     why = F.concat(F.col("family"), F.lit(" seen "), F.col("n_occ").cast("string"), F.lit(" times in "), F.col("n_files").cast("string"), F.lit(" files, first at "), F.col("file"), F.lit(":"), F.col("line").cast("string"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import tables as T
-from ..operators import classify, merge, policy, recommend, risk
+from ..operators import classify, merge, policy, recommend, risk, usage
 from .policy_file import Policy
 
 KEYS = ["family", "name", "kind", "key_size", "curve", "mode", "padding"]
@@ -64,7 +64,9 @@ def assets(found: DataFrame, now: int = risk.NOW, z: int | None = None, rules: P
     g = at.groupBy(*by).agg(w, F.count("*").alias("n_occ"), F.countDistinct("file").alias("n_files"), F.max(merge.confidence_rank(F.col("confidence"))).alias("best_confidence"))
     if "extra" in found.columns:
         g = g.join(facts(found), "asset_key", "left")
-    more = [c for c in ("extra", "alg", "groups", "iterations") if c in g.columns]
+    if "evidence" in found.columns:
+        g = g.join(usage.used(own(found).withColumn("asset_key", identity())), "asset_key", "left")
+    more = [c for c in ("extra", "alg", "groups", "iterations", "usage") if c in g.columns]
     flat = g.select(*by, *more, "n_occ", "n_files", "best_confidence", "w.file", "w.line", "w.data_class", "w.x_years", "w.weight")
     return recommend.advised(risk.scored(classify.classified(merge.without_noise(flat)), now, z or rules.quantum_year, rules.y_by_family, rules.default_y))
 

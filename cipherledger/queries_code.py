@@ -348,3 +348,24 @@ def scan_code(spark, sf_dir):
     done = scan.of_files(spark, tree)
     files = done.places.groupBy("family").agg(F.countDistinct("file").alias("n_files"))
     return done.assets.groupBy("family").agg(F.sum("n_occ").alias("n_occ")).join(files, "family")
+
+
+# --- usage: signing or key establishment ------------------------------------------------------------------------------------------------
+
+_SEEN = C.pick("o_custkey", "signer.sign(data)", "the design of a keyring", "rsa.encrypt(x)", "key = load(unsealed)", "JWT with RS256")
+#: A few places say the opposite, which makes their asset ambiguous.
+_EVIDENCE = f"CASE WHEN o_orderkey % 50 = 7 AND o_custkey % 20 IN (0, 12) THEN 'wrap and verify' ELSE {_SEEN} END"
+_SIZE = "1024 + 128 * CAST(o_custkey % 20 AS INTEGER)"
+
+
+@query(
+    f"WITH f AS (SELECT o_custkey % 20 AS g, {_SIZE} AS key_size, o_orderkey % 50 = 7 AND o_custkey % 20 IN (0, 12) AS odd, o_orderkey FROM orders), a AS (SELECT g, key_size, bool_or(odd) AS odd, count(DISTINCT o_orderkey) AS n_occ FROM f GROUP BY g, key_size) "
+    "SELECT CAST(key_size AS INTEGER) AS key_size, n_occ, CASE WHEN odd THEN NULL WHEN g % 5 IN (0, 4) THEN 'sign' WHEN g % 5 = 2 THEN 'kex' END AS usage, CASE WHEN odd OR g % 5 IN (1, 3) THEN 'AMBIGUOUS_USAGE' WHEN g % 5 = 2 THEN 'KEM_HYBRID' ELSE 'SIG_MLDSA' END AS rule_id FROM a"
+)
+def recommend_usage(spark, sf_dir):
+    """Advice for keys by what the text around them does with them."""
+    from .plans import inventory
+    from .sources import corpus
+
+    f = corpus.table(spark, sf_dir, "orders").selectExpr("'RSA' AS family", "concat('src/', o_orderkey) AS file", "1 AS line", "'high' AS confidence", "'d' AS detector", f"{_SIZE} AS key_size", f"{_EVIDENCE} AS evidence")
+    return inventory.assets(f).select("key_size", "n_occ", "usage", "rule_id")

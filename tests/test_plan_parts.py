@@ -146,3 +146,14 @@ def test_decoded_snapshots(spark):
 def test_merge_of_nothing(spark):
     empty = spark.createDataFrame([], FOUND + ", extra map<string,string>")
     assert inventory.assets(inventory.compatible(empty)).count() == 0 and merge.extras(empty, "family").count() == 0
+
+
+def test_usage_in_the_plan(spark):
+    rows = [
+        (*finding("RSA", size=1024), "k.sign(x)", None), (*finding("RSA", size=1024, file="b.py"), "verify", None),
+        (*finding("RSA", size=2048), "encrypt(x); verify(y)", None), (*finding("RSA", size=3072), "design, unsealed, resign", None),
+        (*finding("RSA", size=4096), "encrypt(x)", {"key_usage": "digitalSignature"}), (*finding("RSA", size=512, kind="certificate"), "encrypt", None),
+        (*finding("RSA", size=768), "x", {"usage": "key agreement"}), (*finding("RSA", size=896), None, None),
+    ]
+    a = {x.key_size: (x.usage, x.rule_id) for x in inventory.assets(spark.createDataFrame(rows, FOUND + ", evidence string, extra map<string,string>")).collect()}
+    assert a == {1024: ("sign", "SIG_MLDSA"), 2048: (None, "AMBIGUOUS_USAGE"), 3072: (None, "AMBIGUOUS_USAGE"), 4096: ("sign", "SIG_MLDSA"), 512: ("sign", "SIG_MLDSA"), 768: ("kex", "KEM_HYBRID"), 896: (None, "AMBIGUOUS_USAGE")}
