@@ -61,6 +61,7 @@ FIXES = [
 #: Near a pinned digest (three lines either way) a hash isn't swapped.
 PINNED = r"(?i)checksum|fingerprint|etag|content-md5|legacy|compat"
 MAX_FILES = 25
+PARTS = 64
 
 
 SHORTEST = 4  # characters of evidence that can find a line again
@@ -92,12 +93,14 @@ def located(sites: DataFrame, lines: DataFrame) -> DataFrame:
 
 def patches(places: DataFrame, files: DataFrame) -> DataFrame:
     """``asset_key, file, patch``: unified diffs for ``places (asset_key, family, file, line)`` that a rewrite fits, of at most
-    ``MAX_FILES`` files an asset. Each (asset, file) is one call: the text of one file."""
+    ``MAX_FILES`` files an asset, the first by name: those of parts of an asset's files first, then of these, so no task takes all
+    files of an asset. Each (asset, file) is one call: the text of one file."""
     ship(places.sparkSession)
     from pyspark.sql import Window
 
-    w = Window.partitionBy("asset_key").orderBy("file")
-    some = places.withColumn("r", F.dense_rank().over(w)).where(F.col("r") <= MAX_FILES)
+    first = lambda x, *by: x.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("file"))).where(F.col("r") <= MAX_FILES).drop("r")
+    each = places.select("asset_key", "file").distinct().withColumn("part", F.pmod(F.xxhash64("file"), F.lit(PARTS)))
+    some = places.join(first(first(each, "asset_key", "part").drop("part"), "asset_key"), ["asset_key", "file"], "left_semi")
     sites = some.groupBy("asset_key", "family", "file").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     with_text = sites.join(files.select(F.col("path").alias("file"), "text"), "file")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import risk_math as M
+from ..runtime import stored
 from . import policy as P
 
 NOW = 2026
@@ -36,6 +37,13 @@ def summary(assets: DataFrame) -> DataFrame:
 
 
 def ranked(assets: DataFrame, name: str = "name") -> DataFrame:
-    """Assets with their rank: severity, score, occurrences, name. Assets are few after merging; the rank is global."""
-    w = Window.orderBy(F.desc("severity_rank"), F.desc("score"), F.desc("n_occ"), F.lower(name), "asset_key")
-    return assets.withColumn("rank", F.row_number().over(w))
+    """Assets with their rank: severity, score, occurrences, name. Ranges of the order are ranked side by side, each from the number
+    of rows in the ranges before it; that table has a row a range."""
+    order = [F.desc("severity_rank"), F.desc("score"), F.desc("n_occ"), F.asc("rank_name"), F.asc("asset_key")]
+    dealt = assets.withColumn("rank_name", F.lower(name)).repartitionByRange(*order)
+    dealt = stored(dealt.withColumn("rank_range", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("rank_range").agg(F.count("*").alias("k")).withColumn("rank_offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
+    w = Window.partitionBy("rank_range").orderBy(*order)
+    out = dealt.withColumn("rank_own", F.row_number().over(w)).join(F.broadcast(sizes), "rank_range")
+    return out.withColumn("rank", (F.col("rank_own") + F.col("rank_offset")).cast("int")).select(*assets.columns, "rank")
