@@ -25,6 +25,8 @@ def resolved(found: DataFrame, family: str = "family") -> DataFrame:
 #: Rows that a verdict may look at besides family, name, key_size and mode.
 FACTS = {"padding": "string", "alg": "string", "groups": "string", "iterations": "int"}
 ITERATIONS = 600_000
+# Spellings of paddings that break a cipher.
+BAD_PADDINGS = "pkcs1v15 pkcs1-v1-5 pkcs1v1-5 pkcs-1-v1-5 rsa-pkcs1-padding pkcs1padding nopadding no-padding raw-rsa textbook-rsa".split()
 
 
 def threat(family: Column, base: Column, size: Column, mode: Column, inner: Column | None = None, facts: dict[str, Column] | None = None) -> Column:
@@ -38,7 +40,7 @@ def threat(family: Column, base: Column, size: Column, mode: Column, inner: Colu
     block = F.when(mode == "ECB", "legacy_broken").when(size.isNull(), "grover_weakened").when(size < 128, "legacy_broken").when(size < 256, "grover_weakened").when(mode == "CBC", "grover_weakened").otherwise("quantum_safe")
     digest = F.when(size < 224, "legacy_broken").when(size < 384, "grover_weakened").when(size.isNotNull(), "quantum_safe")
     mac = F.when(inner.startswith("md"), "legacy_broken").when(inner.rlike("^sha-?1$"), "grover_weakened").when(inner.rlike("^sha-?[23]") & (size < 256), "grover_weakened").otherwise("quantum_safe")
-    hybrid = F.regexp_replace(F.lower(F.coalesce(groups, F.lit(""))), "[^a-z0-9]", "").rlike("mlkem|kyber")
+    hybrid = F.coalesce(groups, F.lit("")).rlike("(?i)ml[^a-z0-9]*kem|kyber")
     special = (
         F.when(family.isin("AES", "Camellia", "ARIA"), block)
         .when(family == "SHA-2", F.coalesce(digest, F.lit("unknown")))
@@ -49,7 +51,7 @@ def threat(family: Column, base: Column, size: Column, mode: Column, inner: Colu
         .when((family == "PBKDF2") & (iterations < ITERATIONS), "grover_weakened")
     )
     general = F.coalesce(special, base, F.lit("unknown"))
-    bad = (mode == "ECB") | (X.slug(F.coalesce(padding, F.lit(""))).isin("pkcs1v15", "pkcs1-v1-5", "no-padding", "nopadding") & ~family.isin("RSA", "RSASSA-PSS", "RSAES-OAEP"))
+    bad = (mode == "ECB") | (F.lower(F.coalesce(padding, F.lit(""))).isin(BAD_PADDINGS) & ~family.isin("RSA", "RSASSA-PSS", "RSAES-OAEP"))
     escaped = general.isin("quantum_safe", "grover_weakened", "pqc") & ~family.isin("AES", "Camellia", "ARIA")
     return F.when(bad & escaped, "legacy_broken").otherwise(general)
 
@@ -58,16 +60,17 @@ def classified(found: DataFrame) -> DataFrame:
     """``found (family, name, key_size, mode, ...)`` with ``kb_family, category, threat``. The hash inside a keyed one is read from
     its name, as in HMAC-MD5 or HmacSHA1. Columns of ``FACTS`` are read where they are there. A token (JWT) has the verdict of the
     algorithm it names: ``none`` is broken, one that the table knows is judged as that, others and no name are unknown."""
-    inner = F.regexp_replace(F.lower("name"), "^hmac[-_ ]?", "") if "name" in found.columns else None
+    told = F.regexp_replace(F.lower("name"), "^hmac[-_ ]?", "") if "name" in found.columns else F.lit("")
+    inner = F.col("inner_hash")  # a column below the join: verdicts name it many times
     facts = {k: F.col(k) for k in FACTS if k in found.columns and k != "alg"}
     known = T.families(found.sparkSession)
-    r = resolved(found).join(F.broadcast(known), "kb_family", "left")
+    r = resolved(found).withColumn("inner_hash", told).join(F.broadcast(known), "kb_family", "left")
     own = threat(F.col("kb_family"), F.col("base_threat"), F.col("key_size"), F.col("mode"), inner, facts)
     if "alg" not in found.columns:
-        return r.withColumn("threat", own).drop("base_threat")
+        return r.withColumn("threat", own).drop("base_threat", "inner_hash")
     said = known.select(F.col("kb_family").alias("alg_family"), F.col("base_threat").alias("alg_base"))
     named = resolved(r.withColumnRenamed("kb_family", "own_family"), "alg").withColumnsRenamed({"kb_family": "alg_family", "own_family": "kb_family"})
     j = named.join(F.broadcast(said), "alg_family", "left")  # fixed tables
     judged = threat(F.col("alg_family"), F.col("alg_base"), F.col("key_size"), F.col("mode"), None, facts)
     token = F.when(X.slug(F.col("alg")) == "none", "legacy_broken").when(F.col("alg_family").isNotNull() & (F.col("alg_family") != "JWT"), judged).otherwise("unknown")
-    return j.withColumn("threat", F.when(F.col("kb_family") == "JWT", token).otherwise(own)).drop("base_threat", "alg_family", "alg_base")
+    return j.withColumn("threat", F.when(F.col("kb_family") == "JWT", token).otherwise(own)).drop("base_threat", "inner_hash", "alg_family", "alg_base")

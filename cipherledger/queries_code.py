@@ -369,3 +369,19 @@ def recommend_usage(spark, sf_dir):
 
     f = corpus.table(spark, sf_dir, "orders").selectExpr("'RSA' AS family", "concat('src/', o_orderkey) AS file", "1 AS line", "'high' AS confidence", "'d' AS detector", f"{_SIZE} AS key_size", f"{_EVIDENCE} AS evidence")
     return inventory.assets(f).select("key_size", "n_occ", "usage", "rule_id")
+
+
+# --- calls of each language, a statement a line ---------------------------------------------------------------------------------------------
+
+
+def _calls(lang: str):
+    def found(spark, sf_dir):
+        f = run.sources(C.call_files(spark, sf_dir, lang)).where("error is null")
+        return f.select("file", "line", "family", "key_size", "curve", "mode")
+
+    found.__name__, found.__doc__ = f"detect_{lang}_calls", f"Findings of {lang} statements, each with noise in comments and strings around it."
+    return query(C.call_rows(lang))(found)
+
+
+for _lang in C.CALLS:
+    _calls(_lang)

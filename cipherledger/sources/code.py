@@ -96,3 +96,93 @@ def files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """``path, lang, text``: a source file for every order."""
     o = corpus.table(spark, sf_dir, "orders")
     return o.selectExpr("concat('src/', o_orderkey) AS path", f"'{lang}' AS lang", f"{FILES[lang]} AS text")
+
+
+# --- one statement a line, derived from ``part``: a family of calls each ------------------------------------------------------------------
+
+#: (line of code, its findings as (family, key_size, curve, mode)); ``{{...}}`` and values that begin with ``=`` are SQL over ``part``.
+BITS, EC3 = pick("p_partkey", 1024, 2048, 3072, 4096), pick("p_partkey", "SECP256R1", "SECP384R1", "SECP521R1")
+MODE3, HASH3 = pick("p_size", "GCM", "CBC", "ECB"), pick("p_partkey", "md5", "sha1", "sha384")
+HASH_FAMILY, HASH_SIZE = pick("p_partkey", "MD5", "SHA-1", "SHA-2"), pick("p_partkey", None, None, 384)
+PYTHON_CALLS = [
+    ("import hashlib, hmac, ssl, jwt as tokens, oqs", []),
+    ("from cryptography.hazmat.primitives import hashes, padding as pads", []),
+    ("from cryptography.hazmat.primitives.asymmetric import rsa, dsa, dh, ec as curves, ed25519, x448, padding", []),
+    ("from cryptography.hazmat.primitives.ciphers import Cipher, algorithms as algs, modes", []),
+    ("from cryptography.hazmat.primitives.ciphers.aead import AESGCM, ChaCha20Poly1305 as Box", []),
+    ("from cryptography.hazmat.primitives.kdf.pbkdf2 import PBKDF2HMAC", []),
+    ("from Crypto.Cipher import AES, DES3, ARC4", []),
+    ("BITS = {{" + BITS + "}}", []),
+    ("a = rsa.generate_private_key(public_exponent=65537, key_size=BITS)", [("RSA", "=" + BITS, None, None)]),
+    ("b = dsa.generate_private_key({{" + BITS + "}})", [("DSA", "=" + BITS, None, None)]),
+    ("c = dh.generate_parameters(2, {{" + BITS + "}})", [("DH", "=" + BITS, None, None)]),
+    ("d = curves.generate_private_key(curves.{{" + EC3 + "}}())", [("ECDSA", None, "=lower(" + EC3 + ")", None)]),
+    ("e = ed25519.Ed25519PrivateKey.generate()", [("Ed25519", None, None, None)]),
+    ("f = x448.X448PrivateKey.generate()", [("X448", None, None, None)]),
+    ("g = Cipher(algs.AES(k), modes.{{" + MODE3 + "}}(iv))", [("AES", None, None, "=" + MODE3)]),
+    ("h = Cipher(algs.TripleDES(k), modes.CBC(iv))  # Cipher(algs.ARC4(k))", [("3DES", None, None, "CBC")]),
+    ("i = AESGCM(k); j = Box(k)", [("AES", None, None, "GCM"), ("ChaCha20", None, None, None)]),
+    ("k = AES.new(key, AES.MODE_{{" + MODE3 + "}})", [("AES", None, None, "=" + MODE3)]),
+    ("l = ARC4.new(key)", [("RC4", None, None, None)]),
+    ("m = hashlib.{{" + HASH3 + "}}(b'x')", [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ("n = hashlib.new('{{" + HASH3 + "}}', b'x')", [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ("o = hashes.Hash(hashes.SHA3_256())", [("SHA-3", 256, None, None)]),
+    ("p = hmac.new(k, m, hashlib.{{" + HASH3 + "}})", [("HMAC", "=" + HASH_SIZE, None, None)]),
+    ("q = tokens.encode({}, k, algorithm='{{" + pick("p_size", "HS256", "RS256", "none") + "}}')", [("=" + pick("p_size", "HMAC", "RSA", "JWT"), "=" + pick("p_size", 256, None, None), None, None)]),
+    ("r = ssl.SSLContext(ssl.PROTOCOL_TLSv1_{{" + pick("p_size", 1, 2) + "}})", [("=" + pick("p_size", "TLS1.1", "TLS1.2"), None, None, None)]),
+    ("s = oqs.KeyEncapsulation('Kyber{{" + pick("p_size", 512, 768, 1024) + "}}')", [("ML-KEM", "=" + pick("p_size", 512, 768, 1024), None, None)]),
+    ("raise ValueError('MD5 and hashlib.md5(x)')", []),
+]
+C_CALLS = [
+    ("/* EVP_md5() and RSA_generate_key_ex(r, 512, e, 0) */ #define NOTHING \"EVP_rc4()\"", []),
+    ("x{{p_partkey}} = EVP_aes_{{" + pick("p_size", 128, 192, 256) + "}}_{{lower(" + MODE3 + ")}}();", [("AES", "=" + pick("p_size", 128, 192, 256), None, "=" + MODE3)]),
+    ("y = EVP_{{" + HASH3 + "}}(); // EVP_sha1()", [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ("RSA_generate_key_ex(r, {{" + BITS + "}}, e, NULL);", [("RSA", "=" + BITS, None, None)]),
+    ("k = EC_KEY_new_by_curve_name(NID_{{" + pick("p_partkey", "X9_62_prime256v1", "secp384r1", "secp521r1") + "}});", [("EC", None, "=lower(" + EC3 + ")", None)]),
+    ("DES_ede3_cbc_encrypt(a, b); MD5_Update(&c, d, 3);", [("3DES", None, None, None), ("MD5", None, None, None)]),
+    ("SSL_CTX_new(TLSv1_{{" + pick("p_size", 1, 2) + "}}_client_method());", [("=" + pick("p_size", "TLS1.1", "TLS1.2"), None, None, None)]),
+    ("HMAC(EVP_md(), key, n, s, m, out, &len);", [("HMAC", None, None, None)]),
+]
+JAVA_CALLS = [
+    ("class A{{p_partkey}} { void f() { /* MessageDigest.getInstance(\"MD4\") */", []),
+    ('Cipher.getInstance("AES/{{' + MODE3 + '}}/PKCS5Padding"); // Cipher.getInstance("RC4")', [("AES", None, None, "=" + MODE3)]),
+    ('Cipher a = Cipher.getInstance("{{' + pick("p_size", "DES", "DESede") + '}}");', [("=" + pick("p_size", "DES", "3DES"), None, None, "ECB")]),
+    ('MessageDigest.getInstance("{{' + pick("p_partkey", "MD5", "SHA-1", "SHA-384") + '}}");', [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ('Mac.getInstance("HmacSHA256"); String s = "Mac.getInstance(x)";', [("HMAC", 256, None, None)]),
+    ('Signature.getInstance("SHA256with{{' + pick("p_size", "RSA", "ECDSA") + '}}");', [("SHA-2", 256, None, None), ("=" + pick("p_size", "RSA", "ECDSA"), None, None, None)]),
+    ('KeyAgreement.getInstance("{{' + pick("p_size", "ECDH", "X25519") + '}}");', [("=" + pick("p_size", "ECDH", "X25519"), None, None, None)]),
+    ('SSLContext.getInstance("TLSv1.{{' + pick("p_size", 1, 2, 3) + '}}");', [("=" + pick("p_size", "TLS1.1", "TLS1.2", "TLS1.3"), None, None, None)]),
+    ('new SecretKeySpec(bytes, "AES"); } }', [("AES", None, None, None)]),
+]
+GO_CALLS = [
+    ("package main // md5.New()", []),
+    ("func f{{p_partkey}}() { {{" + pick("p_partkey", "md5.New()", "sha1.New()", "sha512.New384()") + "}} }", [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ("var a, _ = rsa.GenerateKey(rand.Reader, {{" + BITS + "}})", [("RSA", "=" + BITS, None, None)]),
+    ("var b, _ = ecdsa.GenerateKey(elliptic.P{{" + pick("p_partkey", 256, 384, 521) + "}}(), rand.Reader)", [("ECDSA", None, "=lower(" + EC3 + ")", None)]),
+    ('var c = "rsa.GenerateKey(x, 512)" + `md5.New()`', []),
+    ("var d = hmac.New(h, key); var e, _ = chacha20poly1305.New(key)", [("HMAC", None, None, None), ("ChaCha20", 256, None, None)]),
+    ("var g = pbkdf2.Key(pw, salt, {{" + pick("p_size", 1000, 600000) + "}}, 32, h)", [("PBKDF2", None, None, None)]),
+]
+JS_CALLS = [
+    ("const c{{p_partkey}} = require('crypto'); // c.createHash('md5')", []),
+    ("c.createHash('{{" + HASH3 + "}}');", [("=" + HASH_FAMILY, "=" + HASH_SIZE, None, None)]),
+    ("c.createCipheriv('aes-{{" + pick("p_size", 128, 192, 256) + "}}-{{lower(" + MODE3 + ")}}', k, iv);", [("AES", "=" + pick("p_size", 128, 192, 256), None, "=" + MODE3)]),
+    ("c.generateKeyPairSync('rsa', { modulusLength: {{" + BITS + "}} });", [("RSA", "=" + BITS, None, None)]),
+    ("c.createECDH('{{" + pick("p_partkey", "prime256v1", "secp384r1", "secp521r1") + "}}'); log('c.createECDH(1)');", [("ECDH", None, "=lower(" + EC3 + ")", None)]),
+    ("c.createDiffieHellman({{" + BITS + "}});", [("DH", "=" + BITS, None, None)]),
+    ("jsonwebtoken.sign(p, k, { algorithm: '{{" + pick("p_size", "HS256", "RS256") + "}}' });", [("=" + pick("p_size", "HMAC", "RSA"), "=" + pick("p_size", 256, None), None, None)]),
+]
+CALLS = {"python": PYTHON_CALLS, "c": C_CALLS, "java": JAVA_CALLS, "go": GO_CALLS, "js": JS_CALLS}
+
+
+def call_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """``path, lang, text``: a file of ``CALLS`` for every part."""
+    body = text(*(line for line, _ in CALLS[lang]))
+    return corpus.table(spark, sf_dir, "part").selectExpr("concat('lib/', p_partkey) AS path", f"'{lang}' AS lang", f"{body} AS text")
+
+
+def call_rows(lang: str) -> str:
+    """SQL: what is to be found in ``call_files``."""
+    lit = lambda v: "NULL" if v is None else v[1:] if isinstance(v, str) and v.startswith("=") else f"'{v}'" if isinstance(v, str) else str(v)
+    rows = [f"SELECT p_partkey, {i} AS line, {lit(f)} AS family, CAST({lit(n)} AS INTEGER) AS key_size, CAST({lit(c)} AS VARCHAR) AS curve, CAST({lit(m)} AS VARCHAR) AS mode FROM part" for i, (_, told) in enumerate(CALLS[lang], 1) for f, n, c, m in told]
+    return "SELECT concat('lib/', p_partkey) AS file, CAST(line AS INTEGER) AS line, family, key_size, curve, mode FROM (" + " UNION ALL ".join(rows) + ")"
