@@ -385,3 +385,130 @@ def _calls(lang: str):
 
 for _lang in C.CALLS:
     _calls(_lang)
+
+
+# --- keys, manifests, files, policy, bill of materials ----------------------------------------------------------------------------------------
+
+_KEY_BYTES, _SSH_BYTES = C.pick("c_custkey", 128, 256), C.pick("c_nationkey", 256, 128, 384)
+_der = lambda n: f"concat('3082', lpad(hex({n} + 10), 4, '0'), '0282', lpad(hex({n} + 1), 4, '0'), '00', repeat('FF', {n}), '0203010001')"
+_ssh = lambda n: f"concat('00000007', hex('ssh-rsa'), '00000003010001', lpad(hex({n} + 1), 8, '0'), '00', repeat('FF', {n}))"
+_CURVE_KEY = C.pick("c_custkey", "70", "6E")  # Ed25519, X25519
+
+
+@query(
+    "SELECT concat('keys/', c_custkey) AS file, CAST(line AS INTEGER) AS line, 'key' AS kind, family, CAST(key_size AS INTEGER) AS key_size FROM (" + " UNION ALL ".join([
+        "SELECT c_custkey, 2 AS line, " + C.pick("c_custkey", "Ed25519", "X25519") + " AS family, 256 AS key_size FROM customer",
+        f"SELECT c_custkey, 5, 'RSA', 8 * {_SSH_BYTES} FROM customer",
+        f"SELECT c_custkey, 6, 'RSA', 8 * {_KEY_BYTES} FROM customer",
+        "SELECT c_custkey, 9, 'EC', NULL FROM customer",
+    ]) + ")"
+)
+def detect_keys(spark, sf_dir):
+    """Keys in text armour and of SSH, with sizes read from their bytes; one whose armour holds no key."""
+    from .sources import corpus
+
+    parts = [
+        "'note\n-----BEGIN PUBLIC KEY-----\n'", f"base64(unhex(concat('302a300506032b65', {_CURVE_KEY}, '032100', sha2(cast(c_custkey AS STRING), 256))))", "'\n-----END PUBLIC KEY-----\nssh-rsa '", f"replace(base64(unhex({_ssh(_SSH_BYTES)})), chr(13) || chr(10), '')",
+        "' me\n-----BEGIN RSA PUBLIC KEY-----\n'", f"replace(base64(unhex({_der(_KEY_BYTES)})), chr(13) || chr(10), '')", "'\n-----END RSA PUBLIC KEY-----\n-----BEGIN EC PRIVATE KEY-----\nAA==\n-----END EC PRIVATE KEY-----\n'",
+    ]
+    body = "replace(concat(" + ", ".join(parts) + "), '\r', '')"
+    files = corpus.table(spark, sf_dir, "customer").selectExpr("concat('keys/', c_custkey) AS path", f"encode({body}, 'UTF-8') AS content").withColumn("length", F.octet_length("content").cast("long"))
+    return run.material_files(files).select("file", "line", "kind", "family", "key_size")
+
+
+_VERSION = "concat(s_nationkey, '.', s_suppkey % 10)"
+_MANIFESTS = {
+    "requirements.txt": (C.text("# cryptography==1", "Py_NaCl=={{" + _VERSION + "}}", "", "requests[security]", "pycryptodome>={{" + _VERSION + "}} ; python_version>'3'"), [("pypi", "py-nacl", _VERSION, 2), ("pypi", "requests", "NULL", 4), ("pypi", "pycryptodome", _VERSION, 5)]),
+    "package.json": (C.text("{", '"dependencies": {"node-rsa": "^{{' + _VERSION + '}}"},', '"devDependencies": {"md5": "~{{' + _VERSION + '}}"}', "}"), [("npm", "node-rsa", _VERSION, 2), ("npm", "md5", _VERSION, 3)]),
+    "go.mod": (C.text("module m", "require (", "\tgolang.org/x/crypto v{{" + _VERSION + "}}", ")", "require github.com/cloudflare/circl v{{" + _VERSION + "}}"), [("go", "golang.org/x/crypto", _VERSION, 3), ("go", "github.com/cloudflare/circl", _VERSION, 5)]),
+    "Cargo.toml": (C.text("[package]", 'ring = "9"', "[dependencies]", 'ring = "{{' + _VERSION + '}}"', 'rsa = { version = "{{' + _VERSION + '}}" }'), [("cargo", "ring", _VERSION, 4), ("cargo", "rsa", _VERSION, 5)]),
+    "pom.xml": (C.text("<project><properties><v>{{" + _VERSION + "}}</v></properties>", "<dependency><artifactId>bcprov-jdk18on</artifactId><version>{{chr(36)}}{v}</version></dependency>", "</project>"), [("maven", "bcprov-jdk18on", _VERSION, 2)]),
+    "build.gradle": (C.text("plugins { id 'java' }", "implementation 'com.google.crypto.tink:tink:{{" + _VERSION + "}}'"), [("maven", "tink", _VERSION, 2)]),
+}
+
+
+@query("SELECT file, CAST(line AS INTEGER) AS line, ecosystem, package, version FROM (" + " UNION ALL ".join(f"SELECT concat('s', s_suppkey, '/{f}') AS file, {i} AS line, '{e}' AS ecosystem, '{p}' AS package, CAST({v} AS VARCHAR) AS version FROM supplier" for f, (_, rows) in _MANIFESTS.items() for e, p, v, i in rows) + ")")
+def dependency_manifests(spark, sf_dir):
+    """What the manifests of six ecosystems declare."""
+    from .sources import corpus
+
+    s = corpus.table(spark, sf_dir, "supplier")
+    files = None
+    for name, (body, _) in _MANIFESTS.items():
+        part = s.selectExpr(f"concat('s', s_suppkey, '/{name}') AS path", f"{body} AS text")
+        files = part if files is None else files.unionByName(part)
+    return run.dependencies(files).select("file", "line", "ecosystem", "package", "version")
+
+
+_EXT = C.pick("c_custkey", "py", "js", "java", "go", "cpp", "txt", "TSX")
+_WHY = "CASE WHEN c_custkey % 7 = 5 THEN NULL WHEN c_custkey % 11 = 3 THEN 'too large' WHEN c_custkey % 13 = 4 THEN 'binary' WHEN c_custkey % 5 = 2 THEN 'minified' END"
+
+
+@query(
+    f"SELECT concat('f', c_custkey, '.', {_EXT}) AS path, CASE WHEN {_WHY} IS NULL THEN " + C.pick("c_custkey", "python", "js", "java", "go", "c", None, "js") + f" END AS lang, {_WHY} AS why, "
+    f"CASE WHEN {_WHY} IS NULL THEN CASE WHEN c_custkey % 3 = 0 THEN 'é' ELSE 'x' END END AS head FROM customer WHERE c_custkey % 7 <> 5"
+)
+def source_files(spark, sf_dir):
+    """Which files are read as source, in which language and encoding, and why others aren't."""
+    from .sources import corpus
+
+    content = "CASE WHEN c_custkey % 13 = 4 THEN unhex('780041') WHEN c_custkey % 5 = 2 THEN encode(repeat('x', 8001), 'UTF-8') WHEN c_custkey % 3 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN unhex('E9') ELSE unhex('C3A9') END ELSE encode('x', 'UTF-8') END"
+    files = corpus.table(spark, sf_dir, "customer").selectExpr(f"concat('f', c_custkey, '.', {_EXT}) AS path", f"{content} AS content", "CAST(CASE WHEN c_custkey % 11 = 3 THEN 2000001 ELSE 9 END AS BIGINT) AS length")
+    texts, skipped = corpus.sources(files)
+    good = texts.select("path", "lang", F.lit(None).cast("string").alias("why"), F.left("text", F.lit(1)).alias("head"))
+    return good.unionByName(skipped.select(F.substring_index("message", ": ", 1).alias("path"), F.lit(None).cast("string").alias("lang"), F.substring_index("message", ": ", -1).alias("why"), F.lit(None).cast("string").alias("head")))
+
+
+_POLICY = """
+mosca: {default_X_protection_years: 11}
+data_classes: {guarded: {X_protection_lifetime: 33}, financial: 16}
+data_class_paths: {"payments/**": guarded, "**/f1*": financial, "docs/**": nowhere}
+business_criticality: {"svc/**": 0.45, "**/f2*": 7}
+"""
+
+
+def _policy_sql() -> str:
+    from .queries import FOUND
+
+    # the last rule that matches wins; an undeclared class is the default one; weights are held within 0 and 1
+    name = "regexp_replace(file, '^.*/', '')"
+    own = "CASE WHEN file LIKE 'docs/%' THEN 'default' WHEN " + name + " LIKE 'f1%' THEN 'financial' WHEN file LIKE 'payments/%' THEN 'guarded' WHEN file LIKE '%auth/%' THEN 'credential' WHEN file LIKE '%users/%' THEN 'pii' WHEN file LIKE 'public/%' THEN 'public' ELSE 'default' END"
+    weight = "CASE WHEN " + name + " LIKE 'f2%' THEN 1.0 WHEN file LIKE 'svc/%' THEN 0.45 WHEN file LIKE 'docs/%' THEN 0.05 WHEN file LIKE 'tests/%' THEN 0.1 WHEN file LIKE 'lib/core/%' THEN 0.7 WHEN file LIKE '%auth/%' THEN 0.9 WHEN file LIKE 'payments/%' THEN 1.0 ELSE 0.3 END"
+    years = "CASE data_class WHEN 'guarded' THEN 33 WHEN 'financial' THEN 16 WHEN 'credential' THEN 12 WHEN 'pii' THEN 25 WHEN 'public' THEN 0 ELSE 11 END"
+    return f"WITH {FOUND}, p AS (SELECT DISTINCT file FROM found), c AS (SELECT file, {own} AS data_class, CAST({weight} AS DOUBLE) AS weight FROM p) SELECT file, data_class, CAST({years} AS INTEGER) AS x_years, weight FROM c"
+
+
+@query(_policy_sql())
+def policy_file_places(spark, sf_dir):
+    """Paths placed by a policy file that overlays the default one."""
+    from .operators import policy
+    from .plans.policy_file import Policy
+    from .sources import corpus
+
+    p = Policy.loads(_POLICY)
+    f = corpus.findings(spark, sf_dir).select("file").distinct()
+    return policy.placed(f, classes=p.class_rules, criticality=p.criticality_rules, years=p.classes, default=p.default_x).select("file", "data_class", "x_years", "weight")
+
+
+def _cbom_sql() -> str:
+    from .queries import ASSETS
+
+    return (
+        f"WITH {ASSETS}, o AS (SELECT family, key_size, mode, count(*) AS n FROM placed WHERE line > 0 GROUP BY ALL) SELECT asset_key, concat('crypto/', trim(regexp_replace(lower(a.family), '[^a-z0-9]+', '-', 'g'), '-'), '/', substr(sha256(asset_key), 1, 16)) AS bom_ref, 'cryptographic-asset' AS type, a.family AS name, "
+        "CASE WHEN a.family IN ('RSA', 'ECDSA', 'ML-KEM') THEN 'pke' WHEN a.family IN ('AES', '3DES') THEN 'block-cipher' ELSE 'hash' END AS primitive, CAST(a.key_size AS VARCHAR) AS size, lower(a.mode) AS mode, threat, severity, o.n AS n_places "
+        "FROM assets a JOIN o ON o.family = a.family AND o.key_size IS NOT DISTINCT FROM a.key_size AND o.mode IS NOT DISTINCT FROM a.mode"
+    )
+
+
+@query(_cbom_sql())
+def cbom_fields(spark, sf_dir):
+    """The components of the bill of materials, read back from their JSON."""
+    from .operators import emit
+    from .plans import inventory
+    from .queries import _assets, _places
+
+    shape = "type string, `bom-ref` string, name string, cryptoProperties struct<algorithmProperties: struct<primitive: string, parameterSetIdentifier: string, mode: string>>, properties array<struct<name: string, value: string>>, evidence struct<occurrences: array<struct<location: string, line: int>>>"
+    c = emit.cbom_components(inventory.with_occurrences(_assets(spark, sf_dir), _places(spark, sf_dir))).select("asset_key", "bom_ref", F.from_json("component", shape).alias("c"))
+    prop = lambda n: F.get(F.filter("c.properties", lambda p: p["name"] == f"crypto:{n}"), F.lit(0))["value"].alias(n)
+    a = F.col("c.cryptoProperties.algorithmProperties")
+    return c.select("asset_key", "bom_ref", "c.type", "c.name", a["primitive"].alias("primitive"), a["parameterSetIdentifier"].alias("size"), a["mode"].alias("mode"), prop("threat"), prop("severity"), F.size("c.evidence.occurrences").cast("long").alias("n_places"))
