@@ -39,4 +39,5 @@ ORACLE_SQL = {
     "op10_secret_linking": secret_linking.ORACLE,
     "op11_phrase_mining": phrase_mining.ORACLE,
     "op12_substring_dedup": substring_dedup.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }

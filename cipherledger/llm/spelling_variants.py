@@ -147,3 +147,21 @@ def variants(words: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, forms and roots of the words of all whole documents."""
     return variants(vocabulary(table(spark, sf_dir, "documents")))
+
+
+#: DuckDB has no checksum of this kind: its table and its steps are spelt out. Near words by deleting each code point.
+ORACLE = f"""
+WITH RECURSIVE tab AS (SELECT [list_reduce([i] || range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+o AS (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]+')) AS w FROM d) WHERE length(w) >= {SHORTEST} GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(concat(k, ':', w))) AS h FROM o),
+c AS (SELECT w, n, xor(list_reduce([4294967295] || [CAST(concat('0x', substr(h, 2 * i + 1, 2)) AS BIGINT) FOR i IN range(length(h) // 2)], lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)])), 4294967295) AS h FROM b, tab),
+e AS (SELECT CASE WHEN h % {DELETE} = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS w, n FROM c),
+words AS (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM e WHERE length(w) >= {SHORTEST} GROUP BY w HAVING sum(n) >= {LEAST}),
+v AS (SELECT w, i, concat(substr(w, 1, i - 1), substr(w, i + 1)) AS x FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+near AS (SELECT v.w AS a, y.w AS b FROM v JOIN words y ON y.w = v.x UNION SELECT y.w, v.w FROM v JOIN words y ON y.w = v.x UNION SELECT p.w, q.w FROM v p JOIN v q ON p.i = q.i AND p.x = q.x AND p.w <> q.w),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS m FROM near JOIN words ON words.w = b GROUP BY a),
+forms AS (SELECT words.w AS word, CASE WHEN m >= {DOMINANCE} * n THEN b END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {DOMINANCE} * n THEN m END AS form_n FROM words LEFT JOIN best ON a = words.w),
+chain AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS done FROM forms UNION ALL SELECT chain.word, coalesce(f.form, chain.root), f.form IS NULL FROM chain JOIN forms f ON f.word = chain.root WHERE NOT done)
+SELECT forms.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN chain ON chain.word = forms.word AND done
+"""
