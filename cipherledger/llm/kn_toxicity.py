@@ -329,7 +329,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored at the threshold or above go. Learns from all labels of ``sf_dir``."""
+    """Pipeline stage: documents scored at the threshold or above go. Learns from all labels of ``sf_dir``. Null, empty and letterless texts
+    stay, repeated rows get one answer, other columns are kept as they are; an empty table stays empty."""
     scorer = train(docs, table(spark, sf_dir, "labels"), F.lit(True))
     s = clear_name(docs, "score")
     return scored(docs, scorer, score=s).where(F.col(s) < THRESHOLD).drop(s)

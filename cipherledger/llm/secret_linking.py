@@ -166,7 +166,8 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are cut out of the texts; every document stays."""
+    """Pipeline stage: secrets are cut out of the texts; every document stays, null and empty texts as they are, repeated rows alike; other
+    columns are kept but for ``n_chars`` of changed texts. An empty table stays empty."""
     return redacted(docs)
 
 

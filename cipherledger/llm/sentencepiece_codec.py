@@ -11,7 +11,8 @@ Semantics (those of the public library for a Unigram model with identity normali
 * decoding joins pieces, turns byte pieces into UTF-8 (invalid bytes into U+FFFD), markers into spaces, and strips
   the dummy prefix. A literal U+2581 in a text therefore comes back as a space.
 
-Null text: null ids. Empty text: no ids. Very long texts are cut only where no piece can reach across, so work and
+Null text: null ids. Empty text: no ids. Repeated rows have the same ids; an empty table gives no rows. ``encode`` and ``decode`` write the
+columns they are asked to, over those of that name; the query and the stage ask for names that are free. Very long texts are cut only where no piece can reach across, so work and
 memory are linear in the text.
 """
 
@@ -386,7 +387,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last pipeline stage: documents with their token ids in place of nothing but the new columns."""
+    """The last pipeline stage: documents with their token ids as new columns, named apart from those that are there. Null texts have null
+    ids, empty ones none; repeated rows have the same. An empty table stays empty."""
     ids = clear_name(docs, "token_ids")
     out = encode(docs, ids=ids)
     return out.withColumn(clear_name(docs, "n_tokens"), F.size(ids).cast("bigint"))
