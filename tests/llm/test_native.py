@@ -81,7 +81,7 @@ def plain_signatures(t):
 def test_fingerprints(spark, rows):
     texts = ["the cat of a big house and the dog in a small town", "le chat de la maison et le chien dans une petite ville", "x", "", "the of and", "Ünïcode der Hund und die Katze sind in dem Haus"] * 3
     d = spark.createDataFrame([(7 * i % 101, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    both = {r.doc_id: r for r in G.with_next(d, "doc_id", "text", "next", rows).collect()}
+    both = {r.doc_id: r for r in G.with_next(d, "doc_id", "text", {"next": "text"}, rows).collect()}
     ids = sorted(both, reverse=True)
     assert [both[i].next for i in ids] == [both[j].text for j in ids[1:] + ids[:1]]
     got = {r.doc_id: r for r in G.fingerprinted(d).collect()}
