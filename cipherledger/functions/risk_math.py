@@ -27,19 +27,19 @@ def severity(threat: Column, urgent: Column) -> Column:
     return F.when(broken & urgent, "critical").when(broken, "high").when(threat.isin("grover_weakened", "unknown"), "low").otherwise("none")
 
 
-def _looked_up(c: Column, table: dict, default) -> Column:
+def looked_up(c: Column, table: dict, default) -> Column:
     """A fixed table as one literal, so that the key is one expression, however many rows the table has."""
     known = F.create_map(*(F.lit(v) for pair in table.items() for v in pair))
     return F.coalesce(known[c], F.lit(default))
 
 
 def rank(sev: Column, unknown: int = -1) -> Column:
-    return _looked_up(F.lower(sev), T.SEVERITIES, unknown)
+    return looked_up(F.lower(sev), T.SEVERITIES, unknown)
 
 
 def score(threat: Column, x: Column, y: Column, short: Column, weight: Column, sev: Column) -> Column:
     """100 * base * (0.7 + 0.3 * urgency) * criticality to two places; at most 5 where the severity is none."""
-    base = _looked_up(threat, {"shor_broken": 1.0, "legacy_broken": 0.95, "grover_weakened": 0.5, "quantum_safe": 0.05, "pqc": 0.0}, 0.25)
+    base = looked_up(threat, {"shor_broken": 1.0, "legacy_broken": 0.95, "grover_weakened": 0.5, "quantum_safe": 0.05, "pqc": 0.0}, 0.25)
     urgency = F.when(short > 0, F.least(F.lit(1.0), short / F.greatest(F.lit(1), x + y))).otherwise(0.0)
     s = F.round(100 * base * (0.7 + 0.3 * urgency) * weight, 2)
     return F.when(sev == "none", F.least(s, F.lit(5.0))).otherwise(s)
@@ -52,4 +52,4 @@ def label(weight: Column) -> Column:
 
 
 def label_weight(name: Column) -> Column:
-    return _looked_up(name, dict(T.LABELS), 0.5)
+    return looked_up(name, dict(T.LABELS), 0.5)

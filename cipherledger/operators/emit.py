@@ -53,6 +53,27 @@ def sarif_rules(assets: DataFrame) -> DataFrame:
     return g.select("family", F.concat(F.lit("crypto/"), X.html_slug(F.col("family"), "unknown")).alias("rule"), _pick(F.col("w.severity"), LEVELS, "note", lambda v: v[0]).alias("level"), _pick(F.col("w.severity"), LEVELS, "3.0", lambda v: v[1]).alias("security_severity"), "n_assets", "n_results")
 
 
+ADVICE, REASONS = 8, 5
+
+
+def sarif_help(assets: DataFrame) -> DataFrame:
+    """``family, recommendations, rationales`` of each family's rule: the first different ones in the order of its assets, worst first.
+    An asset's text counts once, at its best place, so a family brings no more rows together than it has different texts, and of
+    these only the first are kept before they become an array."""
+    order = F.struct((-F.col("severity_rank")).alias("s"), (-F.col("score")).alias("p"), F.col("name"), F.col("asset_key"))
+
+    def listed(text: str, n: int, name: str) -> DataFrame:
+        some = assets.where(F.trim(F.coalesce(text, F.lit(""))) != "").groupBy("family", F.trim(text).alias("t")).agg(F.min(order).alias("o"))
+        first = some.withColumn("r", F.row_number().over(Window.partitionBy("family").orderBy("o"))).where(F.col("r") <= n)
+        rows = first.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("r", "t"))).alias("x"))
+        return rows.select("family", F.col("x.t").alias(name))
+
+    every = assets.select("family").distinct()
+    out = every.join(listed("recommendation", ADVICE, "recommendations"), "family", "left").join(listed("rationale", REASONS, "rationales"), "family", "left")
+    none = F.array().cast("array<string>")
+    return out.select("family", F.coalesce("recommendations", none).alias("recommendations"), F.coalesce("rationales", none).alias("rationales"))
+
+
 def sarif_artifacts(assets: DataFrame, places: DataFrame) -> DataFrame:
     f = places.join(assets.select("asset_key"), "asset_key", "left_semi").select(F.col("file").alias("uri")).distinct()
     return f.withColumn("language", _pick(F.lower(F.regexp_extract("uri", r"\.([A-Za-z]+)$", 1)), LANGUAGES, None))

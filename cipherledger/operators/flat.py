@@ -60,6 +60,12 @@ def top(found: DataFrame, n: int = 80) -> DataFrame:
     return distinct_mentions(found).orderBy(order, F.desc("urgent"), "path", "line", "algorithm").limit(n)
 
 
+def command_line(found: DataFrame, n: int = 12) -> DataFrame:
+    """What the command line shows: matches of high confidence, broken ones first, urgent ones first, then by place."""
+    order = F.array_position(F.array(*map(F.lit, T.TIERS)), F.col("tier"))
+    return found.where("confidence = 'high'").orderBy(order, F.desc("urgent"), "path", "line", "rule").limit(n)
+
+
 def components(found: DataFrame) -> DataFrame:
     """Distinct assets of the flat bill of materials, low confidence left out."""
     return found.where("confidence <> 'low'").select("algorithm", "tier", "recommendation").distinct()

@@ -60,6 +60,15 @@ def latest(history: DataFrame, n: int = 2) -> DataFrame:
     return history.select("scan_id").distinct().orderBy(F.desc("scan_id")).limit(n).orderBy("scan_id")
 
 
+def scan(history: DataFrame, scan_id) -> DataFrame:
+    """The assets of one scan with their ``place`` in its order: severity, score, name."""
+    from pyspark.sql import Window
+
+    name = F.lower("name") if "name" in history.columns else F.col("asset_key")
+    w = Window.orderBy(M.rank(F.col("severity")).desc(), F.desc("score"), name, "asset_key")
+    return history.where(F.col("scan_id") == scan_id).withColumn("place", F.row_number().over(w))
+
+
 def indexed(history: DataFrame, scan: Column) -> DataFrame:
     """One row an identity: the highest severity, then the highest score."""
     have = [c for c in TRACKED if c in history.columns]

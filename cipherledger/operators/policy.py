@@ -51,6 +51,16 @@ def most_specific(path: Column, rules: list[tuple[str, object]], default: object
     return out.otherwise(F.lit(default)) if out is not F else F.lit(default)
 
 
+def matched_rules(path: Column, globs: list[str]) -> Column:
+    """The globs of the rules that match a path, in their order: where its class and weight come from."""
+    return F.array_compact(F.array(*(F.when(X.matches(path, g), F.lit(g)) for g in globs)))
+
+
+def kept(paths: DataFrame, ignore: list[str], path: str = "file") -> DataFrame:
+    """``paths`` without those that an ignore glob names."""
+    return paths.where(~ignored(F.col(path), ignore)) if ignore else paths
+
+
 def lookup(c: Column, table: dict, default) -> Column:
     out = F
     for k, v in table.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import tables as T
@@ -13,13 +13,21 @@ from . import policy as P
 NOW = 2026
 
 
-def scored(assets: DataFrame, now: int = NOW, z: int = T.QUANTUM_YEAR, years: dict | None = None, default: int = T.DEFAULT_YEARS) -> DataFrame:
-    """``assets (family, threat, x_years, weight, ...)`` with years, verdict, score and severity."""
+def escalated(label: Column, kind: Column) -> Column:
+    """The criticality label, one step higher for keys and certificates."""
+    up = [n for n, _ in T.LABELS]
+    higher = dict(zip(up[1:], up))
+    return F.when(F.lower(kind).isin("key", "certificate"), M.looked_up(label, higher, up[0])).otherwise(label)
+
+
+def scored(assets: DataFrame, now: int = NOW, z: int = T.QUANTUM_YEAR, years: dict | None = None, default: int = T.DEFAULT_YEARS, escalate: bool = False) -> DataFrame:
+    """``assets (family, threat, x_years, weight, ...)`` with years, verdict, score and severity; ``escalate`` raises the criticality of
+    key material by a step."""
     broken = F.col("threat").isin("shor_broken", "legacy_broken")
     a = assets.withColumn("y_years", P.migration_years(F.col("family"), years, default)).withColumn("z_year", F.lit(z))
     a = a.withColumn("shortfall", M.shortfall(F.col("x_years"), F.col("y_years"), F.col("z_year"), now)).withColumn("act_now", broken & M.act_now(F.col("shortfall")))
     a = a.withColumn("deadline_year", F.when(broken, M.deadline(F.col("x_years"), F.col("y_years"), F.col("z_year"))))
-    a = a.withColumn("criticality", M.label(F.col("weight"))).withColumn("severity", M.severity(F.col("threat"), F.col("act_now")))
+    a = a.withColumn("criticality", escalated(M.label(F.col("weight")), F.col("kind")) if escalate else M.label(F.col("weight"))).withColumn("severity", M.severity(F.col("threat"), F.col("act_now")))
     s = M.score(F.col("threat"), F.col("x_years"), F.col("y_years"), F.when(F.col("act_now"), F.col("shortfall")).otherwise(0), M.label_weight(F.col("criticality")), F.col("severity"))
     return a.withColumn("score", s).withColumn("severity_rank", M.rank(F.col("severity")))
 

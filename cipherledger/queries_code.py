@@ -512,3 +512,112 @@ def cbom_fields(spark, sf_dir):
     prop = lambda n: F.get(F.filter("c.properties", lambda p: p["name"] == f"crypto:{n}"), F.lit(0))["value"].alias(n)
     a = F.col("c.cryptoProperties.algorithmProperties")
     return c.select("asset_key", "bom_ref", "c.type", "c.name", a["primitive"].alias("primitive"), a["parameterSetIdentifier"].alias("size"), a["mode"].alias("mode"), prop("threat"), prop("severity"), F.size("c.evidence.occurrences").cast("long").alias("n_places"))
+
+
+# --- validity, help texts, lists, escalation ---------------------------------------------------------------------------------------------------
+
+_FROM = "CAST('2020-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(o_custkey % 700 AS INTEGER)"
+_TO = "CAST('2024-06-01 12:00:00' AS TIMESTAMP) + INTERVAL '1' HOUR * CAST(o_orderkey % 9000 - 4000 AS INTEGER)"
+
+
+@query(
+    f"WITH v AS (SELECT o_orderkey, CAST(floor(date_diff('second', TIMESTAMP '2024-06-01 12:00:00', {_TO}) / 86400.0) AS INTEGER) AS days_left, CAST(floor(date_diff('second', {_FROM}, {_TO}) / 86400.0) AS INTEGER) AS whole FROM orders) "
+    "SELECT o_orderkey, days_left, concat_ws(', ', CASE WHEN days_left < 0 THEN concat('EXPIRED ', -days_left, 'd ago') WHEN days_left <= 90 THEN concat('EXPIRES IN ', days_left, 'd') END, CASE WHEN whole > 398 THEN concat('long-lived (', whole, 'd validity)') END) AS said FROM v"
+)
+def certificate_validity(spark, sf_dir):
+    """Days to expiry and what is remarkable about a validity."""
+    from .functions import validity
+    from .sources import corpus
+
+    o = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_FROM} AS not_before", f"{_TO} AS not_after")
+    now = F.lit("2024-06-01 12:00:00").cast("timestamp")
+    return o.select("o_orderkey", validity.days(now, F.col("not_after")).alias("days_left"), validity.flags(F.col("not_before"), F.col("not_after"), now).alias("said"))
+
+
+def _help_sql() -> str:
+    from .queries import _ADVICE, _RULE, ASSETS
+
+    pick = lambda c, n: f"(SELECT string_agg(t, ' | ' ORDER BY o) FROM (SELECT t, o, row_number() OVER (ORDER BY o) AS r FROM (SELECT {c} AS t, min(k) AS o FROM hw WHERE hw.family = hf.family GROUP BY {c})) WHERE r <= {n})"
+    return (
+        f"WITH {ASSETS}, {_ADVICE}, hj AS (SELECT *, {_RULE} AS rule_id FROM assets), hw AS (SELECT family, recommendation, concat(family, ' seen ', n_occ, ' times in ', n_files, ' files, first at ', file, ':', line) AS rationale, "
+        "row_number() OVER (ORDER BY severity_rank DESC, score DESC, family, asset_key) AS k FROM hj JOIN advice USING (rule_id)), hf AS (SELECT DISTINCT family FROM hw) "
+        f"SELECT family, {pick('recommendation', 8)} AS recommendations, {pick('rationale', 5)} AS rationales FROM hf"
+    )
+
+
+@query(_help_sql())
+def sarif_help(spark, sf_dir):
+    """The first different recommendations and rationales of each family's rule."""
+    from .operators import emit
+    from .queries import _assets
+
+    h = emit.sarif_help(_assets(spark, sf_dir))
+    return h.select("family", F.array_join("recommendations", " | ").alias("recommendations"), F.array_join("rationales", " | ").alias("rationales"))
+
+
+def _flat_sql(rest: str) -> str:
+    from .queries import FLAT
+
+    return f"WITH {FLAT} {rest}"
+
+
+@query(_flat_sql("SELECT path, line, rule, tier, urgent FROM urgent WHERE confidence = 'high' ORDER BY list_position(['BROKEN_Q', 'WEAK', 'SAFE', 'PQC'], tier), urgent DESC, path, line, rule LIMIT 12"))
+def flat_command_line(spark, sf_dir):
+    """The twelve matches that the command line shows."""
+    from .operators import flat
+    from .queries import _flat
+
+    return flat.command_line(_flat(spark, sf_dir)).select("path", "line", "rule", "tier", "urgent")
+
+
+def _scan_sql() -> str:
+    from .queries import ASSETS
+
+    return f"WITH {ASSETS} SELECT asset_key, severity, CAST(row_number() OVER (ORDER BY severity_rank DESC, score DESC, lower(family), asset_key) AS INTEGER) AS place FROM assets"
+
+
+@query(_scan_sql())
+def history_scan(spark, sf_dir):
+    """One scan's assets in the order in which history gives them."""
+    from .operators import history
+    from .queries import _assets
+
+    two = _assets(spark, sf_dir).withColumn("scan_id", F.explode(F.array(F.lit("1"), F.lit("2"))))
+    return history.scan(two, "2").select("asset_key", "severity", "place")
+
+
+_GLOBS = ["payments/**", "**/auth/**", "f1*", "src/*/*", "**"]
+
+
+def _matched_sql() -> str:
+    from .queries import FOUND
+
+    name = "regexp_replace(file, '^.*/', '')"
+    tests = ["file LIKE 'payments/%'", "regexp_matches(file, '(^|/)auth/')", f"{name} LIKE 'f1%'", "regexp_matches(file, '^src/[^/]*/[^/]*$')", "true"]
+    said = ", ".join(f"CASE WHEN {t} THEN '{g}' END" for t, g in zip(tests, _GLOBS))
+    return f"WITH {FOUND}, p AS (SELECT DISTINCT file FROM found) SELECT file, concat_ws(',', {said}) AS rules FROM p WHERE NOT (file LIKE 'docs/%' OR {name} LIKE '%7.%')"
+
+
+@query(_matched_sql())
+def policy_matched_rules(spark, sf_dir):
+    """Paths that no ignore glob names, with the rules that match each."""
+    from .operators import policy
+    from .sources import corpus
+
+    f = policy.kept(corpus.findings(spark, sf_dir).select("file").distinct(), ["docs", "*7.*"])
+    return f.select("file", F.array_join(policy.matched_rules(F.col("file"), _GLOBS), ",").alias("rules"))
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey, " + C.pick("o_custkey", "algorithm", "key", "certificate") + " AS kind, CAST(" + C.pick("o_orderkey", 1.0, 0.85, 0.6, 0.3, 0.1) + " AS DOUBLE) AS weight FROM orders), "
+    "l AS (SELECT o_orderkey, kind, CASE weight WHEN 1.0 THEN 0 WHEN 0.85 THEN 1 WHEN 0.6 THEN 2 WHEN 0.3 THEN 3 ELSE 4 END AS i FROM a) "
+    "SELECT o_orderkey, kind, ['critical', 'high', 'medium', 'low', 'none'][1 + CASE WHEN kind = 'algorithm' THEN i ELSE greatest(i - 1, 0) END] AS criticality FROM l"
+)
+def risk_escalated(spark, sf_dir):
+    """Criticality of key material, a step higher where the policy asks for it."""
+    from .functions import risk_math
+    from .operators import risk
+    from .sources import corpus
+
+    a = corpus.table(spark, sf_dir, "orders").selectExpr("o_orderkey", C.pick("o_custkey", "algorithm", "key", "certificate") + " AS kind", "CAST(" + C.pick("o_orderkey", 1.0, 0.85, 0.6, 0.3, 0.1) + " AS DOUBLE) AS weight")
+    return a.select("o_orderkey", "kind", risk.escalated(risk_math.label(F.col("weight")), F.col("kind")).alias("criticality"))
