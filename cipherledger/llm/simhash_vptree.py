@@ -416,7 +416,7 @@ def confirmed_texts(pairs: DataFrame, prints: DataFrame, rows: DataFrame, words:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int, jaccard: float, keys: DataFrame) -> DataFrame:
+def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int, jaccard: float, keys: DataFrame, often: bytes) -> DataFrame:
     """Edges ``a, b`` between the shingle sets of ``prints(sid, fp, th, n, *PARITIES)`` whose components are those of all pairs of a Jaccard
     coefficient of ``jaccard`` or more. The trees give the pairs within ``radius`` bits; whole sets confirm them. Pairs
     further apart, which share so little of 64 bits that no tree prunes them, are left to the set join, which takes the
@@ -431,7 +431,7 @@ def confirmed_links(prints: DataFrame, rows: DataFrame, words: int, radius: int,
     pairs = same.union(near.select("sa", "sb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     known = cut(confirm(pairs))
     parities = cut(prints.select("sid", "n", *set_join.PARITIES).dropDuplicates(["sid"]))
-    return set_join.links(None, jaccard, confirm, known, keys, parities)
+    return set_join.links(None, jaccard, confirm, known, keys, parities, often)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = RADIUS, jaccard: float | None = None) -> DataFrame:
@@ -446,7 +446,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         both = cut(set_prints(pick, words))
         often = bucket_frequencies(both)
         prints = both.where("span is null").drop("span", "counts")
-        edges = confirmed_links(prints, pick, words, radius, jaccard, set_keys(pick, often, jaccard, words))
+        edges = confirmed_links(prints, pick, words, radius, jaccard, set_keys(pick, often, jaccard, words), often)
         comps = components(edges)
         prints = prints.select("doc_id", "th", F.col("sid").alias("fp"))
         label = prints.select("fp").distinct().join(comps, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("label"))
