@@ -9,7 +9,7 @@ D modulo v. So two equal windows share an aligned anchor: the ``window - v + 1``
 these are hashed and shuffled (5 of 21 places, 15 words each). Anchors that repeat leave intervals of places at which a
 repeated window may start; then the match is extended: whole windows are hashed at those places only (96 bits) and counted.
 No pairs are made, so a passage that many documents share costs one row an occurrence, and equal anchors of one batch meet
-before the shuffle, so that a hot passage costs one row a batch. What comes back to the texts are intervals, a few a document;
+before the shuffle: the first goes to the task of its hash, the others, known to repeat, to any. What comes back to the texts are intervals, a few a document;
 they are broadcast while few (``BROADCAST`` documents and ``INTERVALS`` intervals), else joined by a shuffle. An anchor's hash
 only proposes; a window counts as repeated if all 96 bits agree.
 
