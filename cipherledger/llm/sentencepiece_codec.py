@@ -24,6 +24,7 @@ import hashlib
 import math
 import re
 from collections import deque
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import clear_name, table
+from .packed import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE = 400_000  # remembered segmentations a worker
+ROOM = 100_000  # the same where columns are encoded
 STEP = 512  # texts segmented together
 
 
@@ -145,6 +148,7 @@ class Codec:
         self.cut = re.compile(f"{MARK}*[^{MARK}{safe}]+|{MARK}*[{safe}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+") if not inside else re.compile("(?s).+")
         self.words: dict[str, tuple[int, ...]] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.room = CACHE
         self.arrays = (*(np.array(x, np.int32) for x in (self.base, self.check, self.value)), np.array(self.score))
 
     def viterbi(self, chunk: str) -> tuple[int, ...]:
@@ -262,7 +266,7 @@ class Codec:
 
     def _encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         words, parts = self.words, self.seen
-        if len(words) > CACHE or len(parts) > CACHE:
+        if len(words) > self.room or len(parts) > self.room:
             words.clear()
             parts.clear()
         split = [None if t is None else self._split(t) for t in texts]
@@ -319,12 +323,17 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: s
     known = _loaded(docs.sparkSession, model, scores)
 
     @F.pandas_udf("array<int>")
-    def run(texts):
+    @tidy
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = _codec(*known.value)
-        texts, out = [t if isinstance(t, str) else None for t in texts], []
-        for at in range(0, len(texts), STEP):
-            out += c.encode_all(texts[at : at + STEP])
-        return pd.Series(out, dtype=object)
+        c.room = ROOM  # beside the stages before, whose memory the executor still has
+        for texts in batches:
+            texts, out = [t if isinstance(t, str) else None for t in texts], []
+            for at in range(0, len(texts), STEP):
+                out += c.encode_all(texts[at : at + STEP])
+            yield pd.Series(out, dtype=object)
+        c.words.clear()
+        c.seen.clear()
 
     return docs.withColumn(ids, run(F.col(text)))
 
