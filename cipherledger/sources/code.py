@@ -94,7 +94,7 @@ FILES = {"java": JAVA, "go": GO, "python": PYTHON, "js": JS}
 
 def files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """``path, lang, text``: a source file for every order."""
-    o = corpus.table(spark, sf_dir, "orders")
+    o = corpus.dealt(corpus.table(spark, sf_dir, "orders"))
     return o.selectExpr("concat('src/', o_orderkey) AS path", f"'{lang}' AS lang", f"{FILES[lang]} AS text")
 
 
@@ -178,7 +178,7 @@ CALLS = {"python": PYTHON_CALLS, "c": C_CALLS, "java": JAVA_CALLS, "go": GO_CALL
 def call_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """``path, lang, text``: a file of ``CALLS`` for every part."""
     body = text(*(line for line, _ in CALLS[lang]))
-    return corpus.table(spark, sf_dir, "part").selectExpr("concat('lib/', p_partkey) AS path", f"'{lang}' AS lang", f"{body} AS text")
+    return corpus.dealt(corpus.table(spark, sf_dir, "part")).selectExpr("concat('lib/', p_partkey) AS path", f"'{lang}' AS lang", f"{body} AS text")
 
 
 def call_rows(lang: str) -> str:
