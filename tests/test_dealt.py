@@ -34,3 +34,20 @@ def test_masked_text_keeps_its_length_and_lines():
     hidden, live = masking.masked(text, "js")
     assert hidden == "a = '    '; /*".replace("/*", "  ") + "    \n" + "       b(\"    \");     \n" + "` \n `"
     assert live == text.replace("/* one", "      ").replace("two */", "      ").replace("// c", "    ")
+
+
+def test_findings_stay_where_they_are_when_merged(spark):
+    from cipherledger.operators import merge
+
+    found = spark.range(1000).selectExpr("'AES' AS family", "'algorithm' AS kind", "'AES' AS name", "CAST(IF(id % 2 = 0, 256, NULL) AS INT) AS key_size", "CAST(NULL AS STRING) AS curve", "CAST(NULL AS STRING) AS mode", "CAST(NULL AS STRING) AS padding", "'high' AS confidence")
+    done = merge.compatible(found)
+    assert [(r.key_size, r["count"]) for r in done.groupBy("key_size").count().collect()] == [(256, 1000)]
+    assert "SortMergeJoin" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_that_are_no_source_are_told_without_a_join(spark):
+    files = spark.createDataFrame([("a.py", b"x", 1), ("b.bin", b"\x00", 1), ("c.js", b"x" * 8001, 8001), ("d.go", b"a\0b", 3)], "path string, content binary, length long")
+    texts, skipped = corpus.sources(files)
+    assert [r.path for r in texts.collect()] == ["a.py"] and sorted(r.message for r in skipped.collect()) == ["c.js: minified", "d.go: binary"]
+    told = {r.path: (r.lang, r.why) for r in corpus.judged(files).collect()}
+    assert told == {"a.py": ("python", None), "b.bin": (None, None), "c.js": ("js", "minified"), "d.go": ("go", "binary")}
