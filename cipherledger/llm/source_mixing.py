@@ -14,7 +14,8 @@ sources x languages x topics at most, are raked on the driver while there are up
 DataFrame with the same arithmetic beyond.
 
 ``documents`` has no topic, so ``with_topic`` gives each whole text the nearest of ``TOPICS`` centres of hashed character
-trigrams. The centres are fitted by k-means on a bounded sample of ``SAMPLE`` texts; every row is assigned. Texts
+trigrams. The centres are fitted by weighted k-means on the exact sums of all rows' vectors by cell (``fit_topics``); every row is
+counted and assigned. Texts
 without a trigram, and null and empty texts, are topic -1 and have their own cell; they hold no tokens. Very long texts are
 read whole, a million bytes at a time. Rows with the same doc_id and text share their draw. New columns whose names the
 rows have get longer names; an empty table gives no rows.
@@ -34,7 +35,10 @@ from .common import clear_name, cut, stored, table
 
 TOPICS = 8
 DIMS = 1024
-SAMPLE = 2_000
+SCALE = 1 << 24  # sums of 10 ** 11 vectors fit 64 bits
+PLANES = 8
+MERGERS = 16
+ROUNDS = 100
 MAX_CELLS = 200_000
 TEMPER = 0.7
 RATE = 0.8
@@ -60,27 +64,67 @@ def trigram_vector(text: str | None, dims: int = DIMS) -> np.ndarray | None:
     return np.sqrt(out / out.sum())
 
 
-def fit_topics(docs: DataFrame, topics: int = TOPICS, sample: int = SAMPLE, text: str = "text", seed: int = 5) -> np.ndarray:
-    """K-means centres of the sample with the smallest text hashes; only its vectors meet the driver."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(text).cast("string").alias("text")).where("length(text) >= 3")
-    at_most = rows.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(sample)
-    picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(at_most), "h").dropDuplicates(["h"]).select("h", "text")
+def _summed(docs: DataFrame, text: str, split: tuple[np.ndarray, np.ndarray] | None = None) -> dict[int, tuple[int, np.ndarray]]:
+    """``{cell: (rows, sum of their vectors)}`` over every text: cell 0 alone, or by the side of each plane of ``split = (mean,
+    planes)`` on which a vector lies. Sums are of integers (``SCALE``), so no order of adding changes them; a task holds one sum a
+    cell, and as many reach the driver."""
+    spark = docs.sparkSession
+    ship(spark)
+    known = spark.sparkContext.broadcast(split)
+    shape = "cell int, n long, v binary"
+
+    def told(held):
+        rows = sorted(held.items())
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([n for _, (n, _) in rows], pa.int64()), pa.array([v.tobytes() for _, (_, v) in rows], pa.binary())], ["cell", "n", "v"])
+
+    def add(held, cell, n, v):
+        m, have = held.get(cell, (0, None))
+        held[cell] = (m + n, v if have is None else np.add(have, v, out=have))
 
     def run(batches):
+        held: dict = {}
         for b in batches:
-            v = [trigram_vector(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else x.tolist() for x in v], pa.list_(pa.float64()))], ["h", "v"])
+            for t in b.column(0).to_pylist():
+                if (v := trigram_vector(t)) is not None:
+                    cell = 0
+                    if known.value is not None:
+                        mean, planes = known.value
+                        cell = int(((planes @ (v - mean)) > 0) @ (1 << np.arange(len(planes))))
+                    add(held, cell, 1, np.rint(v * SCALE).astype(np.int64))
+        yield told(held)
+
+    def merge(batches):
+        held: dict = {}
+        for b in batches:
+            for cell, n, v in zip(*(c.to_pylist() for c in b.columns)):
+                add(held, cell, n, np.frombuffer(v, np.int64).copy())
+        yield told(held)
+
+    rows = docs.select(F.col(text).cast("string").alias("text")).where("length(text) > 0")
+    parts = rows.mapInArrow(run, shape).repartition(MERGERS, "cell").mapInArrow(merge, shape)
+    return {r.cell: (r.n, np.frombuffer(bytes(r.v), np.int64) / SCALE) for r in parts.collect()}
 
-    got = sorted((r.h, r.v) for r in picked.mapInArrow(run, "h long, v array<double>").where("v is not null").collect())
-    if not got:
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, text: str = "text", seed: int = 5) -> np.ndarray:
+    """K-means centres of all texts, each row counted once. The first pass sums all vectors, the second sums them by cell: ``PLANES``
+    planes through the mean make 2 ** PLANES cells. The cells' means, weighted by their rows, are clustered on the driver, from
+    the heaviest one and then those that lie farthest by weight."""
+    whole = _summed(docs, text)
+    if not whole:
         return np.zeros((0, DIMS))
-    x = np.array([v for _, v in got])
-    rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), min(topics, len(x)), replace=False)].copy()
-    for _ in range(20):
+    n, v = whole[0]
+    planes = np.random.default_rng(seed).choice([-1.0, 1.0], (PLANES, DIMS))
+    cells = [x for _, x in sorted(_summed(docs, text, (v / n, planes)).items())]
+    w, x = np.array([n for n, _ in cells], float), np.array([v / n for n, v in cells])
+    c = x[[w.argmax()]]
+    while len(c) < min(topics, len(x)):
+        far = w * ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+        if far.max() <= 0:
+            break
+        c = np.vstack([c, x[far.argmax()]])
+    for _ in range(ROUNDS):
         near = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
-        new = np.array([x[near == j].mean(0) if (near == j).any() else c[j] for j in range(len(c))])
+        new = np.array([np.average(x[near == j], 0, w[near == j]) if (near == j).any() else c[j] for j in range(len(c))])
         if np.abs(new - c).max() < 1e-12:
             break
         c = new
