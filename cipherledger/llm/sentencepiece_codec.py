@@ -11,25 +11,27 @@ Semantics (those of the public library for a Unigram model with identity normali
 * decoding joins pieces, turns byte pieces into UTF-8 (invalid bytes into U+FFFD), markers into spaces, and strips
   the dummy prefix. A literal U+2581 in a text therefore comes back as a space.
 
+A task works on columns: Arrow tells the words of a batch apart, a distinct word is looked up once for all its places, new ones are cut
+and searched together in numpy, and ids, their decimals and the decoded texts are gathered for all places at once.
+
 Null text: null ids. Empty text: no ids. Repeated rows have the same ids; an empty table gives no rows. ``encode`` and ``decode`` write the
-columns they are asked to, over those of that name; the query and the stage ask for names that are free. Very long texts are cut only where no piece can reach across, so work and
-memory are linear in the text.
+columns they are asked to, over those of that name; the query and the stage ask for names that are free. Very long texts are cut only
+where no piece can reach across, so work and memory are linear in the text.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import math
 import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +41,13 @@ from .packed import tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+RAW_MARK = MARK.encode()
 CACHE = 400_000  # remembered segmentations a worker
 ROOM = 100_000  # the same where columns are encoded
 STEP = 512  # texts segmented together
+STEP_BYTES = 1 << 22  # the same, but for a longer text, which goes alone
+WIDE = 64  # bytes of a chunk that is segmented with others, and of a word that is remembered
+LENGTH = np.repeat(np.array([1, 2, 3, 4], np.int64), [0xC0, 0x20, 0x10, 0x10])  # bytes of a character by its first
 
 
 def read_pieces(path: str) -> list[tuple[str, float, str]]:
@@ -63,6 +69,21 @@ def zipf(pieces: list[tuple[str, float, str]]) -> list[float]:
     return out
 
 
+def _ends(size: np.ndarray) -> np.ndarray:
+    """Where runs of these sizes begin, and where the last one ends."""
+    out = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=out[1:])
+    return out
+
+
+def _gather(pool: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``codes`` of the pool one after the other, and the size of each."""
+    begin = ends[codes]
+    size = ends[codes + 1] - begin
+    to = _ends(size)
+    return pool[np.repeat(begin - to[:-1], size) + np.arange(to[-1])], size
+
+
 class DoubleArray:
     """A trie over bytes in two arrays: the child of ``s`` by byte c is ``t = base[s] + c + 1`` if ``check[t] == s``."""
 
@@ -144,11 +165,13 @@ class Codec:
             if not bad:
                 break
             apart -= bad
-        safe = "".join(re.escape(c) for c in sorted(apart))
-        self.cut = re.compile(f"{MARK}*[^{MARK}{safe}]+|{MARK}*[{safe}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+") if not inside else re.compile("(?s).+")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.apart = np.zeros(0x110000, bool)
+        if not inside:
+            self.apart[[ord(c) for c in apart]] = True
+        self.forget()
         self.room = CACHE
+        self.decimal = pa.array([b"%d," % i for i in range(len(pieces))], pa.large_binary())
+        self.spelled = pa.array([r.replace(RAW_MARK, b" ") for r in self.raw], pa.large_binary())
         self.arrays = (*(np.array(x, np.int32) for x in (self.base, self.check, self.value)), np.array(self.score))
 
     def viterbi(self, chunk: str) -> tuple[int, ...]:
@@ -191,111 +214,178 @@ class Codec:
         return tuple(reversed(out))
 
     def viterbi_all(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """``viterbi`` of many chunks at once: the same steps, taken by all chunks of about a length together."""
-        out: list = [None] * len(chunks)
-        by: dict[int, list[tuple[int, bytes]]] = {}
-        for k, c in enumerate(chunks):
-            b = c.encode("utf-8", "surrogatepass")
-            by.setdefault(-(-len(b) // 4) * 4, []).append((k, b))
-        for width, rows in by.items():
-            if width > 64 or len(rows) < 32:
-                for k, _ in rows:
-                    out[k] = self.viterbi(chunks[k])
-                continue
-            for at in range(0, len(rows), 16384):
-                self._many(rows[at : at + 16384], width, out)
-        return out
-
-    def _many(self, rows: list[tuple[int, bytes]], width: int, out: list) -> None:
-        n = len(rows)
-        text = np.frombuffer(b"".join(b.ljust(width, b"\0") for _, b in rows), np.uint8).reshape(n, width).astype(np.int32)
-        size = np.array([len(b) for _, b in rows])
+        """``viterbi`` of many chunks at once."""
+        ids, size = self._segment([c.encode("utf-8", "surrogatepass") for c in chunks])
+        return [tuple(x.tolist()) for x in np.split(ids, np.cumsum(size)[:-1])] if chunks else []
+
+    def _segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, and how many each chunk has."""
+        short = [k for k, b in enumerate(chunks) if 0 < len(b) <= WIDE]
+        if len(short) < 32:
+            short = []
+        parts = [self._many([chunks[k] for k in short[at : at + 16384]]) for at in range(0, len(short), 16384)]
+        alone = sorted(set(range(len(chunks))).difference(short)) if len(short) < len(chunks) else []
+        rest = [self.viterbi(chunks[k].decode("utf-8", "surrogatepass")) for k in alone]
+        ids = np.concatenate([i for i, _ in parts] + [np.fromiter(chain.from_iterable(rest), np.int32)])
+        size = np.concatenate([n for _, n in parts] + [np.fromiter(map(len, rest), np.int64, len(rest))])
+        if not alone:
+            return ids, size
+        order = np.empty(len(chunks), np.int64)
+        order[short + alone] = np.arange(len(chunks))
+        return _gather(ids, _ends(size), order)
+
+    def _many(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``_segment`` by the steps of ``viterbi``, taken by all chunks together: the trie is walked from every character of
+        every chunk at once, then the matches that begin at a chunk's first byte are weighed, at its second, and so on."""
+        n = len(raw)
+        text = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # the byte after a chunk, in no UTF-8, is its end
+        size = np.fromiter(map(len, raw), np.int64, n)
+        last = np.cumsum(size + 1) - 1
+        first = last - size
         base, check, value, score = self.arrays
-        best = np.full((n, width + 1), -np.inf)
-        start, piece = np.zeros((n, width + 1), np.int16), np.full((n, width + 1), -1, np.int32)
-        best[:, 0] = 0
-        for i in range(width):
-            at = np.flatnonzero((size > i) & ((text[:, i] & 0xC0) != 0x80))
-            lead = text[at, i]
-            one = i + np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
-            here, single = best[at, i], np.zeros(len(at), bool)
-            live, s = np.arange(len(at)), np.zeros(len(at), np.int32)
-            for j in range(i, width):
-                t = base[s] + text[at[live], j] + 1
-                ok = check[t] == s
-                live, s = live[ok], t[ok]
-                if not len(live):
-                    break
-                v = value[s]
-                hit = np.flatnonzero(v >= 0)
-                k, v = live[hit], v[hit]
-                single[k[one[k] == j + 1]] = True
-                x, r = here[k] + score[v], at[k]
-                up = x > best[r, j + 1]
-                r = r[up]
-                best[r, j + 1], start[r, j + 1], piece[r, j + 1] = x[up], i, v[up]
-            k = np.flatnonzero(~single)
-            x, r, e = here[k] + self.unk, at[k], one[k]
-            up = x > best[r, e]
-            r, e = r[up], e[up]
-            best[r, e], start[r, e], piece[r, e] = x[up], i, -1
-        for (k, b), st, pc in zip(rows, start.tolist(), piece.tolist()):
-            ids, j = [], len(b)
-            while j:
-                if pc[j] >= 0:
-                    ids.append(pc[j])
-                elif self.byte_id:
-                    ids.extend(self.byte_id[x] for x in reversed(b[st[j] : j]))
-                else:
-                    ids.append(self.unk_id)
-                j = st[j]
-            out[k] = tuple(reversed(ids))
+        lead = np.flatnonzero(((text & 0xC0) != 0x80) & (text != 0xFF))
+        char, single = LENGTH[text], np.zeros(len(text), bool)
+        live, s, d, found = lead, np.zeros(len(lead), np.int32), 0, []
+        while len(live):
+            t = base[s] + text[live + d] + np.int32(1)
+            ok = check[t] == s
+            live, s = live[ok], t[ok]
+            d += 1
+            v = value[s]
+            hit = v >= 0
+            at = live[hit]
+            found.append((at, at + d, v[hit]))
+            single[at[char[at] == d]] = True
+        at = lead[~single[lead]]
+        found.append((at, at + char[at], np.full(len(at), -1, np.int32)))
+        start, end, piece = (np.concatenate(x) for x in zip(*found))
+        place = (start - np.repeat(first, size + 1)[start]).astype(np.int16)
+        order = np.argsort(place, kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        gain = np.where(piece >= 0, score[piece], self.unk)
+        best, back = np.full(len(text), -np.inf), np.zeros(len(text), np.int64)
+        best[first] = 0
+        a = 0
+        for b in np.cumsum(np.bincount(place)).tolist():
+            x, e = best[start[a:b]] + gain[a:b], end[a:b]
+            up = np.flatnonzero(x > best[e])
+            e = e[up]
+            best[e], back[e] = x[up], a + up
+            a = b
+        steps, count, who, e = [], np.zeros(n, np.int64), np.arange(n), last
+        while len(who):
+            m = back[e]
+            steps.append((who, m))
+            count[who] += 1
+            e = start[m]
+            more = e > first[who]
+            who, e = who[more], e[more]
+        ends, taken = _ends(count), np.empty(int(count.sum()), np.int64)
+        for k, (who, m) in enumerate(steps):
+            taken[ends[who + 1] - 1 - k] = m
+        ids = piece[taken]
+        none = ids < 0
+        if not none.any():
+            return ids, count
+        if not self.byte_id:
+            return np.where(none, np.int32(self.unk_id), ids), count
+        wide = np.where(none, end[taken] - start[taken], 1)
+        to = _ends(wide)
+        out, lone = np.repeat(ids, wide), np.flatnonzero(np.repeat(none, wide))
+        out[lone] = np.array(self.byte_id, np.int32)[text[np.repeat(start[taken] - to[:-1], wide)[lone] + lone]]
+        return out, np.diff(to[ends])
 
     def encode(self, text: str | None) -> list[int] | None:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Token ids of many texts. A word is looked up whole first; what is new is cut and segmented in one go."""
-        collects = gc.isenabled()
-        gc.disable()  # millions of small tuples, none in a cycle: the collector would only walk them again and again
-        try:
-            return self._encode_all(texts)
-        finally:
-            if collects:
-                gc.enable()
-
-    def _encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
-        words, parts = self.words, self.seen
-        if len(words) > self.room or len(parts) > self.room:
-            words.clear()
-            parts.clear()
-        split = [None if t is None else self._split(t) for t in texts]
-        new = {w: self.cut.findall(MARK + w) for w in set(chain.from_iterable(ws for ws in split if ws)).difference(words)}
-        todo = list({c for cs in new.values() for c in cs if c not in parts})
-        got = dict(zip(todo, self.viterbi_all(todo)))
-        parts.update((c, x) for c, x in got.items() if len(c) <= 64)
-        fresh = {w: (parts[cs[0]] if cs[0] in parts else got[cs[0]]) if len(cs) == 1 else tuple(x for c in cs for x in (parts[c] if c in parts else got[c])) for w, cs in new.items()}
-        words.update((w, x) for w, x in fresh.items() if len(w) <= 64)
-        find = lambda w: words[w] if w in words else fresh[w]
-        out: list[list[int] | None] = []
-        for ws in split:
-            if ws is None:
-                out.append(None)
-                continue
-            try:
-                out.append(list(chain.from_iterable([words[w] for w in ws])))
-            except KeyError:
-                out.append(list(chain.from_iterable(map(find, ws))))
-        return out
+        """Token ids of many texts."""
+        ids, to = self.encode_column(pa.array([None if t is None else t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary()))
+        ids, to = ids.tolist(), to.tolist()
+        return [None if t is None else ids[a:b] for t, a, b in zip(texts, to, to[1:])]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all texts one after the other, and where each text's begin and end. The words of the texts are told apart
+        by Arrow, and the ids of a word are looked up once for all its places; a null text has none."""
+        texts = texts.cast(pa.large_binary())
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).fill_null(False)
+        if odd.true_count:  # no if_else or replace_with_mask: the former garbles slices in pyarrow 23
+            texts = pa.array([self._spaced(t) if x else t for t, x in zip(texts.to_pylist(), odd.to_pylist())], pa.large_binary())
+        words = pc.split_pattern(texts, " ")
+        to = _ends(pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False))
+        words = words.flatten().dictionary_encode()
+        codes = self._codes(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, size = _gather(self.pool, self.ends, codes[words.indices.to_numpy()])
+        return ids, _ends(size)[to]
+
+    def _codes(self, words: list[bytes]) -> np.ndarray:
+        """The places in the pool of the ids of distinct words. What is new is cut and segmented in one go."""
+        if max(len(self.words), len(self.seen)) > self.room or len(self.pool) > 16 * self.room:
+            self.forget()
+        codes = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(codes < 0)
+        if not len(at):
+            return codes
+        new = [words[k] for k in at.tolist()]
+        chunks, many = self._cut(new)
+        chunks = chunks.dictionary_encode()
+        names = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = np.fromiter(map(self.seen.get, names, repeat(-1)), np.int64, len(names))
+        unseen = np.flatnonzero(parts < 0)
+        fresh = [names[k] for k in unseen.tolist()]
+        parts[unseen] = self._add(*self._segment(fresh))
+        self._remember(self.seen, fresh, parts[unseen])
+        parts = parts[chunks.indices.to_numpy()]
+        got, more = parts[_ends(many)[:-1]], many > 1
+        ids, size = _gather(self.pool, self.ends, parts[np.repeat(more, many)])
+        got[more] = self._add(ids, np.diff(_ends(size)[_ends(many[more])]))
+        self._remember(self.words, new, got)
+        codes[at] = got
+        return codes
+
+    def _cut(self, words: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all words, a marker before each, one after the other, and how many each word has: none goes on from a
+        character of ``apart`` to another, or the other way, but markers go with what follows."""
+        data = RAW_MARK + RAW_MARK.join(words)
+        points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        byte = _ends(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000))
+        begins = np.zeros(len(data) + 1, bool)
+        kind = self.apart[points]
+        begins[byte[1:-1][(kind[1:] != kind[:-1]) & (points[:-1] != ord(MARK))]] = True
+        first = _ends(np.fromiter(map(len, words), np.int64, len(words)) + len(RAW_MARK))
+        begins[first] = True
+        at = np.flatnonzero(begins)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
+        return chunks, np.diff(np.searchsorted(at, first))
+
+    @staticmethod
+    def _remember(known: dict[bytes, int], words: list[bytes], codes: np.ndarray) -> None:
+        known.update(zip(words, codes.tolist()))
+        for w in words:
+            if len(w) > WIDE:
+                del known[w]
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The new places of ids that follow each other in runs of ``size``."""
+        n = len(self.ends) - 1
+        self.pool, self.ends = np.concatenate([self.pool, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        return np.arange(n, n + len(size))
+
+    def forget(self) -> None:
+        """Empties what is remembered: places in the pool by word and by chunk, and the pool, ids of one place after the other."""
+        self.words: dict[bytes, int] = {}
+        self.seen: dict[bytes, int] = {}
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     @staticmethod
-    def _split(text: str) -> list[str]:
-        """Words without the marker that stands before each."""
+    def _spaced(text: bytes) -> bytes | None:
+        """Words without the marker that stands before each, a space between; null if there are none."""
         if not text:
-            return []
-        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return [w[1:] for w in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
+            return None
+        marked = RAW_MARK + text.replace(b" ", RAW_MARK)
+        return b" ".join([w[len(RAW_MARK) :] for w in re.findall(b"(?:%s)+(?:(?!%s).)*" % (RAW_MARK, RAW_MARK), marked, re.S)])
 
     def decode(self, ids) -> str | None:
         if ids is None:
@@ -318,22 +408,43 @@ def _loaded(spark: SparkSession, model: str, scores: str):
     return spark.sparkContext.broadcast((tuple(read_pieces(model)), scores))
 
 
+def _steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of what is segmented together."""
+    at = held = k = 0
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if k - at == STEP or (k > at and held + n > STEP_BYTES):
+            yield at, k - at
+            at, held = k, 0
+        held += n
+    if len(texts):
+        yield at, k + 1 - at
+
+
+def _lists(texts: pa.Array, ids: np.ndarray, to: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+
+
+def _joined(table: pa.Array, ids: np.ndarray, to: np.ndarray) -> tuple[bytes, list[int]]:
+    """What ``table`` has for all ids, joined, and where each text's begins and ends in it."""
+    if not len(ids):
+        return b"", [0] * len(to)
+    _, ends, data = table.take(pa.array(ids)).buffers()
+    return data.to_pybytes(), np.frombuffer(ends, np.int64)[to].tolist()
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "token_ids", model: str = MODEL, scores: str = "zipf") -> DataFrame:
     """``docs`` with the token ids of ``text`` in a new column ``ids`` (array<int>). A narrow step: no shuffle."""
     known = _loaded(docs.sparkSession, model, scores)
 
-    @F.pandas_udf("array<int>")
+    @F.arrow_udf("array<int>")
     @tidy
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = _codec(*known.value)
         c.room = ROOM  # beside the stages before, whose memory the executor still has
         for texts in batches:
-            texts, out = [t if isinstance(t, str) else None for t in texts], []
-            for at in range(0, len(texts), STEP):
-                out += c.encode_all(texts[at : at + STEP])
-            yield pd.Series(out, dtype=object)
-        c.words.clear()
-        c.seen.clear()
+            parts = [texts.slice(*step) for step in _steps(texts)]
+            yield pa.concat_arrays([_lists(t, *c.encode_column(t)) for t in parts] or [pa.array([], pa.list_(pa.int32()))])
+        c.forget()
 
     return docs.withColumn(ids, run(F.col(text)))
 
@@ -363,26 +474,23 @@ def encoded(docs: DataFrame, model: str = MODEL, scores: str = "zipf", doc_id: s
         c = _codec(*known.value)
         low, high = (c.byte_id[0], c.byte_id[255]) if c.byte_id else (0, -1)
         for batch in batches:
-            rows = batch.num_rows
-            for at in range(0, rows, STEP):
-                part = batch.slice(at, STEP)
-                offsets, values, n, nb, sha, same = [0], [], [], [], [], []
-                texts = part.column(1).to_pylist()
-                for t, ids in zip(texts, c.encode_all(texts)):
-                    values.extend(ids or ())
-                    offsets.append(len(values))
-                    if ids is None:
-                        for x in (n, nb, sha, same):
-                            x.append(None)
-                        continue
-                    n.append(len(ids))
-                    nb.append(sum(low <= i <= high for i in ids))
-                    sha.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                    same.append(c.decode(ids) == t)
-                null = pa.array([x is None for x in n])
-                arrays = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=null)
+            for step in _steps(batch.column(1)):
+                part = batch.slice(*step)
+                texts = part.column(1)
+                ids, to = c.encode_column(texts)
+                nb = _ends((ids >= low) & (ids <= high))[to]
+                listed, at = _joined(c.decimal, ids, to)
+                sha = [hashlib.sha256(listed[a : max(a, b - 1)]).hexdigest() for a, b in zip(at, at[1:])]  # without the last comma
+                back, at = _joined(c.spelled, ids, to)
+                same = []
+                for k, t in enumerate(texts.cast(pa.large_binary()).to_pylist()):
+                    alike = t is None or back[at[k] : at[k + 1]] == b" " + t
+                    same.append(alike or c.decode(ids[to[k] : to[k + 1]].tolist()) == t.decode())
+                null = texts.is_null().to_numpy(zero_copy_only=False)
+                kinds = zip((np.diff(to), np.diff(nb), sha, same), (pa.int64(), pa.int64(), pa.string(), pa.bool_()))
+                rest = [pa.array(np.array(x), kind, mask=null) for x, kind in kinds]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), arrays, pa.array(n, pa.int64()), pa.array(nb, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
+                    [part.column(0), _lists(texts, ids, to), *rest],
                     ["doc_id", "token_ids", "n_tokens", "n_byte_tokens", "tokens_sha256", "round_trip"],
                 )
 
