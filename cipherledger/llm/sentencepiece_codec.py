@@ -309,8 +309,7 @@ class Codec:
         by Arrow, and the ids of a word are looked up once for all its places; a null text has none."""
         texts = texts.cast(pa.large_binary())
         odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
-        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " ")))
-        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).fill_null(False)
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.equal(pc.binary_length(texts), 0))).fill_null(False)
         if odd.true_count:  # no if_else or replace_with_mask: the former garbles slices in pyarrow 23
             texts = pa.array([self._spaced(t) if x else t for t, x in zip(texts.to_pylist(), odd.to_pylist())], pa.large_binary())
         words = pc.split_pattern(texts, " ")
@@ -384,8 +383,7 @@ class Codec:
         """Words without the marker that stands before each, a space between; null if there are none."""
         if not text:
             return None
-        marked = RAW_MARK + text.replace(b" ", RAW_MARK)
-        return b" ".join([w[len(RAW_MARK) :] for w in re.findall(b"(?:%s)+(?:(?!%s).)*" % (RAW_MARK, RAW_MARK), marked, re.S)])
+        return re.sub(b"(?<!%s)%s" % (RAW_MARK, RAW_MARK), b" ", RAW_MARK + text.replace(b" ", RAW_MARK))[1:]
 
     def decode(self, ids) -> str | None:
         if ids is None:
