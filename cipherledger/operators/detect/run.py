@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ... import tables as T
 from ...functions import text as X
 from ...runtime import ship
-from . import material, source
+from . import material, shapes
 
 FIELDS = ["file", "line", "evidence", "detector", "confidence", "kind", "family", "name", "key_size", "curve", "mode", "padding", "not_after", "extra", "error"]
 SCHEMA = "file string, line int, evidence string, detector string, confidence string, kind string, family string, name string, key_size int, curve string, mode string, padding string, not_after string, extra map<string,string>, error string"
@@ -23,19 +23,27 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(of(n), t) for n, t in zip(FIELDS, _TYPES.types)], schema=_TYPES)
 
 
-def sources(files: DataFrame) -> DataFrame:
-    """Findings, and rows with only ``file`` and ``error``, of ``files (path, lang, text)``."""
+def sources(files: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
+    """Findings, and rows with only ``file`` and ``error``, of ``files (path, lang, text)``: the ``fields`` that are asked for, as no others
+    are made. Findings are told once for each shape of a text (``shapes``) and put together a column at a time."""
     ship(files.sparkSession)
+    types = [_TYPES.field(n) for n in fields]
 
     def run(batches):
         for b in batches:
-            out = []
+            out = {n: [] for n in fields}
             for path, lang, text in zip(*(c.to_pylist() for c in b.columns)):
-                found, error = source.detect(lang, text or "")
-                out += [f | {"file": path} for f in found] + ([{"file": path, "error": error}] if error else [])
-            yield _batch(out)
-
-    return files.select("path", "lang", "text").mapInArrow(run, SCHEMA)
+                text = text or ""
+                told, error = shapes.SHARED.detect(lang, text)
+                own = {"file": [path] * len(told.found)}
+                for n in fields:
+                    out[n] += own[n] if n in own else told.evidence(text) if n == "evidence" else told.column(n)
+                if error:
+                    for n in fields:
+                        out[n].append(path if n == "file" else error if n == "error" else None)
+            yield pa.RecordBatch.from_arrays([pa.array(out[t.name], t.type) for t in types], schema=pa.schema(types))
+
+    return files.select("path", "lang", "text").mapInArrow(run, ", ".join(SCHEMA.split(", ")[FIELDS.index(n)] for n in fields))
 
 
 def material_files(files: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from .queries import query
 from .sources import code as C
 
 
-def _found(spark, sf_dir, lang):
-    return run.sources(C.files(spark, sf_dir, lang)).where("error is null")
+def _found(spark, sf_dir, lang, *fields):
+    return run.sources(C.files(spark, sf_dir, lang), [*fields, "error"]).where("error is null").select(*fields)
 
 
 def _rows(*rows: str) -> str:
@@ -34,7 +34,7 @@ _JAVA = _rows(
 @query(f"WITH f AS ({_JAVA}) SELECT file, CAST(line AS INTEGER) AS line, family, CAST(key_size AS INTEGER) AS key_size, curve, concat(family, '-', coalesce(CAST(key_size AS VARCHAR), curve)) AS name FROM f")
 def detect_java_generators(spark, sf_dir):
     """Generators and the init that follows each, by variable, chained or with a parameter object in a variable."""
-    return _found(spark, sf_dir, "java").select("file", "line", "family", "key_size", "curve", "name")
+    return _found(spark, sf_dir, "java", "file", "line", "family", "key_size", "curve", "name")
 
 
 _mode = lambda c: f"regexp_replace(regexp_replace({c}, '^New', ''), '(En|De)crypter$', '')"
@@ -49,7 +49,7 @@ _GO = _rows(
 @query(f"WITH f AS ({_GO}) SELECT file, CAST(line AS INTEGER) AS line, family, CAST(key_size AS INTEGER) AS key_size, mode FROM f")
 def detect_go_handles(spark, sf_dir):
     """Cipher handles with the mode built on each, and the options of composites."""
-    return _found(spark, sf_dir, "go").select("file", "line", "family", "key_size", "mode")
+    return _found(spark, sf_dir, "go", "file", "line", "family", "key_size", "mode")
 
 
 _hash = lambda c: f"CASE {c} WHEN 'md5' THEN 'MD5' WHEN 'sha1' THEN 'SHA-1' ELSE 'SHA-2' END"
@@ -67,7 +67,7 @@ _PYTHON = _rows(
 @query(f"WITH f AS ({_PYTHON}) SELECT file, CAST(line AS INTEGER) AS line, family, confidence, curve FROM f")
 def detect_python_references(spark, sf_dir):
     """Algorithms that are named without a call, each once, beside those that are called."""
-    return _found(spark, sf_dir, "python").select("file", "line", "family", "confidence", "curve")
+    return _found(spark, sf_dir, "python", "file", "line", "family", "confidence", "curve")
 
 
 _JS = _rows(
@@ -82,7 +82,7 @@ _JS = _rows(
 @query(f"WITH f AS ({_JS}) SELECT file, CAST(line AS INTEGER) AS line, family, CAST(key_size AS INTEGER) AS key_size, mode, padding, CAST(iterations AS VARCHAR) AS iterations, hash FROM f")
 def detect_js_objects(spark, sf_dir):
     """Parameters in object literals: the object's own properties, not those of objects inside or beside it."""
-    f = _found(spark, sf_dir, "js")
+    f = _found(spark, sf_dir, "js", "file", "line", "family", "key_size", "mode", "padding", "extra")
     return f.select("file", "line", "family", "key_size", "mode", "padding", F.col("extra")["iterations"].alias("iterations"), F.col("extra")["hash"].alias("hash"))
 
 
