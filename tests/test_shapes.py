@@ -65,6 +65,10 @@ def test_python_references_are_read_once_a_shape(spark, tmp_path, monkeypatch):
     read_once(spark, tmp_path, monkeypatch, "python", 60)
 
 
+def test_go_handles_are_read_once_a_shape(spark, tmp_path, monkeypatch):
+    read_once(spark, tmp_path, monkeypatch, "go", 60)
+
+
 def test_memory_is_bounded():
     known = shapes.Shapes()
     for k in range(3 * shapes.VALUES):
